@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlane.llm import media
+from ledgerlane.llm import fingerprint, media, mixing
 from ledgerlane.llm.common import read_table
 
 
@@ -14,11 +14,24 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(read_table(spark, sf_dir, "documents"))
 
 
+def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprinted(read_table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mix(mixing.sized_documents(read_table(spark, sf_dir, "documents")))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media": op1_media,
+        "op2_fingerprint": op2_fingerprint,
+        "op6_mixing": op6_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_fingerprint": fingerprint.ORACLE_SQL,
+    }
