@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlane.llm import fingerprint, media, mixing
+from ledgerlane.llm import fingerprint, media, mixing, near_dup
 from ledgerlane.llm.common import read_table
 
 
@@ -23,15 +23,21 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.linked(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media": op1_media,
         "op2_fingerprint": op2_fingerprint,
         "op6_mixing": op6_mixing,
+        "op10_near_dup": op10_near_dup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_fingerprint": fingerprint.ORACLE_SQL,
+        "op10_near_dup": near_dup.ORACLE_SQL,
     }
