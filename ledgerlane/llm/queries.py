@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerlane.llm import fingerprint, media, mixing, near_dup
+from ledgerlane.llm import fingerprint, media, mixing, near_dup, substring
 from ledgerlane.llm.common import read_table
 
 
@@ -27,11 +28,20 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.linked(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.passages(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.col("start").alias("start_word"), F.col("stop").alias("end_word"), F.col("rep_id").alias("partner_id"), F.col("rep_start").alias("partner_start"), F.col("rep_stop").alias("partner_end"),
+        (F.col("stop") - F.col("start")).alias("n_words"), "identity", F.col("island_start").alias("passage_start"), F.col("island_stop").alias("passage_end"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media": op1_media,
         "op2_fingerprint": op2_fingerprint,
         "op6_mixing": op6_mixing,
+        "op9_substring": op9_substring,
         "op10_near_dup": op10_near_dup,
     }
 
