@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlane.llm import fingerprint, media, mixing, near_dup, substring
+from ledgerlane.llm import fingerprint, media, mixing, near_dup, packing, substring
 from ledgerlane.llm.common import read_table
 
 
@@ -28,6 +28,10 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.linked(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.passages(read_table(spark, sf_dir, "documents"))
     return found.select(
@@ -41,6 +45,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_media": op1_media,
         "op2_fingerprint": op2_fingerprint,
         "op6_mixing": op6_mixing,
+        "op8_packing": op8_packing,
         "op9_substring": op9_substring,
         "op10_near_dup": op10_near_dup,
     }
