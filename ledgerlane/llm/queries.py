@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlane.llm import fingerprint, media, mixing, near_dup, packing, substring
+from ledgerlane.llm import fingerprint, language, media, mixing, near_dup, packing, substring, toxicity
 from ledgerlane.llm.common import read_table
 
 
@@ -19,6 +19,14 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprinted(read_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.digest(read_table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(mixing.sized_documents(read_table(spark, sf_dir, "documents")))
     return plan.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
@@ -44,6 +52,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media": op1_media,
         "op2_fingerprint": op2_fingerprint,
+        "op3_toxicity": op3_toxicity,
+        "op5_language": op5_language,
         "op6_mixing": op6_mixing,
         "op8_packing": op8_packing,
         "op9_substring": op9_substring,
