@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlane.llm import fingerprint, language, media, mixing, near_dup, packing, substring, toxicity
+from ledgerlane.llm import fingerprint, html_text, language, licenses, media, mixing, near_dup, packing, substring, toxicity
 from ledgerlane.llm.common import read_table
 
 
@@ -23,6 +23,15 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(read_table(spark, sf_dir, "pages"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.licensed(licenses.document_files(read_table(spark, sf_dir, "documents")))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.digest(read_table(spark, sf_dir, "documents"))
 
@@ -53,8 +62,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_media": op1_media,
         "op2_fingerprint": op2_fingerprint,
         "op3_toxicity": op3_toxicity,
+        "op4_html": op4_html,
         "op5_language": op5_language,
         "op6_mixing": op6_mixing,
+        "op7_licenses": op7_licenses,
         "op8_packing": op8_packing,
         "op9_substring": op9_substring,
         "op10_near_dup": op10_near_dup,
