@@ -102,15 +102,15 @@ def jon6(spark, sf):
     return R.absence(R.baseline(two, tu), two, clean, reported).select("job_id", "unit_key", "item_id")
 
 
-@register("jon13_pauses", f"""WITH {V.CHAIN}, p AS (SELECT c.stream, c.seq, c.at AS paused_at, (SELECT min(e.seq) FROM chain e WHERE e.stream = c.stream AND e.seq > c.seq AND e.event_type IN ('job_resumed')) AS es FROM chain c WHERE c.event_type = 'job_paused')
-SELECT p.stream, p.seq, CAST(epoch_us(p.paused_at) AS BIGINT) AS paused_us, CAST(epoch_us(e.at) AS BIGINT) AS resumed_us, coalesce(e.event_type, 'not_ended') AS ended_how FROM p LEFT JOIN chain e ON e.stream = p.stream AND e.seq = p.es""")
+@register("jon13_pauses", f"""WITH {V.CHAIN}, p AS (SELECT c.stream, c.seq, c.moment AS paused_at, (SELECT min(e.seq) FROM chain e WHERE e.stream = c.stream AND e.seq > c.seq AND e.event_type IN ('job_resumed')) AS es FROM chain c WHERE c.event_type = 'job_paused')
+SELECT p.stream, p.seq, CAST(epoch_us(p.paused_at) AS BIGINT) AS paused_us, CAST(CAST(epoch_us(e.moment) AS BIGINT) AS VARCHAR) AS resumed_us, coalesce(e.event_type, 'not_ended') AS ended_how FROM p LEFT JOIN chain e ON e.stream = p.stream AND e.seq = p.es""")
 def jon13(spark, sf):
     p = R.pauses(V.chain(spark, sf), "job_paused", ("job_resumed",))
-    return p.select("stream", "seq", F.unix_micros("paused_at").alias("paused_us"), F.unix_micros("resumed_at").alias("resumed_us"), "ended_how")
+    return p.select("stream", "seq", F.unix_micros("paused_at").alias("paused_us"), F.unix_micros("resumed_at").cast("string").alias("resumed_us"), "ended_how")
 
 
-@register("agg19_pause_time", f"""WITH {V.CHAIN}, p AS (SELECT c.stream, c.at AS paused_at, (SELECT min(e.seq) FROM chain e WHERE e.stream = c.stream AND e.seq > c.seq AND e.event_type = 'job_resumed') AS es FROM chain c WHERE c.event_type = 'job_paused')
-SELECT coalesce(e.event_type, 'not_ended') AS ended_how, count(*) AS n, CAST(sum(epoch_ms(coalesce(e.at, TIMESTAMP '2024-02-01')) - epoch_ms(p.paused_at)) AS BIGINT) AS paused_ms FROM p LEFT JOIN chain e ON e.stream = p.stream AND e.seq = p.es GROUP BY 1""")
+@register("agg19_pause_time", f"""WITH {V.CHAIN}, p AS (SELECT c.stream, c.moment AS paused_at, (SELECT min(e.seq) FROM chain e WHERE e.stream = c.stream AND e.seq > c.seq AND e.event_type = 'job_resumed') AS es FROM chain c WHERE c.event_type = 'job_paused')
+SELECT coalesce(e.event_type, 'not_ended') AS ended_how, count(*) AS n, CAST(sum(CAST(epoch_us(coalesce(e.moment, TIMESTAMP '2024-02-01')) AS BIGINT) // 1000 - CAST(epoch_us(p.paused_at) AS BIGINT) // 1000) AS BIGINT) AS paused_ms FROM p LEFT JOIN chain e ON e.stream = p.stream AND e.seq = p.es GROUP BY 1""")
 def agg19(spark, sf):
     return R.pause_time(R.pauses(V.chain(spark, sf), "job_paused", ("job_resumed",)), F.lit("2024-02-01").cast("timestamp"))
 

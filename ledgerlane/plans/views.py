@@ -62,7 +62,7 @@ def versions(spark: SparkSession, sf: str) -> DataFrame:
     return o.select(F.col("o_custkey").alias("subject"), F.col("o_orderpriority").alias("content_hash"), F.col("o_orderdate").cast("timestamp").alias("at"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("hint"))
 
 
-VERSIONS = "versions AS (SELECT o_custkey AS subject, o_orderpriority AS content_hash, o_orderdate AS at, o_orderkey AS seq, o_orderstatus AS hint FROM orders)"
+VERSIONS = "versions AS (SELECT o_custkey AS subject, o_orderpriority AS content_hash, o_orderdate AS moment, o_orderkey AS seq, o_orderstatus AS hint FROM orders)"
 
 
 def chain(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,4 +77,4 @@ def chain(spark: SparkSession, sf: str) -> DataFrame:
 
 
 CHAIN = MSG + """, chain AS (SELECT 'S' || (CAST(substr(author, 2) AS INTEGER) % 10) AS stream, CASE text WHEN 'signup' THEN 'items_collected' WHEN 'view' THEN 'unit_reconciled' WHEN 'click' THEN 'file_unavailable' WHEN 'error' THEN 'job_paused' ELSE 'job_resumed' END AS event_type,
-  author AS actor, 'k' || k AS payload, sent_at AS at, event_id, row_number() OVER (PARTITION BY CAST(substr(author, 2) AS INTEGER) % 10 ORDER BY event_id) AS seq FROM msg)"""
+  author AS actor, 'k' || k AS payload, sent_at AS moment, event_id, row_number() OVER (PARTITION BY CAST(substr(author, 2) AS INTEGER) % 10 ORDER BY event_id) AS seq FROM msg)"""
