@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 REDACTED = "[REDACTED]"
 #: Shapes of secrets that are replaced in text, and of names whose values are.
@@ -51,10 +52,14 @@ def reveal_invisible(text: Column) -> Column:
     return F.regexp_replace(text, r"[\u0000-\u0008\u000B\u000C\u000E-\u001F\u007F]", "[CTRL]")
 
 
-@F.pandas_udf("string")
-def search_key(text: pd.Series) -> pd.Series:
+def search_key(text: Column) -> Column:
     """SCL-10 / UDF-2: NFKC and case folding, cut to 1,024 characters."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold())[:1024])
+
+    @F.pandas_udf(StringType())
+    def folded(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: None if x is None else unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", x).casefold())[:1024])
+
+    return folded(text)
 
 
 def prefix_range(prefix: str) -> tuple[str, str | None]:
