@@ -235,3 +235,11 @@ def append_new(spark, sf):
 def latest_items(spark, sf):
     v = X.assign_versions(V.versions(spark, sf), "subject", "content_hash", ["at", "seq"])
     return v.groupBy("subject").agg(F.max_by("content_hash", "version").alias("content_hash"), F.count(F.lit(1)).alias("versions"))
+
+
+@register("udf1_canonical_json", "SELECT event_id, '{\"a\":\"' || event_type || '\",\"k\":' || regexp_extract(props, '\"k\": (\\d+)', 1) || '}' AS canonical FROM events")
+def udf1(spark, sf):
+    from ledgerlane.functions.canonical import canonical_json
+
+    raw = F.concat(F.regexp_replace("props", r"\}$", ""), F.lit(' ,  "a" : "'), "event_type", F.lit('" }'))
+    return V.read(spark, sf, "events").select("event_id", canonical_json(raw).alias("canonical"))
