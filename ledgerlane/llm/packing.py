@@ -17,7 +17,9 @@ give equal sequences.
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -35,7 +37,11 @@ GROUP_TOKENS = 256 * CAPACITY
 #: Share of padding above which tails are cut too.
 LOOSE = 0.005
 #: Words whose ids a worker remembers; others are made again.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
+#: The last letter of the Latin blocks for which letters are made small one by one.
+LAST_LATIN = "\u024f"
+#: Signs that end a run of letters and make a run of their own with the signs behind them.
+SIGNS = b".,;:!?*#$%&|()[]{}<>/-+=~^@\""
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, head long, head_crc32 long, tail_crc32 long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -47,6 +53,11 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def plain_letters(word: str) -> bool:
+    """Whether a word is of Latin letters, each of which stays one letter in lower case."""
+    return word.isalpha() and max(word) <= LAST_LATIN and "\u0130" not in word
+
+
 class WordIds:
     """Ids of texts under a tokenizer whose tokens never span white space.
 
@@ -60,44 +71,57 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        # byte-level vocabularies write bytes that don't print as characters from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.byte_marks = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words (as little-endian 16-bit numbers), by one call of the tokenizer."""
+        """Ids of words (as little-endian 16-bit numbers). Words of Latin letters are one token each before
+        the merges, so the tokenizer's model gets them at once; the others go through all its steps."""
         made: dict[bytes, bytes] = {}
-        if not words:
-            return made
-        got = self.tokenizer.encode([w.decode() for w in words], is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(got.ids, dtype="<u2")
-        edges = np.searchsorted(np.array([-1 if w is None else w for w in got.word_ids], dtype=np.int64), np.arange(len(words) + 1))
-        for i, w in enumerate(words):
-            made[w] = ids[edges[i] : edges[i + 1]].tobytes()
+        model, other = self.tokenizer.model, []
+        for w in words:
+            if w.isalpha():  # a to z: lower case has been made
+                plain = w.decode()
+            else:
+                letters = w.decode()
+                if not plain_letters(letters):
+                    other.append(w)
+                    continue
+                plain = unicodedata.normalize("NFC", letters).lower().encode().decode("latin-1").translate(self.byte_marks)
+            made[w] = np.array([t.id for t in model.tokenize(plain)], dtype="<u2").tobytes()
+        if other:
+            got = self.tokenizer.encode([w.decode() for w in other], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(got.ids, dtype="<u2")
+            edges = np.searchsorted(np.array([-1 if w is None else w for w in got.word_ids], dtype=np.int64), np.arange(len(other) + 1))
+            made.update((w, ids[edges[i] : edges[i + 1]].tobytes()) for i, w in enumerate(other))
         return made
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text as little-endian 32-bit numbers."""
         split = [None if "<|" in t else t.encode().lower().split() for t in texts]
         known = self.known
-        new = {w for words in split if words for w in words if w not in known}
-        fresh: dict[bytes, bytes] = {}
+        new = set().union(*(words for words in split if words)) - known.keys()
+        before = len(known)
         if new:
             bare = {}
-            for w in new:  # letters and the full stop or comma behind them are tokenized apart
-                if w[-1:] in b".," and w[:-1].isalpha():
-                    bare[w] = (w[:-1], w[-1:])
-            need = {p for pair in bare.values() for p in pair} | (new - bare.keys())
-            fresh = self._learn(sorted(w for w in need if w not in known))
-            for w, (a, b) in bare.items():
-                fresh[w] = (fresh.get(a) or known.get(a) or b"") + (fresh.get(b) or known.get(b) or b"")
-            room = REMEMBERED - len(known)
-            if room > 0:
-                known.update((w, v) for w, v in list(fresh.items())[:room] if len(w) <= 64)
-        find = known.get
+            for w in new:  # letters and the signs behind them are tokenized apart
+                letters = w.rstrip(SIGNS)
+                if len(letters) < len(w) and (letters.isalpha() or plain_letters(letters.decode())):
+                    bare[w] = (letters, w[len(letters) :])
+            need = ({p for pair in bare.values() for p in pair} | (new - bare.keys())) - known.keys()
+            known.update(self._learn(sorted(need)))
+            known.update([(w, known[x] + known[y]) for w, (x, y) in bare.items()])
+        ids = known.__getitem__
         out = []
         for text, words in zip(texts, split, strict=True):
             if words is None:
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4"))
             else:
-                out.append(np.frombuffer(b"".join([find(w) or fresh.get(w, b"") for w in words]), dtype="<u2").astype("<u4"))
+                out.append(np.frombuffer(b"".join(map(ids, words)), dtype="<u2").astype("<u4"))
+        if len(known) > REMEMBERED:  # those of earlier texts stay: frequent words come early
+            for w in list(itertools.islice(known, max(before, REMEMBERED), None)):
+                del known[w]
         return out
 
 
