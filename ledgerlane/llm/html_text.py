@@ -2,8 +2,9 @@
 
 A page is a sequence of words and tags. A word scores more than 0 and a tag less, by how often its kind
 stands inside and outside the content of labelled pages: those that mark their content with one ``article``
-or ``main`` element. One linear scan finds the contiguous region with the largest sum. If an ``article`` or
-``main`` holds most of the region's words, its whole content is the text; otherwise the region is. Menus,
+or ``main`` element. One linear scan finds the contiguous region with the largest sum, so a page's short first
+or last block may fall outside. If an ``article`` or ``main`` holds most of the region's words, its whole
+content is the text; otherwise that of the smallest sectioning element around the region is. Menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out
 wherever they stand, by element and by the words of class, id and role.
 
@@ -44,6 +45,7 @@ BLOCKS = frozenset("address article aside blockquote body caption dd details dia
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 LEFT_OUT = frozenset("aside audio button canvas dialog footer form head header input label menu nav noscript video".split())
 CONTENT = frozenset(("article", "main"))
+AROUND = frozenset(("article", "body", "div", "html", "main", "section", "td"))
 #: Words of class, id and role that mark what isn't content.
 BOILERPLATE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed|s)?|promo(?:tion)?s?|banner|sidebar|side-?bar|nav(?:igation|bar)?|menus?|footer|header|masthead|cookies?(?:bar|banner)?|consent|gdpr|notices?|alert|comments?|comment-?list|disqus|repl(?:y|ies)|respond|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|popup|modal|overlay|breadcrumbs?|pagination|pager|widget|toolbar|search|complementary|contentinfo)(?:$|[\s_-])",
@@ -58,7 +60,8 @@ class Page:
         self.blocks: list[list[str]] = [[]]  # pieces of text of each block
         self.items: list[tuple[str, int, int]] = []  # kind, words (0: a tag), block
         self.marked: list[list[int]] = []  # first and last item of each article or main
-        stack: list[tuple[str, bool, int]] = []  # name, left out, number in marked or -1
+        self.around: list[list[int]] = []  # of each sectioning element
+        stack: list[tuple[str, bool, list[int] | None]] = []  # name, left out, its items if it is sectioning
         parent = "body"
         for m in _TOKEN.finditer(text or ""):
             token = m[0]
@@ -82,9 +85,9 @@ class Page:
             if token[1] == "/":
                 at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
                 if at >= 0:
-                    for _, _, k in stack[at:]:
-                        if k >= 0:
-                            self.marked[k][1] = len(self.items)
+                    for _, _, place in stack[at:]:
+                        if place:
+                            place[1] = len(self.items)
                     del stack[at:]
             elif name not in VOID and not token.endswith("/>"):
                 while stack and (name in BLOCKS and stack[-1][0] == "p" or name == "li" and stack[-1][0] == "li"):
@@ -92,11 +95,12 @@ class Page:
                 out = bool(stack) and stack[-1][1] or name in LEFT_OUT
                 if not out and (hints := _HINT.findall(token)):
                     out = any(BOILERPLATE.search(h.strip("\"'")) for h in hints) and name not in ("html", "body")
-                k = -1
-                if name in CONTENT and not out:
-                    k = len(self.marked)
-                    self.marked.append([len(self.items) - 1, len(text)])
-                stack.append((name, out, k))
+                place = [len(self.items) - 1, len(text)] if name in AROUND and not out else None
+                if place:
+                    self.around.append(place)
+                    if name in CONTENT:
+                        self.marked.append(place)
+                stack.append((name, out, place))
             parent = next((x[0] for x in reversed(stack) if x[0] in BLOCKS), "body")
 
     def region(self, weights: dict[str, float]) -> tuple[int, int]:
@@ -112,12 +116,16 @@ class Page:
 
     def text(self, weights: dict[str, float]) -> str:
         a, b = self.region(weights)
+        if a == b:
+            return ""
         inside = sum(n for kind, n, _ in self.items[a:b] if kind[0] != "-")
         for c, d in sorted(self.marked, key=lambda x: x[1] - x[0]):
             own = self.items[max(a, c) : max(a, c, min(b, d))]
             if 2 * sum(n for kind, n, _ in own if kind[0] != "-") > inside:
                 a, b = c, d
                 break
+        else:
+            a, b = min(((c, d) for c, d in self.around if c <= a and b <= d), key=lambda x: x[1] - x[0], default=(0, len(self.items)))
         wanted = sorted({block for kind, n, block in self.items[a:b] if n and kind[0] != "-"})
         made = (" ".join(html.unescape("".join(self.blocks[i])).split()) for i in wanted)
         return "\n\n".join(x for x in made if x)
