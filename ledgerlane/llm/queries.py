@@ -58,18 +58,8 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op1_media": op1_media,
-        "op2_fingerprint": op2_fingerprint,
-        "op3_toxicity": op3_toxicity,
-        "op4_html": op4_html,
-        "op5_language": op5_language,
-        "op6_mixing": op6_mixing,
-        "op7_licenses": op7_licenses,
-        "op8_packing": op8_packing,
-        "op9_substring": op9_substring,
-        "op10_near_dup": op10_near_dup,
-    }
+    found = (op1_media, op2_fingerprint, op3_toxicity, op4_html, op5_language, op6_mixing, op7_licenses, op8_packing, op9_substring, op10_near_dup)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
