@@ -159,12 +159,13 @@ def set_id(distinct: np.ndarray) -> str:
     return f"{a:016x}{b:016x}"
 
 
-def free_name(df: DataFrame, base: str) -> str:
-    """A column name that df does not have, so that an operator's own columns never clash."""
-    have, name = {c.lower() for c in df.columns}, base
-    while name.lower() in have:
-        name = f"_{name}"
-    return name
+def wrapped(df: DataFrame) -> DataFrame:
+    """df as one struct column ``row``, so that an operator's own columns can't clash with df's names."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def unwrapped(df: DataFrame, like: DataFrame) -> DataFrame:
+    return df.select(*[F.col(f"row.`{c}`").alias(c) for c in like.columns])
 
 
 def salted_left(left: DataFrame, right: DataFrame, key: str, salts: int = 16) -> DataFrame:

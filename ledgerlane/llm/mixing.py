@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerlane.llm.common import cut_lineage, salted_left
+from ledgerlane.llm.common import cut_lineage, salted_left, unwrapped, wrapped
 
 #: Documents folded together; also the fan-in of the reduction tree.
 BLOCK = 256
@@ -178,12 +178,12 @@ def sized_documents(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     """Rows of docs (with doc_id, source and text), each as often as the mix takes it."""
-    plan = mix(sized_documents(docs), seed=seed).groupBy("doc_id", "source", "size").agg(F.array_sort(F.collect_list(F.struct("copy", "copies"))).alias("_plan"))
-    plan = plan.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "size")], "_plan")
-    size, number = "_own_size", "_own_number"
-    rows = docs.withColumn(size, word_count(F.col("text")))
-    same = Window.partitionBy("doc_id", "source", size).orderBy(F.xxhash64("text"))
-    rows = rows.withColumn(number, F.row_number().over(same))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col(size) == F.col("_size"))
-    taken = rows.join(plan, on).withColumn("_copies", F.element_at("_plan", F.col(number))["copies"]).filter("_copies > 0")
-    return taken.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    plan = mix(sized_documents(docs), seed=seed).groupBy("doc_id", "source", "size").agg(F.array_sort(F.collect_list(F.struct("copy", "copies"))).alias("plan"))
+    plan = plan.withColumn("key", F.xxhash64("doc_id", "source", "size"))
+    rows = wrapped(docs).withColumns({"r_id": F.col("row.doc_id").cast("long"), "r_source": F.col("row.source").cast("string"), "r_size": word_count(F.col("row.text"))})
+    rows = rows.withColumn("key", F.xxhash64("r_id", "r_source", "r_size"))
+    same = Window.partitionBy("key", "r_id", "r_source", "r_size").orderBy(F.xxhash64("row"))
+    rows = rows.repartition("key").withColumn("number", F.row_number().over(same))
+    on = (rows["key"] == plan["key"]) & F.col("r_id").eqNullSafe(F.col("doc_id")) & F.col("r_source").eqNullSafe(F.col("source")) & (F.col("r_size") == F.col("size"))
+    taken = rows.join(plan, on).withColumn("copies", F.element_at("plan", F.col("number"))["copies"]).filter("copies > 0")
+    return unwrapped(taken.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs)

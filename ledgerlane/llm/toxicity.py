@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerlane.llm.common import cut_lineage
+from ledgerlane.llm.common import cut_lineage, unwrapped, wrapped
 
 #: Labelled texts of each kind that are learned from, at most.
 SAMPLE = {1: 4_000, 0: 8_000}
@@ -181,25 +182,25 @@ def may_learn() -> Column:
 SCORED = "score double, hits long, words long"
 
 
-def scored(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """docs with score (0 to 1), hits of the lexicon and words, in one pass without a shuffle. Columns of
-    docs with those names are replaced."""
-    kept = [c for c in docs.columns if c not in ("score", "hits", "words")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + ", " + SCORED
+def scored(rows: DataFrame, model: dict, text: str = "text") -> DataFrame:
+    """SCORED's columns beside those of rows, in one pass without a shuffle: score (0 to 1), hits of the
+    lexicon and words. A struct field is named with a point, as in ``row.text``."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("hits", T.LongType()), T.StructField("words", T.LongType())])
+    first, _, inner = text.partition(".")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher, weights, const = Matcher(model["terms"]), model["weights"], model["const"]
         for batch in batches:
-            out = []
-            for t in batch.column(batch.schema.get_field_index(text)):
+            column, out = batch.column(batch.schema.get_field_index(first)), []
+            for t in column.field(inner) if inner else column:
                 folded = fold(t.as_py())
                 words, found = folded.count(" ") - 1, matcher.counts(folded)
                 z = const + sum(weights[i] * value(c, words) for i, c in found.items())
                 out.append((1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), sum(found.values()), words))
             more = [pa.array([o[0] for o in out], pa.float64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + more, kept + ["score", "hits", "words"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "score", "hits", "words"])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -211,6 +212,5 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of docs that score below THRESHOLD."""
-    mark = docs.select(*docs.columns)
     model = learn(sample(docs, labels, may_learn()))
-    return scored(mark, model).filter(F.col("score") < THRESHOLD).select(*docs.columns)
+    return unwrapped(scored(wrapped(docs), model, "row.text").filter(F.col("score") < THRESHOLD), docs)
