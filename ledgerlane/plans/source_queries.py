@@ -12,7 +12,7 @@ from ledgerlane.operators import versions as X
 from ledgerlane.operators.registry import register
 from ledgerlane.plans import views as V
 from ledgerlane.plans.custody_queries import _built
-from ledgerlane.plans.shared import shared_folder
+from ledgerlane.plans.shared import materialized, shared_folder
 from ledgerlane.sinks import files as W
 from ledgerlane.sources import readers as R
 from ledgerlane.streaming import jobs as J
@@ -119,7 +119,7 @@ def snk2(spark, sf):
 
 @register("snk3_src7_package", f"WITH {V.CHAIN} SELECT 'events' AS file, count(*) AS rows FROM chain WHERE seq <= 200 UNION ALL SELECT 'anchors', count(*) FROM chain WHERE seq <= 200 AND seq % 8 = 0")
 def snk3(spark, sf):
-    b = _built(spark, sf)
+    b = materialized(_built(spark, sf))
     a = b.filter("seq % 8 = 0").select("stream", "seq", "event_hash")
     heads = b.select("stream").distinct().withColumn("seq", F.lit(200))
     return W.write_package(b, a, heads, shared_folder(spark, "package")).select("file", "rows")
@@ -135,7 +135,7 @@ def prj6(spark, sf):
 @register("mrk10_verify_package", f"""WITH {V.CHAIN} SELECT 'events' AS file, stream || '/' || seq AS what, 'altered' AS error FROM chain WHERE seq % 97 = 0 UNION ALL SELECT 'anchors', stream || '/' || seq, 'anchor_differs' FROM chain WHERE seq % 50 = 0 UNION ALL SELECT 'items', CAST(event_id AS VARCHAR), 'wrong_key' FROM msg WHERE event_id % 113 = 0
 UNION ALL SELECT 'evidence', CAST(doc_id AS VARCHAR), 'altered' FROM documents WHERE doc_id % 37 = 0 UNION ALL SELECT 'anchors.jsonl', 'anchors.jsonl', 'altered' UNION ALL SELECT 'notes.txt', 'notes.txt', 'unlisted'""")
 def mrk10(spark, sf):
-    b = _built(spark, sf)
+    b = materialized(_built(spark, sf))  # hashed once, read by three checks
     seq = F.col("seq")
     anchors = b.filter(seq % 10 == 0).select("stream", "seq", F.when(seq % 50 == 0, F.lit("0")).otherwise(F.col("event_hash")).alias("event_hash"))
     events = b.withColumn("fields", F.when(seq % 97 == 0, F.concat("fields", F.lit(" "))).otherwise(F.col("fields")))
