@@ -9,7 +9,9 @@ A band's bucket of up to ``SMALL`` classes pairs all of them. In a larger one ev
 the bucket's hub (the class with the most company over all bands). When the links found so far have been
 joined into components, classes of a large bucket outside its hub's component are compared with all
 classes of the bucket in other components: no candidate is given up, and a group of close copies costs a
-row per copy. Pairs with similarity 0.75 share a band with probability 1 - 5e-6.
+row per copy. Those comparisons use a second odd sketch of 2,048 bits over the smallest hashes, about 1,000
+to 2,000 of them (all of a smaller set's), which tells similarities apart to about 0.01. Pairs with
+similarity 0.75 share a band with probability 1 - 5e-6.
 
 Defined results: null texts and texts without words have an empty set, 0 shingles and no link; 1 to 4 words
 make one shingle; equal sets are always one group; rows without an id belong to their group but never name
@@ -27,14 +29,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerlane.llm.common import cut_lineage, hashed_words, mix64, set_id, shingles
+from ledgerlane.llm.common import cut_lineage, hashed_words, mix64, set_id, shingles, unwrapped, wrapped
 
 SAMPLES, BAND = 128, 4
 SKETCH_WORDS = 8
 SMALL = 24
-SALTS = 8
+#: Classes outside a hub's component that one task compares with their bucket.
+SPREAD = 256
 #: Estimates below this are no candidates; the estimate's error is about 0.05 near the threshold.
-ESTIMATE = 0.55
+ESTIMATE = 0.58
+
+#: The second sketch: its words, the samples it holds at most, and the estimates below which a pair can't
+#: link, for whole sets (the estimate's error is about 0.006) and for samples of larger ones (0.012).
+FINE_WORDS, FINE_SAMPLES, FINE_ESTIMATES = 32, 2_000, (0.72, 0.70)
 
 _RNG = np.random.default_rng(20240229)
 _MUL = (_RNG.integers(0, 1 << 32, SAMPLES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -102,6 +109,42 @@ def estimate(one: list[Column], other: list[Column]) -> Column:
     return 1 + bits / (4 * SAMPLES) * F.log(F.greatest(F.lit(1e-9), 1 - 2 * odd / bits))
 
 
+FINE = "cid long, share int, sampled long, " + ", ".join(f"f{i} long" for i in range(FINE_WORDS))
+
+
+def fine_sketch(distinct: np.ndarray) -> tuple[int, int, np.ndarray]:
+    """(share, samples, parity bitmap): the hashes below 2^64 / 2^share are the samples."""
+    share = 0
+    while len(distinct) >> share > FINE_SAMPLES:
+        share += 1
+    own = distinct[distinct >> np.uint64(64 - share) == 0] if share else distinct
+    flips = np.bincount((mix64(own) % np.uint64(FINE_WORDS * 64)).astype(np.int64), minlength=FINE_WORDS * 64) & 1
+    return share, len(own), np.packbits(flips.astype(np.uint8)).view(">u8").astype(np.uint64).view(np.int64)
+
+
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in FINE.split(", ")]
+    for batch in batches:
+        ids = batch.column(0).to_pylist()
+        for first, last, counts, hashes, _, _ in hashed_words(batch.column(2)):
+            edges, rows = np.concatenate([[0], np.cumsum(counts)]), []
+            for i in range(last - first):
+                own = shingles(hashes[edges[i] : edges[i + 1]])
+                if len(own) and set_id(own) == batch.column(1)[first + i].as_py():
+                    rows.append((ids[first + i], *fine_sketch(own)))
+            bits = np.stack([r[3] for r in rows]) if rows else np.zeros((0, FINE_WORDS), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), *[pa.array(bits[:, i]) for i in range(FINE_WORDS)]], names)
+
+
+def may_link(tag_a: str, tag_b: str) -> Column:
+    """Whether two classes' second sketches leave a link possible; sketches of different shares always do."""
+    bits = FINE_WORDS * 64
+    odd = sum((F.bit_count(F.col(f"{tag_a}_f{i}").bitwiseXOR(F.col(f"{tag_b}_f{i}"))) for i in range(FINE_WORDS)), F.lit(0))
+    apart = -bits / 2 * F.log(F.greatest(F.lit(1e-9), 1 - 2 * odd / bits))
+    both = F.col(f"{tag_a}_sampled") + F.col(f"{tag_b}_sampled")
+    return (F.col(f"{tag_a}_share") != F.col(f"{tag_b}_share")) | (both - apart >= F.when(F.col(f"{tag_a}_share") == 0, FINE_ESTIMATES[0]).otherwise(FINE_ESTIMATES[1]) * (both + apart))
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b) of the pairs whose full sets are alike; columns a, b, a_set, b_set, a_text, b_text."""
 
@@ -160,11 +203,12 @@ def linked(docs: DataFrame) -> DataFrame:
     classes = grouped.agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("n_rows"), F.first("bands").alias("bands"), *[F.first(c).alias(c) for c in sketch])
     classes = cut_lineage(classes.withColumn("cid", F.monotonically_increasing_id()))
 
-    rows = classes.select("cid", "rep_id", "set_id", F.explode("bands").alias("band"), *sketch)
+    rows = classes.select("cid", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = cut_lineage(rows.join(shared, "band"))
-    company = members.groupBy("cid").agg(F.sum("n").alias("company"))
-    wanted = cut_lineage(members.select("cid", "rep_id", "set_id").distinct())
+    slim = cut_lineage(rows.join(shared, "band"))
+    company = cut_lineage(slim.groupBy("cid").agg(F.sum("n").alias("company")))
+    members = cut_lineage(slim.join(classes.select("cid", *sketch), "cid"))
+    wanted = classes.join(company, "cid", "left_semi").select("cid", "rep_id", "set_id")
     plain = docs.select(F.col("doc_id").cast("long").alias("rep_id"), F.col("text").cast("string").alias("text"))
     texts = plain.join(wanted, plain["rep_id"].eqNullSafe(wanted["rep_id"])).select("cid", "set_id", "text")
     texts = cut_lineage(texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["cid", "h"]))
@@ -193,10 +237,15 @@ def linked(docs: DataFrame) -> DataFrame:
         named = cut_lineage(large.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid")))
         hub_label = hubs.select("band", F.col("y_cid").alias("cid")).join(label, "cid", "left").select(F.col("band"), F.coalesce("label", "cid").alias("hub_label"))
         rest = named.join(hub_label, "band").filter("label <> hub_label").drop("hub_label")
-        x = side(rest, "x", "label").withColumn("salt", F.pmod(F.xxhash64("x_cid"), F.lit(SALTS)).cast("int"))
-        open_bands = rest.select("band").distinct()
-        y = side(named.join(open_bands, "band", "left_semi"), "y", "label").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        later = pairs(x.join(y, (x["band"] == y["band"]) & (x["salt"] == y["salt"]) & (F.col("x_label") != F.col("y_label")) & near("x", "y")))
+        rest = cut_lineage(rest)
+        salts = cut_lineage(rest.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("salts")))
+        # the second sketch of the classes that are compared, once per class
+        both_sides = named.join(salts, "band", "left_semi").select("cid").distinct()
+        fine = cut_lineage(texts.join(both_sides, "cid", "left_semi").select("cid", "set_id", "text").mapInArrow(_fine, FINE).dropDuplicates(["cid"]))
+        more = [c for c in fine.columns if c != "cid"]
+        x = side(rest.join(salts, "band").join(fine, "cid"), "x", "label", "salts", *more).withColumn("salt", F.pmod(F.xxhash64("x_cid"), F.col("x_salts")).cast("int"))
+        y = side(named.join(salts, "band").join(fine, "cid"), "y", "label", "salts", *more).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("y_salts") - 1)))
+        later = pairs(x.join(y, (x["band"] == y["band"]) & (x["salt"] == y["salt"]) & (F.col("x_label") != F.col("y_label")) & near("x", "y") & may_link("x", "y")))
         later = cut_lineage(later)
         if not later.isEmpty():
             labels = components(links.union(_paired(later, texts)))
@@ -218,11 +267,11 @@ def linked(docs: DataFrame) -> DataFrame:
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """Rows of docs without those that have a kept near copy; of rows with equal id and text one stays."""
-    dropped = linked(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_doc_id")).distinct()
-    mark, number = "_own_hash", "_own_number"
-    kept = docs.join(dropped, F.col("doc_id").cast("long") == F.col("_doc_id"), "left_anti").withColumn(mark, F.xxhash64("text"))
-    kept = kept.withColumn(number, F.row_number().over(Window.partitionBy("doc_id", mark).orderBy(mark)))
-    return kept.filter(F.col(number) == 1).select(*docs.columns)
+    dropped = linked(docs.select("doc_id", "text")).filter(~F.col("kept")).select("doc_id").distinct()
+    rows = wrapped(docs).withColumn("doc_id", F.col("row.doc_id").cast("long")).withColumn("h", F.xxhash64("row.text"))
+    kept = rows.join(dropped, "doc_id", "left_anti")
+    kept = kept.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "h").orderBy(F.xxhash64("row")))).filter("n = 1")
+    return unwrapped(kept, docs)
 
 
 ORACLE_SQL = r"""
