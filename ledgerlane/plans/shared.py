@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives this package to the executors' Python, once per application, unless they find it by themselves
+    (by PYTHONPATH, or because the driver runs in its folder)."""
+    root, sc = Path(__file__).resolve().parents[2], spark.sparkContext
+    found = [Path(p or ".").resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p] + [Path.cwd()]
+    if root in found or sc.applicationId in _SHIPPED:
+        return
+    sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/ledgerlane", "zip", root, "ledgerlane"))
+    _SHIPPED.add(sc.applicationId)
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir; without that setting (as in tests) below /tmp."""
