@@ -2,8 +2,8 @@
 
 Texts are folded first: compatibility forms and marks are removed, case is folded, look-alike letters of
 other scripts and digits that stand for letters become Latin letters, and everything else a space. A term is
-the beginning of a word, or a whole word (with a space at its end). Terms are picked by their log odds in
-labelled texts and weighed by a logistic fit of their counts, normalised by the root of the text's length.
+the beginning of a word (the longest that the same texts hold), or a whole word (with a space at its end).
+Terms are picked by their log odds in labelled texts and weighed by a logistic fit of their counts, normalised by the root of the text's length.
 A hit inside an exception phrase doesn't count.
 
 The lexicon is learned from a bounded sample (``SAMPLE`` texts of each label, those of smallest hash), as are
@@ -144,7 +144,10 @@ def learn(labelled: DataFrame) -> dict:
     sums = sums.filter(F.col("toxic") >= max(3, math.ceil(0.004 * p))).withColumn("odds", odds).filter("odds > 2")
     sure = F.col("odds") / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     picked = sums.withColumn("sure", sure).orderBy(F.desc("sure"), "term").limit(TERMS).collect()
-    odds_of = {r["term"]: r["odds"] for r in picked}
+    held = {r["term"]: r["toxic"] for r in picked}
+    grown = {t[:-1] for t, n in held.items() if t[-1] != " " and n >= 0.95 * held.get(t[:-1], math.inf)}
+    # of beginnings that the same texts hold, the longest: it fits the fewest other words
+    odds_of = {r["term"]: r["odds"] for r in picked if r["term"] not in grown}
     terms: list[str] = []
     for t in sorted(odds_of, key=lambda t: (len(t), t)):  # a longer term must say clearly more than its beginnings
         if not any(odds_of[t] < odds_of[t[:i]] + 0.7 for i in range(SHORTEST, len(t)) if t[:i] in odds_of):
