@@ -17,7 +17,6 @@ then the smallest path; rows are scanned one by one, also equal ones; further co
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,7 +27,8 @@ from pyspark.sql import functions as F
 from ledgerlane.llm.common import cut_lineage, salted_left
 
 LEAST, FILE_SHARE = 0.6, 0.5
-_WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
+#: Bytes of words: ASCII letters and digits, and all of other scripts' letters.
+_SPLIT = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 #: Notices by which public licences are declared.
 TEMPLATES = (
@@ -58,31 +58,32 @@ TEMPLATES = (
 )
 
 
-def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+def words(text: str) -> list[bytes]:
+    """Words of a text in lower case (ASCII letters only)."""
+    return text.encode().lower().translate(_SPLIT).split()
 
 
 VOCABULARY = frozenset(w for _, t in TEMPLATES for w in words(t))
 
 
-def frequencies(files: DataFrame) -> tuple[int, dict[str, int]]:
+def frequencies(files: DataFrame) -> tuple[int, dict[bytes, int]]:
     """Number of files, and of those that hold each word of the templates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = Counter({"": batch.num_rows})
+            found = Counter({b"": batch.num_rows})
             for t in batch.column(0).to_pylist():
                 if t:
                     found.update(VOCABULARY.intersection(words(t)))
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
 
-    sums = files.select(F.col("text").cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # the templates' words
-    found = {r["word"]: r["n"] for r in sums}
-    return found.pop("", 0), found
+    sums = files.select(F.col("text").cast("string")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # the templates' words
+    found = {bytes(r["word"]): r["n"] for r in sums}
+    return found.pop(b"", 0), found
 
 
 class Scanner:
-    def __init__(self, files: int, found: dict[str, int]) -> None:
+    def __init__(self, files: int, found: dict[bytes, int]) -> None:
         self.rare = math.log(files + 2)
         self.idf = {w: math.log((files + 2) / (found.get(w, 0) + 1)) for w in VOCABULARY}
         self.vectors = []
@@ -90,14 +91,13 @@ class Scanner:
             vector = {w: n * self.idf[w] for w, n in Counter(words(t)).items()}
             self.vectors.append((name, vector, math.sqrt(sum(v * v for v in vector.values())) or 1.0))
         # the words of largest weight, until what is left of every template is too little for LEAST
-        self.anchors: set[str] = set()
+        self.anchors: set[bytes] = set()
         for w in sorted(VOCABULARY, key=lambda w: (-self.idf[w], w)):
             if all(sum(v * v for x, v in vector.items() if x not in self.anchors) < (LEAST * norm) ** 2 for _, vector, norm in self.vectors):
                 break
             self.anchors.add(w)
-        self.any_anchor = re.compile("|".join(re.escape(w) for w in sorted(self.anchors)), re.I)
 
-    def line(self, own: list[str]) -> tuple[str | None, float]:
+    def line(self, own: list[bytes]) -> tuple[str | None, float]:
         """Best template of a line's words and its cosine."""
         counts = Counter(own)
         norm = math.sqrt(sum((n * self.idf.get(w, self.rare)) ** 2 for w, n in counts.items()))
@@ -110,17 +110,17 @@ class Scanner:
 
     def text(self, text: str | None) -> tuple[str | None, float, bool]:
         """(licence, score, whether it is a licence file) of a whole text."""
-        if not text or not self.any_anchor.search(text):
+        if not text or self.anchors.isdisjoint(every := words(text)):
             return None, 0.0, False
         best, licensed = (None, 0.0), 0
         for line in text.split("\n"):
-            if self.any_anchor.search(line):
-                own = words(line)
+            own = words(line)
+            if not self.anchors.isdisjoint(own):
                 name, score = self.line(own)
                 if score >= LEAST:
                     licensed += len(own)
                     best = max(best, (name, score), key=lambda x: x[1])
-        return (*best, bool(best[0]) and licensed >= FILE_SHARE * len(words(text)))
+        return (*best, bool(best[0]) and licensed >= FILE_SHARE * len(every))
 
 
 def scanned(files: DataFrame) -> DataFrame:
