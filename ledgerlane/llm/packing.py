@@ -17,10 +17,10 @@ give equal sequences.
 from __future__ import annotations
 
 import heapq
-import itertools
 import math
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,70 +58,50 @@ def plain_letters(word: str) -> bool:
     return word.isalpha() and max(word) <= LAST_LATIN and "\u0130" not in word
 
 
-class WordIds:
-    """Ids of texts under a tokenizer whose tokens never span white space.
+class WordIds(dict):
+    """Ids (little-endian 16-bit numbers) of white-space-separated words, made when first asked for.
 
-    A text's ids are those of its white-space-separated words in order, so each word is tokenized once and
-    remembered. Texts that may hold a special token's string are tokenized whole."""
+    The tokenizer's tokens never span white space, so a text's ids are those of its words in order. Words
+    of Latin letters are one token each before the merges, so the tokenizer's model gets them at once; other
+    words go through all of the tokenizer's steps. Texts that may hold a special token's string are
+    tokenized whole."""
 
     def __init__(self, path: str) -> None:
+        super().__init__()
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model.tokenize
         # byte-level vocabularies write bytes that don't print as characters from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.byte_marks = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
 
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words (as little-endian 16-bit numbers). Words of Latin letters are one token each before
-        the merges, so the tokenizer's model gets them at once; the others go through all its steps."""
-        made: dict[bytes, bytes] = {}
-        model, other = self.tokenizer.model, []
-        for w in words:
-            if w.isalpha():  # a to z: lower case has been made
-                plain = w.decode()
-            else:
-                letters = w.decode()
-                if not plain_letters(letters):
-                    other.append(w)
-                    continue
-                plain = unicodedata.normalize("NFC", letters).lower().encode().decode("latin-1").translate(self.byte_marks)
-            made[w] = np.array([t.id for t in model.tokenize(plain)], dtype="<u2").tobytes()
-        if other:
-            got = self.tokenizer.encode([w.decode() for w in other], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, dtype="<u2")
-            edges = np.searchsorted(np.array([-1 if w is None else w for w in got.word_ids], dtype=np.int64), np.arange(len(other) + 1))
-            made.update((w, ids[edges[i] : edges[i + 1]].tobytes()) for i, w in enumerate(other))
+    def __missing__(self, word: bytes) -> bytes:
+        letters = word.rstrip(SIGNS)
+        if len(letters) < len(word) and (letters.isalpha() or plain_letters(letters.decode())):
+            made = self[letters] + self[word[len(letters) :]]  # they are tokenized apart
+        elif word.isalpha():  # a to z: lower case has been made
+            made = array("H", [t.id for t in self.merges(word.decode())]).tobytes()
+        elif plain_letters(text := word.decode()):
+            text = unicodedata.normalize("NFC", text).lower().encode().decode("latin-1").translate(self.byte_marks)
+            made = array("H", [t.id for t in self.merges(text)]).tobytes()
+        else:
+            made = array("H", self.tokenizer.encode([text], is_pretokenized=True, add_special_tokens=False).ids).tobytes()
+        if len(self) < REMEMBERED and len(word) <= 64:  # frequent words come early
+            self[word] = made
         return made
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of every text as little-endian 32-bit numbers."""
-        split = [None if "<|" in t else t.encode().lower().split() for t in texts]
-        known = self.known
-        new = set().union(*(words for words in split if words)) - known.keys()
-        before = len(known)
-        if new:
-            bare = {}
-            for w in new:  # letters and the signs behind them are tokenized apart
-                letters = w.rstrip(SIGNS)
-                if len(letters) < len(w) and (letters.isalpha() or plain_letters(letters.decode())):
-                    bare[w] = (letters, w[len(letters) :])
-            need = ({p for pair in bare.values() for p in pair} | (new - bare.keys())) - known.keys()
-            known.update(self._learn(sorted(need)))
-            known.update([(w, known[x] + known[y]) for w, (x, y) in bare.items()])
-        ids = known.__getitem__
-        out = []
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
+        """Ids of every text as 32-bit numbers."""
+        ids, out = self.__getitem__, []
+        for text in texts:
+            if "<|" in text:
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4"))
             else:
-                out.append(np.frombuffer(b"".join(map(ids, words)), dtype="<u2").astype("<u4"))
-        if len(known) > REMEMBERED:  # those of earlier texts stay: frequent words come early
-            for w in list(itertools.islice(known, max(before, REMEMBERED), None)):
-                del known[w]
+                out.append(np.frombuffer(b"".join(map(ids, text.encode().lower().split())), dtype=np.uint16).astype("<u4"))
         return out
 
 
