@@ -239,7 +239,7 @@ PREDICTED = "lang_pred string, score double"
 
 def predicted(docs: DataFrame, model: dict) -> DataFrame:
     """docs (doc_id, text) with PREDICTED's columns: the language of largest likelihood and its share of
-    the likelihoods' sum, per word."""
+    the sum of all, after each log likelihood is divided by the root of the number of words."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # pieces times languages
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
