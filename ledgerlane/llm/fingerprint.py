@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 #: Words in a piece.
 PIECE = 8
 #: Text bytes of neighbouring documents that one task orders.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 1 << 20
 #: Buckets at most, so that their bounds have a fixed size; beyond it buckets grow and spill.
 MOST_BUCKETS = 16_384
 #: The place of rows without an id.
