@@ -1,12 +1,18 @@
 """Fuzzy passages that documents share, by collinear chaining of k-mer seeds.
 
-Seeds are minimizers of 10-word k-mers over 30 neighbouring ones, so an exact run of 39 words has one in
+Seeds are minimizers of 10-word k-mers over 10 neighbouring ones, so an exact run of 19 words has one in
 common wherever it stands. A seed's first place (smallest document, then smallest position) stands for it;
 every other place is matched with that one only, so a passage in a third of all documents costs a row per
 document. Per pair of documents matches on one diagonal become runs, and runs are chained in order in both
 documents with a gap cost through a Fenwick tree. Each chain is then aligned on the words themselves: its
 ends are extended while they go on matching, and the longest common subsequence gives its identity.
 
+Chains of any length are aligned, single seeds too, but for single seeds whose ends can't reach LEAST_CHAIN
+words: a seed carries 4 bits of each of the 16 words before and after it. Equal words have equal bits, so
+the reach by the bits is never below the reach by the words, and no chain is lost that its alignment keeps.
+Where words repeat ("of of of"), overlapping places of one seed are a stretch: it is matched once, start with
+start, over the shorter of both stretches.
+
 A passage counts when the chains that touch it cover 50 words of its document or more. The first document
 that holds it keeps it; the others have it cut.
 
@@ -30,10 +36,16 @@ from pyspark.sql.window import Window
 from ledgerlane.llm.common import cut_lineage, hashed_words, rolling, unwrapped, wrapped
 
 #: Words in a seed, and neighbouring seeds of which the smallest is taken.
-K, NEIGHBOURS = 10, 30
+K, NEIGHBOURS = 10, 10
+#: Matches of one diagonal that start more words apart are runs of their own.
+RUN_GAP = 40
+#: Words between the matches of a stretch.
+STEP = 20
+#: Words on each side of a seed of which it carries 4 bits; 0 stands for no word.
+FLANK = 16
 #: Cost of a word that a chain skips in either document, in words.
 GAP_COST = 0.1
-#: Words of the shortest chain that is aligned, and of the shortest passage.
+#: Words of the shortest chain that is kept once it is aligned, and of the shortest passage.
 LEAST_CHAIN, LEAST_PASSAGE = 20, 50
 #: Words beside a chain in which its ends may be extended; slices start at multiples of GRID.
 MARGIN, GRID = 64, 64
@@ -41,7 +53,8 @@ MARGIN, GRID = 64, 64
 X_DROP = 10
 LEAST_IDENTITY = 0.8
 
-SEEDS = "h long, doc_id long, pos int"
+SEEDS = "h long, doc_id long, pos int, span int, before long, after long"
+MATCHES = "doc_id long, rep_id long, pos int, rep_pos int, weak int"
 CHAINS = "doc_id long, rep_id long, start int, stop int, rep_start int, rep_stop int, seeds int"
 SLICES = "doc_id long, lo int, hi int, th long, words array<long>"
 ALIGNED = "doc_id long, th long, start int, stop int, rep_id long, rep_start int, rep_stop int, identity double"
@@ -66,22 +79,86 @@ def minimizers(words: np.ndarray, k: int = K, neighbours: int = NEIGHBOURS) -> t
     return mers[at], at
 
 
+def stretches(seeds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, positions, spans) of seeds without those that overlap the place before of the same seed; a
+    span is the distance from a seed to the last such place."""
+    first = np.flatnonzero(np.concatenate([[True], (seeds[1:] != seeds[:-1]) | (np.diff(at) >= K)])[: len(at)])
+    last = np.concatenate([first[1:], [len(at)]])[: len(first)] - 1
+    return seeds[first], at[first], at[last] - at[first]
+
+
+def flanks(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """4 bits of each of the FLANK words before and after the seeds at ``at``, nearest word lowest."""
+    codes = np.zeros(len(words) + 2 * FLANK, dtype=np.uint64)
+    codes[FLANK : FLANK + len(words)] = (words >> np.uint64(32)) % np.uint64(15) + np.uint64(1)
+    before, after = (np.zeros(len(at), dtype=np.uint64) for _ in range(2))
+    for j in range(FLANK):
+        before |= codes[at + FLANK - 1 - j] << np.uint64(4 * j)
+        after |= codes[at + FLANK + K + j] << np.uint64(4 * j)
+    return before, after
+
+
+def _bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Most words that _reach can go over the words of two flanks; MARGIN if the flanks don't tell."""
+    shifts = np.arange(0, 4 * FLANK, 4, dtype=np.uint64)
+    x, y = ((v.view(np.uint64)[:, None] >> shifts) & np.uint64(15) for v in (a, b))
+    score = np.cumsum(np.where((x == y) & (x > 0), 1, -2), axis=1)
+    fallen = np.logical_or.accumulate(np.maximum.accumulate(np.maximum(score, 0), axis=1) - score > X_DROP, axis=1)
+    score[fallen] = -1
+    reach = np.where(score.max(axis=1) > 0, score.argmax(axis=1) + 1, 0)
+    return np.where(fallen[:, -1], reach, MARGIN)
+
+
 def _seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for first, last, counts, hashes, _, _ in hashed_words(batch.column(1)):
             edges = np.concatenate([[0], np.cumsum(counts)])
-            found = [minimizers(hashes[edges[i] : edges[i + 1]]) for i in range(last - first)]
+            found = [stretches(*minimizers(hashes[edges[i] : edges[i + 1]])) for i in range(last - first)]
             n = [len(x[1]) for x in found]
             if sum(n):
-                yield _batch(SEEDS, [np.concatenate([x[0] for x in found]).view(np.int64), np.repeat(ids[first:last], n).astype(np.int64), np.concatenate([x[1] for x in found]).astype(np.int32)])
+                at = np.concatenate([x[1] for x in found])
+                beside = [flanks(hashes[edges[i] : edges[i + 1]], x[1]) for i, x in enumerate(found) if len(x[1])]
+                beside = [np.concatenate([x[i] for x in beside]).view(np.int64) for i in range(2)]
+                yield _batch(SEEDS, [np.concatenate([x[0] for x in found]).view(np.int64), np.repeat(ids[first:last], n).astype(np.int64), at.astype(np.int32), np.concatenate([x[2] for x in found]).astype(np.int32), *beside])
+
+
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every place of a seed with its first place, of rows (SEEDS) that come sorted by h, doc_id and pos; only
+    the first place is held, so a seed may span batches. Stretches give a row every STEP words. weak: the seed
+    alone can't reach LEAST_CHAIN words."""
+    held: tuple | None = None  # the last seed's first place, and whether several texts are there
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h, doc, pos, span, before, after = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(h) != 0) + 1])
+        first = [x[starts] for x in (h, doc, pos, span, before, after)]
+        several = np.zeros(len(starts), dtype=bool)
+        if held is not None and held[0] == h[0]:
+            for x, value in zip(first, held, strict=False):
+                x[0] = value
+            several[0] = held[-1]
+        sizes = np.diff(np.concatenate([starts, [len(h)]]))
+        _, rep, rep_pos, rep_span, rep_before, rep_after = (np.repeat(x, sizes) for x in first)
+        other = (doc == rep) & (pos == rep_pos) & ((before != rep_before) | (after != rep_after))
+        several |= np.logical_or.reduceat(other, starts)
+        held = (*(x[-1] for x in first), several[-1])
+        at = np.flatnonzero(doc != rep)
+        weak = _bound(before[at], rep_before[at]) + _bound(after[at], rep_after[at]) + K < LEAST_CHAIN
+        weak &= ~np.repeat(several, sizes)[at]
+        span = np.where(weak, 0, np.minimum(span[at], rep_span[at]))
+        n = 1 + -(-span // STEP)
+        at, weak = np.repeat(at, n), np.repeat(weak, n)
+        step = np.minimum((np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)) * STEP, np.repeat(span, n)).astype(np.int32)
+        yield _batch(MATCHES, [doc[at], rep[at], pos[at] + step, rep_pos[at] + step, weak.astype(np.int32)])
 
 
 def _runs(pos: np.ndarray, rep: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """Matches (sorted by pos, rep) as runs on one diagonal: (first pos, last pos, first rep, last rep, seeds)."""
     order = np.lexsort((pos, pos - rep))
     p, d = pos[order], (pos - rep)[order]
-    cut = np.flatnonzero((np.diff(d) != 0) | (np.diff(p) > K + NEIGHBOURS)) + 1
+    cut = np.flatnonzero((np.diff(d) != 0) | (np.diff(p) > RUN_GAP)) + 1
     starts, stops = np.concatenate([[0], cut]), np.concatenate([cut, [len(p)]]) - 1
     return sorted(zip(p[starts].tolist(), p[stops].tolist(), (p - d)[starts].tolist(), (p - d)[stops].tolist(), (stops - starts + 1).tolist(), strict=True))
 
@@ -127,14 +204,16 @@ def chains(pos: np.ndarray, rep: np.ndarray) -> list[tuple[int, int, int, int, i
 
 
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chains of rows (doc_id, rep_id, pos, rep_pos) that come sorted; a pair may span batches."""
+    """Chains of rows (doc_id, rep_id, pos, rep_pos, weak) that come sorted; a pair may span batches."""
     held: list[np.ndarray] = []
 
     def rows(part: np.ndarray) -> Iterator[tuple]:
-        edges = np.flatnonzero(np.any(np.diff(part[:, :2], axis=0) != 0, axis=1)) + 1
-        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(part)], strict=True):
+        edges = np.concatenate([[0], np.flatnonzero(np.any(np.diff(part[:, :2], axis=0) != 0, axis=1)) + 1, [len(part)]])
+        open_ = np.flatnonzero((np.diff(edges) > 1) | (part[edges[:-1], 4] == 0))
+        for a, b in zip(edges[open_].tolist(), edges[open_ + 1].tolist(), strict=True):
+            weak = {(p, r) for p, r, w in part[a:b, 2:].tolist() if w}
             for s, e, rs, re, n in chains(part[a:b, 2], part[a:b, 3]):
-                if e - s >= LEAST_CHAIN or re - rs >= LEAST_CHAIN:
+                if n > 1 or (s, rs) not in weak:
                     yield int(part[a, 0]), int(part[a, 1]), s, e, rs, re, n
 
     def made(part: np.ndarray) -> pa.RecordBatch:
@@ -225,10 +304,8 @@ def passages(docs: DataFrame, least_words: int = LEAST_PASSAGE) -> DataFrame:
     """Aligned passages of docs (doc_id, text) that an earlier document holds too: ALIGNED's columns with
     island_start and island_stop, the place that the passage covers with those it touches."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    seeds = cut_lineage(plain.mapInArrow(_seeded, SEEDS))
-    firsts = seeds.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("rep"), F.max("doc_id").alias("last")).filter(F.col("rep.doc_id") < F.col("last"))
-    firsts = firsts.select("h", F.col("rep.doc_id").alias("rep_id"), F.col("rep.pos").alias("rep_pos"))
-    matches = seeds.join(firsts, "h").filter("doc_id <> rep_id").select("doc_id", "rep_id", "pos", "rep_pos")
+    seeds = plain.mapInArrow(_seeded, SEEDS).repartition("h").sortWithinPartitions("h", "doc_id", "pos")
+    matches = seeds.mapInArrow(_matched, MATCHES)
     matches = matches.repartition("doc_id").sortWithinPartitions("doc_id", "rep_id", "pos", "rep_pos")
     found = matches.mapInArrow(_chained, CHAINS)
 

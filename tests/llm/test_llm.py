@@ -465,6 +465,49 @@ def test_shared_passages_are_found_and_cut(spark):
     assert all(cut[i]["text"] == " ".join(texts[i]) for i in (4, 5, 6))
 
 
+def test_short_passages_are_found_where_brute_force_finds_them(spark):
+    rng = random.Random(12)
+    word = lambda: f"u{rng.randrange(10**7)}"
+    texts, want = [], {}
+    for n in (50, 51, 55, 60, 70):
+        for edits in (0, 0, 0, 0, 0, 1, 2):
+            for whole in (True, False):
+                p = [word() for _ in range(n)]
+                q = list(p)
+                for i in rng.sample(range(5, n - 5), edits):
+                    q[i] = word()
+                a, b = len(texts), len(texts) + 1
+                left, right = ([], []) if whole else ([word() for _ in range(70)], [word() for _ in range(90)])
+                texts += [[word() for _ in range(80)] + p + [word() for _ in range(75)], left + q + right]
+                # brute force: the best diagonal's places in the later document, first to last equal word
+                both = [(i, j) for j, y in enumerate(texts[b]) for i, x in enumerate(texts[a]) if x == y]
+                want[b] = (a, min(j for _, j in both), max(j for _, j in both) + 1)
+    rows = substring.passages(spark.createDataFrame(docs_of([" ".join(t) for t in texts]), DOCS).repartition(3)).collect()
+    assert {r["doc_id"]: (r["rep_id"], r["island_start"], r["island_stop"]) for r in rows} == want
+
+
+def test_repeated_words_are_matched_as_stretches(spark):
+    rng = random.Random(13)
+    body = lambda n: [f"x{rng.randrange(10**7)}" for _ in range(n)]
+    runs = (["of"] * 400, ["of"] * 300, ["th"] * 30, ["th"] * 90, ["a", "b", "c"] * 40, ["a", "b", "c"] * 40)
+    texts = [body(60) + r + body(60) for r in runs]
+    rows = substring.passages(spark.createDataFrame(docs_of([" ".join(t) for t in texts]), DOCS)).collect()
+    assert {(r["doc_id"], r["rep_id"], r["island_start"], r["island_stop"]) for r in rows} == {(1, 0, 60, 360), (5, 4, 60, 180)}
+
+
+def test_flanks_never_bound_a_reach_too_low():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        a = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+        b = np.where(rng.random(60) < rng.random(), a, rng.integers(0, 1 << 63, 60, dtype=np.uint64))
+        at = np.array([25])
+        b[25 : 25 + substring.K] = a[25 : 25 + substring.K]
+        left, right = (substring._bound(x, y)[0] for x, y in zip(substring.flanks(a, at), substring.flanks(b, at), strict=True))
+        same = a == b
+        assert substring._reach(same[:25][::-1]) <= left
+        assert substring._reach(same[25 + substring.K :]) <= right
+
+
 def test_chains_and_alignment():
     pos = np.array([0, 5, 12, 40, 41, 60])
     assert substring.chains(pos, pos + 100) == [(0, 70, 100, 170, 6)]
