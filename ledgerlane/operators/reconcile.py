@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -88,6 +88,23 @@ def capped(rows: DataFrame, order: list, cap: int) -> DataFrame:
     return rows.orderBy(*order).limit(cap).crossJoin(F.broadcast(total)).withColumn("more", F.col("total") > cap)  # one row
 
 
+def unit_order(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """SRT-1: rows with ``place`` from 1 in the total order of ``order``, all of them.
+
+    Rows are range partitioned and sorted, and each partition's rows are numbered after those of the
+    partitions before it, so no task sees all rows."""
+    from ledgerlane.plans.shared import materialized
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    numbered = materialized(spread.withColumn("_n", F.monotonically_increasing_id()))
+    numbered = numbered.withColumn("_part", F.shiftright("_n", 33)).withColumn("_n", F.col("_n").bitwiseAND(F.lit((1 << 33) - 1)))
+    # one row per partition of the range exchange
+    before = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    before = before.select("_part", (F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).alias("_before"))
+    return numbered.join(F.broadcast(before), "_part").select(*rows.columns, (F.col("_n") + F.col("_before") + 1).cast("long").alias("place"))
+
+
 def gap_reasons(rows: DataFrame, key: str, reasons: str) -> DataFrame:
     """AGG-20: sorted distinct union of arrays per key."""
     each = rows.select(key, F.explode(reasons).alias("reason")).distinct()

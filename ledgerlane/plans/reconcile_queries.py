@@ -123,13 +123,15 @@ def agg20(spark, sf):
 
 @register("srt1_unit_file_order", f"WITH {V.UNITS} SELECT row_number() OVER (ORDER BY coalesce(conversation_id, ''), coalesce(CAST(day AS VARCHAR), ''), unit_key, job_id) AS place, unit_key, job_id FROM units ORDER BY place LIMIT 500")
 def srt1(spark, sf):
-    """SRT-1, top 500 of the units file."""
-    u = V.units(spark, sf)
-    order = [F.coalesce("conversation_id", F.lit("")), F.coalesce(F.col("day").cast("string"), F.lit("")), F.col("unit_key"), F.col("job_id")]
-    top = u.orderBy(*order).limit(500)
-    from pyspark.sql.window import Window
+    """SRT-1, the first 500 places that this query's SQL asks for; srt1_unit_order has all."""
+    return srt1_all(spark, sf).filter("place <= 500")
+
 
-    return top.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"), "unit_key", "job_id")
+@register("srt1_unit_order", f"WITH {V.UNITS} SELECT row_number() OVER (ORDER BY coalesce(conversation_id, ''), coalesce(CAST(day AS VARCHAR), ''), unit_key, job_id) AS place, unit_key, job_id FROM units")
+def srt1_all(spark, sf):
+    """SRT-1, all units in the order of the units file."""
+    order = [F.coalesce("conversation_id", F.lit("")), F.coalesce(F.col("day").cast("string"), F.lit("")), F.col("unit_key"), F.col("job_id")]
+    return R.unit_order(V.units(spark, sf), order).select("place", "unit_key", "job_id")
 
 
 @register("agg9_actor_counts", f"WITH {V.CHAIN} SELECT event_type, actor, count(*) AS n FROM chain GROUP BY ALL")

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgerlane.functions import canonical, keys, status, text
-from ledgerlane.operators import archive, custody, digest, merkle, normalize, scope, slicing, versions
+from ledgerlane.operators import archive, custody, digest, merkle, normalize, reconcile, scope, slicing, versions
 from ledgerlane.sinks import files
 from ledgerlane.sources import readers
 
@@ -254,3 +254,13 @@ def test_scan_reads_only_the_columns_and_rows_it_needs(spark, sf):
     plan = spark.read.parquet(f"{sf}/part.parquet").filter(text.with_prefix(F.col("p_name"), "red w")).select("p_partkey")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(p_name,red w)" in plan
     assert "p_retailprice" not in plan
+
+
+def test_every_unit_has_its_place(spark):
+    from ledgerlane.operators import registry
+
+    got = registry.queries()["srt1_unit_order"](spark, "/root/testdata/sf0.01").collect()
+    assert len(got) > 500
+    assert sorted(r["place"] for r in got) == list(range(1, len(got) + 1))
+    rows = spark.createDataFrame([(f"k{i * 7919 % 3000:04d}",) for i in range(3000)], "k string").repartition(5)
+    assert {(r["k"], r["place"]) for r in reconcile.unit_order(rows, [F.col("k")]).collect()} == {(f"k{i:04d}", i + 1) for i in range(3000)}
