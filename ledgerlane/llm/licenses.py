@@ -1,13 +1,16 @@
 """Licence scans: TF-IDF cosine of text to licence notices, and inheritance from the nearest directory.
 
-Each line of a file is compared with templates of licence notices as a sparse vector: a word's weight is
-its count times its inverse document frequency over all files; words that no template has weigh as words
-of no file. A file's own licence is that of its best line at ``LEAST`` or more. A file whose licence lines
-hold half of its words is a licence file and covers its directory and all below; a file without a licence
-inherits from the nearest directory above it that has one.
-
-Lines without an anchor word are not compared: anchors are chosen so that, without any, no template can be
-reached at ``LEAST``. Frequencies are counted over all files, for the templates' words only.
+Each line of a file, and each run of lines without an empty one between them up to twice the words of the
+longest notice, is compared with templates of licence notices as a sparse vector: a word's weight is its count
+times its inverse document frequency over all files; words that no template has weigh as words of no file. The
+whole file is compared with whole licence texts in the same way, with 1 + log of the counts. A file's own
+licence is that of its best lines at ``LEAST`` or more, or of the whole text that it equals at ``LEAST_WHOLE``
+or more, which goes first. A file that equals a whole text, or whose licence lines hold half of its words, is a
+licence file and covers its directory and all below; a file without a licence inherits from the nearest
+directory above it that has one.
+
+Lines and files without an anchor word are not compared: anchors are chosen so that, without any, no template
+can be reached. Frequencies are counted over all files, for the templates' words only.
 
 Defined results: null and empty texts have no licence of their own but may inherit; a null path has no
 directory; of equal scores the template named first wins, of licence files of one directory the best score,
@@ -25,8 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlane.llm.common import cut_lineage, salted_left
+from ledgerlane.llm.licence_texts import WHOLE
 
-LEAST, FILE_SHARE = 0.6, 0.5
+LEAST, FILE_SHARE, LEAST_WHOLE = 0.6, 0.5, 0.8
 #: Bytes of words: ASCII letters and digits, and all of other scripts' letters.
 _SPLIT = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -64,17 +68,23 @@ def words(text: str) -> list[bytes]:
 
 
 VOCABULARY = frozenset(w for _, t in TEMPLATES for w in words(t))
+#: Counts of the words of whole licence texts.
+WHOLE_COUNTS = tuple((name, {w.encode(): int(n) for w, n in zip(t.split()[::2], t.split()[1::2], strict=True)}) for name, t in WHOLE)
+WHOLE_VOCABULARY = frozenset(w for _, counts in WHOLE_COUNTS for w in counts)
+#: Most words of lines that are joined: a notice may be wrapped.
+JOINED = 2 * max(len(words(t)) for _, t in TEMPLATES)
 
 
 def frequencies(files: DataFrame) -> tuple[int, dict[bytes, int]]:
     """Number of files, and of those that hold each word of the templates."""
+    asked = VOCABULARY | WHOLE_VOCABULARY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = Counter({b"": batch.num_rows})
             for t in batch.column(0).to_pylist():
                 if t:
-                    found.update(VOCABULARY.intersection(words(t)))
+                    found.update(asked.intersection(words(t)))
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
 
     sums = files.select(F.col("text").cast("string")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # the templates' words
@@ -97,6 +107,29 @@ class Scanner:
                 break
             self.anchors.add(w)
 
+        # whole texts, and their anchors in the same way
+        self.whole_idf = {w: math.log((files + 2) / (found.get(w, 0) + 1)) for w in WHOLE_VOCABULARY}
+        self.whole = []
+        for name, counts in WHOLE_COUNTS:
+            vector = {w: (1 + math.log(n)) * self.whole_idf[w] for w, n in counts.items()}
+            self.whole.append((name, vector, math.sqrt(sum(v * v for v in vector.values())) or 1.0))
+        self.whole_anchors: set[bytes] = set()
+        left = [size * size for _, _, size in self.whole]
+        for w in sorted(WHOLE_VOCABULARY, key=lambda w: (-self.whole_idf[w], w)):
+            if all(x < (LEAST_WHOLE * size) ** 2 for x, (_, _, size) in zip(left, self.whole, strict=True)):
+                break
+            self.whole_anchors.add(w)
+            left = [x - vector.get(w, 0.0) ** 2 for x, (_, vector, _) in zip(left, self.whole, strict=True)]
+
+    def file(self, every: list[bytes]) -> tuple[str | None, float]:
+        """Best whole licence text of a file's words and its cosine."""
+        weights = {w: (1 + math.log(n)) * self.whole_idf.get(w, self.rare) for w, n in Counter(every).items()}
+        norm, best = math.sqrt(sum(v * v for v in weights.values())), (None, 0.0)
+        for name, vector, size in self.whole:
+            score = sum(v * vector[w] for w, v in weights.items() if w in vector) / (norm * size) if norm else 0.0
+            best = (name, score) if score > best[1] else best
+        return best
+
     def line(self, own: list[bytes]) -> tuple[str | None, float]:
         """Best template of a line's words and its cosine."""
         counts = Counter(own)
@@ -110,16 +143,35 @@ class Scanner:
 
     def text(self, text: str | None) -> tuple[str | None, float, bool]:
         """(licence, score, whether it is a licence file) of a whole text."""
-        if not text or self.anchors.isdisjoint(every := words(text)):
+        if not text:
+            return None, 0.0, False
+        every = words(text)
+        if not self.whole_anchors.isdisjoint(every):
+            name, score = self.file(every)
+            if score >= LEAST_WHOLE:
+                return name, min(score, 1.0), True
+        if self.anchors.isdisjoint(every):
             return None, 0.0, False
-        best, licensed = (None, 0.0), 0
-        for line in text.split("\n"):
-            own = words(line)
-            if not self.anchors.isdisjoint(own):
-                name, score = self.line(own)
-                if score >= LEAST:
-                    licensed += len(own)
-                    best = max(best, (name, score), key=lambda x: x[1])
+        lines = [words(x) for x in text.split("\n")]
+        hits = [not self.anchors.isdisjoint(x) for x in lines]
+        found = []
+        for i in range(len(lines)):
+            own, hit = [], False
+            for j in range(i, len(lines)):
+                if not lines[j] or (j > i and len(own) + len(lines[j]) > JOINED):
+                    break
+                own, hit = own + lines[j], hit or hits[j]
+                if hit:
+                    name, score = self.line(own)
+                    if score >= LEAST:
+                        found.append((-score, i, j, name))
+        # the best runs of lines that don't overlap
+        best, licensed, used = (None, 0.0), 0, set()
+        for score, i, j, name in sorted(found, key=lambda x: x[:3]):
+            if used.isdisjoint(range(i, j + 1)):
+                used.update(range(i, j + 1))
+                licensed += sum(len(x) for x in lines[i : j + 1])
+                best = best if best[0] else (name, -score)
         return (*best, bool(best[0]) and licensed >= FILE_SHARE * len(every))
 
 

@@ -303,6 +303,69 @@ def test_licences(spark):
     assert licenses.licensed(spark.createDataFrame([], "id long, path string, text string")).count() == 0
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2019 A. N. Author and others
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to
+deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or
+sell copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in
+all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING
+FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS
+IN THE SOFTWARE.
+"""
+BSD_TEXT = """Copyright (c) 2011, Some Company
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice,
+this list of conditions and the following disclaimer. 2. Redistributions in
+binary form must reproduce the above copyright notice, this list of
+conditions and the following disclaimer in the documentation and/or other
+materials provided with the distribution. 3. Neither the name of the
+copyright holder nor the names of its contributors may be used to endorse or
+promote products derived from this software without specific prior written
+permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND
+CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT
+NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
+PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR
+CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,
+EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS;
+OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
+WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
+OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF
+ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+
+
+def test_whole_licence_files_cover_what_is_below(spark):
+    with open("/usr/share/common-licenses/Apache-2.0") as f:
+        apache = f.read()
+    wrapped = "# Licensed under the Apache License, Version 2.0 (the License);\n# you may not use this file except in compliance\n# with the License.\n\n" + "\n".join(f"x{i} = call(y{i})" for i in range(60))
+    prose = " ".join(["the house of the people and to the river that they may use"] * 40)
+    files = [(1, "m/LICENSE", MIT_TEXT), (2, "m/a/b/x.py", "x"), (3, "b/LICENSE", BSD_TEXT), (4, "b/y.py", "y"), (5, "p/LICENSE", apache), (6, "p/s/z.py", None), (7, "q/w.py", wrapped), (8, "r/prose.txt", prose)]
+    files += [(10 + i, f"z/{i}.txt", f"the text of a file to be read {i} and the end of it") for i in range(30)]
+    rows = licenses.licensed(spark.createDataFrame(files, "id long, path string, text string")).filter("id < 10").collect()
+    got = {r["id"]: (r["license"], r["basis"], r["license_path"]) for r in rows}
+    assert got == {
+        1: ("MIT", "file", "m"), 2: ("MIT", "inherited", "m"), 3: ("BSD-3-Clause", "file", "b"), 4: ("BSD-3-Clause", "inherited", "b"),
+        5: ("Apache-2.0", "file", "p"), 6: ("Apache-2.0", "inherited", "p"), 7: ("Apache-2.0", "header", "q"), 8: (None, "none", None),
+    }
+
+
 def test_lines_without_an_anchor_can_not_reach_the_least_score():
     scanner = licenses.Scanner(1000, {b"the": 900, b"of": 800, b"this": 500})
     rng = random.Random(2)
