@@ -3,13 +3,16 @@
 Seeds are minimizers of 10-word k-mers over 10 neighbouring ones, so an exact run of 19 words has one in
 common wherever it stands. A seed's first place (smallest document, then smallest position) stands for it;
 every other place is matched with that one only, so a passage in a third of all documents costs a row per
-document. Per pair of documents matches on one diagonal become runs, and runs are chained in order in both
-documents with a gap cost through a Fenwick tree. Each chain is then aligned on the words themselves: its
-ends are extended while they go on matching, and the longest common subsequence gives its identity.
+document. A seed with over 64 places in a batch of texts is matched there, with the batch's first document, and
+only that document's places are passed on: a very frequent seed reaches the task that holds it a few times per
+batch. Per pair of documents matches on one diagonal become runs, and runs are chained
+in order in both documents with a gap cost through a Fenwick tree. Each chain is then aligned on the words
+themselves: its ends are extended while they go on matching, also past a few changed, added or missing words,
+and the longest common subsequence gives its identity.
 
 Chains of any length are aligned, single seeds too, but for single seeds whose ends can't reach LEAST_CHAIN
-words: a seed carries 4 bits of each of the 16 words before and after it. Equal words have equal bits, so
-the reach by the bits is never below the reach by the words, and no chain is lost that its alignment keeps.
+words without a shift: a seed carries 4 bits of each of the 8 words before and after it. Equal words have equal
+bits, so the reach by the bits is never below the reach by the words on one diagonal.
 Where words repeat ("of of of"), overlapping places of one seed are a stretch: it is matched once, start with
 start, over the shorter of both stretches.
 
@@ -18,8 +21,8 @@ that holds it keeps it; the others have it cut.
 
 Defined results: null and empty texts, and texts under 10 words, have no passage; repeats inside one
 document don't count; rows without an id are neither matched nor cut; rows with equal ids are one document
-for matching, and each text is cut by what was aligned on itself; other columns are not read by the search
-and pass through the cut; an empty table gives no rows.
+for matching, and each text is cut by what was aligned on itself; of chains that reach equally far the earlier
+one goes first; other columns are not read by the search and pass through the cut; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,35 +36,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerlane.llm.common import cut_lineage, hashed_words, rolling, unwrapped, wrapped
+from ledgerlane.llm.common import cut_lineage, hashed_words, mix64, rolling, unwrapped, wrapped
 
 #: Words in a seed, and neighbouring seeds of which the smallest is taken.
 K, NEIGHBOURS = 10, 10
+#: Seeds that a task looks at together, and places among them above which it matches a seed itself.
+LOCAL, FREQUENT = 1 << 21, 64
 #: Matches of one diagonal that start more words apart are runs of their own.
 RUN_GAP = 40
 #: Words between the matches of a stretch.
 STEP = 20
 #: Words on each side of a seed of which it carries 4 bits; 0 stands for no word.
-FLANK = 16
+FLANK = 8
 #: Cost of a word that a chain skips in either document, in words.
 GAP_COST = 0.1
 #: Words of the shortest chain that is kept once it is aligned, and of the shortest passage.
 LEAST_CHAIN, LEAST_PASSAGE = 20, 50
 #: Words beside a chain in which its ends may be extended; slices start at multiples of GRID.
-MARGIN, GRID = 64, 64
+MARGIN, GRID = 40, 32
 #: An extension ends when it is this far below its best; a mismatch costs 2, a match brings 1.
-X_DROP = 10
+X_DROP = 4
+#: It goes on after a shift of up to SHIFT words on either side if RESUME words match there.
+SHIFT, RESUME = 3, 4
 LEAST_IDENTITY = 0.8
 
-SEEDS = "h long, doc_id long, pos int, span int, before long, after long"
+#: A seed (rep_id is null): its place is pos << 32 | span. A match made in a batch: h spreads it, its place
+#: is pos << 32 | rep_pos, and flank is 1 if it is weak.
+SEEDS = "h long, doc_id long, place long, flank long, rep_id long"
 MATCHES = "doc_id long, rep_id long, pos int, rep_pos int, weak int"
 CHAINS = "doc_id long, rep_id long, start int, stop int, rep_start int, rep_stop int, seeds int"
-SLICES = "doc_id long, lo int, hi int, th long, words array<long>"
+SLICES = "doc_id long, lo int, hi int, th long, words array<int>"
 ALIGNED = "doc_id long, th long, start int, stop int, rep_id long, rep_start int, rep_stop int, identity double"
 
 
 def _batch(schema: str, columns: list) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "array<int>": pa.list_(pa.int32())}
     fields = [x.split() for x in schema.split(", ")]
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
@@ -87,71 +96,112 @@ def stretches(seeds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return seeds[first], at[first], at[last] - at[first]
 
 
-def flanks(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """4 bits of each of the FLANK words before and after the seeds at ``at``, nearest word lowest."""
+def flanks(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """4 bits of each of the FLANK words before (low half) and after (high half) the seeds at ``at``, nearest
+    word lowest."""
     codes = np.zeros(len(words) + 2 * FLANK, dtype=np.uint64)
     codes[FLANK : FLANK + len(words)] = (words >> np.uint64(32)) % np.uint64(15) + np.uint64(1)
-    before, after = (np.zeros(len(at), dtype=np.uint64) for _ in range(2))
+    out = np.zeros(len(at), dtype=np.uint64)
     for j in range(FLANK):
-        before |= codes[at + FLANK - 1 - j] << np.uint64(4 * j)
-        after |= codes[at + FLANK + K + j] << np.uint64(4 * j)
-    return before, after
-
-
-def _bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Most words that _reach can go over the words of two flanks; MARGIN if the flanks don't tell."""
-    shifts = np.arange(0, 4 * FLANK, 4, dtype=np.uint64)
-    x, y = ((v.view(np.uint64)[:, None] >> shifts) & np.uint64(15) for v in (a, b))
-    score = np.cumsum(np.where((x == y) & (x > 0), 1, -2), axis=1)
-    fallen = np.logical_or.accumulate(np.maximum.accumulate(np.maximum(score, 0), axis=1) - score > X_DROP, axis=1)
-    score[fallen] = -1
-    reach = np.where(score.max(axis=1) > 0, score.argmax(axis=1) + 1, 0)
-    return np.where(fallen[:, -1], reach, MARGIN)
+        out |= codes[at + FLANK - 1 - j] << np.uint64(4 * j)
+        out |= codes[at + FLANK + K + j] << np.uint64(4 * (FLANK + j))
+    return out.view(np.int64)
+
+
+def reach_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Most words that _reach can go, before and after, over the words of two flanks; MARGIN for a side that
+    the flanks don't tell."""
+    differ, some, total = (a ^ b).view(np.uint64), a.view(np.uint64), np.zeros(len(a), dtype=np.int64)
+    for side in range(2):
+        shifts = np.arange(side * 4 * FLANK, (side + 1) * 4 * FLANK, 4, dtype=np.uint64)
+        same = ((differ[:, None] >> shifts) & np.uint64(15) == 0) & ((some[:, None] >> shifts) & np.uint64(15) > 0)
+        score = np.cumsum(np.where(same, 1, -2), axis=1)
+        fallen = np.logical_or.accumulate(np.maximum.accumulate(np.maximum(score, 0), axis=1) - score > X_DROP, axis=1)
+        score[fallen] = -1
+        reach = np.where(score.max(axis=1) > 0, score.argmax(axis=1) + 1, 0)
+        total += np.where(fallen[:, -1], reach, MARGIN)
+    return total
+
+
+Held = tuple | None
+
+
+def paired(h: np.ndarray, doc: np.ndarray, place: np.ndarray, flank: np.ndarray, held: Held = None) -> tuple[np.ndarray, tuple, Held]:
+    """Places of seeds, sorted by h, doc_id and place, with their seed's first place: which of them are of the
+    first document, the matches (MATCHES) of the others, and the last seed's first place, which is ``held`` for
+    the next call. Stretches give a match every STEP words. weak: the seed alone can't reach LEAST_CHAIN words."""
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(h) != 0) + 1])
+    first = [x[starts] for x in (h, doc, place, flank)]
+    several = np.zeros(len(starts), dtype=bool)  # whether other texts of the first document have its place
+    if held is not None and held[0] == h[0]:
+        for x, value in zip(first, held, strict=False):
+            x[0] = value
+        several[0] = held[-1]
+    sizes = np.diff(np.concatenate([starts, [len(h)]]))
+    _, rep, rep_place, rep_flank = (np.repeat(x, sizes) for x in first)
+    several |= np.logical_or.reduceat((doc == rep) & (place == rep_place) & (flank != rep_flank), starts)
+    held = (*(x[-1] for x in first), several[-1])
+    at = np.flatnonzero(doc != rep)
+    weak = (reach_bound(flank[at], rep_flank[at]) + K < LEAST_CHAIN) & ~np.repeat(several, sizes)[at]
+    low = np.int64(0x7FFFFFFF)
+    span = np.where(weak, 0, np.minimum(place[at] & low, rep_place[at] & low))
+    n = 1 + -(-span // STEP)
+    at, weak = np.repeat(at, n), np.repeat(weak, n)
+    step = np.minimum((np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)) * STEP, np.repeat(span, n))
+    return doc == rep, (doc[at], rep[at], (place[at] >> 32) + step, (rep_place[at] >> 32) + step, weak), held
 
 
 def _seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Seeds and local matches (SEEDS) of rows (doc_id, text)."""
+
+    def made(parts: list[tuple]) -> pa.RecordBatch:
+        h, doc, place, flank = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        order = np.lexsort((place, doc, h))
+        h, doc, place, flank = (x[order] for x in (h, doc, place, flank))
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(h) != 0) + 1, [len(h)]])
+        many = np.repeat(np.diff(edges) > FREQUENT, np.diff(edges))
+        passed, (m_doc, m_rep, pos, rep_pos, weak) = ~many, (np.zeros(0, dtype=np.int64),) * 5
+        if many.any():
+            passed[many], (m_doc, m_rep, pos, rep_pos, weak), _ = paired(h[many], doc[many], place[many], flank[many])
+        spread = mix64(m_doc.view(np.uint64) ^ (pos.view(np.uint64) << np.uint64(32))).view(np.int64)
+        own = np.flatnonzero(passed)
+        rep = pa.concat_arrays([pa.nulls(len(own), pa.int64()), pa.array(m_rep, pa.int64())])
+        columns = [np.concatenate(x) for x in ((h[own], spread), (doc[own], m_doc), (place[own], pos << 32 | rep_pos), (flank[own], weak.astype(np.int64)))]
+        return _batch(SEEDS, [*columns, rep])
+
+    parts: list[tuple] = []
+    waiting = 0
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for first, last, counts, hashes, _, _ in hashed_words(batch.column(1)):
             edges = np.concatenate([[0], np.cumsum(counts)])
-            found = [stretches(*minimizers(hashes[edges[i] : edges[i + 1]])) for i in range(last - first)]
-            n = [len(x[1]) for x in found]
-            if sum(n):
-                at = np.concatenate([x[1] for x in found])
-                beside = [flanks(hashes[edges[i] : edges[i + 1]], x[1]) for i, x in enumerate(found) if len(x[1])]
-                beside = [np.concatenate([x[i] for x in beside]).view(np.int64) for i in range(2)]
-                yield _batch(SEEDS, [np.concatenate([x[0] for x in found]).view(np.int64), np.repeat(ids[first:last], n).astype(np.int64), at.astype(np.int32), np.concatenate([x[2] for x in found]).astype(np.int32), *beside])
+            for i in range(last - first):
+                words = hashes[edges[i] : edges[i + 1]]
+                h, at, span = stretches(*minimizers(words))
+                if len(h):
+                    parts.append((h.view(np.int64), np.full(len(h), ids[first + i], dtype=np.int64), at << 32 | span, flanks(words, at)))
+                    waiting += len(h)
+            if waiting >= LOCAL:
+                yield made(parts)
+                parts, waiting = [], 0
+    if parts:
+        yield made(parts)
 
 
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every place of a seed with its first place, of rows (SEEDS) that come sorted by h, doc_id and pos; only
-    the first place is held, so a seed may span batches. Stretches give a row every STEP words. weak: the seed
-    alone can't reach LEAST_CHAIN words."""
-    held: tuple | None = None  # the last seed's first place, and whether several texts are there
+    """Matches of rows (SEEDS) that come sorted by h, doc_id and place: those that were made in a batch, and
+    every other place of a seed with its first. Only the first place is held, so a seed may span batches."""
+    held: Held = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        h, doc, pos, span, before, after = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(h) != 0) + 1])
-        first = [x[starts] for x in (h, doc, pos, span, before, after)]
-        several = np.zeros(len(starts), dtype=bool)
-        if held is not None and held[0] == h[0]:
-            for x, value in zip(first, held, strict=False):
-                x[0] = value
-            several[0] = held[-1]
-        sizes = np.diff(np.concatenate([starts, [len(h)]]))
-        _, rep, rep_pos, rep_span, rep_before, rep_after = (np.repeat(x, sizes) for x in first)
-        other = (doc == rep) & (pos == rep_pos) & ((before != rep_before) | (after != rep_after))
-        several |= np.logical_or.reduceat(other, starts)
-        held = (*(x[-1] for x in first), several[-1])
-        at = np.flatnonzero(doc != rep)
-        weak = _bound(before[at], rep_before[at]) + _bound(after[at], rep_after[at]) + K < LEAST_CHAIN
-        weak &= ~np.repeat(several, sizes)[at]
-        span = np.where(weak, 0, np.minimum(span[at], rep_span[at]))
-        n = 1 + -(-span // STEP)
-        at, weak = np.repeat(at, n), np.repeat(weak, n)
-        step = np.minimum((np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)) * STEP, np.repeat(span, n)).astype(np.int32)
-        yield _batch(MATCHES, [doc[at], rep[at], pos[at] + step, rep_pos[at] + step, weak.astype(np.int32)])
+        made = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
+        h, doc, place, flank = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:4])
+        rep = batch.column(4).filter(pa.array(made)).to_numpy(zero_copy_only=False).astype(np.int64)
+        found = [(doc[made], rep, place[made] >> 32, place[made] & 0x7FFFFFFF, flank[made])]
+        if not made.all():
+            _, matches, held = paired(h[~made], doc[~made], place[~made], flank[~made], held)
+            found.append(matches)
+        columns = [np.concatenate([f[i] for f in found]) for i in range(5)]
+        yield _batch(MATCHES, [*columns[:2], *(c.astype(np.int32) for c in columns[2:])])
 
 
 def _runs(pos: np.ndarray, rep: np.ndarray) -> list[tuple[int, int, int, int, int]]:
@@ -238,14 +288,14 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word hashes of the asked places of rows (doc_id, text, th, asked)."""
+    """Word hashes (32 bits) of the asked places of rows (doc_id, text, th, asked)."""
     for batch in batches:
         ids, th, asked = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)
         for first, last, counts, hashes, _, _ in hashed_words(batch.column(1)):
             edges, out = np.concatenate([[0], np.cumsum(counts)]), []
-            signed = hashes.view(np.int64)
+            short = hashes.astype(np.uint32).view(np.int32)
             for i in range(first, last):
-                words = signed[edges[i - first] : edges[i - first + 1]]
+                words = short[edges[i - first] : edges[i - first + 1]]
                 out += [(ids[i], x["lo"], x["hi"], th[i], words[x["lo"] : x["hi"]]) for x in asked[i].as_py()]
             yield _batch(SLICES, [[r[j] for r in out] for j in range(5)])
 
@@ -275,13 +325,29 @@ def common_words(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - state.bit_count()
 
 
+def extension(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """How far an alignment of two word runs from their beginnings goes in each: along the diagonal, and on
+    from the nearest shift after which RESUME words match."""
+    i = j = 0
+    while True:
+        n = min(len(a) - i, len(b) - j)
+        went = _reach(a[i : i + n] == b[j : j + n])
+        i, j = i + went, j + went
+        x, y = a[i : i + SHIFT + RESUME].tolist(), b[j : j + SHIFT + RESUME].tolist()
+        for total in range(1, 2 * SHIFT + 1):
+            skip = next((k for k in range(max(0, total - SHIFT), min(SHIFT, total) + 1) if len(x) >= k + RESUME and x[k : k + RESUME] == y[total - k : total - k + RESUME]), None)
+            if skip is not None:
+                i, j = i + skip, j + total - skip
+                break
+        else:
+            return i, j
+
+
 def align(doc: np.ndarray, rep: np.ndarray, start: int, stop: int, rep_start: int, rep_stop: int) -> tuple[int, int, int, int, float]:
     """The chain's places, extended at both ends within the slices, and its identity (0 to 1)."""
-    n = min(start, rep_start)
-    left = _reach((doc[start - n : start] == rep[rep_start - n : rep_start])[::-1])
-    n = max(0, min(len(doc) - stop, len(rep) - rep_stop))
-    right = _reach(doc[stop : stop + n] == rep[rep_stop : rep_stop + n])
-    start, stop, rep_start, rep_stop = start - left, min(len(doc), stop + right), rep_start - left, min(len(rep), rep_stop + right)
+    left, rep_left = extension(doc[:start][::-1], rep[:rep_start][::-1])
+    right, rep_right = extension(doc[stop:], rep[rep_stop:])
+    start, stop, rep_start, rep_stop = start - left, min(len(doc), stop + right), rep_start - rep_left, min(len(rep), rep_stop + rep_right)
     a, b = doc[start:stop], rep[rep_start:rep_stop]
     return start, stop, rep_start, rep_stop, common_words(a, b) / max(len(a), len(b), 1)
 
@@ -289,9 +355,10 @@ def align(doc: np.ndarray, rep: np.ndarray, start: int, stop: int, rep_start: in
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         doc_id, th, rep_id, lo, rlo, s, e, rs, re = (batch.column(i).to_pylist() for i in range(9))
+        sides = [(c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy(zero_copy_only=False)) for c in batch.columns[9:11]]
         out = []
         for i in range(batch.num_rows):
-            doc, rep = (batch.column(j)[i].values.to_numpy(zero_copy_only=False) for j in (9, 10))
+            doc, rep = (values[at[i] : at[i + 1]] for values, at in sides)
             if s[i] - lo[i] >= len(doc) or rs[i] - rlo[i] >= len(rep):
                 continue  # another text under the same id
             a, b, c, d, identity = align(doc, rep, s[i] - lo[i], e[i] - lo[i], rs[i] - rlo[i], re[i] - rlo[i])
@@ -304,7 +371,7 @@ def passages(docs: DataFrame, least_words: int = LEAST_PASSAGE) -> DataFrame:
     """Aligned passages of docs (doc_id, text) that an earlier document holds too: ALIGNED's columns with
     island_start and island_stop, the place that the passage covers with those it touches."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    seeds = plain.mapInArrow(_seeded, SEEDS).repartition("h").sortWithinPartitions("h", "doc_id", "pos")
+    seeds = plain.mapInArrow(_seeded, SEEDS).repartition("h").sortWithinPartitions("h", "doc_id", "place")
     matches = seeds.mapInArrow(_matched, MATCHES)
     matches = matches.repartition("doc_id").sortWithinPartitions("doc_id", "rep_id", "pos", "rep_pos")
     found = matches.mapInArrow(_chained, CHAINS)
@@ -316,8 +383,8 @@ def passages(docs: DataFrame, least_words: int = LEAST_PASSAGE) -> DataFrame:
     asked = found.select("doc_id", "lo", "hi").union(found.select("rep_id", "rlo", "rhi")).distinct()
     # places asked of a document are bounded by its own length
     asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("asked"))
-    slices = plain.join(asked, "doc_id").select("doc_id", "text", F.xxhash64("text").alias("th"), "asked").mapInArrow(_sliced, SLICES)
-    slices = cut_lineage(slices.dropDuplicates(["doc_id", "lo", "hi", "th"]))
+    texts = plain.join(asked, "doc_id").select("doc_id", "text", F.xxhash64("text").alias("th"), "asked").dropDuplicates(["doc_id", "th"])
+    slices = cut_lineage(texts.mapInArrow(_sliced, SLICES))
     own = slices.select("doc_id", "lo", "hi", "th", F.col("words").alias("doc_words"))
     rep = slices.select(F.col("doc_id").alias("rep_id"), F.col("lo").alias("rlo"), F.col("hi").alias("rhi"), F.col("words").alias("rep_words"))
     both = found.join(own, ["doc_id", "lo", "hi"]).join(rep, ["rep_id", "rlo", "rhi"])
