@@ -2,18 +2,25 @@
 
 A page is a sequence of words and tags. A word scores more than 0 and a tag less, by how often its kind
 stands inside and outside the content of labelled pages: those that mark their content with one ``article``
-or ``main`` element. One linear scan finds the contiguous region with the largest sum, so a page's short first
-or last block may fall outside. If an ``article`` or ``main`` holds most of the region's words, its whole
-content is the text; otherwise that of the smallest sectioning element around the region is. Menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out
-wherever they stand, by element and by the words of class, id and role.
+or ``main`` element. One linear scan finds the contiguous region with the largest sum. Since nothing of the
+article may be dropped, the region grows at its ends to the element it lies in: the ``article`` or ``main``
+that holds most of its words, or else the smallest sectioning element around it.
+
+Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are asides:
+elements of such a name, or with such a word as a whole token of class, id, role or aria-label ("sidebar" or
+"site-footer", but not "with-sidebar"). The words of asides score as tags do and are left out of the text. An
+element is no aside if it holds the page's only ``article`` or ``main`` (unless it is for comments); on a page
+without these, a form or an element that only its class makes an aside is none if it holds over ten times the
+words that are in no aside; ``html``, ``body``, ``article``, ``main`` and headings are never
+asides by their class.
 
 A block is text between block-level tags; ``br`` is white space. Character references are decoded once,
-white space becomes one space, and blocks are joined by two line ends.
+white space becomes one space, and blocks are joined by two line ends. Pages are read in linear time.
 
 Defined results: a null or empty page has an empty text; markup that is never closed ends with the element
-around it; text without any tag is one block; ties go to the earlier and shorter region; without labelled
-pages words score 1 and tags -1; rows are extracted one by one, and other columns are not read.
+around it, a tag with an open quote at its first ``>``; text without any tag is one block; ties go to the earlier
+and shorter region; without labelled pages words score 1 and tags -1; rows are extracted one by one, also equal
+ones, and other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,85 +30,199 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled pages that weights are learned from, and kinds of words and tags that get one, at most.
-SAMPLE, KINDS = 500, 400
+#: Labelled pages that weights are learned from, at most.
+SAMPLE = 500
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(script|style|noscript|template|textarea|svg|math|iframe|object|select|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*>|[^<]+|<",
-    re.S | re.I,
-)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_HINT = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+#: The inside of a tag: a quote opens a value behind an equals sign only.
+_INSIDE = re.compile(r"(?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*'|(?![\"'])))*+>")
+_HINT = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 
 #: Names of HTML elements.
 BLOCKS = frozenset("address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-LEFT_OUT = frozenset("aside audio button canvas dialog footer form head header input label menu nav noscript video".split())
+LEFT_OUT = frozenset("aside audio button canvas dialog footer form head header input label menu nav noscript select video".split())
+#: Elements whose content is no markup.
+RAW = frozenset("iframe noscript script style template textarea title".split())
+INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em i ins kbd mark math object q ruby s samp small span strong sub sup svg time u var".split())
+NAMES = BLOCKS | VOID | LEFT_OUT | INLINE
 CONTENT = frozenset(("article", "main"))
 AROUND = frozenset(("article", "body", "div", "html", "main", "section", "td"))
-#: Words of class, id and role that mark what isn't content.
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed|s)?|promo(?:tion)?s?|banner|sidebar|side-?bar|nav(?:igation|bar)?|menus?|footer|header|masthead|cookies?(?:bar|banner)?|consent|gdpr|notices?|alert|comments?|comment-?list|disqus|repl(?:y|ies)|respond|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|popup|modal|overlay|breadcrumbs?|pagination|pager|widget|toolbar|search|complementary|contentinfo)(?:$|[\s_-])",
-    re.I,
-)
+#: What makes an aside that may be a wrapper of the whole page.
+WRAPPERS = frozenset(("aside by class", "form"))
+NEVER_HINTED = CONTENT | {"html", "body", "h1", "h2", "h3", "h4", "h5", "h6"}
+#: Tokens of class, id, role and aria-label that mark an aside: reader comments, and others; alone or with
+#: one of the words for places before them or for boxes behind them.
+COMMENTS = "comment comments disqus reply replies respond"
+ASIDES = "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs complementary consent contentinfo cookie cookies footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promotion promotions recommended related search share sharing sidebar signup social sponsor sponsored sponsors subscribe subscription toolbar widget"
+PLACES = "article bottom entry global google left main page post primary reader right secondary site top user"
+BOXES = "area articles banner bar block box buttons container form links list menu posts section slot stories unit widget wrapper"
+
+
+def _tokens(words: str) -> re.Pattern:
+    return re.compile(rf"(?:(?:{'|'.join(PLACES.split())})[_-])?(?:{'|'.join(words.split())})(?:[_-](?:{'|'.join(BOXES.split())}))?", re.I)
+
+
+_COMMENT, _ASIDE = _tokens(COMMENTS), _tokens(ASIDES)
+
+
+def hint(tag: str) -> str | None:
+    """``comment`` or ``aside by class`` if a whole token of the tag's class, id, role or aria-label says so."""
+    found = None
+    for name, value in _HINT.findall(tag):
+        value = value.strip("\"'")
+        for token in [value.strip().replace(" ", "-")] if name.lower() == "aria-label" else value.split():
+            if _COMMENT.fullmatch(token):
+                return "comment"
+            found = "aside by class" if _ASIDE.fullmatch(token) else found
+    return found
+
+
+def tokens(text: str) -> Iterator[tuple[str, str]]:
+    """(kind, token) of a page in order: text, and open and close tags; each character is looked at a few
+    times at most. What is between a raw element's tags, comments and declarations are passed over."""
+    at, n, lower, quoted = 0, len(text), text.lower(), True
+    closers: dict[str, bool] = {}
+    while at < n:
+        start = text.find("<", at)
+        start = n if start < 0 else start
+        if start > at:
+            yield "text", text[at:start]
+            at = start
+            continue
+        head = text[at + 1 : at + 3]
+        if head[:1] in ("!", "?"):
+            opener, closer = next((x for x in (("<!--", "-->"), ("<![CDATA[", "]]>")) if text.startswith(x[0], at)), ("<!", ">"))
+            end = text.find(closer, at + len(opener))
+            at = n if end < 0 else end + len(closer)
+            continue
+        name = None if closers.get(">") is False else _NAME.match(text, at)
+        if not name:
+            yield "text", "<"
+            at += 1
+            continue
+        inside = _INSIDE.match(text, name.end()) if quoted else None
+        if inside is None:
+            quoted = False  # a quote or tag stays open to the end: from here on tags end at the next >
+            end = text.find(">", name.end()) + 1
+            if not end:
+                closers[">"] = False
+                continue
+        else:
+            end = inside.end()
+        element, closing = name[1].lower(), head[:1] == "/"
+        if element in RAW and not closing:
+            over = -1 if closers.get(element) is False else lower.find(f"</{element}", end)
+            closers[element] = over >= 0
+            over = n if over < 0 else text.find(">", over) + 1
+            at = over or n
+            continue
+        yield "close" if closing else "open", text[at:end]
+        at = end
 
 
 class Page:
-    """A page's blocks, its sequence of scored kinds, and the elements that mark content."""
+    """A page's blocks, its sequence of scored kinds, and the elements that mark content or stand around it."""
 
     def __init__(self, text: str | None) -> None:
-        self.blocks: list[list[str]] = [[]]  # pieces of text of each block
-        self.items: list[tuple[str, int, int]] = []  # kind, words (0: a tag), block
-        self.marked: list[list[int]] = []  # first and last item of each article or main
-        self.around: list[list[int]] = []  # of each sectioning element
-        stack: list[tuple[str, bool, list[int] | None]] = []  # name, left out, its items if it is sectioning
-        parent = "body"
-        for m in _TOKEN.finditer(text or ""):
-            token = m[0]
-            if token[0] != "<" or token == "<":
-                out, link = bool(stack) and stack[-1][1], bool(stack) and stack[-1][0] == "a"
-                n = len(token.split())
-                if not out:
-                    self.blocks[-1].append(token)
-                if n:
-                    self.items.append((f"-{parent}" if out else f"word {'a' if link else parent}", n, len(self.blocks) - 1))
-                continue
-            if m[1] or token[1] in "!?":
+        self.items: list[tuple[str, int, int]] = []  # kind ("-" before it: of an aside), words (0: a tag), block
+        self.marked: list[tuple[int, int]] = []  # first and last item of each article or main outside of asides
+        self.around: list[tuple[int, int]] = []  # of each sectioning element
+        self.blocks: list[str] = []
+        blocks: list[list[tuple[str, int]]] = [[]]  # pieces of text of each block, with their aside (0: none)
+        asides: list[tuple[int, str]] = [(0, "")]  # the aside around, and what makes it one
+        within: list[int] = []  # the aside of each item
+        places: list[list] = []  # first and last item, aside and name of each sectioning element
+        stack: list[tuple[str, int, list | None, str]] = []  # name, aside, its place, nearest block-level name
+        opened: Counter = Counter()
+
+        def closed() -> str:
+            name, _, place, _ = stack.pop()
+            opened[name] -= 1
+            if place:
+                place[1] = len(self.items)
+            return name
+
+        aside, parent = 0, "body"
+        for kind, token in tokens(text or ""):
+            if kind == "text":
+                if n := len(token.split()):
+                    self.items.append((f"word {'a' if stack and stack[-1][0] == 'a' else parent}", n, len(blocks) - 1))
+                    within.append(aside)
+                blocks[-1].append((token, aside))
                 continue
             name = _NAME.match(token)[1].lower()
-            self.items.append((f"tag {name}", 0, len(self.blocks) - 1))
+            self.items.append((f"tag {name if name in NAMES else 'other'}", 0, len(blocks) - 1))
+            within.append(aside)
             if name == "br":
-                self.blocks[-1].append(" ")
+                blocks[-1].append((" ", 0))
                 continue
             if name in BLOCKS:
-                self.blocks.append([])
-            if token[1] == "/":
-                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
-                if at >= 0:
-                    for _, _, place in stack[at:]:
-                        if place:
-                            place[1] = len(self.items)
-                    del stack[at:]
+                blocks.append([])
+            if kind == "close":
+                while opened[name] and closed() != name:
+                    pass
             elif name not in VOID and not token.endswith("/>"):
                 while stack and (name in BLOCKS and stack[-1][0] == "p" or name == "li" and stack[-1][0] == "li"):
-                    stack.pop()
-                out = bool(stack) and stack[-1][1] or name in LEFT_OUT
-                if not out and (hints := _HINT.findall(token)):
-                    out = any(BOILERPLATE.search(h.strip("\"'")) for h in hints) and name not in ("html", "body")
-                place = [len(self.items) - 1, len(text)] if name in AROUND and not out else None
+                    closed()
+                aside = stack[-1][1] if stack else 0
+                why = name if name in LEFT_OUT else None if name in NEVER_HINTED else hint(token)
+                if why:
+                    asides.append((aside, why))
+                    aside = len(asides) - 1
+                place = [len(self.items) - 1, 0, aside, name] if name in AROUND else None
                 if place:
-                    self.around.append(place)
-                    if name in CONTENT:
-                        self.marked.append(place)
-                stack.append((name, out, place))
-            parent = next((x[0] for x in reversed(stack) if x[0] in BLOCKS), "body")
+                    places.append(place)
+                stack.append((name, aside, place, name if name in BLOCKS else stack[-1][3] if stack else "body"))
+                opened[name] += 1
+            aside, parent = (stack[-1][1], stack[-1][3]) if stack else (0, "body")
+        while stack:
+            closed()
+        out = self._left_out(asides, within, places)
+        self.items = [(f"-{kind}" if n and out[i] else kind, n, block) for (kind, n, block), i in zip(self.items, within, strict=True)]
+        self.around = [(a, b) for a, b, i, _ in places if not out[i]]
+        self.marked = [(a, b) for a, b, i, name in places if not out[i] and name in CONTENT]
+        self.blocks = ["".join(t for t, i in block if not out[i]) for block in blocks]
+
+    def _left_out(self, asides: list[tuple[int, str]], within: list[int], places: list[list]) -> list[bool]:
+        """Whether each aside is left out, with all in it."""
+        sums = [0, *accumulate(n for _, n, _ in self.items)]
+        kept = {0}
+
+        def keep(aside: int) -> None:
+            while aside:
+                kept.add(aside)
+                aside = asides[aside][0]
+
+        commented = [False]
+        for around, why in asides[1:]:
+            commented.append(why == "comment" or commented[around])
+        marked = [(sums[b] - sums[a], i) for a, b, i, name in places if name in CONTENT]
+        if marked and all(i for _, i in marked) and (own := [x for x in marked if not commented[x[1]]]):
+            keep(max(own, key=lambda x: x[0])[1])
+        inside = [0] * len(asides)
+        for (_, n, _), i in zip(self.items, within, strict=True):
+            inside[i] += n
+        outer = [0] * len(asides)  # the outermost aside around that isn't kept
+        for i, (around, _) in enumerate(asides[1:], 1):
+            outer[i] = outer[around] or (0 if i in kept else i)
+        words = [0] * len(asides)
+        for i, n in enumerate(inside):
+            words[outer[i]] += n
+        wraps = [i for i, (_, why) in enumerate(asides) if why in WRAPPERS and not commented[i]]
+        large = max(wraps, key=lambda i: words[i], default=0)
+        if words[large] > 10 * words[0] and not any(i == 0 for _, i in marked):
+            keep(large)
+        out = [False]
+        for i, (around, _) in enumerate(asides[1:], 1):
+            out.append(out[around] or i not in kept)
+        return out
 
     def region(self, weights: dict[str, float]) -> tuple[int, int]:
         """First and last (exclusive) item of the region with the largest sum."""
@@ -118,17 +239,15 @@ class Page:
         a, b = self.region(weights)
         if a == b:
             return ""
-        inside = sum(n for kind, n, _ in self.items[a:b] if kind[0] != "-")
+        sums = [0, *accumulate(n if kind[0] != "-" else 0 for kind, n, _ in self.items)]
         for c, d in sorted(self.marked, key=lambda x: x[1] - x[0]):
-            own = self.items[max(a, c) : max(a, c, min(b, d))]
-            if 2 * sum(n for kind, n, _ in own if kind[0] != "-") > inside:
+            if 2 * (sums[max(a, c, min(b, d))] - sums[max(a, c)]) > sums[b] - sums[a]:
                 a, b = c, d
                 break
         else:
             a, b = min(((c, d) for c, d in self.around if c <= a and b <= d), key=lambda x: x[1] - x[0], default=(0, len(self.items)))
         wanted = sorted({block for kind, n, block in self.items[a:b] if n and kind[0] != "-"})
-        made = (" ".join(html.unescape("".join(self.blocks[i])).split()) for i in wanted)
-        return "\n\n".join(x for x in made if x)
+        return "\n\n".join(x for i in wanted if (x := " ".join(html.unescape(self.blocks[i]).split())))
 
 
 def learn(pages: DataFrame) -> dict[str, float]:
@@ -152,7 +271,7 @@ def learn(pages: DataFrame) -> dict[str, float]:
 
     sums = rows.select("html").mapInArrow(counted, "kind string, inside long, outside long").groupBy("kind").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
     weights = {}
-    for r in sums.orderBy(F.desc(F.col("inside") + F.col("outside")), "kind").limit(KINDS).collect():
+    for r in sums.collect():  # kinds of NAMES
         odds = math.log((r["inside"] + 1) / (r["outside"] + 1))
         weights[r["kind"]] = min(2.0, max(0.2, odds / 3)) if r["kind"].startswith("word ") else -min(6.0, max(0.3, 1.5 - odds / 2))
     return weights
