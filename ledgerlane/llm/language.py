@@ -7,8 +7,9 @@ product over its words and each different word is computed once per worker. Prob
 expectation maximisation: the E step runs the forward and backward algorithms on Spark, the M step adds up
 expected counts, of which there are pieces times languages.
 
-Learned from a bounded sample (``SAMPLE`` texts of a language, those of smallest hash, of the ``LANGUAGES``
-most frequent ones); predictions cover every row and the whole of each text.
+Learned from a bounded sample (``SAMPLE`` texts of each language, those of smallest hash) and every piece and
+word in it; predictions cover every row and the whole of each text. Words over ``LONG`` letters are summed by
+logarithms, one by one, so that their probabilities don't vanish; the work is linear in their length.
 
 Defined results: a null text or one without a letter gives ``und`` and score 0; without learnable rows every
 text gives ``und``; ties go to the first language in code-point order; rows with equal ids are predicted one
@@ -26,15 +27,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ledgerlane.llm.common import cut_lineage
 
-#: Texts of a language that are learned from, and languages, at most.
-SAMPLE, LANGUAGES = 300, 64
+#: Texts of a language that are learned from, at most; ids of them that are broadcast, at most.
+SAMPLE, BROADCAST = 300, 1_000_000
 ROUNDS = 3
-#: Letters of the longest piece that is used, and letters of a word that is computed at once.
-LONGEST_PIECE, WORD = 8, 40
-#: Words whose likelihoods a worker remembers; others are computed again.
+#: Letters of the longest words that are computed together and without logarithms.
+LONG = 40
+#: Words whose likelihoods a worker remembers, up to LONG letters; others are computed again.
 REMEMBERED = 400_000
 #: Expected count that every piece starts with, and the likelihood of a letter outside the vocabulary.
 PRIOR, UNKNOWN = 0.05, 1e-7
@@ -59,7 +61,7 @@ def vocabulary(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)))
-    return sorted({p for p in found if len(p) <= LONGEST_PIECE and p == p.lower() and p.removeprefix(START).isalpha()})
+    return sorted({p for p in found if p == p.lower() and p.removeprefix(START).isalpha()})
 
 
 class Lattice:
@@ -68,36 +70,32 @@ class Lattice:
     def __init__(self, pieces: list[str], logs: np.ndarray) -> None:
         """logs: (pieces + 1, languages) log probabilities, the last row for unknown letters."""
         self.index = {p: i for i, p in enumerate(pieces)}
-        self.probs = np.exp(logs)
+        self.longest = max(map(len, pieces), default=1)
+        self.logs, self.probs = logs, np.exp(logs)
         self.padded = np.concatenate([self.probs, np.zeros((1, logs.shape[1]))])
         self.languages = logs.shape[1]
-        self.known: dict[str, np.ndarray] = {}
 
-    def edges(self, word: str) -> list[list[tuple[int, int]]]:
-        """For each end, (start, piece) of the pieces of START + word that end there."""
+    def edges(self, word: str) -> list[tuple[list[int], list[int]]]:
+        """For each end, the starts and ids of the pieces of START + word that end there."""
         marked, find, unknown = START + word, self.index.get, len(self.index)
-        n = len(marked)
-        out: list[list[tuple[int, int]]] = [[]]
-        for end in range(1, n + 1):
-            own = [(start, i) for start in range(max(0, end - LONGEST_PIECE), end) if (i := find(marked[start:end])) is not None]
-            if not any(start == end - 1 for start, _ in own):
+        out: list[tuple[list[int], list[int]]] = [([], [])]
+        for end in range(1, len(marked) + 1):
+            own = [(start, i) for start in range(max(0, end - self.longest), end) if (i := find(marked[start:end])) is not None]
+            if not own or own[-1][0] != end - 1:
                 own.append((end - 1, unknown))
-            out.append(own)
+            out.append(([s for s, _ in own], [i for _, i in own]))
         return out
 
+    def _log_forward(self, edges: list[tuple[list[int], list[int]]]) -> np.ndarray:
+        """(length + 1, languages) logs of the sums over all segmentations of each beginning."""
+        sums = np.zeros((len(edges), self.languages))
+        for end, (starts, ids) in enumerate(edges[1:], 1):
+            sums[end] = np.logaddexp.reduce(sums[starts] + self.logs[ids], axis=0)
+        return sums
+
     def log_likelihood(self, word: str) -> np.ndarray:
         """Log of the sum over all segmentations, per language."""
-        edges, probs = self.edges(word), self.probs
-        sums, scale = [np.ones(self.languages)], np.zeros(self.languages)
-        for end in range(1, len(edges)):
-            own = edges[end]
-            total = sum((sums[s] * probs[i] for s, i in own[1:]), sums[own[0][0]] * probs[own[0][1]])
-            sums.append(total)
-            if end % 16 == 0 and len(edges) > 24:  # keep long words from vanishing
-                top = np.maximum(total, 1e-300)
-                scale += np.log(top)
-                sums = [x / top for x in sums]
-        return np.log(np.maximum(sums[-1], 1e-300)) + scale
+        return self._log_forward(self.edges(word))[-1]
 
     def _grouped(self, words: list[str]) -> Iterator[tuple[list[int], int, dict[tuple[int, int], list[int]]]]:
         """Words of one length together: (their places, length with the mark, ids of the pieces of each
@@ -109,7 +107,7 @@ class Lattice:
         for n, rows in by_length.items():
             marked, ids = [START + words[i] for i in rows], {}
             for end in range(1, n + 1):
-                for start in range(max(0, end - LONGEST_PIECE), end):
+                for start in range(max(0, end - self.longest), end):
                     missing = unknown if start == end - 1 else unknown + 1
                     own = [find(w[start:end], missing) for w in marked]
                     if start == end - 1 or min(own) <= unknown:
@@ -126,9 +124,9 @@ class Lattice:
     def batch(self, words: list[str]) -> np.ndarray:
         """(words, languages) log likelihoods; words of one length are computed together."""
         out = np.empty((len(words), self.languages))
-        short = [i for i, w in enumerate(words) if len(w) <= WORD]
+        short = [i for i, w in enumerate(words) if len(w) <= LONG]
         for i, w in enumerate(words):
-            if len(w) > WORD:
+            if len(w) > LONG:
                 out[i] = self.log_likelihood(w)
         for rows, n, ids in self._grouped([words[i] for i in short]):
             out[[short[i] for i in rows]] = np.log(np.maximum(self._forward(n, len(rows), ids)[n], 1e-300))
@@ -136,15 +134,30 @@ class Lattice:
 
     def expected(self, words: list[str], counts: np.ndarray, total: np.ndarray) -> None:
         """Adds the expected uses of each piece in words, seen counts (words, languages) times each."""
-        for rows, n, ids in self._grouped(words):
+        for i, w in enumerate(words):
+            if len(w) > LONG:
+                self._expected_long(w, counts[i], total)
+        short = [i for i, w in enumerate(words) if len(w) <= LONG]
+        for rows, n, ids in self._grouped([words[i] for i in short]):
             ahead = self._forward(n, len(rows), ids)
             behind = np.zeros_like(ahead)
-            behind[n] = counts[rows] / np.maximum(ahead[n], 1e-300)
+            behind[n] = counts[[short[i] for i in rows]] / np.maximum(ahead[n], 1e-300)
             for (start, end), own in reversed(ids.items()):
                 part = self.padded[own] * behind[end]
                 behind[start] += part
                 np.add.at(total, own, part * ahead[start])
 
+    def _expected_long(self, word: str, counts: np.ndarray, total: np.ndarray) -> None:
+        edges = self.edges(word)
+        ahead = self._log_forward(edges)
+        behind = np.full_like(ahead, -np.inf)
+        behind[-1] = 0
+        for end in range(len(edges) - 1, 0, -1):
+            starts, ids = edges[end]
+            part = self.logs[ids] + behind[end]
+            behind[starts] = np.logaddexp(behind[starts], part)  # each start once
+            np.add.at(total, ids, np.exp(part + ahead[starts] - ahead[-1]) * counts)
+
 
 def _logs(counts: np.ndarray) -> np.ndarray:
     """Log probabilities (pieces + 1, languages) from expected counts."""
@@ -157,15 +170,14 @@ def learn(labelled: DataFrame, path: str | None = None) -> dict:
     """Models of labelled (text, lang): languages in order, pieces that are used and their log probabilities."""
     pieces = vocabulary(path or default_vocabulary())
     labelled = cut_lineage(labelled)
-    langs = sorted(r["lang"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect())
+    langs = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())  # one row per language
     place = {x: i for i, x in enumerate(langs)}
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: Counter = Counter()
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if lang in place:
-                    found.update((w, place[lang]) for w in words_of(text) if len(w) <= WORD)
+                found.update((w, place[lang]) for w in words_of(text))
             rows = list(found)
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([found[r] for r in rows], pa.int64())], ["word", "lang", "n"])
 
@@ -196,12 +208,10 @@ def learn(labelled: DataFrame, path: str | None = None) -> dict:
 
 def sample(docs: DataFrame, learnable: Column) -> DataFrame:
     """(text, lang) of at most SAMPLE learnable texts of each language, those of smallest id hash."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).filter("doc_id is not null and lang is not null").filter(learnable)
-    langs = [r["lang"] for r in ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    picked = ids.limit(0)
-    for lang in langs:
-        picked = picked.union(ids.filter(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE))
-    few = F.broadcast(picked.distinct())  # SAMPLE times LANGUAGES rows at most
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).filter("doc_id is not null and lang is not null").filter(learnable).distinct()
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")  # each task passes on SAMPLE rows of a language
+    few = cut_lineage(ids.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE).select("doc_id", "lang"))
+    few = F.broadcast(few) if few.count() <= BROADCAST else few
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).join(few, ["doc_id", "lang"], "left_semi").select("text", "lang")
 
 
@@ -214,11 +224,10 @@ class Scorer:
     def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(texts, languages) log likelihoods and the number of words of each."""
         split = [words_of(t) for t in texts]
-        rows = self.rows
-        new = list({w for words in split for w in words if w not in rows})
-        if len(rows) + len(new) > REMEMBERED and rows:
+        rows, asked = self.rows, list({w for words in split for w in words})
+        if len(rows) + len(asked) > REMEMBERED:
             rows.clear()
-            new = list({w for words in split for w in words})
+        new = sorted((w for w in asked if w not in rows), key=lambda w: len(w) > LONG)
         need = len(rows) + len(new)
         if need > len(self.table):
             self.table = np.concatenate([self.table[: len(rows)], np.zeros((2 * need - len(rows), self.table.shape[1]))])
@@ -231,6 +240,10 @@ class Scorer:
         if len(have):
             at = np.fromiter((rows[w] for words in split for w in words), dtype=np.int64, count=int(counts.sum()))
             out[have] = np.add.reduceat(self.table[at], np.concatenate([[0], np.cumsum(counts[have])[:-1]]), axis=0)
+        for w in reversed(new):  # long words came last and aren't remembered
+            if len(w) <= LONG:
+                break
+            del rows[w]
         return out, counts
 
 

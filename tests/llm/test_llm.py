@@ -276,6 +276,31 @@ def test_likelihoods_sum_all_segmentations():
     assert np.allclose(uses, [5.0, 10.0])  # every segmentation covers the mark and four letters
 
 
+def test_long_words_are_summed_by_logarithms(monkeypatch):
+    pieces = ["a", "b", "ab", "▁", "▁a", "ba", "abbaabbaabba"]
+    logs = np.log(np.random.default_rng(2).random((len(pieces) + 1, 3)) / 9)
+    lattice, words = language.Lattice(pieces, logs), ["abbaabbaabbaab", "abxba", "x", "abbaabbaabba"]
+    counts = np.arange(12, dtype=float).reshape(4, 3)
+    found, totals = [], []
+    for longest in (40, 0):
+        monkeypatch.setattr(language, "LONG", longest)
+        totals.append(np.zeros((len(pieces) + 2, 3)))
+        lattice.expected(words, counts, totals[-1])
+        found.append(lattice.batch(words))
+    assert np.allclose(found[0], found[1])
+    assert np.allclose(totals[0][:-1], totals[1][:-1])
+    began = time.process_time()
+    assert np.isfinite(lattice.log_likelihood("ab" * 40_000)).all()
+    assert time.process_time() - began < 20
+
+
+def test_more_languages_than_any_bound(spark):
+    rows = [(k * 100 + i, " ".join(f"{chr(97 + k // 26)}{chr(97 + k % 26)}{x}" for x in ("ore", "anta", "ilm", "usk")) + (" " + "q" * 3000 if i == 7 else ""), f"l{k:02}", None, 9) for k in range(70) for i in range(8)]
+    found = language.digest(spark.createDataFrame(rows, DOCS).repartition(4)).collect()
+    assert all(r["lang_pred"] == f"l{r['doc_id'] // 100:02}" for r in found if r["doc_id"] % 100 != 7)
+    assert {r["lang_pred"] for r in found} == {f"l{k:02}" for k in range(70)}
+
+
 def test_language_of_odd_texts(odd, empty, spark):
     rows = language.digest(odd).collect()
     assert len(rows) == len(ODD)
