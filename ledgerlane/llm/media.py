@@ -12,14 +12,13 @@ equal images and hashes; further columns pass through untouched.
 
 from __future__ import annotations
 
-import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Samples in a row of the images that are written.
@@ -29,6 +28,8 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
 #: Image bytes in one IDAT chunk.
 CHUNK = 1 << 16
+#: Row filters that are undone for many rows at once, and all that PNG has.
+FAST, ALL_FILTERS = (0, 1, 2), (0, 1, 2, 3, 4)
 #: Side of the grid the picture is averaged to, and of the block of coefficients that is kept.
 GRID, LOW = 32, 8
 
@@ -37,40 +38,53 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
 
-def filter_rows(rows: np.ndarray, adaptive: bool = False) -> np.ndarray:
-    """Rows with the filter byte in front. Text is stored best unfiltered; pictures (adaptive) get, row by
-    row, the one of None, Sub and Up whose bytes are the smallest as signed numbers (the first of equals)."""
-    if not adaptive:
-        return np.concatenate([np.zeros((len(rows), 1), dtype=np.uint8), rows], axis=1)
-    sub, up = rows.copy(), rows.copy()
-    sub[:, 1:] -= rows[:, :-1]
-    up[1:] -= rows[:-1]
-    tried = (rows, sub, up)
+def _paeth(left: np.ndarray, up: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """Of left, up and corner the one nearest to left + up - corner; of equals the first."""
+    p = left + up - corner
+    a, b, c = abs(p - left), abs(p - up), abs(p - corner)
+    return np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+
+
+def filter_rows(rows: np.ndarray, filters: tuple[int, ...] = FAST, step: int = 1) -> np.ndarray:
+    """Rows with the filter byte in front: for each row the one of ``filters`` (0 None, 1 Sub, 2 Up, 3 Average,
+    4 Paeth) whose bytes are the smallest as signed numbers, the first of equals."""
+    left, up, corner = (np.zeros_like(rows) for _ in range(3))
+    left[:, step:], up[1:], corner[1:, step:] = rows[:, :-step], rows[:-1], rows[:-1, :-step]
+    tried = []
+    for kind in filters:
+        if kind < 3:
+            tried.append(rows - (0, left, up)[kind])
+        else:
+            wide = [x.astype(np.int32) for x in (left, up, corner)]
+            tried.append(rows - ((wide[0] + wide[1]) // 2 if kind == 3 else _paeth(*wide)).astype(np.uint8))
     cost = np.stack([np.minimum(x, (0 - x).astype(np.uint8)).sum(axis=1, dtype=np.int64) for x in tried])
     best = cost.argmin(axis=0)
     out = np.empty((len(rows), rows.shape[1] + 1), dtype=np.uint8)
-    out[:, 0] = best
-    out[:, 1:] = np.choose(best[:, None], tried)
+    out[:, 0] = np.array(filters, dtype=np.uint8)[best]
+    for i, x in enumerate(tried):
+        out[best == i, 1:] = x[best == i]
     return out
 
 
-def to_png(payload: bytes, width: int = WIDTH, level: int = 1, adaptive: bool = False) -> bytes:
-    """An 8-bit grey PNG whose samples are the payload; its length must be a multiple of width."""
+def to_png(payload: bytes, width: int = WIDTH, level: int = 1, adaptive: bool = True, filters: tuple[int, ...] = FAST) -> bytes:
+    """An 8-bit grey PNG whose samples are the payload; its length must be a multiple of width. Rows are
+    unfiltered, or (adaptive) filtered by one of ``filters``."""
     rows = np.frombuffer(payload, dtype=np.uint8).reshape(-1, width)
-    packed = zlib.compress(filter_rows(rows, adaptive).tobytes(), level)
+    packed = zlib.compress(filter_rows(rows, filters if adaptive else (0,)).tobytes(), level)
     body = b"".join(_chunk(b"IDAT", packed[i : i + CHUNK]) for i in range(0, len(packed), CHUNK))
     return SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0)) + body + _chunk(b"IEND", b"")
 
 
 def unfilter(kinds: np.ndarray, rows: np.ndarray, step: int) -> np.ndarray:
-    """Undo row filters in place. Runs of rows with one filter are undone together where the filter
-    allows; Average and Paeth depend on their left neighbour and go sample by sample."""
+    """Undo row filters in place. Runs of rows with None, Sub or Up are undone together; rows with Average
+    and Paeth depend on three neighbours and go by diagonals, on which no sample depends on another."""
     n, width = rows.shape
     if kinds.size and kinds.max() > 4:
         raise ValueError("unknown row filter")
-    edges = np.flatnonzero(np.diff(kinds)) + 1
+    same = np.minimum(kinds, 3)
+    edges = np.flatnonzero(np.diff(same)) + 1
     for a, b in zip([0, *edges.tolist()], [*edges.tolist(), n], strict=True):
-        kind = int(kinds[a]) if n else 0
+        kind = int(same[a]) if n else 0
         if kind == 1:
             block = rows[a:b].reshape(b - a, width // step, step)
             rows[a:b] = np.cumsum(block, axis=1, dtype=np.uint8).reshape(b - a, width)
@@ -78,20 +92,19 @@ def unfilter(kinds: np.ndarray, rows: np.ndarray, step: int) -> np.ndarray:
             if a:
                 rows[a] += rows[a - 1]
             rows[a:b] = np.cumsum(rows[a:b], axis=0, dtype=np.uint8)
-        elif kind >= 3:
-            for r in range(a, b):
-                above = rows[r - 1].astype(np.int32) if r else np.zeros(width, dtype=np.int32)
-                out = rows[r].astype(np.int32)
-                for x in range(width):
-                    left = int(out[x - step]) if x >= step else 0
-                    up, corner = int(above[x]), int(above[x - step]) if x >= step else 0
-                    if kind == 3:
-                        guess = (left + up) // 2
-                    else:
-                        p = left + up - corner
-                        guess = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
-                    out[x] = (int(out[x]) + guess) & 255
-                rows[r] = out
+        elif kind == 3:
+            m, columns = b - a, width // step
+            coded = rows[a:b].reshape(m, columns, step)
+            done = np.zeros((m + 1, columns + 1, step), dtype=np.int32)  # with the row above and a column of 0
+            if a:
+                done[0, 1:] = rows[a - 1].reshape(columns, step)
+            for diagonal in range(m + columns - 1):
+                r = np.arange(max(0, diagonal - columns + 1), min(m, diagonal + 1))
+                x = diagonal - r
+                left, up, corner = done[r + 1, x], done[r, x + 1], done[r, x]
+                guess = np.where(kinds[a + r][:, None] == 3, (left + up) // 2, _paeth(left, up, corner))
+                done[r + 1, x + 1] = (coded[r, x] + guess) & 255
+            rows[a:b] = done[1:, 1:].reshape(m, width)
     return rows
 
 
@@ -155,14 +168,14 @@ def cosine_hash(samples: np.ndarray) -> str:
     return np.packbits((low > np.median(low)).ravel()).tobytes().hex()
 
 
-def write_images(df: DataFrame, payload: str = "payload", image: str = "media", width: int = WIDTH, adaptive: bool = False) -> DataFrame:
+def write_images(df: DataFrame, payload: str = "payload", image: str = "media", width: int = WIDTH, filters: tuple[int, ...] = FAST) -> DataFrame:
     """df with a PNG column beside its other columns; payload lengths must be multiples of width."""
     out = df.withColumn(image, F.lit(None).cast("binary"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, names = batch.schema.get_field_index(payload), batch.schema.names
-            made = [to_png(x, width, adaptive=adaptive) if (x := v.as_py()) else None for v in batch.column(at)]
+            made = [to_png(x, width, filters=filters) if (x := v.as_py()) else None for v in batch.column(at)]
             columns = [pa.array(made, pa.binary()) if n == image else batch.column(i) for i, n in enumerate(names)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -206,26 +219,22 @@ def pad(data: bytes, unit: int = WIDTH) -> bytes:
     return data + b"\0" * (-len(data) % unit or (0 if data else unit))
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_width int, media_height int"
+def padded(payload: Column, unit: int = WIDTH) -> Column:
+    """pad for a binary column."""
+    size = F.greatest(F.lit(1), F.ceil(F.octet_length(payload) / unit)).cast("int") * unit
+    return F.rpad(payload, size, F.lit(b"\0"))
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """Texts of documents as images and back: digests of what is read from the stored image.
-
-    One pass without a shuffle; a task holds one Arrow batch and one text's image at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in DIGEST.split(", ")]
-        types = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[x.split()[1]] for x in DIGEST.split(", ")]
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                raw = (text.as_py() or "").encode()
-                image = to_png(pad(raw))
-                width, height, samples, feature, error = read_image(image)
-                if error:
-                    raise RuntimeError(f"stored image of {doc_id} can't be read: {error}")
-                rows.append((doc_id.as_py(), len(raw), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(image), hashlib.sha256(image).hexdigest(), feature, width, height))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, DIGEST)
+    """Texts of documents as images in a binary column, and digests of what is read back from that column.
+
+    Without a shuffle; a task holds one Arrow batch of payloads or images. An image that can't be read raises."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), padded(text).alias("payload"))
+    stored = write_images(rows.withColumn("media", F.lit(None).cast("binary"))).select("doc_id", "n_bytes", "media")
+    read = read_images(stored, keep=["doc_id", "n_bytes", "media"])
+    samples = F.when(F.col("media_error").isNull(), F.col("samples")).otherwise(F.raise_error(F.concat(F.lit("stored image can't be read: "), "media_error")).cast("binary"))
+    return read.withColumn("samples", samples).select(
+        "doc_id", "n_bytes", F.length("samples").cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"), F.crc32(F.substring("samples", -WIDTH, WIDTH)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", "media_width", "media_height",
+    )
