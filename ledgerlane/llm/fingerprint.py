@@ -1,13 +1,15 @@
 """Merkle trees over the sections and paragraphs of documents, with DataFrame operations only.
 
-A section ends at two line ends, a paragraph at one. A paragraph's node is SHA-256 of ``p`` and its text,
-a section's of ``s`` and its paragraphs' nodes, the root's of ``r`` and the sections' nodes (hex, joined
-by commas). The cuts lose nothing, so roots are equal exactly when texts are. Branches that differ locate
-edits (``tree_nodes`` and ``edited_branches``). Below a paragraph, its pieces of up to eight words serve
-the likeness of two trees: the share of distinct pieces that both have, and 1 where the roots are equal.
-
-Defined results: a null text is empty and has the root of one empty paragraph; texts without a word have
-likeness 0 unless equal; rows with equal ids follow each other by hash of the text; rows without an id
+A section ends at two line ends, a paragraph at one, and a paragraph's leaves end where its own words say so:
+after the spaces behind a word that ends with one of ``CUT``, so an edit changes the leaves around it only. A
+leaf's node is SHA-256 of ``l`` and its text, a paragraph's of ``p`` and its leaves' nodes, a section's of ``s``
+and its paragraphs' nodes, the root's of ``r`` and the sections' nodes (hex, joined by commas). The cuts lose
+nothing, so roots are equal exactly when texts are. Branches that differ locate edits (``tree_nodes`` and
+``edited_branches``). Two trees are alike by the share of their distinct leaf branches that both have, 1 where
+the roots are equal.
+
+Defined results: a null text is empty and has the root of one empty paragraph; trees whose only leaves are
+empty have likeness 0 to others; rows with equal ids follow each other by hash of the text; rows without an id
 come first; other columns are not read; an empty table gives no rows.
 """
 
@@ -19,8 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Words in a piece.
-PIECE = 8
+#: Signs and letters at whose words' ends a leaf ends (every five to six words in European languages).
+CUT = ".,;:!?gkmpy"
 #: Text bytes of neighbouring documents that one task orders.
 BUCKET_BYTES = 1 << 20
 #: Buckets at most, so that their bounds have a fixed size; beyond it buckets grow and spill.
@@ -29,27 +31,48 @@ MOST_BUCKETS = 16_384
 NO_ID = -(1 << 63)
 
 
-def paragraph_node(paragraph: Column) -> Column:
-    return F.sha2(F.concat(F.lit("p"), paragraph), 256)
+def leaves(paragraph: Column) -> Column:
+    """A paragraph's leaves; together they are its text. A paragraph has no line end, so one can mark the cuts."""
+    return F.split(F.regexp_replace(paragraph, rf"([{CUT}])( +)", "$1$2\n"), "\n", -1)
 
 
-def section_node(section: Column) -> Column:
-    return F.sha2(F.concat(F.lit("s"), F.concat_ws(",", F.transform(F.split(section, "\n", -1), paragraph_node))), 256)
+def leaf_nodes(paragraph: Column) -> Column:
+    return F.transform(leaves(paragraph), lambda x: F.sha2(F.concat(F.lit("l"), x), 256))
+
+
+def _node(kind: str, children: Column) -> Column:
+    return F.sha2(F.concat(F.lit(kind), F.concat_ws(",", children)), 256)
+
+
+def tree(text: Column) -> Column:
+    """Leaf nodes of every paragraph of every section of a non-null text."""
+    return F.transform(F.split(text, "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), leaf_nodes))
+
+
+def section_of(paragraphs: Column) -> Column:
+    return _node("s", F.transform(paragraphs, lambda p: _node("p", p)))
+
+
+def root_of(sections: Column) -> Column:
+    """Hex root of a tree."""
+    return _node("r", F.transform(sections, section_of))
 
 
 def root(text: Column) -> Column:
     """Hex root of a non-null text's tree."""
-    return F.sha2(F.concat(F.lit("r"), F.concat_ws(",", F.transform(F.split(text, "\n\n", -1), section_node))), 256)
+    return root_of(tree(text))
+
 
+EMPTY_LEAF = "sha2('l', 256)"
 
-def pieces(text: Column) -> Column:
-    """Hashes of the distinct pieces of up to eight words; a piece never spans two lines."""
-    found = F.regexp_extract_all(text, F.lit(rf"[^ \n]++(?: ++[^ \n]++){{0,{PIECE - 1}}}+"), F.lit(0))
-    return F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))
+
+def branches(sections: Column) -> Column:
+    """Distinct leaf nodes of a tree, but for the empty leaf's."""
+    return F.array_remove(F.array_distinct(F.flatten(F.flatten(sections))), F.expr(EMPTY_LEAF))
 
 
 def likeness(one: Column, other: Column, one_root: Column, other_root: Column) -> Column:
-    """Share of distinct pieces of two texts that both have."""
+    """Share of two trees' branches that both have."""
     both = F.size(F.array_intersect(one, other))
     either = F.size(one) + F.size(other) - both
     return F.when(one_root == other_root, 1.0).when(either == 0, 0.0).otherwise(both / either)
@@ -59,8 +82,9 @@ def tree_nodes(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -
     """One row per paragraph: id, section, paragraph (from 0), their nodes and the root."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_column).alias("id"), root(t).alias("root"), F.posexplode(F.split(t, "\n\n", -1)).alias("section", "_s"))
-    rows = rows.select("id", "root", "section", section_node(F.col("_s")).alias("section_node"), F.posexplode(F.split("_s", "\n", -1)).alias("paragraph", "text"))
-    return rows.withColumn("paragraph_node", paragraph_node(F.col("text")))
+    own = F.transform(F.split("_s", "\n", -1), leaf_nodes)
+    rows = rows.select("id", "root", "section", section_of(own).alias("section_node"), F.posexplode(F.split("_s", "\n", -1)).alias("paragraph", "text"))
+    return rows.withColumn("paragraph_node", _node("p", leaf_nodes(F.col("text"))))
 
 
 def edited_branches(before: DataFrame, after: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -122,26 +146,31 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
     rows = rows.withColumn("edited", edited)
-    rows = rows.select(
-        "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), root(F.col("text")).alias("fingerprint"), root(F.col("edited")).alias("edited_fingerprint"), root(F.col("next_text")).alias("next_fingerprint"),
-        pieces(F.col("text")).alias("a"), pieces(F.col("edited")).alias("b"), pieces(F.col("next_text")).alias("c"),
+    trees = rows.select(
+        "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        tree(F.col("text")).alias("a"), tree(F.col("edited")).alias("b"), tree(F.col("next_text")).alias("c"),
+    )
+    rows = trees.select(
+        "doc_id", "n_chars", "edited_sha256", root_of(F.col("a")).alias("fingerprint"), root_of(F.col("b")).alias("edited_fingerprint"), root_of(F.col("c")).alias("next_fingerprint"),
+        branches(F.col("a")).alias("a"), branches(F.col("b")).alias("b"), branches(F.col("c")).alias("c"),
     )
     near_edited = likeness(F.col("a"), F.col("b"), F.col("fingerprint"), F.col("edited_fingerprint"))
     near_next = likeness(F.col("a"), F.col("c"), F.col("fingerprint"), F.col("next_fingerprint"))
     return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near_edited.alias("near_edited"), near_next.alias("near_next"))
 
 
-ORACLE_SQL = r"""
+_LEAVES = f"list_transform(string_split(regexp_replace(q, '([{CUT}])( +)', '\\1\\2' || chr(10), 'g'), chr(10)), lambda x: sha256('l' || x))"
+_TREE = f"list_transform(string_split(%s, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda q: {_LEAVES}))"
+_ROOT = "sha256('r' || array_to_string(list_transform(%s, lambda s: sha256('s' || array_to_string(list_transform(s, lambda q: sha256('p' || array_to_string(q, ','))), ','))), ','))"
+_BRANCHES = "list_filter(list_distinct(flatten(flatten(%s))), lambda x: x <> sha256('l'))"
+
+ORACLE_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS nx FROM d),
 e AS (SELECT *, substring(t, 1, CAST(length(t) - length(t) // 2 AS BIGINT)) || substring(nx, 1, CAST(length(t) // 2 AS BIGINT)) AS ed FROM n),
-p AS (SELECT *,
-  sha256('r' || array_to_string(list_transform(string_split(t, chr(10) || chr(10)), lambda s: sha256('s' || array_to_string(list_transform(string_split(s, chr(10)), lambda q: sha256('p' || q)), ','))), ',')) AS f,
-  sha256('r' || array_to_string(list_transform(string_split(ed, chr(10) || chr(10)), lambda s: sha256('s' || array_to_string(list_transform(string_split(s, chr(10)), lambda q: sha256('p' || q)), ','))), ',')) AS fe,
-  list_distinct(regexp_extract_all(t, '[^ \n]+(?: +[^ \n]+){0,7}')) AS a,
-  list_distinct(regexp_extract_all(ed, '[^ \n]+(?: +[^ \n]+){0,7}')) AS b,
-  list_distinct(regexp_extract_all(nx, '[^ \n]+(?: +[^ \n]+){0,7}')) AS c FROM e),
-q AS (SELECT *, len(list_intersect(a, b)) AS ab, len(list_intersect(a, c)) AS ac FROM p)
+p AS (SELECT *, {_TREE % "t"} AS ta, {_TREE % "ed"} AS tb, {_TREE % "nx"} AS tc FROM e),
+r AS (SELECT *, {_ROOT % "ta"} AS f, {_ROOT % "tb"} AS fe, {_BRANCHES % "ta"} AS a, {_BRANCHES % "tb"} AS b, {_BRANCHES % "tc"} AS c FROM p),
+q AS (SELECT *, len(list_intersect(a, b)) AS ab, len(list_intersect(a, c)) AS ac FROM r)
 SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(ed) AS edited_sha256, f AS fingerprint, fe AS edited_fingerprint,
   CASE WHEN t = ed THEN 1.0::DOUBLE WHEN len(a) + len(b) - ab = 0 THEN 0.0::DOUBLE ELSE ab::DOUBLE / (len(a) + len(b) - ab) END AS near_edited,
   CASE WHEN t = nx THEN 1.0::DOUBLE WHEN len(a) + len(c) - ac = 0 THEN 0.0::DOUBLE ELSE ac::DOUBLE / (len(a) + len(c) - ac) END AS near_next
