@@ -39,6 +39,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_up_to(df: DataFrame, most: int) -> DataFrame:
+    """df, whose lineage is cut, to be broadcast if it has ``most`` rows or less; otherwise Spark decides."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ledgerlane.llm.common import cut_lineage
+from ledgerlane.llm.common import broadcast_up_to, cut_lineage
 
-#: Texts of a language that are learned from, at most; ids of them that are broadcast, at most.
+#: Texts of a language that are learned from, at most; rows that are broadcast, at most.
 SAMPLE, BROADCAST = 300, 1_000_000
 ROUNDS = 3
 #: Letters of the longest words that are computed together and without logarithms.
@@ -209,9 +209,12 @@ def learn(labelled: DataFrame, path: str | None = None) -> dict:
 def sample(docs: DataFrame, learnable: Column) -> DataFrame:
     """(text, lang) of at most SAMPLE learnable texts of each language, those of smallest id hash."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).filter("doc_id is not null and lang is not null").filter(learnable).distinct()
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")  # each task passes on SAMPLE rows of a language
-    few = cut_lineage(ids.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE).select("doc_id", "lang"))
-    few = F.broadcast(few) if few.count() <= BROADCAST else few
+    ids = ids.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
+    # about 2 * SAMPLE ids of each language reach the window, however many it has
+    counts = broadcast_up_to(cut_lineage(ids.groupBy("lang").agg(F.count(F.lit(1)).alias("of"))), BROADCAST)
+    near = ids.join(counts, "lang").filter(F.col("h").cast("double") * F.col("of") < F.lit(2.0 * SAMPLE) * F.lit(1 << 40))
+    first = Window.partitionBy("lang").orderBy("h", "doc_id")
+    few = broadcast_up_to(cut_lineage(near.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE).select("doc_id", "lang")), BROADCAST)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).join(few, ["doc_id", "lang"], "left_semi").select("text", "lang")
 
 
