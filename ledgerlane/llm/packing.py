@@ -1,11 +1,12 @@
 """Packing tokenized documents into sequences by Karmarkar-Karp multiway differencing.
 
-A document's ids (with its end id) are cut at multiples of ``PIECE``; pieces of a full sequence stay whole.
-Pieces are dealt by hash to groups of about ``GROUP_TOKENS``. In a group every piece starts as a partial
-partition of k windows; the two partitions with the largest differences are merged, fullest windows onto
-emptiest, until one is left. k starts at the fewest windows that can hold the group and rises while the
-fullest window exceeds the capacity. Where whole tails leave more than ``LOOSE`` of padding, each document's
-tail is also cut at its largest power of two, and the better result is taken.
+A document's ids (with its end id) are cut at multiples of the capacity; full sequences stay whole, and so does
+the tail where it fits. Pieces are dealt by hash to groups of about ``GROUP_TOKENS`` or ``GROUP_PIECES``. In a
+group every tail starts as a partial partition of k windows; the two partitions with the largest differences
+are merged, fullest windows onto emptiest, until one is left. k starts at the fewest windows that can hold the
+group and rises while the fullest window exceeds the capacity. Where that takes more than ``LOOSE`` of
+padding, a share of the tails (``SHARES``, drawn by hash) is cut at multiples of ``PIECE`` and the largest power of
+two of the rest, as filling, and differencing starts again.
 
 Only numbers are shuffled: ids are made, cut and checksummed in one pass over the texts.
 
@@ -32,10 +33,10 @@ from pyspark.sql import functions as F
 from ledgerlane.llm.common import cut_lineage
 
 CAPACITY, PIECE, END_ID = 4096, 512, 2
-#: Tokens in a group: 256 sequences.
-GROUP_TOKENS = 256 * CAPACITY
-#: Share of padding above which tails are cut too.
-LOOSE = 0.005
+#: Tokens in a group (256 sequences), and pieces in one of short documents.
+GROUP_TOKENS, GROUP_PIECES = 256 * CAPACITY, 16_384
+#: Share of padding that is let pass, and shares of the tails that are cut as filling.
+LOOSE, SHARES = 0.01, (0, 1 / 8, 1 / 4, 1 / 2, 1)
 #: Words whose ids a worker remembers; others are made again.
 REMEMBERED = 800_000
 #: The last letter of the Latin blocks for which letters are made small one by one.
@@ -43,7 +44,7 @@ LAST_LATIN = "\u024f"
 #: Signs that end a run of letters and make a run of their own with the signs behind them.
 SIGNS = b".,;:!?*#$%&|()[]{}<>/-+=~^@\""
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, head long, head_crc32 long, tail_crc32 long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, cuts array<long>"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -110,14 +111,14 @@ _WORKER: dict[str, WordIds] = {}
 
 def pieces(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Pieces of every row of docs (doc_id, text), with checksums of their ids; a tail that can be cut
-    further has the length and both checksums of that cut (else length 0)."""
+    further has the lengths and checksums of its cuts, one after the other."""
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _WORKER:
             _WORKER[path] = WordIds(path)
         kind = _WORKER[path]
-        names = [x.split()[0] for x in PIECES.split(", ")]
+        names, kinds = [x.split()[0] for x in PIECES.split(", ")], [pa.int64()] * 5 + [pa.list_(pa.int64())]
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch, rows = whole.slice(at, 256), []
@@ -126,12 +127,14 @@ def pieces(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
                     row = np.append(row, np.uint32(END_ID)).astype("<u4")
                     n = len(row)
                     full = n // CAPACITY * CAPACITY
-                    cuts = [*range(0, full, CAPACITY), *range(full, n, PIECE), n]
-                    for a, b in zip(cuts, cuts[1:], strict=False):
-                        head = 1 << ((b - a).bit_length() - 1) if b == n and b - a < PIECE else 0
-                        head = 0 if head == b - a else head
-                        rows.append((doc_id, a, b - a, zlib.crc32(row[a:b]), n, head, zlib.crc32(row[a : a + head]) if head else 0, zlib.crc32(row[a + head : b]) if head else 0))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(8)], names)
+                    rows += [(doc_id, a, CAPACITY, zlib.crc32(row[a : a + CAPACITY]), n, []) for a in range(0, full, CAPACITY)]
+                    if full < n:
+                        edges, last = [*range(full, n, PIECE), n], (n - full - 1) % PIECE + 1
+                        if last & (last - 1):
+                            edges.insert(-1, n - last + (1 << last.bit_length() - 1))
+                        cuts = [x for a, b in zip(edges, edges[1:], strict=False) for x in (b - a, zlib.crc32(row[a:b]))] if len(edges) > 2 else []
+                        rows.append((doc_id, full, n - full, zlib.crc32(row[full:]), n, cuts))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
@@ -142,7 +145,7 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(len(sizes), dtype=np.int64)
     loads: list[np.ndarray | None] = []
     for s in sizes.tolist():
-        row = np.zeros(k, dtype=np.int64)
+        row = np.zeros(k, dtype=np.int32)
         row[0] = s
         loads.append(row)
     heap = [(-s, i) for i, s in enumerate(sizes.tolist())]
@@ -154,7 +157,7 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
         total = loads[i] + loads[j][::-1]
         order = np.argsort(-total, kind="stable")
         total = total[order]
-        merges.append((i, j, order))
+        merges.append((i, j, order.astype(np.int32)))
         loads[i] = loads[j] = None
         loads.append(total - total[-1])
         heapq.heappush(heap, (-int(loads[-1][0]), len(loads) - 1))
@@ -167,35 +170,46 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
     return np.array([place[i][0] for i in range(len(sizes))], dtype=np.int64)
 
 
-def windows(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
-    """(window of each size, number of windows); no window exceeds the capacity."""
+def windows(sizes: np.ndarray, capacity: int = CAPACITY, most: int | None = None) -> tuple[np.ndarray, int]:
+    """(window of each size, number of windows); no window exceeds the capacity. The number is 0 if it would
+    have to be above ``most``."""
     k = max(1, math.ceil(int(sizes.sum()) / capacity))
-    while True:
+    while most is None or k <= most:
         found = differencing(sizes, k)
         if np.bincount(found, weights=sizes, minlength=k).max() <= capacity:
             return found, k
         k += 1
+    return np.zeros(len(sizes), dtype=np.int64), 0
+
+
+def _cut(tails: pd.DataFrame, share: float) -> pd.DataFrame:
+    """tails with those of a share of the hash range cut."""
+    drawn = (tails["draw"] < share) & (tails["cuts"].map(len) > 0)
+    if not drawn.any():
+        return tails
+    lengths = [c[::2] for c in tails.loc[drawn, "cuts"]]
+    finer = tails[drawn].loc[np.repeat(tails.index[drawn], [len(x) for x in lengths])].copy()
+    finer["start"] += np.concatenate([np.cumsum(x) - x for x in lengths])
+    finer["length"] = np.concatenate(lengths)
+    finer["ids_crc32"] = np.concatenate([c[1::2] for c in tails.loc[drawn, "cuts"]])
+    return pd.concat([tails[~drawn], finer], ignore_index=True)
 
 
 def _packed(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values(["doc_id", "start", "copy", "ids_crc32"], kind="stable", na_position="last").reset_index(drop=True)
-    whole, rest = group[group["length"] == CAPACITY], group[group["length"] < CAPACITY]
-    k = 0
-    if len(rest):
-        found, k = windows(rest["length"].to_numpy())
-        least = math.ceil(rest["length"].sum() / CAPACITY)
-        if k > least and 1 - rest["length"].sum() / (k * CAPACITY) > LOOSE and (rest["head"] > 0).any():
-            cut = rest[rest["head"] > 0]
-            head, tail = cut.copy(), cut.copy()
-            head["length"], head["ids_crc32"] = cut["head"], cut["head_crc32"]
-            tail["start"], tail["length"], tail["ids_crc32"] = cut["start"] + cut["head"], cut["length"] - cut["head"], cut["tail_crc32"]
-            finer = pd.concat([rest[rest["head"] == 0], head, tail], ignore_index=True)
-            other, fewer = windows(finer["length"].to_numpy())
-            if fewer < k:
-                rest, found, k = finer, other, fewer
-        rest = rest.assign(window=found)
-    whole = whole.assign(window=k + np.arange(len(whole)))
-    out = pd.concat([rest, whole], ignore_index=True) if len(rest) else whole
+    whole, tails = group[group["length"] == CAPACITY], group[group["length"] < CAPACITY].reset_index(drop=True)
+    k, parts = 0, [whole]
+    if len(tails):
+        total = int(tails["length"].sum())
+        enough = max(math.ceil(total / CAPACITY), int(total / (CAPACITY * (1 - LOOSE))))
+        for share in SHARES:
+            rest = _cut(tails, share)
+            found, k = windows(rest["length"].to_numpy(), most=None if share == SHARES[-1] else enough)
+            if k:
+                break
+        parts.insert(0, rest.assign(window=found))
+    parts[-1] = whole.assign(window=k + np.arange(len(whole)))
+    out = pd.concat([p for p in parts if len(p)], ignore_index=True)
     out = out.sort_values(["window", "doc_id", "start", "copy"], kind="stable", na_position="last")
     out["offset"] = out.groupby("window")["length"].cumsum() - out["length"]
     # windows of a group are numbered below 2^31
@@ -207,11 +221,12 @@ def _packed(group: pd.DataFrame) -> pd.DataFrame:
 def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """PACKED's columns for every piece of docs (doc_id, text)."""
     cut = cut_lineage(pieces(docs, tokenizer))
-    total = cut.agg(F.sum("length")).first()[0] or 0
-    groups = max(1, math.ceil(total / GROUP_TOKENS))
-    names = [x.split()[0] for x in PIECES.split(", ")]
-    same = cut.groupBy(*names).agg(F.count(F.lit(1)).alias("m"))
+    size = cut.agg(F.sum("length").alias("tokens"), F.count(F.lit(1)).alias("pieces")).first()
+    groups = max(1, math.ceil((size["tokens"] or 0) / GROUP_TOKENS), math.ceil(size["pieces"] / GROUP_PIECES))
+    keys = [x.split()[0] for x in PIECES.split(", ")][:-1]
+    same = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), F.first("cuts").alias("cuts"))
     runs = same.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / 4096))))
     dealt = runs.withColumn("at", F.explode(F.sequence(F.lit(1), F.least(F.lit(4096), F.col("m") - F.col("run") * 4096)))).withColumn("copy", (F.col("at") + F.col("run") * 4096).cast("long"))
-    dealt = dealt.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "copy"), F.lit(groups))).select(*names, "copy", "grp")
+    draw = F.pmod(F.xxhash64(F.lit(1), "doc_id", "start", "ids_crc32"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    dealt = dealt.withColumns({"grp": F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "copy"), F.lit(groups)), "draw": draw}).select(*keys, "cuts", "copy", "grp", "draw")
     return dealt.groupBy("grp").applyInPandas(_packed, PACKED)
