@@ -7,7 +7,7 @@ Terms are picked by their log odds in labelled texts and weighed by a logistic f
 A hit inside an exception phrase doesn't count.
 
 The lexicon is learned from a bounded sample (``SAMPLE`` texts of each label, those of smallest hash), as are
-its weights; scores cover every row and the whole of each text.
+its weights; every term that is frequent and telling enough there is weighed, and scores cover every row and the whole of each text.
 
 Defined results: null and empty texts score as texts without a hit; without labels of both kinds there is no
 lexicon and every score is 0; rows with equal ids are scored one by one; labels of one id that disagree each
@@ -19,8 +19,10 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,23 +34,32 @@ from ledgerlane.llm.common import cut_lineage, unwrapped, wrapped
 
 #: Labelled texts of each kind that are learned from, at most.
 SAMPLE = {1: 4_000, 0: 8_000}
-#: Terms that are weighed, at most; letters of a term.
-TERMS, SHORTEST, LONGEST = 2_000, 3, 10
+#: Letters of the shortest term, and of the longest word's beginning that is one; whole words have any length.
+SHORTEST, LONGEST = 3, 40
+#: Hits of a term above which more of them weigh by their logarithm.
+FEW = 8
 THRESHOLD = 0.7
 #: Phrases in which a term is harmless; plain words after folding.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "class clown", "clown fish", "sore loser", "garbage trash", "idiot proof", "stupid simple", "pond scum", "soap scum", "oxy moron")
 
-#: Cyrillic and Greek letters that look like Latin ones, and what they look like.
-LOOK_ALIKE = ("авекмнорстухіјѕԁԛԝһҽɡοανικρτυχηεωβ", "abekmhopctyxijsdqwhegoavikptyxnewb")
+#: Letters that look like Latin ones (Cyrillic, Greek, Armenian, Latin small capitals and
+#: variants), and what they look like.
+LOOK_ALIKE = (
+    ("авгекмнопрстухьёіјѕүһҽӏԁԍԛԝѵґ", "abrekmhonpctyxbeijsyheldgqwvr"),
+    ("αβγεικνορστυχηωϲϳ", "abyeikvopotuxnwcj"),
+    ("ցզհոսօքյ", "gqhnuofj"),
+    ("ᴀʙᴄᴅᴇꜰɢʜɪᴊᴋʟᴍɴᴏᴘʀꜱᴛᴜᴠᴡʏᴢ", "abcdefghijklmnoprstuvwyz"),
+    ("ɑəɛɡħıɩłøɔðđŧʋ", "aeeghiilooddtv"),
+)
 #: Digits and signs that stand for letters.
-STAND_IN = ("0134579@$", "oieastgas")
+STAND_IN = ("0123456789@$€£¢", "oizeasgtbgaselc")
 #: Characters that are left out, so that they can't split a word.
 UNSEEN = "­​‌‍⁠﻿"
 
 _TABLE = {i: " " for i in range(128) if not chr(i).isalnum()}
 _TABLE |= {ord(a): b for a, b in zip(*STAND_IN, strict=True)}
 _ASCII = str.maketrans(_TABLE)
-_WIDE = _ASCII | {ord(a): b for a, b in zip(*LOOK_ALIKE, strict=True)} | {ord(c): None for c in UNSEEN}
+_WIDE = _ASCII | {ord(a): b for pair in LOOK_ALIKE for a, b in zip(*pair, strict=True)} | {ord(c): None for c in UNSEEN}
 _NO_WORD = re.compile(r"[\W_]+")
 _MARKS = re.compile("[̀-ͯ]+")
 
@@ -71,7 +82,7 @@ def terms_of(folded: str) -> set[str]:
     for w in set(folded.split()):
         found.update(w[:k] for k in range(SHORTEST, min(len(w), LONGEST) + 1))
         if len(w) >= SHORTEST:
-            found.add(f"{w[:40]} ")
+            found.add(f"{w} ")
     return found
 
 
@@ -95,14 +106,19 @@ class Matcher:
         if not len(self.automaton):
             return {}
         hits = list(self.automaton.iter(folded))
-        safe = [(end - n, end) for end, (i, n) in hits if i < 0]
-        kept = [i for end, (i, n) in hits if i >= 0 and not any(a <= end - n and end <= b for a, b in safe)]
-        return Counter(kept)
+        safe = sorted((end - n, end) for end, (i, n) in hits if i < 0)
+        starts, reach = [a for a, _ in safe], list(accumulate((b for _, b in safe), max))
+
+        def spared(start: int, end: int) -> bool:
+            at = bisect_right(starts, start)
+            return at > 0 and reach[at - 1] >= end
+
+        return Counter(i for end, (i, n) in hits if i >= 0 and not spared(end - n, end))
 
 
 def value(count: int, words: int) -> float:
-    """A term's evidence in a text of so many words."""
-    return min(count, 8) * 10 / math.sqrt(words + 30)
+    """A term's evidence in a text of so many words: its count, which weighs less and less above FEW."""
+    return (count if count <= FEW else FEW + math.log2(count / FEW)) * 10 / math.sqrt(words + 30)
 
 
 def fit(texts: list[dict[int, int]], words: list[int], labels: list[int], n: int, rounds: int = 400, ridge: float = 0.3) -> tuple[np.ndarray, float]:
@@ -143,7 +159,7 @@ def learn(labelled: DataFrame) -> dict:
     odds = F.log((F.col("toxic") + 0.5) / (p + 1)) - F.log((F.col("clean") + 0.5) / (n + 1))
     sums = sums.filter(F.col("toxic") >= max(3, math.ceil(0.004 * p))).withColumn("odds", odds).filter("odds > 2")
     sure = F.col("odds") / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    picked = sums.withColumn("sure", sure).orderBy(F.desc("sure"), "term").limit(TERMS).collect()
+    picked = sums.withColumn("sure", sure).orderBy(F.desc("sure"), "term").collect()  # terms of a bounded sample
     held = {r["term"]: r["toxic"] for r in picked}
     grown = {t[:-1] for t, n in held.items() if t[-1] != " " and n >= 0.95 * held.get(t[:-1], math.inf)}
     # of beginnings that the same texts hold, the longest: it fits the fewest other words
