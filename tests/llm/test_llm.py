@@ -1,5 +1,6 @@
 """Training-data operators: edge cases, round trips, brute force and held-out accuracy."""
 
+import hashlib
 import random
 import re
 import time
@@ -63,6 +64,64 @@ def test_png_round_trip(rows, adaptive):
         media.from_png(image[:-12])
 
 
+@pytest.mark.parametrize("width", [1, 7, 64])
+def test_every_filter_is_written_and_read(width):
+    rng = np.random.default_rng(8)
+    smooth = (np.cumsum(rng.integers(-3, 4, (50, width)), axis=1) + np.arange(50)[:, None] * 5).astype(np.uint8)
+    smooth[10:20] = rng.integers(0, 256, (10, width))
+    smooth[30:35] = 9
+    for kinds in (media.FAST, media.ALL_FILTERS, (3,), (4,), (2,)):
+        image = media.to_png(smooth.tobytes(), width, filters=kinds)
+        assert media.from_png(image).tobytes() == smooth.tobytes()
+    used = set(media.filter_rows(smooth, media.ALL_FILTERS)[:, 0].tolist())
+    assert len(used) >= (1 if width == 1 else 3)
+
+
+def plain_hash(samples):
+    """cosine_hash by plain loops over the picture's cells and coefficients."""
+    height, width = samples.shape
+    grid = np.zeros((32, 32))
+    for y in range(32):
+        for x in range(32):
+            a, b = y * height // 32, x * width // 32
+            c, d = min(height, max(a + 1, -(-(y + 1) * height // 32))), min(width, max(b + 1, -(-(x + 1) * width // 32)))
+            grid[y, x] = samples[a:c, b:d].astype(float).mean()
+    low = np.zeros((8, 8))
+    for u in range(8):
+        for v in range(8):
+            ys, xs = np.cos(np.pi * u * (2 * np.arange(32) + 1) / 64), np.cos(np.pi * v * (2 * np.arange(32) + 1) / 64)
+            low[u, v] = round(float((grid * ys[:, None] * xs[None, :]).sum()), 6)
+    low[0, 0] = 0
+    return np.packbits((low > np.median(low)).ravel()).tobytes().hex()
+
+
+def test_media_digests_are_those_of_the_texts(spark):
+    import io
+    import struct
+
+    texts = ["", "a", "x" * 64, "Ünï" * 50, "some longer text of words " * 40, None, "b\x00\x00"]
+    rows = {r["doc_id"]: r for r in media.text_media(spark.createDataFrame(docs_of(["" if t is None else t for t in texts])[:5] + [(5, None, "en", "s", 0), (6, texts[6], "en", "s", 3)], DOCS)).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw + b"\0" * (max(1, -(-len(raw) // 64)) * 64 - len(raw))
+        r = rows[i]
+        assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(payload))
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+        assert r["tail_crc32"] == zlib.crc32(payload[-64:])
+        assert r["feature"] == plain_hash(np.frombuffer(payload, np.uint8).reshape(-1, 64))
+        image = media.to_png(payload)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(image), hashlib.sha256(image).hexdigest())
+        # the file by the format's own rules: IHDR's fields, and the inflated rows' filter bytes
+        f = io.BytesIO(image[8:])
+        parts = []
+        while size := f.read(4):
+            kind, body, crc = f.read(4), f.read(struct.unpack(">I", size)[0]), f.read(4)
+            assert struct.unpack(">I", crc)[0] == zlib.crc32(kind + body)
+            parts.append((kind, body))
+        assert parts[0] == (b"IHDR", struct.pack(">IIBBBBB", 64, len(payload) // 64, 8, 0, 0, 0, 0))
+        assert len(zlib.decompress(b"".join(b for k, b in parts if k == b"IDAT"))) == 65 * (len(payload) // 64)
+
+
 def test_all_five_filters_are_undone():
     rng = np.random.default_rng(3)
     raw = rng.integers(0, 256, (40, 12), dtype=np.uint8)
@@ -131,6 +190,39 @@ def test_next_texts_cross_buckets(spark):
     assert got == {i * 7: f"text {(i + 1) % n} " * 9 for i in range(n)}
 
 
+def test_fingerprints_match_a_plain_tree(spark):
+    """Roots and likeness of small trees, built by hand in Python."""
+    sha = lambda kind, x: hashlib.sha256((kind + x).encode()).hexdigest()
+
+    def plain(text):
+        found, sections = set(), []
+        for s in text.split("\n\n"):
+            paragraphs = []
+            for q in s.split("\n"):
+                own = re.sub(rf"([{fingerprint.CUT}])( +)", "\\1\\2\n", q).split("\n")
+                assert "".join(own) == q
+                found.update(sha("l", x) for x in own if x)
+                paragraphs.append(sha("p", ",".join(sha("l", x) for x in own)))
+            sections.append(sha("s", ",".join(paragraphs)))
+        return sha("r", ",".join(sections)), found
+
+    rng = random.Random(9)
+    some = ["many", "words,", "\n", "\n\n", "end.", "of", "a", "big", "é", "  "]
+    texts = [" ".join(rng.choice(some) for _ in range(rng.randrange(0, 40))) for _ in range(40)] + ["", "\n\n"]
+    texts.append(texts[3].replace("of", "off of", 1))
+    rows = {r["doc_id"]: r for r in fingerprint.fingerprinted(spark.createDataFrame(docs_of(texts), DOCS)).collect()}
+    for i, t in enumerate(texts):
+        (f, a), (g, c) = plain(t), plain(texts[(i + 1) % len(texts)])
+        assert rows[i]["fingerprint"] == f
+        assert rows[i]["near_next"] == pytest.approx(1.0 if f == g else len(a & c) / max(1, len(a | c)))
+
+
+def test_an_insertion_keeps_the_leaves_around_it(spark):
+    text = " ".join(f"some words go by {i}," for i in range(60))
+    rows = fingerprint.fingerprinted(spark.createDataFrame([(1, text), (2, "new " + text)], "doc_id long, text string")).collect()
+    assert all(r["near_next"] > 0.95 for r in rows)
+
+
 def test_edits_are_located(spark):
     a = spark.createDataFrame([(1, "p0\np1\n\nq0\nq1")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "p0\np1\n\nq0\nqX\nq2")], "doc_id long, text string")
@@ -163,6 +255,35 @@ def test_toxicity_sees_through_disguises_and_spares_exceptions(spark):
     assert got[3] < 0.3
 
 
+def test_matcher_counts_as_a_naive_one_does():
+    rng = random.Random(6)
+    some = ["idiot", "idi", "moron ", "trash", "trash can", "sc", "scum ", "x" * 60 + " ", "can"]
+    exceptions = ("trash can", "pond scum", "idiot proof idiot", "can trash")
+    for _ in range(300):
+        terms = rng.sample(some, rng.randrange(1, len(some)))
+        text = " ".join(rng.choice(["idiot", "idiots", "moron", "trash", "can", "pond", "scum", "proof", "x" * 60, "river"]) for _ in range(rng.randrange(0, 30)))
+        folded = toxicity.fold(text)
+        safe = [(i, i + len(p) + 2) for p in exceptions for i in range(len(folded)) if folded.startswith(f" {p} ", i)]
+        naive = {}
+        for k, t in enumerate(terms):
+            places = [(i, i + len(t) + 1) for i in range(len(folded)) if folded.startswith(f" {t}", i)]
+            n = sum(not any(a <= i and j <= b for a, b in safe) for i, j in places)
+            if n:
+                naive[k] = n
+        assert dict(toxicity.Matcher(terms, exceptions).counts(folded)) == naive
+
+
+def test_counts_and_term_lengths_have_no_cap():
+    assert toxicity.value(8, 1000) < toxicity.value(9, 1000) < toxicity.value(200, 1000)
+    assert "y" * 300 + " " in toxicity.terms_of(f" {'y' * 300} ")
+    assert toxicity.fold("ԁսꜱᴛ ρіɡ 8ꞵ6 ﬁ").split()[:2] == ["dust", "pig"]
+    rows = [{0: 1} for _ in range(40)] + [{} for _ in range(40)]
+    weights, const = toxicity.fit(rows, [100] * 80, [1] * 40 + [0] * 40, 1)
+    scores = [const + weights[0] * toxicity.value(n, 1000) for n in (1, 8, 9, 200)]
+    assert scores == sorted(scores)
+    assert len(set(scores)) == 4
+
+
 def test_toxicity_is_accurate_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.op3_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out and toxic is not null")
@@ -488,6 +609,25 @@ def test_differencing_makes_near_equal_windows():
     assert packing.windows(np.array([4000]))[1] == 1
 
 
+def test_packing_keeps_documents_whole_and_pads_little(spark):
+    rows = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).toPandas()
+    loads = rows.groupby("sequence_id")["length"].sum()
+    assert loads.max() <= packing.CAPACITY
+    assert 1 - rows["length"].sum() / (len(loads) * packing.CAPACITY) < 0.02
+    whole = rows.groupby("doc_id").agg(pieces=("start", "size"), tokens=("doc_tokens", "first"), sum=("length", "sum"))
+    assert (whole["tokens"] == whole["sum"]).all()
+    assert (whole["pieces"] == -(-whole["tokens"] // packing.CAPACITY)).mean() > 0.6
+
+
+def test_many_short_documents_are_bounded_by_pieces(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 500)
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("two words")).alias("text"))
+    rows = packing.pack(docs).toPandas()
+    assert rows.groupby(rows["sequence_id"] // (1 << 31)).size().max() < 800
+    assert rows["length"].sum() == 4000 + 2000 * rows["length"].max()
+    assert sorted(rows["doc_id"]) == list(range(6000))
+
+
 def plain_sets(texts):
     out = []
     for t in texts:
