@@ -177,13 +177,12 @@ def sized_documents(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """Rows of docs (with doc_id, source and text), each as often as the mix takes it."""
-    plan = mix(sized_documents(docs), seed=seed).groupBy("doc_id", "source", "size").agg(F.array_sort(F.collect_list(F.struct("copy", "copies"))).alias("plan"))
-    plan = plan.withColumn("key", F.xxhash64("doc_id", "source", "size"))
-    rows = wrapped(docs).withColumns({"r_id": F.col("row.doc_id").cast("long"), "r_source": F.col("row.source").cast("string"), "r_size": word_count(F.col("row.text"))})
-    rows = rows.withColumn("key", F.xxhash64("r_id", "r_source", "r_size"))
-    same = Window.partitionBy("key", "r_id", "r_source", "r_size").orderBy(F.xxhash64("row"))
-    rows = rows.repartition("key").withColumn("number", F.row_number().over(same))
-    on = (rows["key"] == plan["key"]) & F.col("r_id").eqNullSafe(F.col("doc_id")) & F.col("r_source").eqNullSafe(F.col("source")) & (F.col("r_size") == F.col("size"))
-    taken = rows.join(plan, on).withColumn("copies", F.element_at("plan", F.col("number"))["copies"]).filter("copies > 0")
-    return unwrapped(taken.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs)
+    """Rows of docs (with source and text), each as often as the mix takes it. Rows are told apart by a hash
+    of all their columns; equal rows are taken as often as all of them together."""
+    rows = wrapped(docs).select("row", F.xxhash64("row").alias("unit"), F.col("row.source").cast("string").alias("unit_source"), word_count(F.col("row.text")).alias("unit_size"))
+    sized = rows.select(F.col("unit").alias("doc_id"), F.col("unit_source").alias("source"), F.col("unit_size").alias("size"))
+    plan = mix(sized, seed=seed).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies")).filter("copies > 0")
+    one = rows.dropDuplicates(["unit", "unit_source", "unit_size"])
+    on = (one["unit"] == plan["doc_id"]) & one["unit_source"].eqNullSafe(plan["source"]) & (one["unit_size"] == plan["size"])
+    taken = one.join(plan, on).withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / RUN))))
+    return unwrapped(taken.withColumn("again", F.explode(F.sequence(F.lit(1), F.least(F.lit(RUN), F.col("copies") - F.col("run") * RUN)))), docs)

@@ -15,8 +15,8 @@ similarity 0.75 share a band with probability 1 - 5e-6.
 
 Defined results: null texts and texts without words have an empty set, 0 shingles and no link; 1 to 4 words
 make one shingle; equal sets are always one group; rows without an id belong to their group but never name
-it; rows with equal ids are each given the result of their text; other columns are not read; an empty
-table gives no rows.
+it; rows with equal ids are each given the result of their text, and where one text stays of a component, equal
+ids don't make two; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerlane.llm.common import cut_lineage, hashed_words, mix64, set_id, shingles, unwrapped, wrapped
+from ledgerlane.llm.common import cut_lineage, hashed_words, mix64, salted_left, set_id, shingles, unwrapped, wrapped
 
 SAMPLES, BAND = 128, 4
 SKETCH_WORDS = 8
@@ -47,7 +47,7 @@ _RNG = np.random.default_rng(20240229)
 _MUL = (_RNG.integers(0, 1 << 32, SAMPLES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _XOR = _RNG.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32)
 
-SIGNATURE = "doc_id long, set_id string, n_shingles long, bands array<long>, " + ", ".join(f"o{i} long" for i in range(SKETCH_WORDS))
+SIGNATURE = "doc_id long, th long, set_id string, n_shingles long, bands array<long>, " + ", ".join(f"o{i} long" for i in range(SKETCH_WORDS))
 
 
 def min_hashes(hashed: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -81,7 +81,7 @@ def odd_sketches(mins: np.ndarray) -> np.ndarray:
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in SIGNATURE.split(", ")]
     for batch in batches:
-        ids = batch.column(0)
+        ids, th = batch.column(0), batch.column(2)
         for first, last, counts, hashes, _, _ in hashed_words(batch.column(1)):
             edges = np.concatenate([[0], np.cumsum(counts)])
             sets = [shingles(hashes[edges[i] : edges[i + 1]]) for i in range(last - first)]
@@ -93,13 +93,14 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i, row in zip(have.tolist(), band_keys(mins), strict=True):
                     keys[i] = row
                 sketch[have] = odd_sketches(mins)
-            columns = [ids.slice(first, last - first), pa.array([set_id(s) if len(s) else "" for s in sets], pa.string()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            columns = [ids.slice(first, last - first), th.slice(first, last - first), pa.array([set_id(s) if len(s) else "" for s in sets], pa.string()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*columns, *[pa.array(sketch[:, i]) for i in range(SKETCH_WORDS)]], names)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Set, bands and odd sketch of every text."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_signed, SIGNATURE)
+    """Set, bands and odd sketch of every text, with the text's hash."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text)).mapInArrow(_signed, SIGNATURE)
 
 
 def estimate(one: list[Column], other: list[Column]) -> Column:
@@ -169,22 +170,21 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out, pa.int64())), batch.column(1).take(pa.array(out, pa.int64()))], ["a", "b"])
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node of links (a, b): label is the smallest node that is reached. Labels
     take the neighbours' smallest and then their own label's, until nothing changes."""
     both = links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct()
     both = cut_lineage(both)
     labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
-    for _ in range(rounds):
+    changed = True
+    while changed:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
         hooked = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
         jump = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
         new = cut_lineage(hooked.join(jump, hooked["label"] == jump["_n"], "left").select("node", "old", F.least("label", F.coalesce("_l", "label")).alias("label")))
-        changed = new.filter("old <> label").limit(1).count()
+        changed = not new.filter("old <> label").isEmpty()
         labels = new.select("node", "label")
-        if not changed:
-            return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    return labels
 
 
 def _paired(rows: DataFrame, texts: DataFrame) -> DataFrame:
@@ -196,11 +196,13 @@ def _paired(rows: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame) -> DataFrame:
-    """doc_id, set_id, n_shingles, component_id and kept of every row of docs (doc_id, text)."""
+    """doc_id, th (hash of the text), set_id, n_shingles, component_id, kept and chosen of every row of docs
+    (doc_id, text). chosen: the rows of one text of each component, that of the smallest id (null last)."""
     signed = cut_lineage(signatures(docs))
     sketch = [f"o{i}" for i in range(SKETCH_WORDS)]
     grouped = signed.filter("set_id <> ''").groupBy("set_id")
-    classes = grouped.agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("n_rows"), F.first("bands").alias("bands"), *[F.first(c).alias(c) for c in sketch])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("first")
+    classes = grouped.agg(first, F.count(F.lit(1)).alias("n_rows"), F.first("bands").alias("bands"), *[F.first(c).alias(c) for c in sketch])
     classes = cut_lineage(classes.withColumn("cid", F.monotonically_increasing_id()))
 
     rows = classes.select("cid", F.explode("bands").alias("band"))
@@ -208,10 +210,10 @@ def linked(docs: DataFrame) -> DataFrame:
     slim = cut_lineage(rows.join(shared, "band"))
     company = cut_lineage(slim.groupBy("cid").agg(F.sum("n").alias("company")))
     members = cut_lineage(slim.join(classes.select("cid", *sketch), "cid"))
-    wanted = classes.join(company, "cid", "left_semi").select("cid", "rep_id", "set_id")
-    plain = docs.select(F.col("doc_id").cast("long").alias("rep_id"), F.col("text").cast("string").alias("text"))
-    texts = plain.join(wanted, plain["rep_id"].eqNullSafe(wanted["rep_id"])).select("cid", "set_id", "text")
-    texts = cut_lineage(texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["cid", "h"]))
+    wanted = classes.join(company, "cid", "left_semi").select("cid", "set_id", F.col("first.doc_id").alias("_id"), F.col("first.th").alias("_th"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    texts = plain.join(wanted, (plain["th"] == wanted["_th"]) & plain["doc_id"].eqNullSafe(wanted["_id"])).select("cid", "set_id", "text")
+    texts = cut_lineage(texts.dropDuplicates(["cid"]))
 
     def side(df: DataFrame, tag: str, *more: str) -> DataFrame:
         return df.select(F.col("band"), *[F.col(c).alias(f"{tag}_{c}") for c in ("cid", *sketch, *more)])
@@ -250,26 +252,29 @@ def linked(docs: DataFrame) -> DataFrame:
         if not later.isEmpty():
             labels = components(links.union(_paired(later, texts)))
 
-    named = classes.join(labels, classes["cid"] == labels["node"], "left").select("set_id", "rep_id", "n_rows", F.coalesce("label", "cid").alias("label"))
+    named = classes.join(labels, classes["cid"] == labels["node"], "left").select("set_id", "first", "n_rows", F.coalesce("label", "cid").alias("label"))
     named = cut_lineage(named)
-    smallest = named.groupBy("label").agg(F.min("rep_id").alias("component"))
-    found = cut_lineage(named.join(smallest, "label").select("set_id", "n_rows", "component"))
+    smallest = named.groupBy("label").agg(F.min("first").alias("best"))
+    found = cut_lineage(salted_left(named.select("set_id", "n_rows", "label"), smallest, "label").select("set_id", "n_rows", "best"))
     # classes with over a thousandth of the rows: a thousand at most, so they can be broadcast
     total = signed.count()
-    hot = found.filter(F.col("n_rows") * 1000 > total).select("set_id", F.col("component").alias("hot_component"))
-    rest = found.filter(F.col("n_rows") * 1000 <= total).select("set_id", "component")
-    out = signed.select("doc_id", "set_id", "n_shingles").join(F.broadcast(hot), "set_id", "left")
-    cool = F.when(F.col("hot_component").isNull(), F.col("set_id")).otherwise(F.concat(F.lit("-"), F.xxhash64("doc_id")))
-    out = out.withColumn("cool", cool).join(rest.withColumnRenamed("set_id", "cool"), "cool", "left")
-    component = F.when(F.col("set_id") == "", F.col("doc_id")).otherwise(F.coalesce("hot_component", "component"))
-    return out.select("doc_id", "set_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    hot = found.filter(F.col("n_rows") * 1000 > total).select("set_id", F.col("best").alias("hot_best"))
+    rest = found.filter(F.col("n_rows") * 1000 <= total).select(F.col("set_id").alias("cool"), "best")
+    out = signed.select("doc_id", "th", "set_id", "n_shingles").join(F.broadcast(hot), "set_id", "left")
+    cool = F.when(F.col("hot_best").isNull(), F.col("set_id")).otherwise(F.concat(F.lit("-"), F.xxhash64("doc_id")))
+    out = out.withColumn("cool", cool).join(rest, "cool", "left").withColumn("best", F.coalesce("hot_best", "best"))
+    alone = F.col("set_id") == ""
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id"))
+    chosen = alone | (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("th") == F.col("best.th")))
+    return out.select("doc_id", "th", "set_id", "n_shingles", component.alias("component_id"), chosen.alias("chosen")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """Rows of docs without those that have a kept near copy; of rows with equal id and text one stays."""
-    dropped = linked(docs.select("doc_id", "text")).filter(~F.col("kept")).select("doc_id").distinct()
-    rows = wrapped(docs).withColumn("doc_id", F.col("row.doc_id").cast("long")).withColumn("h", F.xxhash64("row.text"))
-    kept = rows.join(dropped, "doc_id", "left_anti")
+    """Rows of docs without those that have a kept near copy: of each component one text stays, that of the
+    smallest id, or without ids that of smallest hash. Of rows with equal id and text one stays."""
+    dropped = linked(docs.select("doc_id", "text")).filter(~F.col("chosen")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
+    rows = wrapped(docs).withColumn("doc_id", F.col("row.doc_id").cast("long")).withColumn("h", F.xxhash64(F.col("row.text").cast("string")))
+    kept = rows.join(dropped, (rows["h"] == dropped["_th"]) & rows["doc_id"].eqNullSafe(dropped["_id"]), "left_anti")
     kept = kept.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "h").orderBy(F.xxhash64("row")))).filter("n = 1")
     return unwrapped(kept, docs)
 

@@ -708,6 +708,37 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert {2, 3, 5, 6, 7, 8} <= set(ids)
 
 
+def test_one_text_of_a_component_stays_whatever_its_ids(spark):
+    rng = random.Random(14)
+    text = lambda n: " ".join(f"k{rng.randrange(10**6)}" for _ in range(n))
+    a, b, c, d = (text(200) for _ in range(4))
+    near = c + " and more"
+    rows = [(1, a, "p"), (2, a, "q"), (2, b, "r"), (2, b, "r"), (None, c, "s"), (None, near, "t"), (None, d, "u"), (None, None, "v"), (None, None, "v"), (7, "", "w"), (8, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    kept = [(r["doc_id"], r["text"]) for r in near_dup.without_copies(docs).collect()]
+    assert len(kept) == len(set(kept))
+    assert {t for _, t in kept if t in (a, b, d)} == {a, b, d}
+    assert (1, a) in kept and (2, a) not in kept and (2, b) in kept
+    assert sum(t in (c, near) for _, t in kept) == 1
+    assert {(None, None), (7, ""), (8, "")} <= set(kept)
+
+
+def test_mixed_rows_are_taken_as_planned(spark):
+    rng = random.Random(15)
+    rows = [(i if i % 5 else None, " ".join(["w"] * rng.randrange(1, 30)) if i % 7 else None, "en", rng.choice("abc"), 1) for i in range(400)] + [(9, "the same row", "en", "a", 1)] * 50
+    docs = spark.createDataFrame(rows, DOCS).withColumns({k: F.lit(v) for k, v in CLASHING.items()}).repartition(4)
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    got = out.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()
+    want = {r["source"]: r["target"] for r in mixing.targets(mixing.sized_documents(docs)).collect()}
+    assert all(abs(r["n"] - want[r["source"]]) <= 31 for r in got)
+    often = {(r["doc_id"], r["text"], r["source"]): r["n"] for r in out.groupBy("doc_id", "text", "source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    there = {}
+    for r in rows:
+        there[r[0], r[1], r[3]] = there.get((r[0], r[1], r[3]), 0) + 1
+    assert all(n <= 3 * there[k] for k, n in often.items())
+
+
 def test_shared_passages_are_found_and_cut(spark):
     rng = random.Random(3)
     word = lambda: f"v{rng.randrange(50_000)}"
