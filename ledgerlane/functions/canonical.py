@@ -6,9 +6,11 @@ import json
 from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql import types as T
+
+from ledgerlane.functions.keys import canonical_struct
 
 
 def number(x: float) -> str:
@@ -45,8 +47,21 @@ def canonical(value: object, floats: bool = True) -> str:
 def canonical_json(text: Column, floats: bool = True) -> Column:
     """UDF-1: canonical text of JSON text; null stays null, malformed text raises."""
 
-    @F.pandas_udf(StringType())
+    @F.pandas_udf(T.StringType())
     def run(t: pd.Series) -> pd.Series:
         return t.map(lambda x: None if x is None else canonical(json.loads(x), floats))
 
     return run(text)
+
+
+#: Types that Spark's own JSON writes canonically.
+_PLAIN = (T.StringType, T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def canonical_row(rows: DataFrame, names: list[str] | None = None) -> Column:
+    """Canonical JSON of a row's columns. Strings, booleans and whole numbers are written without Python;
+    a row with other types is parsed and written again."""
+    names = rows.columns if names is None else names
+    if all(isinstance(rows.schema[n].dataType, _PLAIN) for n in names):
+        return canonical_struct(**{n: F.col(f"`{n}`") for n in names})
+    return canonical_json(F.to_json(F.struct(*[F.col(f"`{n}`") for n in sorted(names)]), {"ignoreNullFields": "false"}))

@@ -9,9 +9,13 @@ from pyspark.sql.window import Window
 #: Metadata files of the documented export layout.
 CONVERSATION_FILES = {"channels.json": "channel", "groups.json": "group", "dms.json": "dm", "mpims.json": "mpim"}
 FULL_FILES, GRID_FILES = ("groups.json", "dms.json", "mpims.json"), ("org_users.json",)
+#: Files that operating systems add to folders.
 JUNK_NAMES = (".DS_Store", "Thumbs.db", "desktop.ini")
 #: Tiers that a declared plan normally gives.
 PLAN_TIERS = {"free": ("public_only",), "pro": ("public_only",), "business_plus": ("public_only", "full"), "enterprise_grid": ("public_only", "full", "grid")}
+#: What no export holds, and what one of public channels lacks besides.
+BLIND_SPOTS = ("earlier_versions_of_edits", "deleted_messages", "history_beyond_plan_or_retention", "file_contents", "canvases_lists_huddles_clips_without_files", "parts_of_shared_channels")
+PUBLIC_BLIND_SPOT = "private_channels_and_direct_messages"
 HEADER_BYTES = 30
 
 
@@ -41,8 +45,8 @@ def root_folder(entries: DataFrame, export: str, name: str = "name") -> DataFram
 
 
 def tier(metadata: DataFrame, export: str, name: str = "name", declared: str | None = None, nested: str | None = None) -> DataFrame:
-    """SCL-15: tier, whether it is confirmed, and whether the declared plan doesn't fit, from the names of an
-    export's metadata files; null where none lists conversations."""
+    """SCL-15: from the names of an export's metadata files its tier, whether it is confirmed, what warns of it
+    and what can't be in it; null where none lists conversations."""
     n = F.col(name)
     any_of = lambda names: F.bool_or(n.isin(*names))
     s = metadata.groupBy(export).agg(any_of(CONVERSATION_FILES).alias("c"), any_of(GRID_FILES).alias("g"), any_of(FULL_FILES).alias("f"), any_of(["users.json"]).alias("u"), F.first(declared).alias("plan") if declared else F.lit(None).cast("string").alias("plan"), F.bool_or(nested).alias("nested") if nested else F.lit(False).alias("nested"))
@@ -50,8 +54,11 @@ def tier(metadata: DataFrame, export: str, name: str = "name", declared: str | N
     fits = F.lit(False)
     for plan, tiers in PLAN_TIERS.items():
         fits = fits | ((F.col("plan") == plan) & t.isin(*tiers))
+    misfit = F.col("plan").isNotNull() & ~fits
     short = F.col("plan").isin("business_plus", "enterprise_grid") & (t == "public_only")
-    return s.select(export, t.alias("tier"), (t != "grid").alias("confirmed"), (~F.col("u")).alias("users_missing"), (F.col("plan").isNotNull() & (~fits | short)).alias("plan_warning"))
+    warnings = F.array_compact(F.array(F.when(t == "grid", "grid_unconfirmed"), F.when(~F.col("u"), "users_missing"), F.when(misfit, "plan_does_not_give_tier").when(short, "public_only_despite_plan")))
+    spots = F.when(t == "public_only", F.array(*[F.lit(x) for x in (*BLIND_SPOTS, PUBLIC_BLIND_SPOT)])).otherwise(F.array(*[F.lit(x) for x in BLIND_SPOTS]))
+    return s.select(export, t.alias("tier"), (t != "grid").alias("confirmed"), (~F.col("u")).alias("users_missing"), (misfit | short).alias("plan_warning"), F.when(t.isNotNull(), warnings).alias("warnings"), F.when(t.isNotNull(), spots).alias("blind_spots"))
 
 
 def conversation_type(is_im: Column, is_mpim: Column, is_private: Column, is_group: Column) -> Column:

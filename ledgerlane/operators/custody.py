@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerlane.functions.keys import canonical_struct
+from ledgerlane.operators.merkle import TASK_ROWS
+from ledgerlane.plans.shared import in_ranges
 
 GENESIS = "0" * 64
 
@@ -45,17 +47,21 @@ def build_chain(events: DataFrame, stream: str = "stream", seq: str = "seq", fie
 
 
 def verify_chain(events: DataFrame, stream: str = "stream", seq: str = "seq", fields: str = "fields") -> DataFrame:
-    """MRK-6: each event with its error (null if none). Stored links are compared with their neighbours, so
-    all events are checked at once; what comes after a stream's first gap is ``unchecked``."""
-    w = Window.partitionBy(stream).orderBy(seq)
-    e = events.withColumn("_seq", F.coalesce(F.lag(seq).over(w), F.lit(0))).withColumn("_hash", F.coalesce(F.lag("event_hash").over(w), F.lit(GENESIS)))
-    gap = F.when(F.col(seq) != F.col("_seq") + 1, F.col(seq))
-    e = e.withColumn("_gap", F.min(gap).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """MRK-6: each event with its error (null if none): what comes after a stream's first gap is ``unchecked``.
+    Each event is joined with the one before it by stream and number, so all are checked at once and a long
+    stream is spread over tasks; a number that comes twice is a gap. Of a stream only its first gap is brought
+    together."""
+    before = events.groupBy(stream, (F.col(seq) + 1).alias(seq)).agg(F.min("event_hash").alias("_hash"))
+    twice = events.groupBy(stream, seq).agg((F.count(F.lit(1)) > 1).alias("_twice"))
+    e = events.join(twice, [stream, seq]).join(before, [stream, seq], "left")
+    e = e.withColumn("_hash", F.when(F.col(seq) == 1, F.lit(GENESIS)).otherwise(F.col("_hash")))
+    gaps = e.filter(F.col("_hash").isNull() | F.col("_twice")).groupBy(stream).agg(F.min(seq).alias("_gap"))
+    e = e.join(gaps, stream, "left")
     error = (
-        F.when(F.col(seq) == F.col("_gap"), "gap").when(F.col("_gap").isNotNull(), "unchecked").when(F.col("prev_hash") != F.col("_hash"), "broken_link")
+        F.when(F.col(seq) == F.col("_gap"), "gap").when(F.col(seq) > F.col("_gap"), "unchecked").when(F.col("prev_hash") != F.col("_hash"), "broken_link")
         .when(F.col("event_hash") != event_hash(F.col("prev_hash"), F.col(fields)), "altered")
     )
-    return e.withColumn("error", error).drop("_seq", "_hash", "_gap")
+    return e.withColumn("error", error).select(*events.columns, "error")
 
 
 def verify_batches(events: DataFrame, batches: DataFrame, key: str) -> DataFrame:
@@ -77,16 +83,34 @@ def verify_anchors(anchors: DataFrame, events: DataFrame, stream: str = "stream"
     return j.select(stream, seq, error.alias("error")).filter("error is not null")
 
 
-def anchors_due(events: DataFrame, lifecycle: tuple[str, ...], every: int = 8, stream: str = "stream", seq: str = "seq", kind: str = "event_type") -> DataFrame:
+def anchors_due(events: DataFrame, lifecycle: tuple[str, ...], every: int = 8, stream: str = "stream", seq: str = "seq", kind: str = "event_type", task_rows: int = TASK_ROWS) -> DataFrame:
     """MRK-9: events at which an anchor is due: a lifecycle event, or the every-th since the last anchor.
 
     Between two lifecycle events the count restarts at the first, so places are a multiple of every within
-    each stretch and no state is carried along the stream."""
-    w = Window.partitionBy(stream).orderBy(seq)
+    each stretch. Streams of up to task_rows are counted by windows. Longer ones are cut into ranges: each
+    range counts on its own, and takes over how many events since the last lifecycle event the ranges before
+    it end with."""
     life = F.col(kind).isin(*lifecycle)
-    e = events.withColumn("_part", F.coalesce(F.sum(F.when(life, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    e = e.withColumn("_n", F.row_number().over(Window.partitionBy(stream, "_part").orderBy(seq)))
-    return e.filter(life | (F.col("_n") % every == 0)).drop("_part", "_n")
+    longest = events.groupBy(stream).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    e, keys = events.withColumn("_range", F.lit(0)), [stream, "_range"]
+    if longest > task_rows:
+        e = in_ranges(events, [stream, seq])
+    order = Window.partitionBy(*keys).orderBy(seq)
+    e = e.withColumn("_part", F.coalesce(F.sum(F.when(life, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    e = e.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(seq)))
+    if longest > task_rows:
+        # one row per stream and range: its events, and those behind its last lifecycle event (null: it has none)
+        last = F.max(F.when(life, F.col(seq)))
+        ends = e.groupBy(*keys).agg(last.alias("_last"), F.count(F.lit(1)).alias("_rows"))
+        tails = e.join(ends.select(*keys, "_last"), keys).filter(F.col(seq) > F.col("_last")).groupBy(*keys).agg(F.count(F.lit(1)).alias("_tail"))
+        ends = ends.join(tails, keys, "left").withColumn("_tail", F.when(F.col("_last").isNotNull(), F.coalesce("_tail", F.lit(0))))
+        ahead = Window.partitionBy(stream).orderBy("_range")
+        ends = ends.withColumn("_stretch", F.count("_tail").over(ahead))
+        held = Window.partitionBy(stream, "_stretch").orderBy("_range")
+        ends = ends.withColumn("_open", F.sum(F.coalesce("_tail", "_rows")).over(held))
+        ends = ends.withColumn("_carry", F.coalesce(F.lag("_open").over(ahead), F.lit(0))).select(*keys, "_carry")
+        e = e.join(ends, keys).withColumn("_n", F.when(F.col("_part") == 0, F.col("_n") + F.col("_carry")).otherwise(F.col("_n"))).drop("_carry")
+    return e.filter(life | (F.col("_n") % every == 0)).select(*events.columns)
 
 
 def chain_fold(events: DataFrame, start: str, finals: tuple[str, ...], stops: tuple[str, ...], batch: str, stream: str = "stream", seq: str = "seq", kind: str = "event_type") -> DataFrame:

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerlane.functions.canonical import canonical_row
+from ledgerlane.plans.shared import in_ranges
+
+#: Rows of one group that a window may put in one task's order.
+TASK_ROWS = 1_000_000
 EMPTY = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
@@ -18,32 +23,46 @@ def node_hash(left: Column, right: Column) -> Column:
     return F.sha2(F.concat(F.unhex(F.lit("01")), F.unhex(left), F.unhex(right)), 256)
 
 
-def roots(leaves: DataFrame, group: list[str], order: list[str], leaf: str, most: int | None = None) -> DataFrame:
+def indexed(leaves: DataFrame, group: list[str], order: list[str], most: int) -> DataFrame:
+    """leaves with their place i (from 0) in their group. Groups of up to TASK_ROWS are numbered by a window;
+    if one is larger (``most``), leaves are cut into ranges of the order, numbered there, and moved on by
+    the leaves of their group in earlier ranges, of which there is one row per group and range."""
+    if most <= TASK_ROWS:
+        return leaves.withColumn("i", (F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1).cast("long"))
+    ranges = in_ranges(leaves, [*group, *order])
+    own = Window.partitionBy(*group, "_range")
+    counts = ranges.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*group).orderBy("_range")) - F.col("_n")).drop("_n")
+    numbered = ranges.withColumn("_i", F.row_number().over(own.orderBy(*order)) - 1)
+    return numbered.join(before, [*group, "_range"]).withColumn("i", (F.col("_i") + F.col("_before")).cast("long")).drop("_i", "_before", "_range")
+
+
+def roots(leaves: DataFrame, group: list[str], order: list[str], leaf: str) -> DataFrame:
     """MRK-1: group, root and leaves of each group's leaf hashes in order.
 
     Each level pairs neighbours and lifts an odd last node, which gives the same root as splitting at the
-    largest power of two below n. A level is one aggregation by (group, pair), so no task holds a large
-    group; the number of levels comes from the largest group (or ``most``, if it is known)."""
-    n = Window.partitionBy(*group)
-    level = leaves.select(*group, (F.row_number().over(n.orderBy(*order)) - 1).cast("long").alias("i"), F.col(leaf).alias("h"), F.count(F.lit(1)).over(n).alias("leaves"))
-    if most is None:
-        most = leaves.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    largest power of two below n. A level is one aggregation by (group, pair); the number of levels comes from
+    the largest group. No task holds a large group (see ``indexed``)."""
+    sizes = leaves.groupBy(*group).agg(F.count(F.lit(1)).alias("leaves"))
+    most = sizes.agg(F.max("leaves")).first()[0] or 0
+    level = indexed(leaves.select(*group, *order, F.col(leaf).alias("h")), group, order, most).select(*group, "i", "h", F.lit(1).cast("long").alias("leaves"))
     for _ in range(max(0, most - 1).bit_length()):
         pair = F.shiftright("i", 1)
         left, right = F.max(F.when(F.col("i") % 2 == 0, F.col("h"))), F.max(F.when(F.col("i") % 2 == 1, F.col("h")))
-        level = level.groupBy(*group, pair.alias("i")).agg(left.alias("l"), right.alias("r"), F.first("leaves").alias("leaves"))
+        level = level.groupBy(*group, pair.alias("i")).agg(left.alias("l"), right.alias("r"), F.sum("leaves").alias("leaves"))
         level = level.select(*group, "i", F.when(F.col("r").isNull(), F.col("l")).otherwise(node_hash(F.col("l"), F.col("r"))).alias("h"), "leaves")
     return level.select(*group, F.col("h").alias("root"), "leaves")
 
 
 def array_root(hashes: Column) -> Column:
-    """MRK-1 for small groups: root of an array of leaf hashes, as one expression of 16 levels at most."""
+    """MRK-1 for small groups: root of an array of up to 65,536 leaf hashes, as one expression; more raise."""
 
     def up(level: Column, _: Column) -> Column:
         half = F.sequence(F.lit(0), F.floor((F.size(level) - 1) / 2).cast("int"))
         pairs = F.transform(half, lambda i: F.when(2 * i + 1 < F.size(level), node_hash(F.get(level, 2 * i), F.get(level, 2 * i + 1))).otherwise(F.get(level, 2 * i)))
         return F.when(F.size(level) <= 1, level).otherwise(pairs)
 
+    hashes = F.when(F.size(hashes) <= 1 << 16, hashes).otherwise(F.raise_error(F.lit("too many leaves for one array")).cast("array<string>"))
     return F.coalesce(F.get(F.aggregate(F.sequence(F.lit(1), F.lit(16)), hashes, up), F.lit(0)), F.lit(EMPTY))
 
 
@@ -57,9 +76,8 @@ def batch_roots(items: DataFrame, batch: list[str], key: str, content_hash: str)
 
 
 def record_roots(records: DataFrame, batch: list[str], ord_column: str, fields: list[str]) -> DataFrame:
-    """MRK-3: root over canonical JSON of fixed fields in order; ords must rise strictly."""
-    w = Window.partitionBy(*batch).orderBy(ord_column)
-    before = F.lag(ord_column).over(w)
-    json = F.to_json(F.struct(*sorted(fields)), {"ignoreNullFields": "false"})
-    sure = F.when(before >= F.col(ord_column), F.raise_error(F.lit("ord does not rise")).cast("string")).otherwise(json)
-    return roots(records.withColumn("_leaf", leaf_hash(sure)), batch, [ord_column], "_leaf")
+    """MRK-3: root over canonical JSON (RFC 8785) of fixed fields in order; an ord that comes twice raises."""
+    json = canonical_row(records, fields)
+    sure = F.when(F.col("_n") > 1, F.raise_error(F.lit("ord comes twice")).cast("string")).otherwise(F.col("_json"))
+    once = records.withColumn("_json", json).groupBy(*batch, ord_column).agg(F.count(F.lit(1)).alias("_n"), F.first("_json").alias("_json"))
+    return roots(once.withColumn("_leaf", leaf_hash(sure)), batch, [ord_column], "_leaf")

@@ -19,7 +19,7 @@ MESSAGE = (
 MEMBER = "id STRING, name STRING, real_name STRING, deleted BOOLEAN, is_bot BOOLEAN, team_id STRING, profile STRUCT<display_name: STRING, real_name: STRING, email: STRING, avatar_hash: STRING, title: STRING>"
 CONVERSATION = (
     "id STRING, name STRING, is_im BOOLEAN, is_mpim BOOLEAN, is_private BOOLEAN, is_group BOOLEAN, is_archived BOOLEAN, is_shared BOOLEAN, is_ext_shared BOOLEAN, "
-    "topic STRUCT<value: STRING>, purpose STRUCT<value: STRING>, members ARRAY<STRING>, context_team_id STRING, team_id STRING"
+    "topic STRUCT<value: STRING>, purpose STRUCT<value: STRING>, members ARRAY<STRING>, context_team_id STRING, team_id STRING, team STRING"
 )
 
 

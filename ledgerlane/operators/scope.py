@@ -48,16 +48,33 @@ def enumerate_units(day_files: DataFrame, conversations: DataFrame, scope_from,
 
 
 def effective_scope(units: DataFrame, scopes: DataFrame) -> DataFrame:
-    """JON-3: for each covered unit, the merged range of its scopes that holds its day, and the most
-    inclusive thread policy of the scopes that cover it."""
+    """JON-3: the collection range and thread policy of every unit (unit_key, conversation_id, day).
+
+    The policy is the most inclusive one of the scopes that cover the unit, or of all scopes if none does. The
+    ranges are those of the scopes that cover any unit of its conversation, merged; without such a scope those
+    of the scopes that give its policy. The unit's own range is the first of them that touches its day, or from
+    the first's beginning to the last's end. scopes: how many cover the unit. Scopes are those of one job, so
+    their merged ranges fit in a row."""
     rank = F.array_position(F.array(*[F.lit(p) for p in POLICIES]), F.col("thread_parent_policy"))
-    covered = coverage(units, scopes).join(scopes.withColumn("_rank", rank), "scope_id")
+    ranked = scopes.withColumn("_rank", rank)
+    covered = coverage(units, scopes).join(ranked.select("scope_id", "_rank", "thread_parent_policy", "date_from", "date_to"), "scope_id")
     policy = covered.groupBy("unit_key").agg(F.max_by("thread_parent_policy", "_rank").alias("policy"), F.count(F.lit(1)).alias("scopes"))
-    ranges = merge_intervals(covered.select("unit_key", "date_from", "date_to"), ["unit_key"], "date_from", "date_to")
-    day = units.select("unit_key", "day")
-    held = ranges.join(day, "unit_key").filter((F.col("date_from") < F.date_add("day", 1).cast("timestamp")) & (F.col("date_to") > F.col("day").cast("timestamp")))
-    first = held.groupBy("unit_key").agg(F.min(F.struct("date_from", "date_to")).alias("r"))
-    return first.join(policy, "unit_key").select("unit_key", "r.date_from", "r.date_to", "policy", "scopes")
+
+    def merged(rows: DataFrame, keys: list[str]) -> DataFrame:
+        ranges = merge_intervals(rows, keys, "date_from", "date_to")
+        return ranges.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("date_from", "date_to"))).alias("ranges"))
+
+    own = covered.join(units.select("unit_key", "conversation_id"), "unit_key").select("conversation_id", "scope_id", "date_from", "date_to").distinct()
+    every = merged(scopes.select(F.lit(0).alias("_job"), "date_from", "date_to"), ["_job"])
+    fallback = ranked.select(F.lit(0).alias("_job"), "thread_parent_policy", "_rank").groupBy("_job").agg(F.max_by("thread_parent_policy", "_rank").alias("_policy"))
+    fallback = every.withColumnRenamed("ranges", "_ranges").join(fallback, "_job")
+    rows = units.select("unit_key", "conversation_id", "day").join(policy, "unit_key", "left").join(merged(own, ["conversation_id"]), "conversation_id", "left").withColumn("_job", F.lit(0))
+    rows = rows.join(F.broadcast(fallback), "_job").withColumn("_r", F.coalesce("ranges", "_ranges"))  # one row
+    start, end = F.col("day").cast("timestamp"), F.date_add("day", 1).cast("timestamp")
+    touching = F.get(F.filter("_r", lambda r: (r["date_from"] < end) & (r["date_to"] > start)), F.lit(0))
+    whole = F.struct(F.get("_r", F.lit(0))["date_from"].alias("date_from"), F.element_at("_r", -1)["date_to"].alias("date_to"))
+    out = rows.withColumn("_own", F.coalesce(touching, whole))
+    return out.select("unit_key", F.col("_own.date_from").alias("date_from"), F.col("_own.date_to").alias("date_to"), F.coalesce("policy", "_policy").alias("policy"), F.coalesce("scopes", F.lit(0)).cast("long").alias("scopes"), F.col("_r").alias("ranges"))
 
 
 def scope_index(scopes: DataFrame, job: str, order: list[str]) -> DataFrame:

@@ -146,12 +146,12 @@ def snk6(spark, sf):
     return X.new_links(m, m.filter("event_id % 2 = 0"), ["unit_key", "author"]).select("unit_key", "author")
 
 
-_LANES = ", ".join(f"sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)) AS s{i}" for i in range(8))
-_CARRY = "c7 AS (SELECT *, s7 AS t7 FROM lanes)" + "".join(f", c{i} AS (SELECT *, s{i} + t{i + 1} // 4294967296 AS t{i} FROM c{i + 1})" for i in range(6, -1, -1))
-_HEX = " || ".join(f"lpad(lower(to_hex(CAST(t{i} % 4294967296 AS BIGINT))), 8, '0')" for i in range(8))
+LANES = ", ".join(f"sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)) AS s{i}" for i in range(8))
+CARRY = "c7 AS (SELECT *, s7 AS t7 FROM lanes)" + "".join(f", c{i} AS (SELECT *, s{i} + t{i + 1} // 4294967296 AS t{i} FROM c{i + 1})" for i in range(6, -1, -1))
+HEX = " || ".join(f"lpad(lower(to_hex(CAST(t{i} % 4294967296 AS BIGINT))), 8, '0')" for i in range(8))
 
 
-@register("agg6_multiset_digest", f"WITH {V.MSG}, v AS (SELECT conversation_id, sha256(subject) AS h FROM msg), lanes AS (SELECT conversation_id, count(*) AS n, {_LANES} FROM v GROUP BY conversation_id), {_CARRY} SELECT conversation_id, n AS rows, {_HEX} AS digest FROM c0")
+@register("agg6_multiset_digest", f"WITH {V.MSG}, v AS (SELECT conversation_id, sha256(subject) AS h FROM msg), lanes AS (SELECT conversation_id, count(*) AS n, {LANES} FROM v GROUP BY conversation_id), {CARRY} SELECT conversation_id, n AS rows, {HEX} AS digest FROM c0")
 def agg6(spark, sf):
     return D.multiset_digest(V.msg(spark, sf), ["conversation_id"], F.col("subject"))
 

@@ -33,13 +33,24 @@ def jon2(spark, sf):
     return S.coverage(_unit_days(spark, sf), _scopes(spark, sf))
 
 
-@register("jon3_effective_scope", f"""WITH {V.MSG}, {_SCOPES}, r AS (SELECT c.unit_key, s.date_from, s.date_to, max(s.date_to) OVER (PARTITION BY c.unit_key ORDER BY s.date_from, s.date_to ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM cov c JOIN scopes s USING (scope_id)),
-i AS (SELECT *, sum(CASE WHEN date_from <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY unit_key ORDER BY date_from, date_to) AS island FROM r), m AS (SELECT unit_key, min(date_from) AS date_from, max(date_to) AS date_to FROM i GROUP BY unit_key, island),
-h AS (SELECT m.unit_key, min(m.date_from) AS date_from, arg_min(m.date_to, m.date_from) AS date_to FROM m JOIN u USING (unit_key) WHERE m.date_from < u.day + INTERVAL 1 DAY AND m.date_to > u.day GROUP BY 1), p AS (SELECT c.unit_key, ['none', 'parent', 'thread'][CAST(max(s.prank) AS INTEGER) + 1] AS policy, count(*) AS scopes FROM cov c JOIN scopes s USING (scope_id) GROUP BY 1)
-SELECT unit_key, CAST(h.date_from AS VARCHAR) AS date_from, CAST(h.date_to AS VARCHAR) AS date_to, p.policy, p.scopes FROM h JOIN p USING (unit_key)""")
+@register("jon3_effective_scope", f"""WITH {V.MSG}, {_SCOPES},
+own AS (SELECT DISTINCT u.conversation_id, c.scope_id FROM cov c JOIN u USING (unit_key)),
+applying AS (SELECT conversation_id, scope_id FROM own
+  UNION ALL SELECT DISTINCT u.conversation_id, s.scope_id FROM u, scopes s WHERE u.conversation_id NOT IN (SELECT conversation_id FROM own)),
+r AS (SELECT a.conversation_id, s.date_from, s.date_to, max(s.date_to) OVER (PARTITION BY a.conversation_id ORDER BY s.date_from, s.date_to ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+  FROM applying a JOIN scopes s USING (scope_id)),
+i AS (SELECT *, sum(CASE WHEN date_from <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY conversation_id ORDER BY date_from, date_to) AS island FROM r),
+m AS (SELECT conversation_id, min(date_from) AS date_from, max(date_to) AS date_to FROM i GROUP BY conversation_id, island),
+whole AS (SELECT conversation_id, min(date_from) AS a, max(date_to) AS b, count(*) AS ranges FROM m GROUP BY 1),
+h AS (SELECT u.unit_key, min(m.date_from) AS date_from, arg_min(m.date_to, m.date_from) AS date_to FROM m JOIN u USING (conversation_id)
+  WHERE m.date_from < u.day + INTERVAL 1 DAY AND m.date_to > u.day GROUP BY 1),
+p AS (SELECT c.unit_key, max(s.prank) AS rank, count(*) AS scopes FROM cov c JOIN scopes s USING (scope_id) GROUP BY 1)
+SELECT u.unit_key, CAST(coalesce(h.date_from, w.a) AS VARCHAR) AS date_from, CAST(coalesce(h.date_to, w.b) AS VARCHAR) AS date_to,
+  ['none', 'parent', 'thread'][CAST(coalesce(p.rank, (SELECT max(prank) FROM scopes)) AS INTEGER) + 1] AS policy, coalesce(p.scopes, 0) AS scopes, w.ranges
+FROM u JOIN whole w USING (conversation_id) LEFT JOIN h ON h.unit_key = u.unit_key LEFT JOIN p ON p.unit_key = u.unit_key""")
 def jon3(spark, sf):
     e = S.effective_scope(_unit_days(spark, sf), _scopes(spark, sf))
-    return e.withColumns({"date_from": F.col("date_from").cast("string"), "date_to": F.col("date_to").cast("string")})
+    return e.withColumns({"date_from": F.col("date_from").cast("string"), "date_to": F.col("date_to").cast("string"), "ranges": F.size("ranges").cast("long")})
 
 
 @register("win6_merge_intervals", f"""WITH {V.MSG}, {_SCOPES}, r AS (SELECT *, max(date_to) OVER (PARTITION BY external_id ORDER BY date_from, date_to ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM scopes), i AS (SELECT *, sum(CASE WHEN date_from <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY external_id ORDER BY date_from, date_to) AS island FROM r)
@@ -196,9 +207,16 @@ def scl16(spark, sf):
     return A.root_folder(f.withColumn("name", n), "export_id")
 
 
-@register("scl15_tier", f"WITH {_FILES} SELECT export_id, CASE WHEN NOT bool_or(name IN ('channels.json', 'groups.json', 'dms.json', 'mpims.json')) THEN NULL WHEN bool_or(name IN ('groups.json', 'dms.json', 'mpims.json')) THEN 'full' ELSE 'public_only' END AS tier, NOT bool_or(name = 'users.json') AS users_missing FROM cls WHERE kind = 'metadata' AND idx % 200 <> 50 GROUP BY export_id")
+@register("scl15_tier", f"""WITH {_FILES}, g AS (SELECT export_id, bool_or(name IN ('channels.json', 'groups.json', 'dms.json', 'mpims.json')) AS c, bool_or(name IN ('groups.json', 'dms.json', 'mpims.json')) AS f,
+  bool_or(name = 'users.json') AS u, CASE export_id WHEN 'E1' THEN 'pro' WHEN 'E2' THEN 'business_plus' WHEN 'E3' THEN 'free' END AS plan FROM cls WHERE kind = 'metadata' AND idx % 200 <> 50 GROUP BY export_id),
+t AS (SELECT *, CASE WHEN NOT c THEN NULL WHEN f THEN 'full' ELSE 'public_only' END AS tier FROM g)
+SELECT export_id, tier, NOT u AS users_missing, CASE WHEN tier IS NULL THEN NULL ELSE array_to_string(list_filter([
+  CASE WHEN NOT u THEN 'users_missing' END, CASE WHEN plan IN ('pro', 'free') AND tier <> 'public_only' THEN 'plan_does_not_give_tier' WHEN plan = 'business_plus' AND tier = 'public_only' THEN 'public_only_despite_plan' END], lambda x: x IS NOT NULL), ',') END AS warnings,
+  CASE WHEN tier IS NULL THEN NULL WHEN tier = 'public_only' THEN 7 ELSE 6 END AS blind_spots FROM t""")
 def scl15(spark, sf):
-    return A.tier(_files(spark, sf).filter("kind = 'metadata' and idx % 200 <> 50"), "export_id").select("export_id", "tier", "users_missing")
+    plan = F.expr("CASE export_id WHEN 'E1' THEN 'pro' WHEN 'E2' THEN 'business_plus' WHEN 'E3' THEN 'free' END")
+    t = A.tier(_files(spark, sf).filter("kind = 'metadata' and idx % 200 <> 50").withColumn("plan", plan), "export_id", declared="plan")
+    return t.select("export_id", "tier", "users_missing", F.array_join("warnings", ",").alias("warnings"), F.size("blind_spots").alias("blind_spots"))
 
 
 @register("jon10_thread_roots", f"WITH {V.MSG} SELECT r.event_id, r.root_id AS root_ts, p.event_id IS NULL AS root_missing, CAST(p.day AS VARCHAR) AS root_day FROM msg r LEFT JOIN msg p ON p.conversation_id = r.conversation_id AND p.event_id = r.root_id WHERE r.root_id IS NOT NULL")
@@ -396,7 +414,7 @@ def set5(spark, sf):
 
 @register("jon20_held", "SELECT c_custkey AS id, c_custkey % 41 = 0 OR n_nationkey % 7 = 0 OR n_regionkey = 3 AS held FROM customer JOIN nation ON n_nationkey = c_nationkey")
 def jon20(spark, sf):
-    c = V.read(spark, sf, "customer").join(F.broadcast(V.read(spark, sf, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))
+    c = V.read(spark, sf, "customer").join(V.read(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
     name = lambda p, x: F.concat(F.lit(p), F.col(x).cast("string"))
     rows = c.select(F.col("c_custkey").alias("id"), name("m", "c_custkey").alias("matter"), name("c", "n_nationkey").alias("client"), name("t", "n_regionkey").alias("tenant"))
     holds = rows.filter("id % 41 = 0").select(F.col("matter").alias("scope_id")).union(c.filter("n_nationkey % 7 = 0").select(name("c", "n_nationkey"))).union(c.filter("n_regionkey = 3").select(name("t", "n_regionkey")))
@@ -405,7 +423,7 @@ def jon20(spark, sf):
 
 @register("jon19_visible_jobs", "SELECT o_orderkey AS id FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_custkey % 53 = 0 OR c_nationkey = 4 OR n_regionkey = 2")
 def jon19(spark, sf):
-    c = V.read(spark, sf, "customer").join(F.broadcast(V.read(spark, sf, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))
+    c = V.read(spark, sf, "customer").join(V.read(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
     rows = V.read(spark, sf, "orders").join(c, F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("matter"), F.col("c_nationkey").alias("client"), F.col("n_regionkey").alias("tenant"))
     give = lambda t, x, cond: c.filter(cond).select(F.lit(t).alias("scope_type"), F.col(x).cast("string").alias("scope_id"))
     a = give("matter", "c_custkey", "c_custkey % 53 = 0").union(give("client", "c_nationkey", "c_nationkey = 4")).union(give("tenant", "n_regionkey", "n_regionkey = 2")).withColumn("revoked_at", F.lit(None).cast("timestamp"))
@@ -515,9 +533,18 @@ def scl11(spark, sf):
     return V.read(spark, sf, "documents").select("doc_id", F.md5(T.redact(F.col("text"))).alias("redacted"))
 
 
-@register("scl12_reveal_invisible", "SELECT doc_id, md5(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '[CTRL]', 'g')) AS revealed FROM documents")
+#: One character of each kind that is revealed, added to texts by their ids.
+_REVEALED = (0x61C, 0x85, 0xFDD0, 0xAD, 0x2028, 0x1FFFE, 0x200B, 0x2069, 0x41)
+
+
+@register("scl12_reveal_invisible", rf"""WITH t AS (SELECT doc_id, text || chr([{", ".join(map(str, _REVEALED))}][CAST(doc_id % {len(_REVEALED)} AS INTEGER) + 1]) || 'z' AS t FROM documents),
+c AS (SELECT doc_id, t, regexp_extract_all(t, '(?s).') AS cs FROM t)
+SELECT doc_id, md5(CASE WHEN t IS NULL THEN NULL ELSE array_to_string(list_transform(cs, lambda x: CASE
+  WHEN regexp_matches(x, '[\x{{61C}}\x{{200E}}\x{{200F}}\x{{202A}}-\x{{202E}}\x{{2066}}-\x{{2069}}\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{{9F}}\x{{FDD0}}-\x{{FDEF}}]') OR unicode(x) % 65536 >= 65534 THEN printf('[U+%04X]', unicode(x))
+  WHEN regexp_matches(x, '[\p{{Cf}}\p{{Zl}}\p{{Zp}}\t\n\r]') THEN x || printf('[U+%04X]', unicode(x)) ELSE x END), '') END) AS revealed FROM c""")
 def scl12(spark, sf):
-    return V.read(spark, sf, "documents").select("doc_id", F.md5(T.reveal_invisible(F.col("text"))).alias("revealed"))
+    added = F.element_at(F.array(*[F.lit(chr(c)) for c in _REVEALED]), (F.col("doc_id") % len(_REVEALED) + 1).cast("int"))
+    return V.read(spark, sf, "documents").select("doc_id", F.md5(T.reveal_invisible(F.concat("text", added, F.lit("z")))).alias("revealed"))
 
 
 @register("scl10_search_key")
@@ -532,9 +559,20 @@ def scl14(spark, sf):
     return V.read(spark, sf, "orders").select("o_orderkey", a.alias("error_type"), b.alias("error_message"))
 
 
-@register("scl18_attachment_names", "SELECT doc_id, 'F' || doc_id || '_' || regexp_replace(substr(regexp_replace(substr(lang || '/' || source || ': report', 1, 60), '[/:]', '_', 'g'), 1, 100), '^[ .]+|[ .]+$', '', 'g') || '.txt' AS name FROM documents")
+_NAMES = """n AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN lang || '/' || source || ': report.txt' WHEN 1 THEN 'e' || chr(769) || 'tude ' || source || '.' || repeat('x', 16)
+  WHEN 2 THEN 'draft.' || repeat('y', 17) WHEN 3 THEN ' ..' || repeat(source, 60) || '.pdf ' ELSE 'a' || chr(8238) || 'b?.' END AS o FROM documents),
+s AS (SELECT doc_id, regexp_replace(regexp_replace(nfc_normalize(o), '[/\\\\<>:"|?*\\p{C}]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g') AS s FROM n),
+e AS (SELECT doc_id, s, regexp_extract(s, '^.+\\.([^.]*)$', 1) AS ext FROM s),
+x AS (SELECT doc_id, CASE WHEN ext <> '' AND strlen(ext) <= 16 THEN substr(s, 1, length(s) - length(ext) - 1) ELSE s END AS stem, CASE WHEN ext <> '' AND strlen(ext) <= 16 THEN '.' || ext ELSE '' END AS suffix FROM e)"""
+
+
+@register("scl18_attachment_names", f"WITH {_NAMES} SELECT doc_id, 'F' || doc_id || '_' || CASE WHEN strlen(stem) > 200 - strlen('F' || doc_id || '_' || suffix) THEN substr(stem, 1, CAST(200 - strlen('F' || doc_id || '_' || suffix) AS BIGINT)) ELSE stem END || suffix AS name FROM x")
 def scl18(spark, sf):
-    name = F.concat("lang", F.lit("/"), "source", F.lit(": report.txt"))
+    i = F.col("doc_id") % 5
+    name = (
+        F.when(i == 0, F.concat("lang", F.lit("/"), "source", F.lit(": report.txt"))).when(i == 1, F.concat(F.lit("étude "), "source", F.lit("." + "x" * 16))).when(i == 2, "draft." + "y" * 17)
+        .when(i == 3, F.concat(F.lit(" .."), F.repeat("source", 60), F.lit(".pdf "))).otherwise("a‮b?.")
+    )
     return V.read(spark, sf, "documents").select("doc_id", T.attachment_name(F.concat(F.lit("F"), F.col("doc_id").cast("string")), name).alias("name"))
 
 

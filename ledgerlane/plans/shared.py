@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -24,9 +26,18 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def shared_base(spark: SparkSession) -> str:
+    """The cluster's shared folder, spark.checkpoint.dir. Only a session on this machine alone, as in tests, may
+    go without that setting; it gets a folder of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return base or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; without that setting (as in tests) below /tmp."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new folder below shared_base."""
+    base = shared_base(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -38,6 +49,12 @@ def materialized(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def in_ranges(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows, cut into ranges of an order, with the number of their range in ``_range``."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialized(materialized(rows).repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
+
+
 def _served(spark: SparkSession, path: str):
     """A path and the file system that serves it."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -11,6 +11,7 @@ from ledgerlane.operators import package as P
 from ledgerlane.operators import versions as X
 from ledgerlane.operators.registry import register
 from ledgerlane.plans import views as V
+from ledgerlane.plans.custody_queries import CARRY, HEX, LANES
 from ledgerlane.plans.custody_queries import _built
 from ledgerlane.plans.shared import materialized, shared_folder
 from ledgerlane.sinks import files as W
@@ -86,9 +87,23 @@ def _conversations(spark, sf):
     return c.groupBy(F.floor(k / 50).alias("page"), F.element_at(F.array(F.lit("channel"), F.lit("dm")), (k % 2 + 1).cast("int")).alias("kind")).agg(F.array_sort(F.collect_list(s)).alias("c")).select("page", "kind", F.to_json("c").alias("value"))
 
 
-@register("src4_conversation_metadata", "SELECT 'C' || c_custkey AS conversation_id, CASE WHEN c_custkey % 2 = 0 THEN 'channel' ELSE 'dm' END AS kind, CASE WHEN c_custkey % 2 = 1 OR c_custkey % 5 = 0 THEN 'C' || c_custkey ELSE c_name END AS folder, 'T' || c_nationkey AS team_id, false AS refused FROM customer")
+@register("src4_conversation_metadata", r"""WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'channel' ELSE 'dm' END AS kind, 'C' || c_custkey AS id,
+  CASE WHEN c_custkey % 5 <> 0 THEN c_name END AS name, 'T' || c_nationkey AS team FROM customer),
+m AS (SELECT *, k % 17 = 0 AS bad_id, k % 19 = 0 AS bad_team, CASE WHEN k % 23 = 0 THEN 'x/' || name WHEN k % 29 = 0 THEN name || chr(65533) ELSE name END AS shown FROM c WHERE k % 31 <> 0)
+SELECT CASE WHEN bad_id THEN 'lone-surrogate:' || array_to_string(list_transform(regexp_extract_all(id, '.'), lambda x: printf('%04x', unicode(x))), '.') || '.d83d' ELSE id END AS conversation_id, kind,
+  CASE WHEN kind = 'dm' THEN id || CASE WHEN bad_id THEN chr(65533) ELSE '' END ELSE shown END AS folder, CASE WHEN NOT bad_team THEN team END AS team_id,
+  CASE WHEN bad_id THEN 'conversation_id_lone_surrogate' WHEN bad_team THEN 'team_id_lone_surrogate' END AS refused
+FROM m WHERE kind = 'dm' OR (shown IS NOT NULL AND NOT contains(shown, '/'))""")
 def src4(spark, sf):
-    return R.conversation_metadata(_conversations(spark, sf)).select("conversation_id", "kind", "folder", "team_id", "refused")
+    # ids, teams and names with half a surrogate pair, folders with a slash, and elements without an id
+    c = V.read(spark, sf, "customer")
+    k = F.col("c_custkey")
+    half = lambda x, n: F.concat(x, F.when(k % n == 0, F.lit("\\ud83d")).otherwise(""))
+    name = F.when(k % 23 == 0, F.concat(F.lit("x/"), "c_name")).otherwise(half(F.col("c_name"), 29))
+    s = F.struct(F.when(k % 31 != 0, half(F.concat(F.lit("C"), k.cast("string")), 17)).alias("id"), F.when(k % 5 != 0, name).alias("name"), F.lit("").alias("context_team_id"), half(F.concat(F.lit("T"), F.col("c_nationkey").cast("string")), 19).alias("team_id"))
+    pages = c.groupBy(F.floor(k / 50).alias("page"), F.element_at(F.array(F.lit("channel"), F.lit("dm")), (k % 2 + 1).cast("int")).alias("kind")).agg(F.array_sort(F.collect_list(s)).alias("c"))
+    raw = pages.select("page", "kind", F.replace(F.to_json("c"), F.lit("\\\\ud83d"), F.lit("\\ud83d")).alias("value"))
+    return R.conversation_metadata(raw).select("conversation_id", "kind", "folder", "team_id", "refused")
 
 
 @register("prj4_conversations", "SELECT 'C' || c_custkey AS conversation_id, CASE WHEN c_custkey % 7 = 0 THEN 'im' WHEN c_custkey % 3 = 0 THEN 'private_channel' ELSE 'public_channel' END AS type, coalesce(c_mktsegment, '') AS topic, array_to_string(list_sort(['U' || (c_custkey % 9), 'U' || (c_custkey % 4)]), ',') AS members, c_custkey % 10 = 0 AS archived FROM customer")
@@ -102,10 +117,11 @@ def src6(spark, sf):
     return R.custody_log(V.chain(spark, sf), "S3", ("job_paused", "job_resumed")).select("seq", "event_type", "actor")
 
 
-@register("snk1_jsonl_digest", f"WITH {V.MSG} SELECT count(*) AS rows, CAST(sum(strlen('{{\"event_id\":' || event_id || ',\"text\":\"' || text || '\"}}') + 1) AS BIGINT) AS bytes FROM msg")
+@register("snk1_jsonl_digest", f"""WITH {V.MSG}, v AS (SELECT '{{"event_id":' || event_id || ',"half":' || CASE WHEN event_id % 2 = 0 THEN CAST(event_id // 2 AS VARCHAR) ELSE event_id // 2 || '.5' END || ',"text":"' || text || '"}}' AS line FROM msg),
+h AS (SELECT line, sha256(line) AS h FROM v), lanes AS (SELECT count(*) AS n, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes, {LANES} FROM h), {CARRY} SELECT n AS rows, bytes, {HEX} AS digest FROM c0""")
 def snk1(spark, sf):
-    m = V.msg(spark, sf).select("event_id", "text")
-    return W.write_jsonl(m, f"{shared_folder(spark, 'jsonl')}/messages.jsonl", ["event_id"]).select("rows", "bytes")
+    m = V.msg(spark, sf).select("event_id", "text", (F.col("event_id") / 2).alias("half"))
+    return W.write_jsonl(m, f"{shared_folder(spark, 'jsonl')}/messages.jsonl", ["event_id"])
 
 
 @register("snk2_report_files", f"WITH {V.UNITS}, o AS (SELECT count(*) AS n FROM events WHERE event_type = 'click') SELECT 'units' AS file, count(*) AS rows FROM units UNION ALL SELECT 'conversations', count(DISTINCT conversation_id) FROM conv_units UNION ALL SELECT 'observations', n FROM o")

@@ -5,19 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlane.functions.canonical import canonical_row
 from ledgerlane.operators.digest import carried, lane_sums
 
 
-def json_lines(rows: DataFrame) -> Column:
-    """A row as canonical JSON: names in order, nulls kept."""
-    return F.to_json(F.struct(*[f"`{c}`" for c in sorted(rows.columns)]), {"ignoreNullFields": "false"})
-
-
 def write_jsonl(rows: DataFrame, path: str, order: list) -> DataFrame:
     """SNK-1: sorted JSON lines, range-partitioned so that part files follow the order; rows, bytes and an
     order-independent digest of the lines, from what was written."""
     spark = rows.sparkSession
-    lines = rows.select(json_lines(rows).alias("value"), *[c.alias(f"_o{i}") if isinstance(c, Column) else F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    lines = rows.select(canonical_row(rows).alias("value"), *[c.alias(f"_o{i}") if isinstance(c, Column) else F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
     lines.orderBy(*[f"_o{i}" for i in range(len(order))]).select("value").write.mode("overwrite").text(path)
     back = spark.read.text(path)
     sums = back.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0)).alias("bytes"), *lane_sums(F.sha2("value", 256)))

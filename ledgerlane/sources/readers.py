@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlane.functions import text as T
 from ledgerlane.functions.keys import json_path
 from ledgerlane.operators.normalize import CONVERSATION, MEMBER, MESSAGE
 from ledgerlane.plans.shared import is_folder
@@ -82,11 +83,27 @@ def archive_listing(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, LISTING)
 
 
+#: Why a conversation's messages can't be collected, and the beginning of a stand-in id.
+REFUSED_ID, REFUSED_TEAM, STAND_IN = "conversation_id_lone_surrogate", "team_id_lone_surrogate", "lone-surrogate:"
+
+
 def conversation_metadata(files: DataFrame, value: str = "value", kind: str = "kind") -> DataFrame:
-    """SRC-4: conversations of metadata files (value, kind): id, kind, folder (its name, or id), team."""
-    rows = files.withColumn("_c", _strict(F.col(value), f"array<struct<{_nested(CONVERSATION)}>>")).select(kind, F.posexplode("_c").alias("idx", "c"))
-    folder = F.when(F.col(kind).isin("dm",), F.col("c.id")).otherwise(F.coalesce("c.name", "c.id"))
-    return rows.select(F.col("c.id").alias("conversation_id"), kind, folder.alias("folder"), F.col("c.name").alias("name"), F.coalesce("c.context_team_id", "c.team_id").alias("team_id"), "idx", F.col("c.id").isNull().alias("refused"))
+    """SRC-4: conversations of metadata files (value, kind): id, kind, folder (its name; of dms the id), team.
+
+    Elements without an id, or whose folder is missing or no plain name, are left out. Half a surrogate pair in
+    a name becomes U+FFFD; one in an id or team makes the conversation ``refused`` (why), under a stand-in id."""
+    marked = T.make_valid(F.col(value), f"{T.HALF}$2")
+    rows = files.withColumn("_c", _strict(marked, f"array<struct<{_nested(CONVERSATION)}>>")).select(kind, F.posexplode("_c").alias("idx", "c"))
+    cid, half = F.col("c.id"), F.lit(T.HALF)
+    folder = T.without_halves(F.when(F.col(kind) == "dm", cid).otherwise(F.col("c.name")))
+    plain = (folder != "") & ~F.contains(folder, F.lit("/")) & ~folder.isin(".", "..")
+    usable = [F.when((F.col(f"c.{f}") != "") & ~F.contains(F.col(f"c.{f}"), F.lit("/")), F.col(f"c.{f}")) for f in ("context_team_id", "team_id", "team")]
+    team = F.coalesce(*usable)
+    refused = F.when(F.contains(cid, half), REFUSED_ID).when(F.contains(team, half), REFUSED_TEAM)
+    return rows.filter((cid != "") & plain).select(
+        F.when(F.contains(cid, half), F.concat(F.lit(STAND_IN), T.code_units(cid))).otherwise(cid).alias("conversation_id"), kind, folder.alias("folder"), T.without_halves(F.col("c.name")).alias("name"),
+        F.when(~F.contains(team, half), team).alias("team_id"), "idx", refused.alias("refused"),
+    )
 
 
 def directory_members(pages: DataFrame, value: str = "value") -> DataFrame:

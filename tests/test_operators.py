@@ -3,7 +3,9 @@
 import datetime as dt
 import hashlib
 import json
+import random
 import zipfile
+from datetime import date, datetime
 
 import pytest
 from hypothesis import given, settings
@@ -264,3 +266,79 @@ def test_every_unit_has_its_place(spark):
     assert sorted(r["place"] for r in got) == list(range(1, len(got) + 1))
     rows = spark.createDataFrame([(f"k{i * 7919 % 3000:04d}",) for i in range(3000)], "k string").repartition(5)
     assert {(r["k"], r["place"]) for r in reconcile.unit_order(rows, [F.col("k")]).collect()} == {(f"k{i:04d}", i + 1) for i in range(3000)}
+
+
+def test_long_groups_are_cut_into_ranges(spark, monkeypatch):
+    rows = [(g, i, hashlib.sha256(bytes([g, i % 256])).hexdigest()) for g, n in ((0, 1), (1, 90), (2, 400)) for i in range(n)]
+    leaves = spark.createDataFrame(rows, "g int, i int, h string").repartition(5)
+    whole = sorted(tuple(r) for r in merkle.roots(leaves, ["g"], ["i"], "h").collect())
+    monkeypatch.setattr(merkle, "TASK_ROWS", 50)
+    assert sorted(tuple(r) for r in merkle.roots(leaves, ["g"], ["i"], "h").collect()) == whole
+    assert [n for _, _, n in whole] == [1, 90, 400]
+
+
+def test_anchors_of_long_streams_are_those_of_short_ones(spark):
+    rng = random.Random(5)
+    for share in (0.0, 0.02, 0.2):
+        rows = [(s, i + 1, "stop" if rng.random() < share else "item") for s, n in (("a", 500), ("b", 70), ("c", 1)) for i in range(n)]
+        events = spark.createDataFrame(rows, "stream string, seq long, event_type string").repartition(5)
+        want, since = [], {}
+        for stream, seq, kind in rows:
+            since[stream] = 0 if kind == "stop" else since.get(stream, 0) + 1
+            if kind == "stop" or since[stream] % 8 == 0:
+                want.append((stream, seq))
+        for most in (1_000_000, 40):
+            got = custody.anchors_due(events, ("stop",), task_rows=most)
+            assert got.columns == events.columns
+            assert sorted((r["stream"], r["seq"]) for r in got.collect()) == want
+
+
+def test_chain_errors_are_found_wherever_they_stand(spark):
+    made = custody.build_chain(spark.createDataFrame([(s, i, f"{s}{i}") for s in "ab" for i in range(1, 31)], "stream string, seq long, fields string")).collect()
+    rows = [tuple(r) for r in made]
+    change = lambda r, **new: tuple(new.get(n, v) for n, v in zip(("stream", "seq", "fields", "prev_hash", "event_hash"), r, strict=True))
+    rows = [r for r in rows if not (r[0] == "b" and r[1] == 12)]
+    rows = [change(r, fields="x") if r[:2] == ("a", 7) else change(r, prev_hash="0" * 64) if r[:2] == ("a", 20) else r for r in rows]
+    schema = "stream string, seq long, fields string, prev_hash string, event_hash string"
+    errors = {(r["stream"], r["seq"]): r["error"] for r in custody.verify_chain(spark.createDataFrame(rows, schema)).collect() if r["error"]}
+    assert errors == {("a", 7): "altered", ("a", 20): "broken_link", ("b", 13): "gap"} | {("b", i): "unchecked" for i in range(14, 31)}
+    twice = [r for r in rows if r[0] == "a"][:6] * 1 + [r for r in rows if r[:2] == ("a", 6)]
+    errors = {(r["seq"], r["error"]) for r in custody.verify_chain(spark.createDataFrame(twice, schema)).collect() if r["error"]}
+    assert errors == {(6, "gap")}
+
+
+def test_scope_ranges_are_those_of_the_whole_conversation(spark):
+    day = lambda n: datetime(2024, 1, n)
+    units = spark.createDataFrame([("u1", "C1", date(2024, 1, 1)), ("u2", "C1", date(2024, 1, 2)), ("u9", "C1", date(2024, 1, 9)), ("v", "C2", date(2024, 1, 5))], "unit_key string, conversation_id string, day date")
+    scopes = spark.createDataFrame([(1, "C1", day(1), day(2), "none"), (2, "C1", day(2), day(3), "thread"), (3, "C3", day(20), day(21), "parent")], "scope_id long, external_id string, date_from timestamp, date_to timestamp, thread_parent_policy string")
+    got = {r["unit_key"]: (r["date_from"].day, r["date_to"].day, r["policy"], r["scopes"], len(r["ranges"])) for r in scope.effective_scope(units, scopes).collect()}
+    # touching scopes are one range; a day outside gets its conversation's range; a conversation without a scope that of all
+    assert got == {"u1": (1, 3, "none", 1, 1), "u2": (1, 3, "thread", 1, 1), "u9": (1, 3, "thread", 0, 1), "v": (1, 21, "thread", 0, 2)}
+
+
+def test_canonical_lines_follow_rfc_8785(spark):
+    from ledgerlane.functions.canonical import canonical_row
+
+    rows = spark.createDataFrame([(1.0, {"b": 1e21, "a": 1e-7}, "\x0b\u2028é\"\\", 10)], "d double, m map<string,double>, s string, i long")
+    assert rows.select(canonical_row(rows)).first()[0] == '{"d":1,"i":10,"m":{"a":1e-7,"b":1e+21},"s":"\\u000b\u2028é\\"\\\\"}'
+    assert rows.select(canonical_row(rows, ["s", "i"])).first()[0] == '{"i":10,"s":"\\u000b\u2028é\\"\\\\"}'
+
+
+def test_attachment_names_are_composed_and_extensions_short(spark):
+    assert one(spark, text.attachment_name(F.lit("F1"), F.lit("e\u0301.txt"))) == "F1_é.txt"
+    assert one(spark, text.attachment_name(F.lit("F1"), F.lit("a." + "x" * 16))) == "F1_a." + "x" * 16
+    long = one(spark, text.attachment_name(F.lit("F1"), F.lit("a" * 300 + "." + "x" * 17)))
+    assert long == "F1_" + "a" * 197
+
+
+def test_markers_of_every_kind(spark):
+    shown = one(spark, text.reveal_invisible(F.lit("a\u061cb\u00adc\nd\ufdd0\U0010ffff\U0001f600")))
+    assert shown == "a[U+061C]b\u00ad[U+00AD]c\n[U+000A]d[U+FDD0][U+10FFFF]\U0001f600"
+
+
+def test_conversations_without_a_usable_folder_or_id(spark):
+    raw = r'[{"id": "C1", "name": "a\ud83d"}, {"id": "C\ud83d", "name": "b", "team": "T1"}, {"name": "c"}, {"id": "C3", "name": ".."}, {"id": "C4", "name": "x/y"}, {"id": "C5", "name": "d", "context_team_id": "a/b", "team_id": "T\udc00"}, {"id": "C6", "name": "\ud83d\ude00"}]'
+    rows = readers.conversation_metadata(spark.createDataFrame([(raw, "channel")], "value string, kind string")).collect()
+    assert [tuple(r[c] for c in ("conversation_id", "folder", "team_id", "refused")) for r in rows] == [
+        ("C1", "a\ufffd", None, None), ("lone-surrogate:0043.d83d", "b", "T1", "conversation_id_lone_surrogate"), ("C5", "d", None, "team_id_lone_surrogate"), ("C6", "\U0001f600", None, None),
+    ]
