@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlane.plans.shared import shared_base
+
 #: Bytes of text that are hashed at once; longer texts are cut at white space and joined again.
 BLOCK_BYTES = 1 << 17
 
@@ -25,12 +27,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's shared spark.checkpoint.dir; only tests without it get a local folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            import tempfile
-
-            shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(shared_base(spark))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
