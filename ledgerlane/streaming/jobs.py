@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ledgerlane.plans.shared import table_exists
 
@@ -41,26 +41,45 @@ def deduplicated(stream: DataFrame, key: str, at: str, late: str) -> DataFrame:
 VERSIONED = "subject long, content_hash string, version int, kind string, seq long"
 
 
-def _versions(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    known, latest, changes = json.loads(state.get[0]) if state.exists else ({}, None, 0)
-    rows = pd.concat(list(parts), ignore_index=True).sort_values(["at", "seq"], kind="stable")
-    out = []
-    for h, seq in zip(rows["content_hash"], rows["seq"], strict=True):
-        if h not in known:
-            known[h] = len(known) + 1
-            out.append((key[0], h, known[h], "version", seq))
+class Versions(StatefulProcessor):
+    """State of a subject: a map of its known contents to their version numbers, of which a row reads and
+    writes one entry; its latest content; and how many it has."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getMapState("known", "content_hash string", "version int")
+        self.last = handle.getValueState("last", "content_hash string, versions int")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:  # noqa: N802 (the API's name)
+        latest, versions = self.last.get() or (None, 0)
+        # what one trigger brings of a subject has to be put in order; files per trigger bound it
+        parts = list(rows)
+        here = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        if len(here) > 1:
+            here = here.sort_values(["at", "seq"], kind="stable")
+        out = []
+        for h, seq in zip(here["content_hash"].tolist(), here["seq"].tolist(), strict=True):
+            if h == latest:
+                continue
+            if stored := self.known.getValue((h,)):
+                out.append((key[0], h, stored[0], "reverted", seq))
+            else:
+                versions += 1
+                self.known.updateValue((h,), (versions,))
+                out.append((key[0], h, versions, "version", seq))
             latest = h
-        elif h != latest:
-            changes += 1
-            out.append((key[0], h, known[h], "reverted", seq))
-    state.update((json.dumps([known, latest, changes]),))
-    yield pd.DataFrame(out, columns=[x.split()[0] for x in VERSIONED.split(", ")])
+        self.last.update((latest, versions))
+        yield pd.DataFrame(out, columns=[x.split()[0] for x in VERSIONED.split(", ")])
+
+    def close(self) -> None:
+        pass
 
 
 def stateful_versions(stream: DataFrame) -> DataFrame:
     """STM-5: new versions and reverts of each subject (subject, content_hash, at, seq); a subject's known
-    contents are its state, without an end, since forgetting one would make a revert a version."""
-    return stream.groupBy("subject").applyInPandasWithState(_versions, VERSIONED, "state string", "append", GroupStateTimeout.NoTimeout)
+    contents are its state, without an end, since forgetting one would make a revert a version. The state is a
+    map that RocksDB holds on disk, so neither a trigger nor a row reads all of it."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return stream.groupBy("subject").transformWithStateInPandas(Versions(), VERSIONED, "append", "none")
 
 
 MACHINE = "key string, event string, seq long"
@@ -72,6 +91,7 @@ def observation_machine(stream: DataFrame, initial: str, events: dict[str, str])
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = state.get[0] if state.exists else initial
+        # what one trigger brings of a key has to be put in order; files per trigger bound it
         rows = pd.concat(list(parts), ignore_index=True).sort_values("seq", kind="stable")
         out = []
         for now, seq in zip(rows["state"], rows["seq"], strict=True):
