@@ -236,18 +236,33 @@ def grp1_plain(spark, sf):
     return L.plain_parts(_slices(spark, sf), ["conversation_id", "day"], ["sent_at", "ts"], 7).select("ts", "part", "parts")
 
 
-@register("grp1_split_parts")
+def _greedy(cap: int, own: str = "1", root: str = "1", counted: bool = True) -> str:
+    """Greedy parts as a recursion over a slice's events, with the part, its size and what is in it."""
+    need = f"{own} + CASE WHEN o.r IS NOT NULL AND NOT list_contains(s.present, o.r) THEN {root} ELSE 0 END"
+    again = f"CASE WHEN list_contains(s.present, o.ts) THEN {own} ELSE 0 END" if counted else "0"
+    fresh = f"{own} + CASE WHEN o.r IS NOT NULL THEN {root} ELSE 0 END"
+    held = "CASE WHEN o.r IS NULL THEN [o.ts] ELSE [o.ts, o.r] END"
+    return f"""WITH RECURSIVE {V.MSG},
+o AS (SELECT conversation_id, day, event_id AS ts, root_id AS r, row_number() OVER (PARTITION BY conversation_id, day ORDER BY sent_at, event_id) AS n FROM msg),
+s AS (SELECT conversation_id, day, n, ts, 1 AS part, {fresh} AS total, {held} AS present FROM o WHERE n = 1
+  UNION ALL SELECT o.conversation_id, o.day, o.n, o.ts, CASE WHEN s.total + {need} > {cap} THEN s.part + 1 ELSE s.part END,
+    CASE WHEN s.total + {need} > {cap} THEN {fresh} ELSE s.total + {need} - {again} END,
+    CASE WHEN s.total + {need} > {cap} THEN {held} ELSE list_concat(s.present, {held}) END
+  FROM s JOIN o ON o.conversation_id = s.conversation_id AND o.day = s.day AND o.n = s.n + 1)"""
+
+
+@register("grp1_split_parts", f"{_greedy(7)} SELECT ts, part FROM s")
 def grp1(spark, sf):
     return L.split_parts(_slices(spark, sf), ["conversation_id", "day"], 7).select("ts", "part")
 
 
-@register("grp2_split_by_entries")
+@register("grp2_split_by_entries", f"{_greedy(9, 'o.ts % 3', 'o.r % 3', counted=False)} SELECT ts, part FROM s")
 def grp2(spark, sf):
     s = _slices(spark, sf).withColumn("entries", (F.col("ts") % 3).cast("int")).withColumn("root_entries", (F.col("context_root") % 3).cast("int"))
     return L.split_by_entries(s, ["conversation_id", "day"], 9).select("ts", "part")
 
 
-@register("grp5_pages")
+@register("grp5_pages", f"{_greedy(10)} SELECT ts, part AS page FROM s")
 def grp5(spark, sf):
     return L.pages(_slices(spark, sf), ["conversation_id", "day"], 10).select("ts", "page")
 
@@ -533,6 +548,18 @@ def scl11(spark, sf):
     return V.read(spark, sf, "documents").select("doc_id", F.md5(T.redact(F.col("text"))).alias("redacted"))
 
 
+#: JSON strings with a pair, a first half, an escaped backslash and a second half.
+_HALVES = (r'"a\ud83d\ude00"', r'"a\ud83d b"', r'"\\ud83d"', r'"\\\ude00z"')
+
+
+@register("scl9_lone_surrogates", r"""SELECT doc_id, doc_id % 4 IN (1, 3) AS lone, CASE doc_id % 4 WHEN 1 THEN '55357' WHEN 3 THEN '56832' ELSE '' END AS units,
+  CASE doc_id % 4 WHEN 0 THEN 'a' || chr(128512) WHEN 1 THEN 'a' || chr(65533) || ' b' WHEN 2 THEN '\ud83d' ELSE '\' || chr(65533) || 'z' END AS text FROM documents""")
+def scl9(spark, sf):
+    raw = F.element_at(F.array(*[F.lit(x) for x in _HALVES]), (F.col("doc_id") % 4 + 1).cast("int"))
+    parsed = F.from_json(F.concat(F.lit("["), T.make_valid(raw), F.lit("]")), "array<string>")
+    return V.read(spark, sf, "documents").select("doc_id", T.has_lone_surrogate(raw).alias("lone"), F.array_join(T.lone_surrogates(raw), ",").alias("units"), F.get(parsed, F.lit(0)).alias("text"))
+
+
 #: One character of each kind that is revealed, added to texts by their ids.
 _REVEALED = (0x61C, 0x85, 0xFDD0, 0xAD, 0x2028, 0x1FFFE, 0x200B, 0x2069, 0x41)
 
@@ -547,7 +574,8 @@ def scl12(spark, sf):
     return V.read(spark, sf, "documents").select("doc_id", F.md5(T.reveal_invisible(F.concat("text", added, F.lit("z")))).alias("revealed"))
 
 
-@register("scl10_search_key")
+# of the letters in documents, folding changes the case and the sharp s only
+@register("scl10_search_key", "SELECT doc_id, substr(replace(lower(nfc_normalize(text)), 'ß', 'ss'), 1, 1024) AS search_key FROM documents")
 def scl10(spark, sf):
     return V.read(spark, sf, "documents").select("doc_id", T.search_key(F.col("text")).alias("search_key"))
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ledgerlane.functions import keys as K
@@ -11,8 +15,7 @@ from ledgerlane.operators import package as P
 from ledgerlane.operators import versions as X
 from ledgerlane.operators.registry import register
 from ledgerlane.plans import views as V
-from ledgerlane.plans.custody_queries import CARRY, HEX, LANES
-from ledgerlane.plans.custody_queries import _built
+from ledgerlane.plans.custody_queries import CARRY, HEX, LANES, _built
 from ledgerlane.plans.shared import materialized, shared_folder
 from ledgerlane.sinks import files as W
 from ledgerlane.sources import readers as R
@@ -87,6 +90,22 @@ def _conversations(spark, sf):
     return c.groupBy(F.floor(k / 50).alias("page"), F.element_at(F.array(F.lit("channel"), F.lit("dm")), (k % 2 + 1).cast("int")).alias("kind")).agg(F.array_sort(F.collect_list(s)).alias("c")).select("page", "kind", F.to_json("c").alias("value"))
 
 
+@register("src3_archive_listing", """SELECT 'A' || doc_id // 10 AS archive, row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) - 1 AS idx, coalesce(source, 'none') || '/Doc ' || doc_id || '.txt' AS name,
+  lower(coalesce(source, 'none') || '/Doc ' || doc_id || '.txt') AS folded_name, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS uncompressed_size FROM documents""")
+def src3(spark, sf):
+    def packed(group: pd.DataFrame) -> pd.DataFrame:
+        made = io.BytesIO()
+        with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, text in group.sort_values("doc_id")[["name", "text"]].itertuples(index=False):
+                z.writestr(zipfile.ZipInfo(name), text)
+        return pd.DataFrame({"path": group["path"].iloc[:1], "content": [made.getvalue()]})
+
+    d = V.read(spark, sf, "documents")
+    rows = d.select("doc_id", F.concat(F.lit("A"), F.floor(F.col("doc_id") / 10).cast("string")).alias("path"), F.concat(F.coalesce("source", F.lit("none")), F.lit("/Doc "), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.coalesce("text", F.lit("")).alias("text"))
+    archives = rows.groupBy("path").applyInPandas(packed, "path string, content binary")  # ten documents each
+    return R.listed(archives).select("archive", "idx", "name", "folded_name", "uncompressed_size")
+
+
 @register("src4_conversation_metadata", r"""WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'channel' ELSE 'dm' END AS kind, 'C' || c_custkey AS id,
   CASE WHEN c_custkey % 5 <> 0 THEN c_name END AS name, 'T' || c_nationkey AS team FROM customer),
 m AS (SELECT *, k % 17 = 0 AS bad_id, k % 19 = 0 AS bad_team, CASE WHEN k % 23 = 0 THEN 'x/' || name WHEN k % 29 = 0 THEN name || chr(65533) ELSE name END AS shown FROM c WHERE k % 31 <> 0)

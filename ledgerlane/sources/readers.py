@@ -70,9 +70,8 @@ def day_files(spark: SparkSession, path: str) -> DataFrame:
 LISTING = "archive STRING, idx BIGINT, name STRING, folded_name STRING, is_dir BOOLEAN, method INT, crc32 BIGINT, compressed_size BIGINT, uncompressed_size BIGINT, local_header_offset BIGINT, flags INT"
 
 
-def archive_listing(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-3 / UDF-3: entries of zip archives; one archive is listed by one task."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+def listed(archives: DataFrame) -> DataFrame:
+    """SRC-3 / UDF-3: entries of zip archives (path, content); one archive is listed by one task."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -80,7 +79,12 @@ def archive_listing(spark: SparkSession, path: str) -> DataFrame:
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     yield pd.DataFrame([(where, i, e.filename, e.filename.casefold(), e.is_dir(), e.compress_type, e.CRC, e.compress_size, e.file_size, e.header_offset, e.flag_bits) for i, e in enumerate(z.infolist())], columns=[x.split()[0] for x in LISTING.split(", ")])
 
-    return files.mapInPandas(run, LISTING)
+    return archives.select("path", "content").mapInPandas(run, LISTING)
+
+
+def archive_listing(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-3 from files."""
+    return listed(spark.read.format("binaryFile").load(path))
 
 
 #: Why a conversation's messages can't be collected, and the beginning of a stand-in id.
