@@ -34,32 +34,58 @@ LEAST, FILE_SHARE, LEAST_WHOLE = 0.6, 0.5, 0.8
 #: Bytes of words: ASCII letters and digits, and all of other scripts' letters.
 _SPLIT = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
-#: Notices by which public licences are declared.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+#: Identifiers of public licences and the names they are called by.
+NAMES = (
+    ("Apache-2.0", "Apache License, Version 2.0"),
+    ("MIT", "MIT License"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("ISC", "ISC License"),
+    ("GPL-2.0", "GNU General Public License, version 2"),
+    ("GPL-3.0", "GNU General Public License, version 3"),
+    ("LGPL-2.1", "GNU Lesser General Public License, version 2.1"),
+    ("LGPL-3.0", "GNU Lesser General Public License, version 3"),
+    ("AGPL-3.0", "GNU Affero General Public License, version 3"),
+    ("MPL-2.0", "Mozilla Public License, v. 2.0"),
+    ("EPL-1.0", "Eclipse Public License, version 1.0"),
+    ("EPL-2.0", "Eclipse Public License, version 2.0"),
+    ("CDDL-1.0", "Common Development and Distribution License, version 1.0"),
+    ("BSL-1.0", "Boost Software License, version 1.0"),
+    ("Artistic-2.0", "Artistic License 2.0"),
+    ("Zlib", "zlib License"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("CC-BY-ND-4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("CC-BY-4.0", "CC BY 4.0"),
+    ("CC-BY-SA-4.0", "CC BY-SA 4.0"),
+    ("CC-BY-NC-4.0", "CC BY-NC 4.0"),
+    ("CC-BY-ND-4.0", "CC BY-ND 4.0"),
+    ("CC0-1.0", "CC0 1.0 Universal License"),
+    ("Unlicense", "Unlicense"),
+)
+#: Sentences in which a licence is named.
+FORMS = ("Licensed under the {}.", "Released under the {}.", "This work is licensed under the {}.", "This program is distributed under the terms of the {}.", "Licensed under the {}. See LICENSE for details.")
+#: Other notices by which public licences are declared.
+NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License. See LICENSE for details."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-    ("MIT", "SPDX-License-Identifier: MIT"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3"),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
+    ("GPL-2.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 2"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, version 2.1"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
     ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright to the public domain under CC0 1.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
 )
+TEMPLATES = (
+    tuple((name, form.format(full)) for name, full in NAMES for form in FORMS)
+    + tuple((name, f"SPDX-License-Identifier: {name}") for name in dict.fromkeys(n for n, _ in NAMES))
+    + NOTICES
+)
 
 
 def words(text: str) -> list[bytes]:
@@ -100,6 +126,10 @@ class Scanner:
         for name, t in TEMPLATES:
             vector = {w: n * self.idf[w] for w, n in Counter(words(t)).items()}
             self.vectors.append((name, vector, math.sqrt(sum(v * v for v in vector.values())) or 1.0))
+        self.holding: dict[bytes, list[tuple[int, float]]] = {}
+        for i, (_, vector, _) in enumerate(self.vectors):
+            for w, v in vector.items():
+                self.holding.setdefault(w, []).append((i, v))
         # the words of largest weight, until what is left of every template is too little for LEAST
         self.anchors: set[bytes] = set()
         for w in sorted(VOCABULARY, key=lambda w: (-self.idf[w], w)):
@@ -134,11 +164,15 @@ class Scanner:
         """Best template of a line's words and its cosine."""
         counts = Counter(own)
         norm = math.sqrt(sum((n * self.idf.get(w, self.rare)) ** 2 for w, n in counts.items()))
+        dots: dict[int, float] = {}
+        for w, n in counts.items():
+            for i, v in self.holding.get(w, ()):
+                dots[i] = dots.get(i, 0.0) + n * self.idf[w] * v
         best = (None, 0.0)
-        for name, vector, size in self.vectors:
-            dot = sum(n * self.idf[w] * vector[w] for w, n in counts.items() if w in vector)
-            if norm and dot / (norm * size) > best[1]:
-                best = (name, dot / (norm * size))
+        for i in sorted(dots):  # of equal scores the template named first
+            name, _, size = self.vectors[i]
+            if norm and dots[i] / (norm * size) > best[1] + 1e-12:
+                best = (name, dots[i] / (norm * size))
         return best
 
     def text(self, text: str | None) -> tuple[str | None, float, bool]:

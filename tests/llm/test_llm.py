@@ -1,6 +1,7 @@
 """Training-data operators: edge cases, round trips, brute force and held-out accuracy."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -553,6 +554,46 @@ def test_whole_licence_files_cover_what_is_below(spark):
     }
 
 
+@pytest.mark.parametrize(
+    ("line", "want"),
+    [
+        ("Licensed under the BSD 2-Clause License.", "BSD-2-Clause"), ("Licensed under the ISC License.", "ISC"), ("This library is licensed under the GNU Lesser General Public License, version 2.1.", "LGPL-2.1"),
+        ("// SPDX-License-Identifier: EPL-2.0", "EPL-2.0"), ("Released under the Eclipse Public License, version 2.0", "EPL-2.0"), ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"), ("See the LICENSE of the house and version", None), ("released to the public by the people", None),
+    ],
+)
+def test_licence_names_are_told_apart(line, want):
+    scanner = licenses.Scanner(100_000, {b"the": 90_000, b"of": 80_000, b"under": 4000, b"license": 900, b"released": 700, b"by": 50_000, b"public": 900, b"to": 90_000, b"and": 80_000, b"version": 500, b"this": 60_000, b"is": 80_000})
+    assert scanner.text("some code\n\n" + line + "\n\nmore code")[0] == want
+
+
+def test_licence_scores_are_plain_cosines():
+    found = {w: (i * 37) % 900 for i, w in enumerate(sorted(licenses.VOCABULARY | licenses.WHOLE_VOCABULARY))}
+    scanner, rng = licenses.Scanner(1000, found), random.Random(3)
+    idf = lambda w, known: math.log(1002 / (found[w] + 1)) if w in known else math.log(1002)
+    some = [*sorted(licenses.VOCABULARY), *(f"q{i}".encode() for i in range(20))]
+    cosine = lambda a, b: sum(v * b.get(w, 0) for w, v in a.items()) / (math.sqrt(sum(v * v for v in a.values())) * math.sqrt(sum(v * v for v in b.values())) or 1)
+    for _ in range(60):
+        own = [rng.choice(some) for _ in range(rng.randrange(1, 25))]
+        a = {w: own.count(w) * idf(w, licenses.VOCABULARY) for w in own}
+        naive = [(cosine(a, {w: licenses.words(t).count(w) * idf(w, licenses.VOCABULARY) for w in licenses.words(t)}), name) for name, t in licenses.TEMPLATES]
+        name, score = scanner.line(own)
+        assert score == pytest.approx(max(x for x, _ in naive), abs=1e-9)
+        assert score == 0 or name in {n for x, n in naive if x > score - 1e-9}
+        b = {w: (1 + math.log(own.count(w))) * idf(w, licenses.WHOLE_VOCABULARY) for w in own}
+        whole = [cosine(b, {w: (1 + math.log(n)) * idf(w, licenses.WHOLE_VOCABULARY) for w, n in counts.items()}) for _, counts in licenses.WHOLE_COUNTS]
+        assert scanner.file(own)[1] == pytest.approx(max(whole), abs=1e-9)
+
+
+def test_licences_of_odd_files(spark, odd):
+    files = spark.createDataFrame([(1, "a/LICENSE", "Released under the MIT License."), (2, "a/COPYING", "Released under the MIT License."), (3, "a/x", LONG + "\nLicensed under the ISC License.\n" + LONG), (4, "a/b/y", "q " * 5)], "id long, path string, text string")
+    clashing = files.withColumns({k: F.lit(v) for k, v in CLASHING.items()} | {"dir": F.lit("d"), "score": F.lit(1), "license": F.lit("l")})
+    rows = {r["id"]: r for r in licenses.licensed(clashing).collect()}
+    assert (rows[1]["license"], rows[1]["basis"]) == ("MIT", "file")
+    assert (rows[3]["license"], rows[3]["basis"]) == ("ISC", "header")
+    assert (rows[4]["license"], rows[4]["license_path"]) == ("MIT", "a")
+    assert licenses.licensed(licenses.document_files(odd)).count() == len(ODD)
+
+
 def test_lines_without_an_anchor_can_not_reach_the_least_score():
     scanner = licenses.Scanner(1000, {b"the": 900, b"of": 800, b"this": 500})
     rng = random.Random(2)
