@@ -933,6 +933,51 @@ def test_pipeline_keeps_clean_documents_and_its_columns(spark):
     assert corpus_pipeline.run(spark, SMALL).columns == [x.split()[0] for x in packing.PACKED.split(", ")]
 
 
+def test_pipeline_of_odd_and_empty_tables(odd, empty, labels, tmp_path):
+    for name, docs, some in (("odd", odd, True), ("empty", empty, False)):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+        rows = docs
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            rows = common.cut_lineage(stage(docs.sparkSession, rows, str(tmp_path / name)))
+            assert rows.columns == docs.columns
+        packed = corpus_pipeline.run(docs.sparkSession, str(tmp_path / name)).collect()
+        assert bool(packed) == some
+        texts = {r["doc_id"]: r["text"] for r in rows.collect()}
+        assert {r["doc_id"] for r in packed} == set(texts)
+        assert not some or ({6, 7, 8, None} <= set(texts) and 2 not in texts)
+
+
+def test_pipeline_matches_its_stages_by_brute_force(spark):
+    """Copies, passages and targets of a small table, found again in plain Python after each stage."""
+    rng = random.Random(41)
+    word = lambda: f"p{rng.randrange(10**6)}"
+    body = lambda n: [word() for _ in range(n)]
+    passage = body(70)
+    texts = [body(rng.randrange(80, 160)) for _ in range(40)]
+    texts += [list(texts[3]), texts[4][:-1] + [word()], texts[5] + ["x"]]  # copies
+    texts += [body(30) + passage + body(20), body(90) + passage, passage + body(40)]
+    rows = [(i, " ".join(t), "en", "abc"[i % 3], 0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    kept = corpus_pipeline.near_dup_stage(spark, docs, SMALL)
+    want, _ = brute_components([r[1] for r in rows])
+    assert {r["doc_id"] for r in kept.collect()} == {i for i in range(len(rows)) if want[i] == i}
+    cut = {r["doc_id"]: r["text"] for r in corpus_pipeline.substring_stage(spark, kept, SMALL).collect()}
+    seen, joined = set(), " ".join(passage)
+    for i in sorted(cut):
+        plain = " ".join(texts[i])
+        assert cut[i] == (plain.replace(joined, "").strip() if joined in plain and joined in seen else plain) or cut[i].split() == plain.replace(joined, "").split()
+        if joined in plain:
+            seen.add(joined)
+    assert sum(joined in t for t in cut.values()) == 1
+    after = spark.createDataFrame([(i, t, "en", "abc"[i % 3], 0) for i, t in cut.items()], DOCS)
+    mixed = corpus_pipeline.mixing_stage(spark, after, SMALL).collect()
+    sizes = {s: sum(len(t.split()) for i, t in cut.items() if "abc"[i % 3] == s) for s in "abc"}
+    total, taken = sum(sizes.values()), {s: sum(len(r["text"].split()) for r in mixed if r["source"] == s) for s in "abc"}
+    assert all(n <= 3 * sizes[s] for s, n in taken.items())
+    assert abs(sum(taken.values()) - total) < 0.05 * total
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_match_their_sql(spark, name):
     from helpers import connect, same
