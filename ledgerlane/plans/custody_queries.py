@@ -207,7 +207,7 @@ def mrk3(spark, sf):
 
 
 _FIELDS = """'{"actor":"' || actor || '","created_at":"' || strftime(moment, '%Y-%m-%dT%H:%M:%S.%fZ') || '","event_type":"' || event_type || '","payload":"' || payload || '","seq":' || seq || ',"stream_id":"' || stream || '"}'"""
-_HASHED = f"{V.CHAIN}, f AS (SELECT *, {_FIELDS} AS fields FROM chain), built AS (SELECT stream, seq, event_type, fields, repeat('0', 64) AS prev_hash, sha256(repeat('0', 64) || fields) AS event_hash FROM f WHERE seq = 1 UNION ALL SELECT f.stream, f.seq, f.event_type, f.fields, b.event_hash, sha256(b.event_hash || f.fields) FROM built b JOIN f ON f.stream = b.stream AND f.seq = b.seq + 1)"
+HASHED = f"{V.CHAIN}, f AS (SELECT *, {_FIELDS} AS fields FROM chain), built AS (SELECT stream, seq, event_type, fields, repeat('0', 64) AS prev_hash, sha256(repeat('0', 64) || fields) AS event_hash FROM f WHERE seq = 1 UNION ALL SELECT f.stream, f.seq, f.event_type, f.fields, b.event_hash, sha256(b.event_hash || f.fields) FROM built b JOIN f ON f.stream = b.stream AND f.seq = b.seq + 1)"
 
 
 def _built(spark, sf):
@@ -223,7 +223,7 @@ def mrk4(spark, sf):
     return c.select("stream", "seq", C.event_hash(F.lit(C.GENESIS), fields).alias("event_hash"))
 
 
-@register("mrk5_build_chain", f"WITH RECURSIVE {_HASHED} SELECT stream, seq, prev_hash, event_hash FROM built")
+@register("mrk5_build_chain", f"WITH RECURSIVE {HASHED} SELECT stream, seq, prev_hash, event_hash FROM built")
 def mrk5(spark, sf):
     return _built(spark, sf).select("stream", "seq", "prev_hash", "event_hash")
 

@@ -15,7 +15,7 @@ from ledgerlane.operators import package as P
 from ledgerlane.operators import versions as X
 from ledgerlane.operators.registry import register
 from ledgerlane.plans import views as V
-from ledgerlane.plans.custody_queries import CARRY, HEX, LANES, _built
+from ledgerlane.plans.custody_queries import CARRY, HASHED, HEX, LANES, _built
 from ledgerlane.plans.shared import materialized, shared_folder
 from ledgerlane.sinks import files as W
 from ledgerlane.sources import readers as R
@@ -143,21 +143,37 @@ def snk1(spark, sf):
     return W.write_jsonl(m, f"{shared_folder(spark, 'jsonl')}/messages.jsonl", ["event_id"])
 
 
-@register("snk2_report_files", f"WITH {V.UNITS}, o AS (SELECT count(*) AS n FROM events WHERE event_type = 'click') SELECT 'units' AS file, count(*) AS rows FROM units UNION ALL SELECT 'conversations', count(DISTINCT conversation_id) FROM conv_units UNION ALL SELECT 'observations', n FROM o")
+#: Rows, bytes and digest of the files whose lines are in lines (file, line).
+_SUMS = f"""h AS (SELECT file, line, sha256(line) AS h FROM lines),
+lanes AS (SELECT file, count(*) AS n, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes, {LANES} FROM h GROUP BY file), {CARRY} SELECT file, n AS rows, bytes, {HEX} AS digest FROM c0"""
+
+
+@register("snk2_report_files", f"""WITH {V.UNITS},
+by_state AS (SELECT conversation_id, state, place, count(*) AS n, sum(coalesce(expected_count, 0)) AS e, sum(collected) AS c, sum(file_gaps) AS g FROM ranked WHERE kind <> 'directory' GROUP BY ALL),
+roll AS (SELECT conversation_id, string_agg('"' || state || '":' || n, ',' ORDER BY state) AS by_status, sum(n) AS units, arg_min(state, place) AS worst, sum(e) AS e, sum(c) AS c, sum(g) AS g FROM by_state GROUP BY conversation_id),
+clicks AS (SELECT 'S' || (CAST(substr(author, 2) AS INTEGER) % 10) AS stream, text, author, row_number() OVER (PARTITION BY CAST(substr(author, 2) AS INTEGER) % 10 ORDER BY event_id) AS seq FROM msg),
+lines AS (SELECT 'units' AS file, '{{"access_lost":' || access_lost || ',"collected":' || collected || ',"conversation_id":"' || conversation_id || '","day":' || coalesce('"' || day || '"', 'null') || ',"expected_count":' || coalesce(CAST(expected_count AS VARCHAR), 'null')
+  || ',"file_gaps":' || file_gaps || ',"gap_reasons":[' || array_to_string(list_transform(gap_reasons, lambda x: '"' || x || '"'), ',') || '],"job_id":"' || job_id || '","kind":"' || kind || '","recon_status":"' || recon_status || '","status":"' || status || '","unit_key":"' || unit_key || '"}}' AS line FROM units
+  UNION ALL SELECT 'conversations', '{{"by_status":{{' || by_status || '}},"collected":' || c || ',"conversation_id":"' || conversation_id || '","expected_count":' || e || ',"file_gaps":' || g || ',"units":' || units || ',"worst":"' || worst || '"}}' FROM roll
+  UNION ALL SELECT 'observations', '{{"actor":"' || author || '","seq":' || seq || ',"stream":"' || stream || '"}}' FROM clicks WHERE text = 'click'),
+{_SUMS}""")
 def snk2(spark, sf):
     from ledgerlane.operators.reconcile import conversation_rollup
 
     u = V.reconciled(spark, sf)
     o = V.chain(spark, sf).filter("event_type = 'file_unavailable'").select("stream", "seq", "actor")
-    return W.write_report_files(u, conversation_rollup(u), o, shared_folder(spark, "report")).select("file", "rows")
+    return W.write_report_files(u, conversation_rollup(u), o, shared_folder(spark, "report"))
 
 
-@register("snk3_src7_package", f"WITH {V.CHAIN} SELECT 'events' AS file, count(*) AS rows FROM chain WHERE seq <= 200 UNION ALL SELECT 'anchors', count(*) FROM chain WHERE seq <= 200 AND seq % 8 = 0")
+@register("snk3_src7_package", f"""WITH RECURSIVE {HASHED},
+lines AS (SELECT 'events' AS file, '{{"event_hash":"' || event_hash || '","event_type":"' || event_type || '","fields":"' || replace(fields, '"', '\\"') || '","prev_hash":"' || prev_hash || '","seq":' || seq || ',"stream":"' || stream || '"}}' AS line FROM built WHERE seq <= 200
+  UNION ALL SELECT 'anchors', '{{"event_hash":"' || event_hash || '","seq":' || seq || ',"stream":"' || stream || '"}}' FROM built WHERE seq <= 200 AND seq % 8 = 0),
+{_SUMS}""")
 def snk3(spark, sf):
     b = materialized(_built(spark, sf))
     a = b.filter("seq % 8 = 0").select("stream", "seq", "event_hash")
     heads = b.select("stream").distinct().withColumn("seq", F.lit(200))
-    return W.write_package(b, a, heads, shared_folder(spark, "package")).select("file", "rows")
+    return W.write_package(b, a, heads, shared_folder(spark, "package")).select("file", "rows", "bytes", "digest")
 
 
 @register("prj6_unit_rows", f"WITH {V.UNITS} SELECT unit_key, CASE WHEN unit_key LIKE '%5' THEN 'matched' ELSE recon_status END AS recon_status, CASE WHEN unit_key LIKE '%5' THEN 'chain' ELSE 'database' END AS basis FROM units WHERE kind <> 'directory'")
