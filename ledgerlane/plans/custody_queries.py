@@ -43,20 +43,23 @@ def win14(spark, sf):
     return X.dedupe_first(V.msg(spark, sf), ["unit_key", "text"], ["event_id"]).select("unit_key", "text", "event_id")
 
 
-@register("win7_edit_pairs", "WITH t AS (SELECT conv_id, turn, role, sha256(text) AS h, lag(sha256(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS p, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) SELECT conv_id, turn, role, p AS previous, h AS text FROM t WHERE n > 1")
+@register("win7_edit_pairs", """WITH t AS (SELECT conv_id, turn, role, sha256(text) AS h, lag(sha256(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS p, row_number() OVER (PARTITION BY conv_id ORDER BY turn)
+  AS n FROM conversations) SELECT conv_id, turn, role, p AS previous, h AS text FROM t WHERE n > 1""")
 def win7(spark, sf):
     t = V.read(spark, sf, "conversations").withColumn("text", F.sha2("text", 256))
     return X.edit_pairs(t, "conv_id", "turn").select("conv_id", "turn", "role", "previous", "text")
 
 
-@register("win10_effective_intervals", "SELECT o_custkey, o_orderkey, CAST(CASE WHEN row_number() OVER w > 1 THEN o_orderdate END AS VARCHAR) AS effective_from, CAST(lead(o_orderdate) OVER w AS VARCHAR) AS effective_to FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+@register("win10_effective_intervals", """SELECT o_custkey, o_orderkey, CAST(CASE WHEN row_number() OVER w > 1 THEN o_orderdate END AS VARCHAR) AS effective_from, CAST(lead(o_orderdate) OVER w AS VARCHAR) AS effective_to
+  FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
 def win10(spark, sf):
     o = V.read(spark, sf, "orders").withColumn("at", F.struct("o_orderdate", "o_orderkey"))
     e = X.effective_intervals(o, "o_custkey", "at")
     return e.select("o_custkey", "o_orderkey", F.col("effective_from.o_orderdate").cast("string").alias("effective_from"), F.col("effective_to.o_orderdate").cast("string").alias("effective_to"))
 
 
-@register("jon12_identity_as_of", """WITH h AS (SELECT o_custkey % 150 AS user_id, o_orderdate AS eff, max(o_orderpriority) AS name FROM orders GROUP BY 1, 2), q AS (SELECT DISTINCT user_id, CAST(CAST(ts AS DATE) AS TIMESTAMP) - INTERVAL (CAST(8000 * (event_id % 400) / 400 AS INTEGER)) DAY AS at FROM events)
+@register("jon12_identity_as_of", """WITH h AS (SELECT o_custkey % 150 AS user_id, o_orderdate AS eff, max(o_orderpriority) AS name FROM orders GROUP BY 1, 2), q AS (SELECT DISTINCT user_id, CAST(CAST(ts AS DATE) AS
+  TIMESTAMP) - INTERVAL (CAST(8000 * (event_id % 400) / 400 AS INTEGER)) DAY AS at FROM events)
 SELECT q.user_id, CAST(q.at AS VARCHAR) AS at, coalesce((SELECT arg_max(h.name, h.eff) FROM h WHERE h.user_id = q.user_id AND h.eff < q.at), (SELECT arg_min(h.name, h.eff) FROM h WHERE h.user_id = q.user_id)) AS name FROM q""")
 def jon12(spark, sf):
     h = V.read(spark, sf, "orders").groupBy((F.col("o_custkey") % 150).alias("user_id"), F.col("o_orderdate").alias("eff")).agg(F.max("o_orderpriority").alias("name"))
@@ -73,7 +76,8 @@ def jon14(spark, sf):
     return X.best_derivation(V.read(spark, sf, "orders").select(F.col("o_orderkey").alias("item_id")), d).select("item_id", "normalizer_version")
 
 
-@register("agg21_versions_numeric_order", "WITH v AS (SELECT DISTINCT CAST(l_linenumber AS VARCHAR) || '.' || CAST(CAST(l_quantity AS INTEGER) % 12 AS VARCHAR) AS v FROM lineitem) SELECT v AS version, row_number() OVER (ORDER BY string_split(v, '.')[1]::INT, string_split(v, '.')[2]::INT) AS place FROM v")
+@register("agg21_versions_numeric_order", """WITH v AS (SELECT DISTINCT CAST(l_linenumber AS VARCHAR) || '.' || CAST(CAST(l_quantity AS INTEGER) % 12 AS VARCHAR) AS v FROM lineitem) SELECT v AS version, row_number() OVER
+  (ORDER BY string_split(v, '.')[1]::INT, string_split(v, '.')[2]::INT) AS place FROM v""")
 def agg21(spark, sf):
     from pyspark.sql.window import Window
 
@@ -95,12 +99,14 @@ def stm3(spark, sf):
     return X.availability_events(v, "subject", "refused", ["at", "seq"]).select("subject", "seq", F.col("state").alias("reason"), "event")
 
 
-@register("stm4_access_events", f"""WITH {V.MSG}, l AS (SELECT *, k < 10 AS lost, coalesce(lag(k < 10) OVER (PARTITION BY conversation_id ORDER BY event_id), false) AS before FROM msg) SELECT conversation_id, event_id, CASE WHEN lost THEN 'access_lost' ELSE 'access_restored' END AS event FROM l WHERE lost <> before""")
+@register("stm4_access_events", f"""WITH {V.MSG}, l AS (SELECT *, k < 10 AS lost, coalesce(lag(k < 10) OVER (PARTITION BY conversation_id ORDER BY event_id), false) AS before FROM msg) SELECT conversation_id,
+  event_id, CASE WHEN lost THEN 'access_lost' ELSE 'access_restored' END AS event FROM l WHERE lost <> before""")
 def stm4(spark, sf):
     return X.access_events(V.msg(spark, sf).withColumn("lost", F.col("k") < 10), "conversation_id", "lost", ["event_id"]).select("conversation_id", "event_id", "event")
 
 
-@register("stm6_reaction_snapshots", f"""WITH {V.MSG}, l AS (SELECT *, k % 4 = 0 AS has, bool_or(k % 4 = 0) OVER (PARTITION BY author ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM msg WHERE text <> 'error') SELECT author, event_id, has FROM l WHERE has OR coalesce(before, false)""")
+@register("stm6_reaction_snapshots", f"""WITH {V.MSG}, l AS (SELECT *, k % 4 = 0 AS has, bool_or(k % 4 = 0) OVER (PARTITION BY author ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM msg
+  WHERE text <> 'error') SELECT author, event_id, has FROM l WHERE has OR coalesce(before, false)""")
 def stm6(spark, sf):
     m = V.msg(spark, sf).withColumn("reactions", F.when(F.col("k") % 4 == 0, F.array("text")).otherwise(F.array().cast("array<string>"))).withColumn("deleted", F.col("text") == "error")
     return X.reaction_snapshots(m, "author", "reactions", "deleted", ["event_id"]).select("author", "event_id", (F.size("reactions") > 0).alias("has"))
@@ -115,20 +121,23 @@ def scl1(spark, sf):
     return m.select("event_id", K.idempotency_key(F.lit("T0"), F.lit("chat"), F.col("subject"), F.sha2("text", 256)).alias("idempotency_key"))
 
 
-@register("scl2_subjects", "SELECT event_id, 'T0/C' || (user_id % 20) || '/' || event_id AS message, 'T0/file/F' || (event_id % 100) AS file, 'T0/user/U' || user_id || '#profile-embed' AS profile, 'T0/C' || (user_id % 20) || '/' || event_id || '#reactions' AS reactions FROM events")
+@register("scl2_subjects", """SELECT event_id, 'T0/C' || (user_id % 20) || '/' || event_id AS message, 'T0/file/F' || (event_id % 100) AS file, 'T0/user/U' || user_id || '#profile-embed' AS profile, 'T0/C' ||
+  (user_id % 20) || '/' || event_id || '#reactions' AS reactions FROM events""")
 def scl2(spark, sf):
     m, w = V.msg(spark, sf), F.lit("T0")
     s = K.message_subject(w, F.col("conversation_id"), F.col("event_id").cast("string"))
     return m.select("event_id", s.alias("message"), K.file_subject(w, F.concat(F.lit("F"), (F.col("event_id") % 100).cast("string"))).alias("file"), K.profile_subject(w, F.col("author"), True).alias("profile"), K.derived_subject(s, "reactions").alias("reactions"))
 
 
-@register("scl4_fingerprints", f"""WITH {V.MSG} SELECT event_id, sha256('{{"author":"' || author || '","deleted":' || CASE WHEN k = 0 THEN 'true' ELSE 'false' END || ',"fp":"chat.message/2","text":"' || CASE WHEN k = 0 THEN '' ELSE text END || '","thread_root":' || coalesce('"' || root_id || '"', 'null') || '}}') AS content_hash FROM msg""")
+@register("scl4_fingerprints", f"""WITH {V.MSG} SELECT event_id, sha256('{{"author":"' || author || '","deleted":' || CASE WHEN k = 0 THEN 'true' ELSE 'false' END || ',"fp":"chat.message/2","text":"' || CASE WHEN k = 0 THEN '' ELSE text END || '","thread_root":' || coalesce('"' || root_id || '"', 'null') || '}}')
+  AS content_hash FROM msg""")
 def scl4(spark, sf):
     m, gone = V.msg(spark, sf), F.col("k") == 0
     return m.select("event_id", K.canonical_hash(fp=F.lit("chat.message/2"), author=F.col("author"), text=F.when(gone, "").otherwise(F.col("text")), thread_root=F.col("root_id").cast("string"), deleted=gone).alias("content_hash"))
 
 
-@register("scl5_instants", "SELECT event_id, CAST(CAST(epoch_us(ts) AS BIGINT) AS VARCHAR) AS us, CAST(CAST(epoch_us(ts) AS BIGINT) // 1000000 AS VARCHAR) || '.' || lpad(CAST(CAST(epoch_us(ts) AS BIGINT) % 1000000 AS VARCHAR), 6, '0') AS ts, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS rfc3339 FROM events")
+@register("scl5_instants", """SELECT event_id, CAST(CAST(epoch_us(ts) AS BIGINT) AS VARCHAR) AS us, CAST(CAST(epoch_us(ts) AS BIGINT) // 1000000 AS VARCHAR) || '.' || lpad(CAST(CAST(epoch_us(ts) AS BIGINT) %
+  1000000 AS VARCHAR), 6, '0') AS ts, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS rfc3339 FROM events""")
 def scl5(spark, sf):
     m = V.msg(spark, sf).withColumn("ts", K.instant_ts(F.col("sent_at")))
     return m.select("event_id", F.unix_micros(K.ts_instant(F.col("ts"))).cast("string").alias("us"), "ts", K.rfc3339(F.col("sent_at")).alias("rfc3339"))
@@ -151,7 +160,8 @@ CARRY = "c7 AS (SELECT *, s7 AS t7 FROM lanes)" + "".join(f", c{i} AS (SELECT *,
 HEX = " || ".join(f"lpad(lower(to_hex(CAST(t{i} % 4294967296 AS BIGINT))), 8, '0')" for i in range(8))
 
 
-@register("agg6_multiset_digest", f"WITH {V.MSG}, v AS (SELECT conversation_id, sha256(subject) AS h FROM msg), lanes AS (SELECT conversation_id, count(*) AS n, {LANES} FROM v GROUP BY conversation_id), {CARRY} SELECT conversation_id, n AS rows, {HEX} AS digest FROM c0")
+@register("agg6_multiset_digest", f"""WITH {V.MSG}, v AS (SELECT conversation_id, sha256(subject) AS h FROM msg), lanes AS (SELECT conversation_id, count(*) AS n, {LANES} FROM v GROUP BY conversation_id), {CARRY}
+  SELECT conversation_id, n AS rows, {HEX} AS digest FROM c0""")
 def agg6(spark, sf):
     return D.multiset_digest(V.msg(spark, sf), ["conversation_id"], F.col("subject"))
 
@@ -165,7 +175,9 @@ def agg5(spark, sf):
 
 
 @register("jon9_compare_facts", f"""WITH {V.MSG}, u AS (SELECT unit_key, count(*) AS n FROM msg GROUP BY 1)
-SELECT unit_key, 'duplicate_unit_event' AS difference FROM u WHERE n % 7 = 0 AND n % 5 <> 0 UNION ALL SELECT unit_key, 'unit_unsettled_in_database' FROM u WHERE n % 11 = 0 AND n % 5 <> 0 UNION ALL SELECT unit_key, 'unit_missing_from_chain' FROM u WHERE n % 5 = 0 AND n % 11 <> 0 UNION ALL SELECT unit_key, 'unit_differs' FROM u WHERE n % 13 = 0 AND n % 5 <> 0 AND n % 11 <> 0""")
+SELECT unit_key, 'duplicate_unit_event' AS difference FROM u WHERE n % 7 = 0 AND n % 5 <> 0 UNION ALL SELECT unit_key, 'unit_unsettled_in_database' FROM u WHERE n % 11 = 0 AND n %
+  5 <> 0 UNION ALL SELECT unit_key, 'unit_missing_from_chain' FROM u WHERE n % 5 = 0 AND n % 11 <> 0 UNION ALL SELECT unit_key, 'unit_differs' FROM u WHERE n % 13 = 0 AND n % 5 <>
+  0 AND n % 11 <> 0""")
 def jon9(spark, sf):
     u = V.msg(spark, sf).groupBy("unit_key").agg(F.count(F.lit(1)).alias("n"))
     c = u.filter("n % 5 <> 0").withColumn("seq", F.lit(1))
@@ -174,7 +186,8 @@ def jon9(spark, sf):
     return D.compare_facts(c, d, "unit_key", ["n"], "seq")
 
 
-@register("set4_multiset_difference", f"WITH {V.MSG}, a AS (SELECT unit_key, count(*) FILTER (WHERE event_id % 4 <> 0) AS x, count(*) FILTER (WHERE event_id % 5 <> 0) AS y FROM msg GROUP BY 1) SELECT unit_key, greatest(x - y, 0) AS missing, greatest(y - x, 0) AS extra FROM a WHERE x <> y")
+@register("set4_multiset_difference", f"""WITH {V.MSG}, a AS (SELECT unit_key, count(*) FILTER (WHERE event_id % 4 <> 0) AS x, count(*) FILTER (WHERE event_id % 5 <> 0) AS y FROM msg GROUP BY 1) SELECT unit_key, greatest(x
+  - y, 0) AS missing, greatest(y - x, 0) AS extra FROM a WHERE x <> y""")
 def set4(spark, sf):
     m = V.msg(spark, sf)
     return D.multiset_difference(m.filter("event_id % 4 <> 0"), m.filter("event_id % 5 <> 0"), ["unit_key"])
@@ -190,14 +203,16 @@ def mrk1(spark, sf):
     return M.roots(m, ["unit_key"], ["event_id"], "leaf").select("unit_key", "root")
 
 
-@register("mrk2_batch_roots", f"WITH RECURSIVE {V.MSG}, leaf AS (SELECT unit_key AS g, {_KEY} AS o, sha256(from_hex('00' || {_KEY} || sha256(text))) AS h FROM msg), {_TREE} SELECT g AS unit_key, h AS root, (SELECT count(*) FROM msg WHERE unit_key = g) AS item_count FROM tree WHERE n = 1")
+@register("mrk2_batch_roots", f"""WITH RECURSIVE {V.MSG}, leaf AS (SELECT unit_key AS g, {_KEY} AS o, sha256(from_hex('00' || {_KEY} || sha256(text))) AS h FROM msg), {_TREE} SELECT g AS unit_key, h AS root,
+  (SELECT count(*) FROM msg WHERE unit_key = g) AS item_count FROM tree WHERE n = 1""")
 def mrk2(spark, sf):
     m = V.msg(spark, sf).withColumn("content_hash", F.sha2("text", 256))
     m = m.withColumn("key", K.idempotency_key(F.lit("T0"), F.lit("chat"), F.col("subject"), F.col("content_hash")))
     return M.batch_roots(m, ["unit_key"], "key", "content_hash")
 
 
-@register("mrk3_record_roots", f"""WITH RECURSIVE leaf AS (SELECT l_orderkey % 2000 AS g, (l_orderkey, l_linenumber, l_partkey, l_suppkey) AS o, sha256('\\x00'::BLOB || encode('{{"ord":' || row_number() OVER (PARTITION BY l_orderkey % 2000 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) || ',"part":' || l_partkey || ',"supp":' || l_suppkey || '}}')) AS h FROM lineitem), {_TREE} SELECT g AS batch, h AS root FROM tree WHERE n = 1""")
+@register("mrk3_record_roots", f"""WITH RECURSIVE leaf AS (SELECT l_orderkey % 2000 AS g, (l_orderkey, l_linenumber, l_partkey, l_suppkey) AS o, sha256('\\x00'::BLOB || encode('{{"ord":' || row_number() OVER (PARTITION BY l_orderkey % 2000 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) || ',"part":' || l_partkey || ',"supp":' || l_suppkey || '}}'))
+  AS h FROM lineitem), {_TREE} SELECT g AS batch, h AS root FROM tree WHERE n = 1""")
 def mrk3(spark, sf):
     from pyspark.sql.window import Window
 
@@ -228,7 +243,8 @@ def mrk5(spark, sf):
     return _built(spark, sf).select("stream", "seq", "prev_hash", "event_hash")
 
 
-@register("mrk6_verify_chain", f"""WITH {V.CHAIN}, g AS (SELECT stream, min(seq) AS lost FROM chain WHERE seq % 701 = 0 GROUP BY stream) SELECT c.stream, c.seq, CASE WHEN c.seq = g.lost + 1 THEN 'gap' WHEN c.seq > g.lost THEN 'unchecked' WHEN c.seq % 97 = 0 THEN 'altered' END AS error FROM chain c LEFT JOIN g USING (stream) WHERE c.seq % 701 <> 0""")
+@register("mrk6_verify_chain", f"""WITH {V.CHAIN}, g AS (SELECT stream, min(seq) AS lost FROM chain WHERE seq % 701 = 0 GROUP BY stream) SELECT c.stream, c.seq, CASE WHEN c.seq = g.lost + 1 THEN 'gap' WHEN c.seq >
+  g.lost THEN 'unchecked' WHEN c.seq % 97 = 0 THEN 'altered' END AS error FROM chain c LEFT JOIN g USING (stream) WHERE c.seq % 701 <> 0""")
 def mrk6(spark, sf):
     """A chain with altered and dropped events."""
     b = _built(spark, sf).filter("seq % 701 <> 0")
@@ -236,7 +252,8 @@ def mrk6(spark, sf):
     return C.verify_chain(b).select("stream", "seq", "error")
 
 
-@register("mrk7_verify_batches", f"WITH {V.MSG}, u AS (SELECT unit_key, count(*) AS n FROM msg GROUP BY 1) SELECT unit_key, CASE WHEN n % 9 = 0 THEN 'items_missing' WHEN n % 10 = 0 THEN 'unknown_batch' WHEN n % 8 = 0 THEN 'wrong_count' ELSE 'wrong_root' END AS error FROM u WHERE n % 9 = 0 OR n % 10 = 0 OR n % 8 = 0 OR n % 7 = 0")
+@register("mrk7_verify_batches", f"""WITH {V.MSG}, u AS (SELECT unit_key, count(*) AS n FROM msg GROUP BY 1) SELECT unit_key, CASE WHEN n % 9 = 0 THEN 'items_missing' WHEN n % 10 = 0 THEN 'unknown_batch' WHEN n % 8 =
+  0 THEN 'wrong_count' ELSE 'wrong_root' END AS error FROM u WHERE n % 9 = 0 OR n % 10 = 0 OR n % 8 = 0 OR n % 7 = 0""")
 def mrk7(spark, sf):
     m = V.msg(spark, sf).withColumn("content_hash", F.sha2("text", 256))
     m = m.withColumn("key", K.idempotency_key(F.lit("T0"), F.lit("chat"), F.col("subject"), F.col("content_hash")))
@@ -246,7 +263,9 @@ def mrk7(spark, sf):
     return C.verify_batches(stated, real.filter(n % 9 != 0), "unit_key")
 
 
-@register("mrk8_verify_anchors", f"WITH {V.CHAIN} SELECT stream, seq + CASE WHEN seq % 16 = 0 THEN 1000000 ELSE 0 END AS seq, CASE WHEN seq % 16 = 0 OR seq > (SELECT max(h.seq) FROM chain h WHERE h.stream = chain.stream AND (h.seq % 12 <> 0 OR h.seq % 16 = 0)) THEN 'events_deleted' WHEN seq % 12 = 0 THEN 'event_missing' ELSE 'anchor_differs' END AS error FROM chain WHERE seq % 4 = 0 AND (seq % 16 = 0 OR seq % 12 = 0 OR seq % 20 = 0)")
+@register("mrk8_verify_anchors", f"""WITH {V.CHAIN} SELECT stream, seq + CASE WHEN seq % 16 = 0 THEN 1000000 ELSE 0 END AS seq, CASE WHEN seq % 16 = 0 OR seq > (SELECT max(h.seq) FROM chain h WHERE h.stream =
+  chain.stream AND (h.seq % 12 <> 0 OR h.seq % 16 = 0)) THEN 'events_deleted' WHEN seq % 12 = 0 THEN 'event_missing' ELSE 'anchor_differs' END AS error FROM chain WHERE seq % 4 = 0
+  AND (seq % 16 = 0 OR seq % 12 = 0 OR seq % 20 = 0)""")
 def mrk8(spark, sf):
     b = mrk4(spark, sf)
     s = F.col("seq")
@@ -254,20 +273,28 @@ def mrk8(spark, sf):
     return C.verify_anchors(anchors, b.filter((s % 12 != 0) | (s % 16 == 0)))
 
 
-@register("mrk9_anchors_due", f"""WITH {V.CHAIN}, p AS (SELECT *, coalesce(sum(CASE WHEN event_type = 'job_paused' THEN 1 ELSE 0 END) OVER (PARTITION BY stream ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM chain), n AS (SELECT *, row_number() OVER (PARTITION BY stream, part ORDER BY seq) AS k FROM p)
+@register("mrk9_anchors_due", f"""WITH {V.CHAIN}, p AS (SELECT *, coalesce(sum(CASE WHEN event_type = 'job_paused' THEN 1 ELSE 0 END) OVER (PARTITION BY stream ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1
+  PRECEDING), 0) AS part FROM chain), n AS (SELECT *, row_number() OVER (PARTITION BY stream, part ORDER BY seq) AS k FROM p)
 SELECT stream, seq, event_type FROM n WHERE event_type = 'job_paused' OR k % 8 = 0""")
 def mrk9(spark, sf):
     return C.anchors_due(V.chain(spark, sf), ("job_paused",)).select("stream", "seq", "event_type")
 
 
-@register("agg24_chain_fold", f"""WITH {V.CHAIN} SELECT stream, min(seq) FILTER (WHERE event_type = 'items_collected') AS started_seq, greatest(count(*) FILTER (WHERE event_type = 'items_collected') - 1, 0) AS duplicate_starts, min(seq) FILTER (WHERE event_type IN ('job_resumed', 'job_paused')) AS final_seq,
-arg_min(event_type, seq) FILTER (WHERE event_type IN ('job_resumed', 'job_paused')) AS final_type, greatest(count(*) FILTER (WHERE event_type IN ('job_resumed', 'job_paused')) - 1, 0) AS duplicate_finals, count(*) FILTER (WHERE event_type = 'job_paused') AS stops, count(*) FILTER (WHERE event_type = 'unit_reconciled') AS batches, count(*) AS events FROM chain GROUP BY stream""")
+@register("agg24_chain_fold", f"""WITH {V.CHAIN} SELECT stream, min(seq) FILTER (WHERE event_type = 'items_collected') AS started_seq, greatest(count(*) FILTER (WHERE event_type = 'items_collected') - 1, 0) AS
+  duplicate_starts, min(seq) FILTER (WHERE event_type IN ('job_resumed', 'job_paused')) AS final_seq,
+arg_min(event_type, seq) FILTER (WHERE event_type IN ('job_resumed', 'job_paused')) AS final_type, greatest(count(*) FILTER (WHERE event_type IN ('job_resumed', 'job_paused')) - 1,
+  0) AS duplicate_finals, count(*) FILTER (WHERE event_type = 'job_paused') AS stops, count(*) FILTER (WHERE event_type = 'unit_reconciled') AS batches, count(*) AS events FROM
+  chain GROUP BY stream""")
 def agg24(spark, sf):
     return C.chain_fold(V.chain(spark, sf), "items_collected", ("job_resumed", "job_paused"), ("job_paused",), "unit_reconciled")
 
 
-@register("agg25_chain_verdict", f"""WITH {V.CHAIN}, w AS (SELECT * FROM chain WHERE seq <= 2 + CAST(substr(stream, 2) AS INTEGER)), f AS (SELECT stream, count(*) FILTER (WHERE event_type = 'items_collected') AS st, count(*) FILTER (WHERE event_type IN ('job_resumed', 'job_paused')) AS fi, arg_min(event_type, seq) FILTER (WHERE event_type IN ('job_resumed', 'job_paused')) AS ft, count(*) FILTER (WHERE event_type = 'job_paused') AS sp, count(*) FILTER (WHERE event_type = 'file_unavailable') AS fu FROM w GROUP BY stream)
-SELECT stream, array_to_string(list_filter([CASE WHEN st <> 1 THEN 'not exactly one start' END, CASE WHEN fi <> 1 THEN 'not exactly one final event' WHEN ft <> 'job_resumed' THEN 'final event ' || ft END, CASE WHEN sp > 0 THEN sp || ' stop(s) recorded' END, CASE WHEN fu > 0 THEN fu || ' unit(s) file_unavailable' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM f""")
+@register("agg25_chain_verdict", f"""WITH {V.CHAIN}, w AS (SELECT * FROM chain WHERE seq <= 2 + CAST(substr(stream, 2) AS INTEGER)), f AS (SELECT stream, count(*) FILTER (WHERE event_type = 'items_collected') AS st,
+  count(*) FILTER (WHERE event_type IN ('job_resumed', 'job_paused')) AS fi, arg_min(event_type, seq) FILTER (WHERE event_type IN ('job_resumed', 'job_paused')) AS ft, count(*)
+  FILTER (WHERE event_type = 'job_paused') AS sp, count(*) FILTER (WHERE event_type = 'file_unavailable') AS fu FROM w GROUP BY stream)
+SELECT stream, array_to_string(list_filter([CASE WHEN st <> 1 THEN 'not exactly one start' END, CASE WHEN fi <> 1 THEN 'not exactly one final event' WHEN ft <> 'job_resumed' THEN
+  'final event ' || ft END, CASE WHEN sp > 0 THEN sp || ' stop(s) recorded' END, CASE WHEN fu > 0 THEN fu || ' unit(s) file_unavailable' END], lambda x: x IS NOT NULL), '; ') AS
+  reasons FROM f""")
 def agg25(spark, sf):
     w = V.chain(spark, sf).filter(F.col("seq") <= 2 + F.substring("stream", 2, 9).cast("int"))
     fold = C.chain_fold(w, "items_collected", ("job_resumed", "job_paused"), ("job_paused",), "unit_reconciled")

@@ -11,7 +11,8 @@ from ledgerlane.operators.registry import register
 from ledgerlane.plans import views as V
 
 
-@register("flagship_worst_units", f"WITH {V.UNITS} SELECT unit_key, job_id, conversation_id, state, place, expected_count, collected, file_gaps, (SELECT count(*) FROM ranked WHERE place < 5) AS total FROM ranked WHERE place < 5 ORDER BY place, conversation_id, unit_key, job_id LIMIT 100")
+@register("flagship_worst_units", f"""WITH {V.UNITS} SELECT unit_key, job_id, conversation_id, state, place, expected_count, collected, file_gaps, (SELECT count(*) FROM ranked WHERE place < 5) AS total FROM ranked
+  WHERE place < 5 ORDER BY place, conversation_id, unit_key, job_id LIMIT 100""")
 def flagship(spark, sf):
     """AGG-1, WIN-3, SRT-3: the 100 worst units and how many there are."""
     u = V.reconciled(spark, sf)
@@ -25,12 +26,14 @@ def agg1(spark, sf):
     return V.reconciled(spark, sf).select("job_id", "unit_key", "kind", "recon_status")
 
 
-@register("agg1_archive_status", f"WITH {V.UNITS} SELECT unit_key, CASE WHEN access_lost THEN 'access_lost' WHEN expected_count IS NOT NULL AND collected = expected_count AND file_gaps = 0 AND len(gap_reasons) = 0 THEN 'matched_against_archive' ELSE 'gap' END AS recon_status FROM conv_units")
+@register("agg1_archive_status", f"""WITH {V.UNITS} SELECT unit_key, CASE WHEN access_lost THEN 'access_lost' WHEN expected_count IS NOT NULL AND collected = expected_count AND file_gaps = 0 AND len(gap_reasons) = 0
+  THEN 'matched_against_archive' ELSE 'gap' END AS recon_status FROM conv_units""")
 def agg1_archive(spark, sf):
     return R.unit_status(V.units(spark, sf).filter("kind <> 'directory'"), archive=True).select("unit_key", "recon_status")
 
 
-@register("agg2_archive_accounting", f"WITH {V.MSG}, f AS (SELECT conversation_id || '/' || CAST(day - CAST(event_id % 11 = 0 AS INTEGER) AS VARCHAR) AS entry, day - CAST(event_id % 11 = 0 AS INTEGER) AS hint, day, subject FROM msg) SELECT entry, count(DISTINCT subject) AS messages, count(DISTINCT CASE WHEN day <> hint THEN subject END) AS anomalies FROM f GROUP BY entry")
+@register("agg2_archive_accounting", f"""WITH {V.MSG}, f AS (SELECT conversation_id || '/' || CAST(day - CAST(event_id % 11 = 0 AS INTEGER) AS VARCHAR) AS entry, day - CAST(event_id % 11 = 0 AS INTEGER) AS hint, day,
+  subject FROM msg) SELECT entry, count(DISTINCT subject) AS messages, count(DISTINCT CASE WHEN day <> hint THEN subject END) AS anomalies FROM f GROUP BY entry""")
 def agg2(spark, sf):
     m = V.msg(spark, sf).withColumn("hint_day", F.date_sub("day", F.when(F.col("event_id") % 11 == 0, 1).otherwise(0)))
     return R.archive_accounting(m.withColumn("entry", K.unit_key(F.col("conversation_id"), F.col("hint_day"))))
@@ -48,7 +51,8 @@ def agg3_summary(spark, sf):
     return s.select("job_id", F.array_join(F.transform(F.map_entries("units"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("summary"))
 
 
-@register("agg4_counts_zero_rows", f"WITH {V.UNITS}, v AS (SELECT unnest(['pending', 'matched', 'gap', 'surplus', 'unverifiable', 'failed', 'access_lost', 'not_applicable', 'matched_against_archive']) AS value, unnest(range(9)) AS place) SELECT value, CAST(place AS INTEGER) AS place, (SELECT count(*) FROM units WHERE recon_status = value) AS n FROM v")
+@register("agg4_counts_zero_rows", f"""WITH {V.UNITS}, v AS (SELECT unnest(['pending', 'matched', 'gap', 'surplus', 'unverifiable', 'failed', 'access_lost', 'not_applicable', 'matched_against_archive']) AS value,
+  unnest(range(9)) AS place) SELECT value, CAST(place AS INTEGER) AS place, (SELECT count(*) FROM units WHERE recon_status = value) AS n FROM v""")
 def agg4(spark, sf):
     return R.counts_with_zero_rows(V.reconciled(spark, sf), "recon_status", S.RECON_STATUS)
 
@@ -59,7 +63,8 @@ def agg7(spark, sf):
 
 
 @register("agg8_conversation_rollup", f"""WITH {V.UNITS}, c AS (SELECT conversation_id, state, place, count(*) AS n, sum(coalesce(expected_count, 0)) AS e, sum(collected) AS c, sum(file_gaps) AS g FROM ranked WHERE kind <> 'directory' GROUP BY ALL)
-SELECT conversation_id, CAST(sum(n) AS BIGINT) AS units, arg_min(state, place) AS worst, string_agg(state || '=' || n, ',' ORDER BY state) AS by_status, CAST(sum(e) AS BIGINT) AS expected_count, CAST(sum(c) AS BIGINT) AS collected, CAST(sum(g) AS BIGINT) AS file_gaps FROM c GROUP BY conversation_id""")
+SELECT conversation_id, CAST(sum(n) AS BIGINT) AS units, arg_min(state, place) AS worst, string_agg(state || '=' || n, ',' ORDER BY state) AS by_status, CAST(sum(e) AS BIGINT) AS
+  expected_count, CAST(sum(c) AS BIGINT) AS collected, CAST(sum(g) AS BIGINT) AS file_gaps FROM c GROUP BY conversation_id""")
 def agg8(spark, sf):
     r = R.conversation_rollup(V.reconciled(spark, sf))
     return r.withColumn("by_status", F.array_join(F.transform(F.map_entries("by_status"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ","))
@@ -94,7 +99,8 @@ def jon5(spark, sf):
     return R.baseline(*_two_jobs(spark, sf)).groupBy("job_id", "unit_key").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("jon6_no_longer_observed", f"WITH {V.MSG}, {_TWO_JOBS} SELECT b.job_id, b.unit_key, b.item_id FROM base b JOIN tu c ON c.job_id = b.job_id AND c.unit_key = b.unit_key AND c.status = 'done' AND c.recon_status = 'matched' AND c.file_gaps = 0 WHERE NOT EXISTS (SELECT 1 FROM two o WHERE o.job_id = b.job_id AND o.unit_key = b.unit_key AND o.item_id = b.item_id) AND b.item_id % 10 <> 3")
+@register("jon6_no_longer_observed", f"""WITH {V.MSG}, {_TWO_JOBS} SELECT b.job_id, b.unit_key, b.item_id FROM base b JOIN tu c ON c.job_id = b.job_id AND c.unit_key = b.unit_key AND c.status = 'done' AND c.recon_status =
+  'matched' AND c.file_gaps = 0 WHERE NOT EXISTS (SELECT 1 FROM two o WHERE o.job_id = b.job_id AND o.unit_key = b.unit_key AND o.item_id = b.item_id) AND b.item_id % 10 <> 3""")
 def jon6(spark, sf):
     two, tu = _two_jobs(spark, sf)
     clean = tu.filter("status = 'done' and recon_status = 'matched' and file_gaps = 0")
@@ -110,7 +116,8 @@ def jon13(spark, sf):
 
 
 @register("agg19_pause_time", f"""WITH {V.CHAIN}, p AS (SELECT c.stream, c.moment AS paused_at, (SELECT min(e.seq) FROM chain e WHERE e.stream = c.stream AND e.seq > c.seq AND e.event_type = 'job_resumed') AS es FROM chain c WHERE c.event_type = 'job_paused')
-SELECT coalesce(e.event_type, 'not_ended') AS ended_how, count(*) AS n, CAST(sum(CAST(epoch_us(coalesce(e.moment, TIMESTAMP '2024-02-01')) AS BIGINT) // 1000 - CAST(epoch_us(p.paused_at) AS BIGINT) // 1000) AS BIGINT) AS paused_ms FROM p LEFT JOIN chain e ON e.stream = p.stream AND e.seq = p.es GROUP BY 1""")
+SELECT coalesce(e.event_type, 'not_ended') AS ended_how, count(*) AS n, CAST(sum(CAST(epoch_us(coalesce(e.moment, TIMESTAMP '2024-02-01')) AS BIGINT) // 1000 -
+  CAST(epoch_us(p.paused_at) AS BIGINT) // 1000) AS BIGINT) AS paused_ms FROM p LEFT JOIN chain e ON e.stream = p.stream AND e.seq = p.es GROUP BY 1""")
 def agg19(spark, sf):
     return R.pause_time(R.pauses(V.chain(spark, sf), "job_paused", ("job_resumed",)), F.lit("2024-02-01").cast("timestamp"))
 
@@ -139,7 +146,8 @@ def agg9(spark, sf):
     return V.chain(spark, sf).groupBy("event_type", "actor").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("scl13_unit_key_parts", f"WITH {V.UNITS} SELECT job_id, unit_key, regexp_extract(unit_key, '^(.*)/[^/]*$', 1) AS conversation, CAST(try_cast(nullif(regexp_extract(unit_key, '/(\\d{{4}}-\\d{{2}}-\\d{{2}})$', 1), '') AS DATE) AS VARCHAR) AS day, kind FROM units")
+@register("scl13_unit_key_parts", f"""WITH {V.UNITS} SELECT job_id, unit_key, regexp_extract(unit_key, '^(.*)/[^/]*$', 1) AS conversation, CAST(try_cast(nullif(regexp_extract(unit_key, '/(\\d{{4}}-\\d{{2}}-\\d{{2}})$',
+  1), '') AS DATE) AS VARCHAR) AS day, kind FROM units""")
 def scl13(spark, sf):
     u = V.units(spark, sf).select("job_id", "unit_key")
     key = F.col("unit_key")

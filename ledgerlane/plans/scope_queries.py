@@ -12,6 +12,7 @@ from ledgerlane.operators import scope as S
 from ledgerlane.operators import slicing as L
 from ledgerlane.operators.registry import register
 from ledgerlane.plans import views as V
+from ledgerlane.plans.custody_queries import CARRY, HEX
 
 _SCOPES = """scopes AS (SELECT c_custkey AS scope_id, CASE WHEN c_custkey % 100 = 0 THEN '*' ELSE 'C' || (c_custkey % 20) END AS external_id, TIMESTAMP '2024-01-01' + INTERVAL (CAST(c_custkey * 7 % 30 AS INTEGER)) DAY AS date_from,
   TIMESTAMP '2024-01-01' + INTERVAL (CAST(c_custkey * 7 % 30 + 1 + c_custkey % 3 AS INTEGER)) DAY AS date_to, ['none', 'parent', 'thread'][CAST(c_custkey % 3 AS INTEGER) + 1] AS thread_parent_policy, c_custkey % 3 AS prank FROM customer WHERE c_custkey % 5 = 0),
@@ -53,7 +54,8 @@ def jon3(spark, sf):
     return e.withColumns({"date_from": F.col("date_from").cast("string"), "date_to": F.col("date_to").cast("string"), "ranges": F.size("ranges").cast("long")})
 
 
-@register("win6_merge_intervals", f"""WITH {V.MSG}, {_SCOPES}, r AS (SELECT *, max(date_to) OVER (PARTITION BY external_id ORDER BY date_from, date_to ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM scopes), i AS (SELECT *, sum(CASE WHEN date_from <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY external_id ORDER BY date_from, date_to) AS island FROM r)
+@register("win6_merge_intervals", f"""WITH {V.MSG}, {_SCOPES}, r AS (SELECT *, max(date_to) OVER (PARTITION BY external_id ORDER BY date_from, date_to ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM
+  scopes), i AS (SELECT *, sum(CASE WHEN date_from <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY external_id ORDER BY date_from, date_to) AS island FROM r)
 SELECT external_id, CAST(min(date_from) AS VARCHAR) AS date_from, CAST(max(date_to) AS VARCHAR) AS date_to FROM i GROUP BY external_id, island""")
 def win6(spark, sf):
     m = S.merge_intervals(_scopes(spark, sf), ["external_id"], "date_from", "date_to")
@@ -65,7 +67,8 @@ def win12(spark, sf):
     return S.scope_index(_scopes(spark, sf), "external_id", ["scope_id"]).select("external_id", "scope_id", F.col("scope_index").cast("long").alias("scope_index"))
 
 
-@register("flt1_in_scope", f"WITH {V.MSG}, {_SCOPES} SELECT m.event_id, NOT EXISTS (SELECT 1 FROM scopes s WHERE s.external_id = m.conversation_id) OR EXISTS (SELECT 1 FROM scopes s WHERE s.external_id = m.conversation_id AND m.sent_at >= s.date_from AND m.sent_at < s.date_to) AS in_scope FROM msg m")
+@register("flt1_in_scope", f"""WITH {V.MSG}, {_SCOPES} SELECT m.event_id, NOT EXISTS (SELECT 1 FROM scopes s WHERE s.external_id = m.conversation_id) OR EXISTS (SELECT 1 FROM scopes s WHERE s.external_id =
+  m.conversation_id AND m.sent_at >= s.date_from AND m.sent_at < s.date_to) AS in_scope FROM msg m""")
 def flt1(spark, sf):
     r = _scopes(spark, sf).groupBy(F.col("external_id").alias("conversation_id")).agg(F.collect_list(F.struct("date_from", "date_to")).alias("ranges"))
     m = V.msg(spark, sf).join(r, "conversation_id", "left")
@@ -86,7 +89,9 @@ def flt3(spark, sf):
     return V.msg(spark, sf).select("event_id", S.unit_day_filter(F.col("sent_at"), day).alias("own"))
 
 
-@register("jon11_thread_context", f"""WITH {V.MSG}, t AS (SELECT *, sent_at >= TIMESTAMP '2024-01-10' AND sent_at < TIMESTAMP '2024-01-12 12:00:00' AS own FROM msg), w AS (SELECT r.root_id AS th FROM t r JOIN t p ON p.event_id = r.root_id AND NOT p.own AND p.sent_at < TIMESTAMP '2024-01-10' AND p.root_id IS NULL WHERE r.own UNION SELECT p.event_id FROM t p JOIN t r ON r.root_id = p.event_id AND r.sent_at >= TIMESTAMP '2024-01-12 12:00:00' WHERE p.own AND p.root_id IS NULL)
+@register("jon11_thread_context", f"""WITH {V.MSG}, t AS (SELECT *, sent_at >= TIMESTAMP '2024-01-10' AND sent_at < TIMESTAMP '2024-01-12 12:00:00' AS own FROM msg), w AS (SELECT r.root_id AS th FROM t r JOIN t p ON
+  p.event_id = r.root_id AND NOT p.own AND p.sent_at < TIMESTAMP '2024-01-10' AND p.root_id IS NULL WHERE r.own UNION SELECT p.event_id FROM t p JOIN t r ON r.root_id = p.event_id
+  AND r.sent_at >= TIMESTAMP '2024-01-12 12:00:00' WHERE p.own AND p.root_id IS NULL)
 SELECT event_id FROM t WHERE NOT own AND coalesce(root_id, event_id) IN (SELECT th FROM w)""")
 def jon11(spark, sf):
     m = V.msg(spark, sf)
@@ -112,7 +117,8 @@ def flt5(spark, sf):
     return S.startable(_unit_rows(spark, sf), _at("1998-01-01")).select("unit_key", "status")
 
 
-@register("flt5_remaining", f"WITH {_UNIT_ROWS} SELECT count(*) FILTER (WHERE status NOT IN ('done', 'failed')) AS remaining, CAST(min(epoch(retry_after) - epoch(TIMESTAMP '1998-01-01')) FILTER (WHERE status = 'retry_later' AND retry_after > TIMESTAMP '1998-01-01') AS BIGINT) AS next_retry_s FROM unit_rows")
+@register("flt5_remaining", f"""WITH {_UNIT_ROWS} SELECT count(*) FILTER (WHERE status NOT IN ('done', 'failed')) AS remaining, CAST(min(epoch(retry_after) - epoch(TIMESTAMP '1998-01-01')) FILTER (WHERE status =
+  'retry_later' AND retry_after > TIMESTAMP '1998-01-01') AS BIGINT) AS next_retry_s FROM unit_rows""")
 def flt5b(spark, sf):
     return S.remaining(_unit_rows(spark, sf), _at("1998-01-01"))
 
@@ -151,7 +157,8 @@ def flt4(spark, sf):
     return _files(spark, sf).select("idx", "kind", "junk", "folder")
 
 
-@register("jon1_enumerate_units", f"WITH {_FILES} SELECT DISTINCT c.conversation_id, CAST(regexp_extract(d.name, '(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1) AS VARCHAR) AS day FROM days d JOIN convs c USING (folder) WHERE CAST(regexp_extract(d.name, '(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1) AS DATE) BETWEEN DATE '1996-12-31' AND DATE '1998-01-02'")
+@register("jon1_enumerate_units", f"""WITH {_FILES} SELECT DISTINCT c.conversation_id, CAST(regexp_extract(d.name, '(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1) AS VARCHAR) AS day FROM days d JOIN convs c USING (folder) WHERE
+  CAST(regexp_extract(d.name, '(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1) AS DATE) BETWEEN DATE '1996-12-31' AND DATE '1998-01-02'""")
 def jon1(spark, sf):
     u = S.enumerate_units(_files(spark, sf).filter("kind = 'day'"), _convs(spark, sf), "1997-01-01", "1998-01-01")
     return u.withColumn("day", F.col("day").cast("string"))
@@ -194,13 +201,17 @@ def agg17b(spark, sf):
 
 @register("agg16_findings", f"""WITH {_FILES}, k AS (SELECT string_agg('"' || kind || '":' || n, ',' ORDER BY kind) AS e FROM (SELECT kind, count(*) AS n FROM cls GROUP BY kind)), o AS (SELECT DISTINCT folder FROM days WHERE folder NOT IN (SELECT folder FROM convs)),
 m AS (SELECT count(*) AS messages, count(*) FILTER (WHERE event_id % 5 <> 0) AS threaded, count(*) FILTER (WHERE event_id % 11 = 0) AS anomalies FROM events)
-SELECT '{{"anomalies":' || anomalies || ',"entries":{{' || e || '}},"junk":' || (SELECT count(*) FROM cls WHERE junk) || ',"messages":' || messages || ',"orphan_sample":[' || coalesce((SELECT string_agg('"' || folder || '"', ',' ORDER BY folder) FROM (SELECT folder FROM o ORDER BY folder LIMIT 100)), '') || '],"orphans":' || (SELECT count(*) FROM o) || ',"threaded":' || threaded || ',"unknown_sample":[' || coalesce((SELECT string_agg('"' || name || '"', ',' ORDER BY name) FROM (SELECT name FROM cls WHERE kind = 'unknown' ORDER BY name LIMIT 100)), '') || ']}}' AS findings FROM k, m""")
+SELECT '{{"anomalies":' || anomalies || ',"entries":{{' || e || '}},"junk":' || (SELECT count(*) FROM cls WHERE junk) || ',"messages":' || messages || ',"orphan_sample":[' || coalesce((SELECT string_agg('"' || folder || '"', ',' ORDER BY folder) FROM (SELECT folder FROM o ORDER BY folder LIMIT 100)), '') || '],"orphans":' || (SELECT count(*) FROM o) || ',"threaded":' || threaded || ',"unknown_sample":[' || coalesce((SELECT string_agg('"' || name || '"', ',' ORDER BY name) FROM (SELECT name FROM cls WHERE kind = 'unknown' ORDER BY name LIMIT 100)), '') || ']}}'
+  AS findings FROM k, m""")
 def agg16(spark, sf):
     m = V.msg(spark, sf).select((F.col("event_id") % 5 != 0).alias("threaded"), (F.col("event_id") % 11 == 0).alias("anomaly"))
     return A.findings(_files(spark, sf), _convs(spark, sf), m)
 
 
-@register("scl16_root_folder", f"WITH {_FILES}, w AS (SELECT export_id, CASE WHEN export_id = 'E3' AND name NOT LIKE '%/%' THEN name WHEN name LIKE '\\_\\_MACOSX/%' ESCAPE '\\' THEN name ELSE 'Wrap ' || export_id || '/' || name END AS name FROM files), t AS (SELECT export_id, string_split(name, '/')[1] AS head, regexp_extract(name, '^[^/]*/(.*)$', 1) AS rest, name FROM w WHERE name NOT LIKE '\\_\\_MACOSX/%' ESCAPE '\\') SELECT export_id, CASE WHEN min(head) = max(head) AND bool_and(name LIKE '%/%') AND bool_or(rest IN ('channels.json', 'groups.json', 'dms.json', 'mpims.json')) THEN min(head) || '/' END AS root FROM t GROUP BY export_id")
+@register("scl16_root_folder", f"""WITH {_FILES}, w AS (SELECT export_id, CASE WHEN export_id = 'E3' AND name NOT LIKE '%/%' THEN name WHEN name LIKE '\\_\\_MACOSX/%' ESCAPE '\\' THEN name ELSE 'Wrap ' || export_id
+  || '/' || name END AS name FROM files), t AS (SELECT export_id, string_split(name, '/')[1] AS head, regexp_extract(name, '^[^/]*/(.*)$', 1) AS rest, name FROM w WHERE name NOT
+  LIKE '\\_\\_MACOSX/%' ESCAPE '\\') SELECT export_id, CASE WHEN min(head) = max(head) AND bool_and(name LIKE '%/%') AND bool_or(rest IN ('channels.json', 'groups.json',
+  'dms.json', 'mpims.json')) THEN min(head) || '/' END AS root FROM t GROUP BY export_id""")
 def scl16(spark, sf):
     f = _files(spark, sf)
     n = F.when((F.col("export_id") == "E3") & ~F.col("name").contains("/"), F.col("name")).when(F.col("junk"), F.col("name")).otherwise(F.concat(F.lit("Wrap "), "export_id", F.lit("/"), "name"))
@@ -211,7 +222,8 @@ def scl16(spark, sf):
   bool_or(name = 'users.json') AS u, CASE export_id WHEN 'E1' THEN 'pro' WHEN 'E2' THEN 'business_plus' WHEN 'E3' THEN 'free' END AS plan FROM cls WHERE kind = 'metadata' AND idx % 200 <> 50 GROUP BY export_id),
 t AS (SELECT *, CASE WHEN NOT c THEN NULL WHEN f THEN 'full' ELSE 'public_only' END AS tier FROM g)
 SELECT export_id, tier, NOT u AS users_missing, CASE WHEN tier IS NULL THEN NULL ELSE array_to_string(list_filter([
-  CASE WHEN NOT u THEN 'users_missing' END, CASE WHEN plan IN ('pro', 'free') AND tier <> 'public_only' THEN 'plan_does_not_give_tier' WHEN plan = 'business_plus' AND tier = 'public_only' THEN 'public_only_despite_plan' END], lambda x: x IS NOT NULL), ',') END AS warnings,
+CASE WHEN NOT u THEN 'users_missing' END, CASE WHEN plan IN ('pro', 'free') AND tier <> 'public_only' THEN 'plan_does_not_give_tier' WHEN plan = 'business_plus' AND tier =
+  'public_only' THEN 'public_only_despite_plan' END], lambda x: x IS NOT NULL), ',') END AS warnings,
   CASE WHEN tier IS NULL THEN NULL WHEN tier = 'public_only' THEN 7 ELSE 6 END AS blind_spots FROM t""")
 def scl15(spark, sf):
     plan = F.expr("CASE export_id WHEN 'E1' THEN 'pro' WHEN 'E2' THEN 'business_plus' WHEN 'E3' THEN 'free' END")
@@ -219,7 +231,8 @@ def scl15(spark, sf):
     return t.select("export_id", "tier", "users_missing", F.array_join("warnings", ",").alias("warnings"), F.size("blind_spots").alias("blind_spots"))
 
 
-@register("jon10_thread_roots", f"WITH {V.MSG} SELECT r.event_id, r.root_id AS root_ts, p.event_id IS NULL AS root_missing, CAST(p.day AS VARCHAR) AS root_day FROM msg r LEFT JOIN msg p ON p.conversation_id = r.conversation_id AND p.event_id = r.root_id WHERE r.root_id IS NOT NULL")
+@register("jon10_thread_roots", f"""WITH {V.MSG} SELECT r.event_id, r.root_id AS root_ts, p.event_id IS NULL AS root_missing, CAST(p.day AS VARCHAR) AS root_day FROM msg r LEFT JOIN msg p ON p.conversation_id =
+  r.conversation_id AND p.event_id = r.root_id WHERE r.root_id IS NOT NULL""")
 def jon10(spark, sf):
     m = V.msg(spark, sf)
     r = m.filter("root_id is not null").select("event_id", "conversation_id", F.col("root_id").alias("root_ts"))
@@ -231,7 +244,8 @@ def _slices(spark, sf):
     return m.select("conversation_id", "day", F.col("event_id").alias("ts"), "sent_at", F.col("root_id").alias("context_root"), "author", "text")
 
 
-@register("grp1_plain_parts", f"WITH {V.MSG} SELECT event_id AS ts, CAST((row_number() OVER w - 1) // 7 + 1 AS INTEGER) AS part, CAST((count(*) OVER (PARTITION BY conversation_id, day) + 6) // 7 AS INTEGER) AS parts FROM msg WINDOW w AS (PARTITION BY conversation_id, day ORDER BY sent_at, event_id)")
+@register("grp1_plain_parts", f"""WITH {V.MSG} SELECT event_id AS ts, CAST((row_number() OVER w - 1) // 7 + 1 AS INTEGER) AS part, CAST((count(*) OVER (PARTITION BY conversation_id, day) + 6) // 7 AS INTEGER) AS
+  parts FROM msg WINDOW w AS (PARTITION BY conversation_id, day ORDER BY sent_at, event_id)""")
 def grp1_plain(spark, sf):
     return L.plain_parts(_slices(spark, sf), ["conversation_id", "day"], ["sent_at", "ts"], 7).select("ts", "part", "parts")
 
@@ -267,8 +281,10 @@ def grp5(spark, sf):
     return L.pages(_slices(spark, sf), ["conversation_id", "day"], 10).select("ts", "page")
 
 
-@register("grp3_context", f"""WITH {V.MSG}, p AS (SELECT conversation_id, day, event_id AS ts, root_id, (row_number() OVER (PARTITION BY conversation_id, day ORDER BY sent_at, event_id) - 1) // 7 + 1 AS part FROM msg), n AS (SELECT DISTINCT conversation_id, day, part, root_id FROM p WHERE root_id IS NOT NULL)
-SELECT n.conversation_id, CAST(n.day AS VARCHAR) AS day, CAST(n.part AS INTEGER) AS part, n.root_id AS root_ts, CASE WHEN m.event_id IS NULL THEN 'parent_not_held' WHEN m.k % 3 <> 0 THEN 'outside_file' ELSE 'out_of_scope' END AS marker FROM n LEFT JOIN msg m ON m.conversation_id = n.conversation_id AND m.event_id = n.root_id
+@register("grp3_context", f"""WITH {V.MSG}, p AS (SELECT conversation_id, day, event_id AS ts, root_id, (row_number() OVER (PARTITION BY conversation_id, day ORDER BY sent_at, event_id) - 1) // 7 + 1 AS part
+  FROM msg), n AS (SELECT DISTINCT conversation_id, day, part, root_id FROM p WHERE root_id IS NOT NULL)
+SELECT n.conversation_id, CAST(n.day AS VARCHAR) AS day, CAST(n.part AS INTEGER) AS part, n.root_id AS root_ts, CASE WHEN m.event_id IS NULL THEN 'parent_not_held' WHEN m.k % 3 <>
+  0 THEN 'outside_file' ELSE 'out_of_scope' END AS marker FROM n LEFT JOIN msg m ON m.conversation_id = n.conversation_id AND m.event_id = n.root_id
 WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.conversation_id = n.conversation_id AND p.day = n.day AND p.part = n.part AND p.ts = n.root_id)""")
 def grp3(spark, sf):
     p = L.plain_parts(_slices(spark, sf), ["conversation_id", "day"], ["sent_at", "ts"], 7).withColumnRenamed("context_root", "root_ts")
@@ -276,7 +292,9 @@ def grp3(spark, sf):
     return L.context(p, m, "conversation_id").withColumn("day", F.col("day").cast("string"))
 
 
-@register("grp4_externals", "WITH r AS (SELECT *, CAST(floor(l_extendedprice) AS BIGINT) AS size, l_linenumber * 1000000 + l_partkey AS file_id FROM lineitem), e AS (SELECT *, size > 80000 AS pol, sum(size) OVER (PARTITION BY l_orderkey, size > 80000 ORDER BY size, file_id DESC, l_suppkey DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS kept FROM r) SELECT l_orderkey, count(*) FILTER (WHERE pol OR kept > 120000) AS externals, count(*) AS files FROM e GROUP BY l_orderkey")
+@register("grp4_externals", """WITH r AS (SELECT *, CAST(floor(l_extendedprice) AS BIGINT) AS size, l_linenumber * 1000000 + l_partkey AS file_id FROM lineitem), e AS (SELECT *, size > 80000 AS pol, sum(size)
+  OVER (PARTITION BY l_orderkey, size > 80000 ORDER BY size, file_id DESC, l_suppkey DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS kept FROM r) SELECT l_orderkey,
+  count(*) FILTER (WHERE pol OR kept > 120000) AS externals, count(*) AS files FROM e GROUP BY l_orderkey""")
 def grp4(spark, sf):
     f = V.read(spark, sf, "lineitem").select("l_orderkey", F.floor("l_extendedprice").cast("long").alias("size"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("file_id"))
     x = L.externals(f, ["l_orderkey"], "size", "file_id", 120000, 80000)
@@ -284,7 +302,9 @@ def grp4(spark, sf):
 
 
 @register("grp6_structure_violations", f"""WITH {V.MSG}, e AS (SELECT unit_key AS f, CAST(event_id - event_id % 2 * (CASE WHEN k = 7 THEN 1 ELSE 0 END) AS VARCHAR) AS id, CAST(root_id AS VARCHAR) AS parent, author FROM msg)
-SELECT f, id AS what, 'duplicate_id' AS rule FROM e GROUP BY f, id HAVING count(*) > 1 UNION ALL SELECT DISTINCT f, parent, 'missing_parent' FROM e WHERE parent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM e x WHERE x.f = e.f AND x.id = e.parent) UNION ALL SELECT DISTINCT f, author, 'unknown_participant' FROM e WHERE NOT EXISTS (SELECT 1 FROM msg p WHERE p.unit_key = e.f AND p.author = e.author AND p.k % 2 = 0)
+SELECT f, id AS what, 'duplicate_id' AS rule FROM e GROUP BY f, id HAVING count(*) > 1 UNION ALL SELECT DISTINCT f, parent, 'missing_parent' FROM e WHERE parent IS NOT NULL AND NOT
+  EXISTS (SELECT 1 FROM e x WHERE x.f = e.f AND x.id = e.parent) UNION ALL SELECT DISTINCT f, author, 'unknown_participant' FROM e WHERE NOT EXISTS (SELECT 1 FROM msg p WHERE
+  p.unit_key = e.f AND p.author = e.author AND p.k % 2 = 0)
 UNION ALL SELECT DISTINCT unit_key, text, 'attachment_without_entry' FROM msg a WHERE NOT EXISTS (SELECT 1 FROM msg p WHERE p.unit_key = a.unit_key AND p.text = a.text AND p.k % 3 = 0)""")
 def grp6(spark, sf):
     m = V.msg(spark, sf).withColumnRenamed("unit_key", "f")
@@ -304,7 +324,8 @@ def scl7(spark, sf):
     return V.msg(spark, sf).select("event_id", L.local_day(F.col("sent_at"), "Asia/Kolkata").cast("string").alias("local_day"))
 
 
-@register("scl7_day_bounds", "WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders) SELECT CAST(day AS VARCHAR) AS day, CAST(CAST(day AS TIMESTAMP) - INTERVAL 330 MINUTE AS VARCHAR) AS day_start, CAST(CAST(day AS TIMESTAMP) + INTERVAL 1110 MINUTE AS VARCHAR) AS day_end FROM d")
+@register("scl7_day_bounds", """WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders) SELECT CAST(day AS VARCHAR) AS day, CAST(CAST(day AS TIMESTAMP) - INTERVAL 330 MINUTE AS VARCHAR) AS
+  day_start, CAST(CAST(day AS TIMESTAMP) + INTERVAL 1110 MINUTE AS VARCHAR) AS day_end FROM d""")
 def scl7b(spark, sf):
     d = V.read(spark, sf, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
     return L.day_bounds(d, "Asia/Kolkata").select(*[F.col(c).cast("string").alias(c) for c in ("day", "day_start", "day_end")])
@@ -322,13 +343,17 @@ def srt2(spark, sf):
     return s.withColumn("day", F.col("day").cast("string"))
 
 
-@register("snk4_manifests", f"WITH {V.MSG}, p AS (SELECT *, CAST((row_number() OVER (PARTITION BY conversation_id, day ORDER BY event_id) - 1) // 7 + 1 AS INTEGER) AS part FROM msg) SELECT conversation_id, CAST(day AS VARCHAR) AS day, part, '{{\"events\":[' || string_agg('{{\"ts\":' || event_id || ',\"author\":\"' || author || '\",\"text\":\"' || text || '\"}}', ',' ORDER BY event_id) || '],\"participants\":[' || string_agg(DISTINCT '\"' || author || '\"', ',' ORDER BY '\"' || author || '\"') || ']}}' AS manifest FROM p GROUP BY ALL")
+@register("snk4_manifests", f"""WITH {V.MSG}, p AS (SELECT *, CAST((row_number() OVER (PARTITION BY conversation_id, day ORDER BY event_id) - 1) // 7 + 1 AS INTEGER) AS part FROM msg) SELECT conversation_id,
+CAST(day AS VARCHAR) AS day, part, '{{\"events\":[' || string_agg('{{\"ts\":' || event_id || ',\"author\":\"' || author || '\",\"text\":\"' || text || '\"}}', ',' ORDER BY event_id) || '],\"participants\":[' || string_agg(DISTINCT '\"' || author || '\"', ',' ORDER BY '\"' || author || '\"') || ']}}'
+  AS manifest FROM p GROUP BY ALL""")
 def snk4(spark, sf):
     p = L.plain_parts(_slices(spark, sf), ["conversation_id", "day"], ["ts"], 7)
     return L.manifests(p, ["conversation_id", "day", "part"], ["ts"], ["ts", "author", "text"]).withColumn("day", F.col("day").cast("string"))
 
 
-@register("jon16_file_outcomes", "WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey AS file_id FROM lineitem), x AS (SELECT o_orderkey % 2000 AS file_id, arg_max(o_orderpriority, o_orderkey) AS reason FROM orders GROUP BY 1) SELECT r.l_orderkey, r.l_linenumber, r.file_id, CASE WHEN p.p_partkey IS NOT NULL THEN 'collected' ELSE 'refused: ' || x.reason END AS outcome FROM r LEFT JOIN part p ON p.p_partkey = r.file_id AND p.p_size > 10 LEFT JOIN x USING (file_id) WHERE x.reason IS NOT NULL")
+@register("jon16_file_outcomes", """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey AS file_id FROM lineitem), x AS (SELECT o_orderkey % 2000 AS file_id, arg_max(o_orderpriority, o_orderkey) AS reason FROM
+  orders GROUP BY 1) SELECT r.l_orderkey, r.l_linenumber, r.file_id, CASE WHEN p.p_partkey IS NOT NULL THEN 'collected' ELSE 'refused: ' || x.reason END AS outcome FROM r LEFT JOIN
+  part p ON p.p_partkey = r.file_id AND p.p_size > 10 LEFT JOIN x USING (file_id) WHERE x.reason IS NOT NULL""")
 def jon16(spark, sf):
     r = V.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("file_id"))
     c = V.read(spark, sf, "part").filter("p_size > 10").select(F.col("p_partkey").alias("file_id"), F.sha2("p_name", 256).alias("sha256"))
@@ -336,7 +361,9 @@ def jon16(spark, sf):
     return L.file_outcomes(r.join(x.select("file_id").distinct(), "file_id", "left_semi"), c, x).select("l_orderkey", "l_linenumber", "file_id", "outcome")
 
 
-@register("jon17_conversation_info", "WITH s AS (SELECT o_custkey, o_orderpriority AS name, o_orderdate, o_orderkey FROM orders WHERE o_orderdate <= TIMESTAMP '1998-01-01'), l AS (SELECT o_custkey, arg_max(name, (o_orderdate, o_orderkey)) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS k FROM s GROUP BY 1) SELECT c_custkey, coalesce(l.n, c_name) AS name, coalesce(l.k, '') AS known_names FROM customer LEFT JOIN l ON o_custkey = c_custkey")
+@register("jon17_conversation_info", """WITH s AS (SELECT o_custkey, o_orderpriority AS name, o_orderdate, o_orderkey FROM orders WHERE o_orderdate <= TIMESTAMP '1998-01-01'), l AS (SELECT o_custkey, arg_max(name,
+  (o_orderdate, o_orderkey)) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS k FROM s GROUP BY 1) SELECT c_custkey, coalesce(l.n, c_name) AS name, coalesce(l.k, '') AS
+  known_names FROM customer LEFT JOIN l ON o_custkey = c_custkey""")
 def jon17(spark, sf):
     c = V.read(spark, sf, "customer")
     o = V.read(spark, sf, "orders").filter("o_orderdate <= timestamp_ntz'1998-01-01'")
@@ -346,7 +373,8 @@ def jon17(spark, sf):
     return out.withColumn("known_names", F.array_join("known_names", ","))
 
 
-@register("jon15_latest_snapshot", "WITH s AS (SELECT o_custkey, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS reactions FROM orders WHERE o_orderdate <= TIMESTAMP '1998-01-01' GROUP BY 1) SELECT c_custkey, reactions FROM customer LEFT JOIN s ON o_custkey = c_custkey")
+@register("jon15_latest_snapshot", """WITH s AS (SELECT o_custkey, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS reactions FROM orders WHERE o_orderdate <= TIMESTAMP '1998-01-01' GROUP BY 1) SELECT c_custkey,
+  reactions FROM customer LEFT JOIN s ON o_custkey = c_custkey""")
 def jon15(spark, sf):
     from ledgerlane.operators import versions as X
 
@@ -355,7 +383,8 @@ def jon15(spark, sf):
     return X.with_latest_snapshot(c, o, "subject", F.lit("1998-01-01").cast("timestamp_ntz")).select("c_custkey", "reactions")
 
 
-@register("agg22_reconcile_render", f"WITH {V.MSG} SELECT conversation_id, CAST(day AS VARCHAR) AS day, count(*) FILTER (WHERE event_id % 19 = 0) AS missing, count(*) FILTER (WHERE event_id % 23 = 0 AND event_id % 19 <> 0) AS extra FROM msg GROUP BY ALL HAVING count(*) FILTER (WHERE event_id % 19 = 0 OR event_id % 23 = 0) > 0")
+@register("agg22_reconcile_render", f"""WITH {V.MSG} SELECT conversation_id, CAST(day AS VARCHAR) AS day, count(*) FILTER (WHERE event_id % 19 = 0) AS missing, count(*) FILTER (WHERE event_id % 23 = 0 AND event_id % 19
+  <> 0) AS extra FROM msg GROUP BY ALL HAVING count(*) FILTER (WHERE event_id % 19 = 0 OR event_id % 23 = 0) > 0""")
 def agg22(spark, sf):
     m = V.msg(spark, sf).select("conversation_id", "day", "subject", "event_id").withColumn("kind", F.lit("primary"))
     r = m.filter("event_id % 19 <> 0")
@@ -364,20 +393,32 @@ def agg22(spark, sf):
     return out.withColumn("day", F.col("day").cast("string"))
 
 
-@register("agg22_render_summary", f"WITH {V.MSG}, v AS (SELECT *, event_id % 6 <> 0 AS prim, sha256(subject) AS h FROM msg), lanes AS (SELECT {', '.join(f'sum(CASE WHEN prim THEN CAST(chr(48) || chr(120) || substr(h, {8 * i + 1}, 8) AS BIGINT) ELSE 0 END) AS s{i}' for i in range(8))} FROM v), c7 AS (SELECT *, s7 AS t7 FROM lanes)" + "".join(f", c{i} AS (SELECT *, s{i} + t{i + 1} // 4294967296 AS t{i} FROM c{i + 1})" for i in range(6, -1, -1)) + " SELECT (SELECT count(*) FROM v WHERE prim) AS primaries, (SELECT count(*) FROM v WHERE NOT prim) AS context_events, (SELECT count(*) FROM v WHERE NOT prim AND k % 3 = 0) AS out_of_scope_context, (SELECT count(*) FROM (SELECT DISTINCT conversation_id, day FROM v)) AS slices, " + " || ".join(f"lpad(lower(to_hex(CAST(t{i} % 4294967296 AS BIGINT))), 8, '0')" for i in range(8)) + " AS digest FROM c0")
+_PRIMARY_LANES = ", ".join(f"sum(CASE WHEN prim THEN CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT) ELSE 0 END) AS s{i}" for i in range(8))
+
+
+@register("agg22_render_summary", f"""WITH {V.MSG}, v AS (SELECT *, event_id % 6 <> 0 AS prim, sha256(subject) AS h FROM msg), lanes AS (SELECT {_PRIMARY_LANES} FROM v), {CARRY}
+SELECT (SELECT count(*) FROM v WHERE prim) AS primaries, (SELECT count(*) FROM v WHERE NOT prim) AS context_events, (SELECT count(*) FROM v WHERE NOT prim AND k % 3 = 0) AS out_of_scope_context,
+  (SELECT count(*) FROM (SELECT DISTINCT conversation_id, day FROM v)) AS slices, {HEX} AS digest FROM c0""")
 def agg22b(spark, sf):
     m = V.msg(spark, sf).withColumn("kind", F.when(F.col("event_id") % 6 != 0, "primary").otherwise("context")).withColumn("in_scope", F.col("k") % 3 != 0)
     return L.render_summary(m)
 
 
-@register("agg23_natives", "WITH r AS (SELECT l_partkey AS sha256, count(DISTINCT l_linenumber > 6) AS n, min(CASE WHEN l_linenumber > 6 THEN 2 ELSE 1 END) AS size FROM lineitem GROUP BY 1), s AS (SELECT p_partkey AS sha256, CASE WHEN p_size = 7 THEN 9 ELSE 1 END AS size FROM part WHERE p_size <> 3), j AS (SELECT coalesce(r.sha256, s.sha256) AS sha256, CASE WHEN r.n > 1 THEN 'two_sizes' WHEN r.n IS NULL THEN 'unreferenced' WHEN s.size IS NULL THEN 'missing' WHEN s.size <> r.size THEN 'wrong_size' END AS error FROM r FULL JOIN s USING (sha256)) SELECT * FROM j WHERE error IS NOT NULL")
+@register("agg23_natives", """WITH r AS (SELECT l_partkey AS sha256, count(DISTINCT l_linenumber > 6) AS n, min(CASE WHEN l_linenumber > 6 THEN 2 ELSE 1 END) AS size FROM lineitem GROUP BY 1), s AS (SELECT
+  p_partkey AS sha256, CASE WHEN p_size = 7 THEN 9 ELSE 1 END AS size FROM part WHERE p_size <> 3), j AS (SELECT coalesce(r.sha256, s.sha256) AS sha256, CASE WHEN r.n > 1 THEN
+  'two_sizes' WHEN r.n IS NULL THEN 'unreferenced' WHEN s.size IS NULL THEN 'missing' WHEN s.size <> r.size THEN 'wrong_size' END AS error FROM r FULL JOIN s USING (sha256)) SELECT
+  * FROM j WHERE error IS NOT NULL""")
 def agg23(spark, sf):
     r = V.read(spark, sf, "lineitem").select(F.col("l_partkey").alias("sha256"), F.when(F.col("l_linenumber") > 6, 2).otherwise(1).alias("size"))
     s = V.read(spark, sf, "part").filter("p_size <> 3").select(F.col("p_partkey").alias("sha256"), F.when(F.col("p_size") == 7, 9).otherwise(1).alias("size"))
     return L.natives_check(r, s)
 
 
-@register("jon22_registry_audit", "WITH r AS (SELECT doc_id AS storage_key, CASE WHEN doc_id % 4 = 0 THEN 'pending' ELSE 'complete' END AS state, sha256(text) AS h, doc_id % 8 < 2 AS young FROM documents WHERE doc_id % 29 <> 0), s AS (SELECT doc_id AS storage_key, CASE WHEN doc_id % 13 = 0 THEN 'x' ELSE sha256(text) END AS h FROM documents WHERE doc_id % 11 <> 0) SELECT coalesce(r.storage_key, s.storage_key) AS storage_key, CASE WHEN r.state IS NULL THEN 'shadow' WHEN s.h IS NULL AND r.state = 'complete' THEN 'missing' WHEN s.h IS NULL THEN CASE WHEN young THEN 'left_pending' ELSE 'needs_refetch' END WHEN s.h <> r.h THEN 'integrity_incident' WHEN r.state = 'pending' THEN 'completed' ELSE 'intact' END AS outcome FROM r FULL JOIN s USING (storage_key)")
+@register("jon22_registry_audit", """WITH r AS (SELECT doc_id AS storage_key, CASE WHEN doc_id % 4 = 0 THEN 'pending' ELSE 'complete' END AS state, sha256(text) AS h, doc_id % 8 < 2 AS young FROM documents WHERE
+  doc_id % 29 <> 0), s AS (SELECT doc_id AS storage_key, CASE WHEN doc_id % 13 = 0 THEN 'x' ELSE sha256(text) END AS h FROM documents WHERE doc_id % 11 <> 0) SELECT
+  coalesce(r.storage_key, s.storage_key) AS storage_key, CASE WHEN r.state IS NULL THEN 'shadow' WHEN s.h IS NULL AND r.state = 'complete' THEN 'missing' WHEN s.h IS NULL THEN CASE
+  WHEN young THEN 'left_pending' ELSE 'needs_refetch' END WHEN s.h <> r.h THEN 'integrity_incident' WHEN r.state = 'pending' THEN 'completed' ELSE 'intact' END AS outcome FROM r
+  FULL JOIN s USING (storage_key)""")
 def jon22(spark, sf):
     d = V.read(spark, sf, "documents")
     i = F.col("doc_id")
@@ -397,7 +438,9 @@ def agg11(spark, sf):
     return U.evidence_summary(o).withColumns({c: F.col(c).cast("string") for c in ("first_until", "last_until")})
 
 
-@register("agg12_retention_targets", "WITH o AS (SELECT DISTINCT l_partkey AS object_id, l_suppkey AS owner FROM lineitem), w AS (SELECT s_suppkey AS owner, CASE WHEN s_suppkey % 17 <> 0 THEN TIMESTAMP '2024-01-01' + INTERVAL (CAST(s_suppkey * 13 % 400 AS INTEGER)) DAY END AS u FROM supplier) SELECT object_id, CAST(CASE WHEN bool_or(u IS NULL) THEN NULL ELSE max(u) END AS VARCHAR) AS until, arg_max(owner, (CASE WHEN u IS NULL THEN 1 ELSE 0 END, coalesce(u, TIMESTAMP '1900-01-01'), owner)) AS owner FROM o JOIN w USING (owner) GROUP BY object_id")
+@register("agg12_retention_targets", """WITH o AS (SELECT DISTINCT l_partkey AS object_id, l_suppkey AS owner FROM lineitem), w AS (SELECT s_suppkey AS owner, CASE WHEN s_suppkey % 17 <> 0 THEN TIMESTAMP '2024-01-01' +
+  INTERVAL (CAST(s_suppkey * 13 % 400 AS INTEGER)) DAY END AS u FROM supplier) SELECT object_id, CAST(CASE WHEN bool_or(u IS NULL) THEN NULL ELSE max(u) END AS VARCHAR) AS until,
+  arg_max(owner, (CASE WHEN u IS NULL THEN 1 ELSE 0 END, coalesce(u, TIMESTAMP '1900-01-01'), owner)) AS owner FROM o JOIN w USING (owner) GROUP BY object_id""")
 def agg12(spark, sf):
     o = V.read(spark, sf, "lineitem").select(F.col("l_partkey").alias("object_id"), F.col("l_suppkey").alias("owner")).distinct()
     k = F.col("s_suppkey")
@@ -405,21 +448,26 @@ def agg12(spark, sf):
     return U.retention_targets(o, w).withColumn("until", F.col("until").cast("string"))
 
 
-@register("scl17_retain_target", "SELECT o_orderkey, CAST(least(TIMESTAMP '1998-01-01' + INTERVAL 90 DAY, coalesce(CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate END, TIMESTAMP '1998-01-01' + INTERVAL 90 DAY)) AS VARCHAR) AS target, o_orderdate < least(TIMESTAMP '1998-01-01' + INTERVAL 30 DAY, least(TIMESTAMP '1998-01-01' + INTERVAL 90 DAY, coalesce(CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate END, TIMESTAMP '1998-01-01' + INTERVAL 90 DAY))) AS extend FROM orders")
+@register("scl17_retain_target", """SELECT o_orderkey, CAST(least(TIMESTAMP '1998-01-01' + INTERVAL 90 DAY, coalesce(CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate END, TIMESTAMP '1998-01-01' + INTERVAL 90 DAY)) AS
+  VARCHAR) AS target, o_orderdate < least(TIMESTAMP '1998-01-01' + INTERVAL 30 DAY, least(TIMESTAMP '1998-01-01' + INTERVAL 90 DAY, coalesce(CASE WHEN o_orderkey % 3 <> 0 THEN
+  o_orderdate END, TIMESTAMP '1998-01-01' + INTERVAL 90 DAY))) AS extend FROM orders""")
 def scl17(spark, sf):
     o = V.read(spark, sf, "orders").withColumn("d", F.col("o_orderdate").cast("timestamp"))
     t = U.retain_target(_at("1998-01-01"), "INTERVAL 90 DAYS", F.when(F.col("o_orderkey") % 3 != 0, F.col("d")))
     return o.select("o_orderkey", t.cast("string").alias("target"), U.extension_needed(F.col("d"), _at("1998-01-01"), "INTERVAL 30 DAYS", t).alias("extend"))
 
 
-@register("set1_jon21_owner_union", "SELECT DISTINCT object_id, owner FROM (SELECT l_partkey AS object_id, 'job' || (l_orderkey % 50) AS owner FROM lineitem UNION ALL SELECT l_suppkey, 'item' || (l_orderkey % 50) FROM lineitem UNION ALL SELECT o_custkey, 'report' || (o_orderkey % 50) FROM orders)")
+@register("set1_jon21_owner_union", """SELECT DISTINCT object_id, owner FROM (SELECT l_partkey AS object_id, 'job' || (l_orderkey % 50) AS owner FROM lineitem UNION ALL SELECT l_suppkey, 'item' || (l_orderkey % 50) FROM
+  lineitem UNION ALL SELECT o_custkey, 'report' || (o_orderkey % 50) FROM orders)""")
 def set1(spark, sf):
     l, o = V.read(spark, sf, "lineitem"), V.read(spark, sf, "orders")
     own = lambda x, c, k, p: x.select(F.col(c).alias("object_id"), F.concat(F.lit(p), (F.col(k) % 50).cast("string")).alias("owner"))
     return U.union_owners(own(l, "l_partkey", "l_orderkey", "job"), own(l, "l_suppkey", "l_orderkey", "item"), own(o, "o_custkey", "o_orderkey", "report"))
 
 
-@register("set5_jon18_hold_scope", "WITH ob AS (SELECT p_partkey AS object_id, CASE WHEN p_size % 3 = 0 THEN p_partkey - p_partkey % 10 END AS archive_id, p_size % 5 <> 0 AS complete FROM part), m AS (SELECT l_partkey AS object_id FROM lineitem WHERE l_orderkey % 97 = 0 UNION SELECT l_suppkey FROM lineitem WHERE l_orderkey % 89 = 0) SELECT DISTINCT o2.object_id FROM m LEFT JOIN ob ON ob.object_id = m.object_id JOIN ob o2 ON o2.object_id = coalesce(ob.archive_id, m.object_id) WHERE o2.complete")
+@register("set5_jon18_hold_scope", """WITH ob AS (SELECT p_partkey AS object_id, CASE WHEN p_size % 3 = 0 THEN p_partkey - p_partkey % 10 END AS archive_id, p_size % 5 <> 0 AS complete FROM part), m AS (SELECT
+  l_partkey AS object_id FROM lineitem WHERE l_orderkey % 97 = 0 UNION SELECT l_suppkey FROM lineitem WHERE l_orderkey % 89 = 0) SELECT DISTINCT o2.object_id FROM m LEFT JOIN ob ON
+  ob.object_id = m.object_id JOIN ob o2 ON o2.object_id = coalesce(ob.archive_id, m.object_id) WHERE o2.complete""")
 def set5(spark, sf):
     p, l = V.read(spark, sf, "part"), V.read(spark, sf, "lineitem")
     ob = p.select(F.col("p_partkey").alias("object_id"), F.when(F.col("p_size") % 3 == 0, F.col("p_partkey") - F.col("p_partkey") % 10).alias("archive_id"), F.when(F.col("p_size") % 5 != 0, "complete").otherwise("pending").alias("state"))
@@ -487,7 +535,8 @@ def flt7(spark, sf):
     return U.stale(o, ("P", "O"), "d", _at("1998-01-01"), "INTERVAL 365 DAYS").select("o_orderkey")
 
 
-@register("flt6_deadlines", "SELECT o_orderkey, CASE WHEN o_orderdate <= TIMESTAMP '1998-01-01' THEN 'past' ELSE 'warn' END AS due FROM orders WHERE o_orderstatus <> 'F' AND (o_orderdate <= TIMESTAMP '1998-01-01' OR (o_orderdate <= TIMESTAMP '1998-02-01' AND o_orderkey % 2 = 0))")
+@register("flt6_deadlines", """SELECT o_orderkey, CASE WHEN o_orderdate <= TIMESTAMP '1998-01-01' THEN 'past' ELSE 'warn' END AS due FROM orders WHERE o_orderstatus <> 'F' AND (o_orderdate <= TIMESTAMP
+  '1998-01-01' OR (o_orderdate <= TIMESTAMP '1998-02-01' AND o_orderkey % 2 = 0))""")
 def flt6(spark, sf):
     d = F.col("o_orderdate").cast("timestamp")
     p = V.read(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", d).alias("resumed_at"), d.alias("deadline_at"), F.when(F.col("o_orderkey") % 2 != 0, d).alias("warned_at"))
@@ -513,7 +562,9 @@ def set6(spark, sf):
     return U.rerun_equal(o, two.union(two.filter("o_orderkey % 103 = 0")))
 
 
-@register("agg13_quota", "WITH u AS (SELECT o_custkey % 100 AS client, count(*) FILTER (WHERE o_orderstatus = 'O') AS in_flight, CAST(sum(CASE WHEN o_orderstatus IN ('O', 'F') THEN CAST(floor(o_totalprice) AS BIGINT) ELSE 0 END) AS BIGINT) AS bytes, count(*) FILTER (WHERE o_orderstatus = 'F') AS ready FROM orders GROUP BY 1) SELECT *, array_to_string(list_filter([CASE WHEN bytes > 24000000 THEN 'bytes' END, CASE WHEN in_flight > 50 THEN 'in_flight' END], lambda x: x IS NOT NULL), ',') AS over FROM u".replace("AS over FROM u", 'AS "over" FROM u'))
+@register("agg13_quota", """WITH u AS (SELECT o_custkey % 100 AS client, count(*) FILTER (WHERE o_orderstatus = 'O') AS in_flight,
+  CAST(sum(CASE WHEN o_orderstatus IN ('O', 'F') THEN CAST(floor(o_totalprice) AS BIGINT) ELSE 0 END) AS BIGINT) AS bytes, count(*) FILTER (WHERE o_orderstatus = 'F') AS ready FROM orders GROUP BY 1)
+SELECT *, array_to_string(list_filter([CASE WHEN bytes > 24000000 THEN 'bytes' END, CASE WHEN in_flight > 50 THEN 'in_flight' END], lambda x: x IS NOT NULL), ',') AS "over" FROM u""")
 def agg13(spark, sf):
     e = V.read(spark, sf, "orders").select((F.col("o_custkey") % 100).alias("client"), F.when(F.col("o_orderstatus") == "O", "uploading").when(F.col("o_orderstatus") == "F", "ready").otherwise("failed").alias("state"), F.floor("o_totalprice").cast("long").alias("bytes"))
     return U.quota(e, {"bytes": 24_000_000, "in_flight": 50}).withColumn("over", F.array_join("over", ","))
@@ -536,14 +587,18 @@ def agg10(spark, sf):
     return prj5(spark, sf).groupBy("kind", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("scl8_mentions", "WITH t AS (SELECT event_id, '<@U' || user_id || '> and <@U' || (user_id % 7) || '|x> <@U' || user_id || '>' AS t FROM events) SELECT event_id, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '<@([A-Z0-9]+)(\\|[^>]*)?>', 1))), ',') AS mentions FROM t")
+@register("scl8_mentions", """WITH t AS (SELECT event_id, '<@U' || user_id || '> and <@U' || (user_id % 7) || '|x> <@U' || user_id || '>' AS t FROM events) SELECT event_id,
+  array_to_string(list_sort(list_distinct(regexp_extract_all(t, '<@([A-Z0-9]+)(\\|[^>]*)?>', 1))), ',') AS mentions FROM t""")
 def scl8(spark, sf):
     u = F.col("user_id").cast("string")
     t = F.concat(F.lit("<@U"), u, F.lit("> and <@U"), (F.col("user_id") % 7).cast("string"), F.lit("|x> <@U"), u, F.lit(">"))
     return V.read(spark, sf, "events").select("event_id", F.array_join(T.mentions(t), ",").alias("mentions"))
 
 
-@register("scl11_redact", "SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'xox[abeoprs]-[A-Za-z0-9-]{8,}', '[REDACTED]', 'g'), 'xapp-\\d-[A-Za-z0-9-]{8,}', '[REDACTED]', 'g'), '(?i)\\bbearer\\s+[A-Za-z0-9._~+/=-]{8,}', '[REDACTED]', 'g'), '\\beyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}', '[REDACTED]', 'g'), '\\b(AKIA|ASIA)[A-Z0-9]{16}\\b', '[REDACTED]', 'g'), '-----BEGIN [A-Z ]*PRIVATE KEY-----[\\s\\S]*?-----END [A-Z ]*PRIVATE KEY-----', '[REDACTED]', 'g')) AS redacted FROM documents")
+@register("scl11_redact", """SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'xox[abeoprs]-[A-Za-z0-9-]{8,}', '[REDACTED]', 'g'),
+  'xapp-\\d-[A-Za-z0-9-]{8,}', '[REDACTED]', 'g'), '(?i)\\bbearer\\s+[A-Za-z0-9._~+/=-]{8,}', '[REDACTED]', 'g'), '\\beyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}',
+  '[REDACTED]', 'g'), '\\b(AKIA|ASIA)[A-Z0-9]{16}\\b', '[REDACTED]', 'g'), '-----BEGIN [A-Z ]*PRIVATE KEY-----[\\s\\S]*?-----END [A-Z ]*PRIVATE KEY-----', '[REDACTED]', 'g')) AS
+  redacted FROM documents""")
 def scl11(spark, sf):
     return V.read(spark, sf, "documents").select("doc_id", F.md5(T.redact(F.col("text"))).alias("redacted"))
 
@@ -580,7 +635,9 @@ def scl10(spark, sf):
     return V.read(spark, sf, "documents").select("doc_id", T.search_key(F.col("text")).alias("search_key"))
 
 
-@register("scl14_error_parts", "WITH e AS (SELECT o_orderkey, o_orderpriority || CASE WHEN o_orderkey % 2 = 0 THEN ': ' || o_orderstatus || ': x' ELSE '' END AS e FROM orders) SELECT o_orderkey, CASE WHEN instr(e, ': ') > 0 THEN substr(e, 1, instr(e, ': ') - 1) ELSE e END AS error_type, CASE WHEN instr(e, ': ') > 0 THEN substr(e, instr(e, ': ') + 2) ELSE '' END AS error_message FROM e")
+@register("scl14_error_parts", """WITH e AS (SELECT o_orderkey, o_orderpriority || CASE WHEN o_orderkey % 2 = 0 THEN ': ' || o_orderstatus || ': x' ELSE '' END AS e FROM orders) SELECT o_orderkey, CASE WHEN
+  instr(e, ': ') > 0 THEN substr(e, 1, instr(e, ': ') - 1) ELSE e END AS error_type, CASE WHEN instr(e, ': ') > 0 THEN substr(e, instr(e, ': ') + 2) ELSE '' END AS error_message
+  FROM e""")
 def scl14(spark, sf):
     e = F.concat("o_orderpriority", F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(": "), "o_orderstatus", F.lit(": x"))).otherwise(""))
     a, b = K.error_parts(e)
@@ -594,7 +651,8 @@ e AS (SELECT doc_id, s, regexp_extract(s, '^.+\\.([^.]*)$', 1) AS ext FROM s),
 x AS (SELECT doc_id, CASE WHEN ext <> '' AND strlen(ext) <= 16 THEN substr(s, 1, length(s) - length(ext) - 1) ELSE s END AS stem, CASE WHEN ext <> '' AND strlen(ext) <= 16 THEN '.' || ext ELSE '' END AS suffix FROM e)"""
 
 
-@register("scl18_attachment_names", f"WITH {_NAMES} SELECT doc_id, 'F' || doc_id || '_' || CASE WHEN strlen(stem) > 200 - strlen('F' || doc_id || '_' || suffix) THEN substr(stem, 1, CAST(200 - strlen('F' || doc_id || '_' || suffix) AS BIGINT)) ELSE stem END || suffix AS name FROM x")
+@register("scl18_attachment_names", f"""WITH {_NAMES} SELECT doc_id, 'F' || doc_id || '_' || CASE WHEN strlen(stem) > 200 - strlen('F' || doc_id || '_' || suffix) THEN substr(stem, 1, CAST(200 - strlen('F' || doc_id ||
+  '_' || suffix) AS BIGINT)) ELSE stem END || suffix AS name FROM x""")
 def scl18(spark, sf):
     i = F.col("doc_id") % 5
     name = (
@@ -604,14 +662,16 @@ def scl18(spark, sf):
     return V.read(spark, sf, "documents").select("doc_id", T.attachment_name(F.concat(F.lit("F"), F.col("doc_id").cast("string")), name).alias("name"))
 
 
-@register("scl19_event_mapping", "SELECT event_id, CASE event_type WHEN 'signup' THEN 'join' WHEN 'error' THEN 'leave' ELSE 'message' END AS kind, CASE WHEN user_id % 2 = 0 THEN 'type=' || event_type || ';user=' || user_id ELSE 'type=' || event_type END AS custom FROM events")
+@register("scl19_event_mapping", """SELECT event_id, CASE event_type WHEN 'signup' THEN 'join' WHEN 'error' THEN 'leave' ELSE 'message' END AS kind, CASE WHEN user_id % 2 = 0 THEN 'type=' || event_type || ';user=' ||
+  user_id ELSE 'type=' || event_type END AS custom FROM events""")
 def scl19(spark, sf):
     sub = F.expr("CASE event_type WHEN 'signup' THEN 'channel_join' WHEN 'error' THEN 'channel_leave' END")
     fields = L.custom_fields(user=F.when(F.col("user_id") % 2 == 0, F.col("user_id")), type=F.col("event_type"))
     return V.read(spark, sf, "events").select("event_id", L.event_type(sub, F.col("event_type")).alias("kind"), F.array_join(F.transform(fields, lambda p: F.concat(p["name"], F.lit("="), p["value"])), ";").alias("custom"))
 
 
-@register("scl20_participants", f"WITH {V.MSG}, p AS (SELECT DISTINCT unit_key, author AS user_id FROM msg UNION SELECT unit_key, 'U' || (k % 7) FROM msg) SELECT p.unit_key, p.user_id, coalesce(nullif(trim(CASE WHEN c.c_custkey % 3 = 0 THEN ' ' ELSE c.c_mktsegment END), ''), nullif(trim(c.c_name), ''), p.user_id) AS name FROM p LEFT JOIN customer c ON 'U' || c.c_custkey = p.user_id")
+@register("scl20_participants", f"""WITH {V.MSG}, p AS (SELECT DISTINCT unit_key, author AS user_id FROM msg UNION SELECT unit_key, 'U' || (k % 7) FROM msg) SELECT p.unit_key, p.user_id, coalesce(nullif(trim(CASE
+  WHEN c.c_custkey % 3 = 0 THEN ' ' ELSE c.c_mktsegment END), ''), nullif(trim(c.c_name), ''), p.user_id) AS name FROM p LEFT JOIN customer c ON 'U' || c.c_custkey = p.user_id""")
 def scl20(spark, sf):
     m = V.msg(spark, sf).withColumn("m", F.array(F.concat(F.lit("U"), (F.col("k") % 7).cast("string"))))
     n = V.read(spark, sf, "customer").select(F.concat(F.lit("U"), F.col("c_custkey").cast("string")).alias("user_id"), F.when(F.col("c_custkey") % 3 == 0, " ").otherwise(F.col("c_mktsegment")).alias("display_name"), F.col("c_name").alias("real_name"))

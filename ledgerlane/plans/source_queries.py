@@ -41,8 +41,10 @@ def _pages(spark, sf):
 _TS = "CAST(CAST(epoch_us(sent_at) AS BIGINT) // 1000000 AS VARCHAR) || '.' || lpad(CAST(CAST(epoch_us(sent_at) AS BIGINT) % 1000000 AS VARCHAR), 6, '0')"
 
 
-@register("src1_prj1_messages", f"""WITH {V.MSG} SELECT unit_key, row_number() OVER (PARTITION BY unit_key ORDER BY event_id) - 1 AS message_index, '$.messages[' || (row_number() OVER (PARTITION BY unit_key ORDER BY event_id) - 1) || ']' AS json_path, 'T0/' || conversation_id || '/' || {_TS} AS subject, CASE WHEN event_id % 31 = 0 THEN 'B' || author ELSE author END AS author,
-CASE WHEN event_id % 41 = 0 THEN '' ELSE text || ' <@U' || (k % 7) || '>' END AS text, event_id % 41 = 0 AS deleted, CASE WHEN event_id % 9 = 0 THEN 'F' || (event_id % 300) ELSE '' END AS file_ids, CASE WHEN event_id % 41 = 0 THEN '' ELSE 'U' || (k % 7) END AS mentions FROM msg""")
+@register("src1_prj1_messages", f"""WITH {V.MSG} SELECT unit_key, row_number() OVER (PARTITION BY unit_key ORDER BY event_id) - 1 AS message_index, '$.messages[' || (row_number() OVER (PARTITION BY unit_key ORDER BY
+  event_id) - 1) || ']' AS json_path, 'T0/' || conversation_id || '/' || {_TS} AS subject, CASE WHEN event_id % 31 = 0 THEN 'B' || author ELSE author END AS author,
+CASE WHEN event_id % 41 = 0 THEN '' ELSE text || ' <@U' || (k % 7) || '>' END AS text, event_id % 41 = 0 AS deleted, CASE WHEN event_id % 9 = 0 THEN 'F' || (event_id % 300) ELSE ''
+  END AS file_ids, CASE WHEN event_id % 41 = 0 THEN '' ELSE 'U' || (k % 7) END AS mentions FROM msg""")
 def src1(spark, sf):
     m = N.messages(R.page_messages(_pages(spark, sf)))
     return m.select("unit_key", F.col("message_index").cast("long").alias("message_index"), "json_path", "subject", "author", "text", "deleted", F.array_join("file_ids", ",").alias("file_ids"), F.array_join("mentions", ",").alias("mentions"))
@@ -55,7 +57,8 @@ def src2(spark, sf):
     return d.select("unit_key", F.col("message_index").cast("long").alias("message_index"), "json_path", F.col("message.ts").alias("ts"))
 
 
-@register("prj2_files", f"WITH {V.MSG}, f AS (SELECT 'F' || (event_id % 300) AS id, text AS name, unit_key, row_number() OVER (PARTITION BY unit_key ORDER BY event_id) - 1 AS i, event_id FROM msg), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY unit_key, i) AS n FROM f WHERE event_id % 9 = 0) SELECT id, name, unit_key FROM n WHERE n = 1")
+@register("prj2_files", f"""WITH {V.MSG}, f AS (SELECT 'F' || (event_id % 300) AS id, text AS name, unit_key, row_number() OVER (PARTITION BY unit_key ORDER BY event_id) - 1 AS i, event_id FROM msg), n AS
+  (SELECT *, row_number() OVER (PARTITION BY id ORDER BY unit_key, i) AS n FROM f WHERE event_id % 9 = 0) SELECT id, name, unit_key FROM n WHERE n = 1""")
 def prj2(spark, sf):
     return N.files(R.page_messages(_pages(spark, sf)), "message", ["unit_key", "message_index"]).select("id", "name", "unit_key")
 
@@ -77,7 +80,8 @@ def src5(spark, sf):
     return _members(spark, sf).select("id", "kind", "archived", "display")
 
 
-@register("prj3_identities", f"""WITH {_MEMBERS} SELECT 'T0/user/' || id || '#profile' AS subject, display AS display_name, real_name, gone AS deactivated, sha256('{{"deactivated":' || gone || ',"display_name":"' || display || '","email":"u' || c_custkey || '@example.com","fp":"chat.profile/1","real_name":"' || real_name || '","user":"' || id || '"}}') AS content_hash FROM m""")
+@register("prj3_identities", f"""WITH {_MEMBERS} SELECT 'T0/user/' || id || '#profile' AS subject, display AS display_name, real_name, gone AS deactivated, sha256('{{"deactivated":' || gone || ',"display_name":"' || display || '","email":"u' || c_custkey || '@example.com","fp":"chat.profile/1","real_name":"' || real_name || '","user":"' || id || '"}}')
+  AS content_hash FROM m""")
 def prj3(spark, sf):
     return N.identities(_members(spark, sf)).select("subject", "display_name", "real_name", "deactivated", "content_hash")
 
@@ -125,7 +129,8 @@ def src4(spark, sf):
     return R.conversation_metadata(raw).select("conversation_id", "kind", "folder", "team_id", "refused")
 
 
-@register("prj4_conversations", "SELECT 'C' || c_custkey AS conversation_id, CASE WHEN c_custkey % 7 = 0 THEN 'im' WHEN c_custkey % 3 = 0 THEN 'private_channel' ELSE 'public_channel' END AS type, coalesce(c_mktsegment, '') AS topic, array_to_string(list_sort(['U' || (c_custkey % 9), 'U' || (c_custkey % 4)]), ',') AS members, c_custkey % 10 = 0 AS archived FROM customer")
+@register("prj4_conversations", """SELECT 'C' || c_custkey AS conversation_id, CASE WHEN c_custkey % 7 = 0 THEN 'im' WHEN c_custkey % 3 = 0 THEN 'private_channel' ELSE 'public_channel' END AS type,
+  coalesce(c_mktsegment, '') AS topic, array_to_string(list_sort(['U' || (c_custkey % 9), 'U' || (c_custkey % 4)]), ',') AS members, c_custkey % 10 = 0 AS archived FROM customer""")
 def prj4(spark, sf):
     rows = _conversations(spark, sf).select(F.explode(F.from_json("value", f"array<struct<{R._nested(N.CONVERSATION)}>>")).alias("conversation"))
     return N.conversations(rows).select("conversation_id", "type", "topic", F.array_join("members", ",").alias("members"), "archived")
@@ -153,7 +158,8 @@ by_state AS (SELECT conversation_id, state, place, count(*) AS n, sum(coalesce(e
 roll AS (SELECT conversation_id, string_agg('"' || state || '":' || n, ',' ORDER BY state) AS by_status, sum(n) AS units, arg_min(state, place) AS worst, sum(e) AS e, sum(c) AS c, sum(g) AS g FROM by_state GROUP BY conversation_id),
 clicks AS (SELECT 'S' || (CAST(substr(author, 2) AS INTEGER) % 10) AS stream, text, author, row_number() OVER (PARTITION BY CAST(substr(author, 2) AS INTEGER) % 10 ORDER BY event_id) AS seq FROM msg),
 lines AS (SELECT 'units' AS file, '{{"access_lost":' || access_lost || ',"collected":' || collected || ',"conversation_id":"' || conversation_id || '","day":' || coalesce('"' || day || '"', 'null') || ',"expected_count":' || coalesce(CAST(expected_count AS VARCHAR), 'null')
-  || ',"file_gaps":' || file_gaps || ',"gap_reasons":[' || array_to_string(list_transform(gap_reasons, lambda x: '"' || x || '"'), ',') || '],"job_id":"' || job_id || '","kind":"' || kind || '","recon_status":"' || recon_status || '","status":"' || status || '","unit_key":"' || unit_key || '"}}' AS line FROM units
+|| ',"file_gaps":' || file_gaps || ',"gap_reasons":[' || array_to_string(list_transform(gap_reasons, lambda x: '"' || x || '"'), ',') || '],"job_id":"' || job_id || '","kind":"' ||
+  kind || '","recon_status":"' || recon_status || '","status":"' || status || '","unit_key":"' || unit_key || '"}}' AS line FROM units
   UNION ALL SELECT 'conversations', '{{"by_status":{{' || by_status || '}},"collected":' || c || ',"conversation_id":"' || conversation_id || '","expected_count":' || e || ',"file_gaps":' || g || ',"units":' || units || ',"worst":"' || worst || '"}}' FROM roll
   UNION ALL SELECT 'observations', '{{"actor":"' || author || '","seq":' || seq || ',"stream":"' || stream || '"}}' FROM clicks WHERE text = 'click'),
 {_SUMS}""")
@@ -166,7 +172,8 @@ def snk2(spark, sf):
 
 
 @register("snk3_src7_package", f"""WITH RECURSIVE {HASHED},
-lines AS (SELECT 'events' AS file, '{{"event_hash":"' || event_hash || '","event_type":"' || event_type || '","fields":"' || replace(fields, '"', '\\"') || '","prev_hash":"' || prev_hash || '","seq":' || seq || ',"stream":"' || stream || '"}}' AS line FROM built WHERE seq <= 200
+lines AS (SELECT 'events' AS file, '{{"event_hash":"' || event_hash || '","event_type":"' || event_type || '","fields":"' || replace(fields, '"', '\\"') || '","prev_hash":"' || prev_hash || '","seq":' || seq || ',"stream":"' || stream || '"}}'
+  AS line FROM built WHERE seq <= 200
   UNION ALL SELECT 'anchors', '{{"event_hash":"' || event_hash || '","seq":' || seq || ',"stream":"' || stream || '"}}' FROM built WHERE seq <= 200 AND seq % 8 = 0),
 {_SUMS}""")
 def snk3(spark, sf):
@@ -183,7 +190,8 @@ def prj6(spark, sf):
     return P.unit_rows(u, f, "unit_key", ["recon_status"])
 
 
-@register("mrk10_verify_package", f"""WITH {V.CHAIN} SELECT 'events' AS file, stream || '/' || seq AS what, 'altered' AS error FROM chain WHERE seq % 97 = 0 UNION ALL SELECT 'anchors', stream || '/' || seq, 'anchor_differs' FROM chain WHERE seq % 50 = 0 UNION ALL SELECT 'items', CAST(event_id AS VARCHAR), 'wrong_key' FROM msg WHERE event_id % 113 = 0
+@register("mrk10_verify_package", f"""WITH {V.CHAIN} SELECT 'events' AS file, stream || '/' || seq AS what, 'altered' AS error FROM chain WHERE seq % 97 = 0 UNION ALL SELECT 'anchors', stream || '/' || seq,
+  'anchor_differs' FROM chain WHERE seq % 50 = 0 UNION ALL SELECT 'items', CAST(event_id AS VARCHAR), 'wrong_key' FROM msg WHERE event_id % 113 = 0
 UNION ALL SELECT 'evidence', CAST(doc_id AS VARCHAR), 'altered' FROM documents WHERE doc_id % 37 = 0 UNION ALL SELECT 'anchors.jsonl', 'anchors.jsonl', 'altered' UNION ALL SELECT 'notes.txt', 'notes.txt', 'unlisted'""")
 def mrk10(spark, sf):
     b = materialized(_built(spark, sf))  # hashed once, read by three checks
@@ -208,7 +216,9 @@ def mrk11(spark, sf):
     return P.recompute(u, s, "unit_key", ["expected_count", "collected", "file_gaps"])
 
 
-@register("mrk11_sections", f"WITH {V.UNITS} SELECT 'counts' AS section, state AS name, count(*) AS value FROM ranked GROUP BY state UNION ALL SELECT 'totals', 'expected_count', CAST(sum(expected_count) AS BIGINT) FROM units UNION ALL SELECT 'totals', 'collected', CAST(sum(collected) AS BIGINT) FROM units UNION ALL SELECT 'totals', 'file_gaps', CAST(sum(file_gaps) AS BIGINT) FROM units")
+@register("mrk11_sections", f"""WITH {V.UNITS} SELECT 'counts' AS section, state AS name, count(*) AS value FROM ranked GROUP BY state UNION ALL SELECT 'totals', 'expected_count', CAST(sum(expected_count) AS
+  BIGINT) FROM units UNION ALL SELECT 'totals', 'collected', CAST(sum(collected) AS BIGINT) FROM units UNION ALL SELECT 'totals', 'file_gaps', CAST(sum(file_gaps) AS BIGINT) FROM
+  units""")
 def mrk11b(spark, sf):
     return P.recomputed_sections(V.reconciled(spark, sf))
 
@@ -241,13 +251,15 @@ def _collected(spark, stream, name, mode="append"):
     return spark.read.parquet(f"{out}/rows").drop("batch")
 
 
-@register("stm5_stateful_versions", f"WITH {V.VERSIONS}, f AS (SELECT *, row_number() OVER (PARTITION BY subject, content_hash ORDER BY moment, seq) AS nth FROM versions) SELECT subject, content_hash, row_number() OVER (PARTITION BY subject ORDER BY moment, seq) AS version FROM f WHERE nth = 1")
+@register("stm5_stateful_versions", f"""WITH {V.VERSIONS}, f AS (SELECT *, row_number() OVER (PARTITION BY subject, content_hash ORDER BY moment, seq) AS nth FROM versions) SELECT subject, content_hash, row_number() OVER
+  (PARTITION BY subject ORDER BY moment, seq) AS version FROM f WHERE nth = 1""")
 def stm5(spark, sf):
     o = R.table_stream(spark, f"{sf}/orders.parquet").select(F.col("o_custkey").alias("subject"), F.col("o_orderpriority").alias("content_hash"), F.col("o_orderdate").cast("timestamp").alias("at"), F.col("o_orderkey").alias("seq"))
     return _collected(spark, J.stateful_versions(o), "versions").filter("kind = 'version'").select("subject", "content_hash", F.col("version").cast("long").alias("version"))
 
 
-@register("stm4_access_stream", f"""WITH {V.MSG}, l AS (SELECT *, k < 10 AS lost, coalesce(lag(k < 10) OVER (PARTITION BY conversation_id ORDER BY event_id), false) AS before FROM msg) SELECT conversation_id AS key, event_id AS seq, CASE WHEN lost THEN 'access_lost' ELSE 'access_restored' END AS event FROM l WHERE lost <> before""")
+@register("stm4_access_stream", f"""WITH {V.MSG}, l AS (SELECT *, k < 10 AS lost, coalesce(lag(k < 10) OVER (PARTITION BY conversation_id ORDER BY event_id), false) AS before FROM msg) SELECT conversation_id AS key,
+  event_id AS seq, CASE WHEN lost THEN 'access_lost' ELSE 'access_restored' END AS event FROM l WHERE lost <> before""")
 def stm4s(spark, sf):
     e = R.table_stream(spark, f"{sf}/events.parquet")
     k = F.regexp_extract("props", r'"k": (\d+)', 1).cast("int")
@@ -264,7 +276,8 @@ def stm9(spark, sf):
     return _collected(spark, J.deduplicated(rows, "key", "at", "60 days"), "dedupe").select("unit_key", "text")
 
 
-@register("stm7_job_feed", f"WITH {V.UNITS}, c AS (SELECT 'J' || (CAST(substr(conversation_id, 2) AS INTEGER) % 4) AS stream, unit_key FROM msg WHERE text IN ('view', 'click')) SELECT c.stream, u.status, count(*) AS n FROM c JOIN conv_units u USING (unit_key) GROUP BY ALL")
+@register("stm7_job_feed", f"""WITH {V.UNITS}, c AS (SELECT 'J' || (CAST(substr(conversation_id, 2) AS INTEGER) % 4) AS stream, unit_key FROM msg WHERE text IN ('view', 'click')) SELECT c.stream, u.status,
+  count(*) AS n FROM c JOIN conv_units u USING (unit_key) GROUP BY ALL""")
 def stm7(spark, sf):
     e = R.table_stream(spark, f"{sf}/events.parquet")
     n = F.col("user_id") % 20
