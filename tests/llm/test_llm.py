@@ -749,6 +749,32 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert {2, 3, 5, 6, 7, 8} <= set(ids)
 
 
+def test_long_near_copies_in_large_buckets_match_brute_force(spark):
+    """Texts with more shingles than the second sketch samples, in buckets with and without a common hub."""
+    rng = random.Random(17)
+    texts = []
+    for _ in range(2):
+        base = [f"f{rng.randrange(10**6)}" for _ in range(3 * near_dup.FINE_SAMPLES)]
+        texts.append(" ".join(base))
+        for k in range(30):
+            for _ in range(rng.randrange(10, 160)):  # edits add up, so late copies are far from the first
+                base[rng.randrange(len(base))] = f"f{rng.randrange(10**6)}"
+            texts.append(" ".join(base))
+    want, _ = brute_components(texts)
+    rows = near_dup.linked(spark.createDataFrame(docs_of(texts), DOCS).repartition(4)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == dict(enumerate(want))
+
+
+def test_equally_good_chains_both_count(spark):
+    rng = random.Random(18)
+    body = lambda n: [f"t{rng.randrange(10**7)}" for _ in range(n)]
+    p = body(60)
+    texts = [" ".join(x) for x in (p + body(30), body(20) + p + body(5) + p + body(20), body(200))]
+    for n in (1, 3):
+        rows = substring.passages(spark.createDataFrame(docs_of(texts), DOCS).repartition(n)).collect()
+        assert sorted((r["doc_id"], r["rep_id"], r["start"], r["stop"], r["rep_start"]) for r in rows) == [(1, 0, 20, 80, 0), (1, 0, 85, 145, 0)]
+
+
 def test_one_text_of_a_component_stays_whatever_its_ids(spark):
     rng = random.Random(14)
     text = lambda n: " ".join(f"k{rng.randrange(10**6)}" for _ in range(n))
