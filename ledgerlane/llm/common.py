@@ -7,7 +7,7 @@ of bytes other than 0x20 and 0x09-0x0D.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows and bytes of whole texts that a Python worker is handed at once.
+BATCH_ROWS, BATCH_BYTES = 2_000, 32 << 20
+
+
+def map_texts(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """mapInArrow over rows that hold whole texts, whose length nothing bounds: batches are kept small, for all
+    that the session plans from then on."""
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(name).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(name, str(most))
+    return df.mapInArrow(run, schema)
+
+
 def broadcast_up_to(df: DataFrame, most: int) -> DataFrame:
     """df, whose lineage is cut, to be broadcast if it has ``most`` rows or less; otherwise Spark decides."""
     return F.broadcast(df) if df.count() <= most else df

@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlane.llm.common import map_texts
+
 #: Labelled pages that weights are learned from, at most.
 SAMPLE = 500
 
@@ -269,7 +271,7 @@ def learn(pages: DataFrame) -> dict[str, float]:
             kinds = list(inside | outside)
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array([inside[k] for k in kinds], pa.int64()), pa.array([outside[k] for k in kinds], pa.int64())], ["kind", "inside", "outside"])
 
-    sums = rows.select("html").mapInArrow(counted, "kind string, inside long, outside long").groupBy("kind").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
+    sums = map_texts(rows.select("html"), counted, "kind string, inside long, outside long").groupBy("kind").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
     weights = {}
     for r in sums.collect():  # kinds of NAMES
         odds = math.log((r["inside"] + 1) / (r["outside"] + 1))
@@ -289,4 +291,4 @@ def extracted(pages: DataFrame, weights: dict[str, float] | None = None) -> Data
             texts = [Page(t.as_py()).text(weights) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, TEXT)
+    return map_texts(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")), run, TEXT)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ledgerlane.llm.common import broadcast_up_to, cut_lineage
+from ledgerlane.llm.common import broadcast_up_to, cut_lineage, map_texts
 
 #: Texts of a language that are learned from, at most; rows that are broadcast, at most.
 SAMPLE, BROADCAST = 300, 1_000_000
@@ -181,7 +181,7 @@ def learn(labelled: DataFrame, path: str | None = None) -> dict:
             rows = list(found)
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([found[r] for r in rows], pa.int64())], ["word", "lang", "n"])
 
-    words = labelled.select("text", "lang").mapInArrow(counted, "word string, lang int, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
+    words = map_texts(labelled.select("text", "lang"), counted, "word string, lang int, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
     table = cut_lineage(words.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("n")))
     logs = np.full((len(pieces) + 1, max(1, len(langs))), -np.log(len(pieces)))
     logs[-1] = np.log(UNKNOWN)
@@ -272,7 +272,7 @@ def predicted(docs: DataFrame, model: dict) -> DataFrame:
                 best[und], share[und] = len(model["langs"]), 0.0
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs[best].tolist(), pa.string()), pa.array(share)], [*batch.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return map_texts(docs, run, schema)
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlane.llm.common import cut_lineage, salted_left
+from ledgerlane.llm.common import cut_lineage, map_texts, salted_left
 from ledgerlane.llm.licence_texts import WHOLE
 
 LEAST, FILE_SHARE, LEAST_WHOLE = 0.6, 0.5, 0.8
@@ -113,7 +113,7 @@ def frequencies(files: DataFrame) -> tuple[int, dict[bytes, int]]:
                     found.update(asked.intersection(words(t)))
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
 
-    sums = files.select(F.col("text").cast("string")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # the templates' words
+    sums = map_texts(files.select(F.col("text").cast("string")), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # the templates' words
     found = {bytes(r["word"]): r["n"] for r in sums}
     return found.pop(b"", 0), found
 
@@ -220,7 +220,7 @@ def scanned(files: DataFrame) -> DataFrame:
             more = [pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *more], ["id", "path", "own_license", "own_score", "is_file"])
 
-    return files.select(F.col("id").cast("long"), F.col("path").cast("string"), F.col("text").cast("string")).mapInArrow(run, "id long, path string, own_license string, own_score double, is_file boolean")
+    return map_texts(files.select(F.col("id").cast("long"), F.col("path").cast("string"), F.col("text").cast("string")), run, "id long, path string, own_license string, own_score double, is_file boolean")
 
 
 def licensed(files: DataFrame) -> DataFrame:

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlane.llm.common import map_texts
+
 #: Samples in a row of the images that are written.
 WIDTH = 64
 #: Fixed by the PNG format.
@@ -179,7 +181,7 @@ def write_images(df: DataFrame, payload: str = "payload", image: str = "media",
             columns = [pa.array(made, pa.binary()) if n == image else batch.column(i) for i, n in enumerate(names)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return out.mapInArrow(run, out.schema)
+    return map_texts(out, run, out.schema)
 
 
 READ_FIELDS = "media_width int, media_height int, samples binary, feature string, media_error string"
@@ -211,7 +213,7 @@ def read_images(df: DataFrame, image: str = "media", keep: list[str] | None = No
             columns = [batch.column(batch.schema.get_field_index(c)) for c in keep] + more
             yield pa.RecordBatch.from_arrays(columns, keep + [x.split()[0] for x in READ_FIELDS.split(", ")])
 
-    return df.mapInArrow(run, schema)
+    return map_texts(df, run, schema)
 
 
 def pad(data: bytes, unit: int = WIDTH) -> bytes:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerlane.llm.common import cut_lineage, hashed_words, mix64, salted_left, set_id, shingles, unwrapped, wrapped
+from ledgerlane.llm.common import cut_lineage, hashed_words, map_texts, mix64, salted_left, set_id, shingles, unwrapped, wrapped
 
 SAMPLES, BAND = 128, 4
 SKETCH_WORDS = 8
@@ -100,7 +100,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def signatures(docs: DataFrame) -> DataFrame:
     """Set, bands and odd sketch of every text, with the text's hash."""
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text)).mapInArrow(_signed, SIGNATURE)
+    return map_texts(docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text)), _signed, SIGNATURE)
 
 
 def estimate(one: list[Column], other: list[Column]) -> Column:
@@ -192,7 +192,7 @@ def _paired(rows: DataFrame, texts: DataFrame) -> DataFrame:
     a = texts.select(F.col("cid").alias("a"), F.col("set_id").alias("a_set"), F.col("text").alias("a_text"))
     b = texts.select(F.col("cid").alias("b"), F.col("set_id").alias("b_set"), F.col("text").alias("b_text"))
     whole = rows.join(b, "b").join(a, "a").select("a", "b", "a_set", "b_set", "a_text", "b_text")
-    return cut_lineage(whole.mapInArrow(_verified, "a long, b long").distinct())
+    return cut_lineage(map_texts(whole, _verified, "a long, b long").distinct())
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -243,7 +243,7 @@ def linked(docs: DataFrame) -> DataFrame:
         salts = cut_lineage(rest.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("salts")))
         # the second sketch of the classes that are compared, once per class
         both_sides = named.join(salts, "band", "left_semi").select("cid").distinct()
-        fine = cut_lineage(texts.join(both_sides, "cid", "left_semi").select("cid", "set_id", "text").mapInArrow(_fine, FINE).dropDuplicates(["cid"]))
+        fine = cut_lineage(map_texts(texts.join(both_sides, "cid", "left_semi").select("cid", "set_id", "text"), _fine, FINE).dropDuplicates(["cid"]))
         more = [c for c in fine.columns if c != "cid"]
         x = side(rest.join(salts, "band").join(fine, "cid"), "x", "label", "salts", *more).withColumn("salt", F.pmod(F.xxhash64("x_cid"), F.col("x_salts")).cast("int"))
         y = side(named.join(salts, "band").join(fine, "cid"), "y", "label", "salts", *more).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("y_salts") - 1)))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlane.llm.common import cut_lineage
+from ledgerlane.llm.common import cut_lineage, map_texts
 
 CAPACITY, PIECE, END_ID = 4096, 512, 2
 #: Tokens in a group (256 sequences), and pieces in one of short documents.
@@ -38,7 +38,7 @@ GROUP_TOKENS, GROUP_PIECES = 256 * CAPACITY, 16_384
 #: Share of padding that is let pass, and shares of the tails that are cut as filling.
 LOOSE, SHARES = 0.01, (0, 1 / 8, 1 / 4, 1 / 2, 1)
 #: Words whose ids a worker remembers; others are made again.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 #: The last letter of the Latin blocks for which letters are made small one by one.
 LAST_LATIN = "\u024f"
 #: Signs that end a run of letters and make a run of their own with the signs behind them.
@@ -136,7 +136,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
                         rows.append((doc_id, full, n - full, zlib.crc32(row[full:]), n, cuts))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return map_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, PIECES)
 
 
 def differencing(sizes: np.ndarray, k: int) -> np.ndarray:

@@ -36,12 +36,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerlane.llm.common import cut_lineage, hashed_words, mix64, rolling, unwrapped, wrapped
+from ledgerlane.llm.common import cut_lineage, hashed_words, map_texts, mix64, rolling, unwrapped, wrapped
 
 #: Words in a seed, and neighbouring seeds of which the smallest is taken.
 K, NEIGHBOURS = 10, 10
 #: Seeds that a task looks at together, and places among them above which it matches a seed itself.
-LOCAL, FREQUENT = 1 << 21, 64
+LOCAL, FREQUENT = 1 << 19, 64
 #: Matches of one diagonal that start more words apart are runs of their own.
 RUN_GAP = 40
 #: Words between the matches of a stretch.
@@ -371,7 +371,7 @@ def passages(docs: DataFrame, least_words: int = LEAST_PASSAGE) -> DataFrame:
     """Aligned passages of docs (doc_id, text) that an earlier document holds too: ALIGNED's columns with
     island_start and island_stop, the place that the passage covers with those it touches."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    seeds = plain.mapInArrow(_seeded, SEEDS).repartition("h").sortWithinPartitions("h", "doc_id", "place")
+    seeds = map_texts(plain, _seeded, SEEDS).repartition("h").sortWithinPartitions("h", "doc_id", "place")
     matches = seeds.mapInArrow(_matched, MATCHES)
     matches = matches.repartition("doc_id").sortWithinPartitions("doc_id", "rep_id", "pos", "rep_pos")
     found = matches.mapInArrow(_chained, CHAINS)
@@ -384,12 +384,12 @@ def passages(docs: DataFrame, least_words: int = LEAST_PASSAGE) -> DataFrame:
     # places asked of a document are bounded by its own length
     asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("asked"))
     texts = plain.join(asked, "doc_id").select("doc_id", "text", F.xxhash64("text").alias("th"), "asked").dropDuplicates(["doc_id", "th"])
-    slices = cut_lineage(texts.mapInArrow(_sliced, SLICES))
+    slices = cut_lineage(map_texts(texts, _sliced, SLICES))
     own = slices.select("doc_id", "lo", "hi", "th", F.col("words").alias("doc_words"))
     rep = slices.select(F.col("doc_id").alias("rep_id"), F.col("lo").alias("rlo"), F.col("hi").alias("rhi"), F.col("words").alias("rep_words"))
     both = found.join(own, ["doc_id", "lo", "hi"]).join(rep, ["rep_id", "rlo", "rhi"])
     both = both.select("doc_id", "th", "rep_id", "lo", "rlo", "start", "stop", "rep_start", "rep_stop", "doc_words", "rep_words")
-    aligned = cut_lineage(both.mapInArrow(_aligned, ALIGNED))
+    aligned = cut_lineage(map_texts(both, _aligned, ALIGNED))
     # islands of touching passages; a document's own passages only
     order = Window.partitionBy("doc_id", "th").orderBy("start", "stop", "rep_id", "rep_start")
     reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -426,5 +426,5 @@ def without_passages(docs: DataFrame, least_words: int = LEAST_PASSAGE) -> DataF
                 row = pa.StructArray.from_arrays(fields, fields=[kind.field(i) for i in range(kind.num_fields)])
             yield pa.RecordBatch.from_arrays([row], ["row"])
 
-    out = unwrapped(marked.mapInArrow(run, marked.select("row").schema), docs)
+    out = unwrapped(map_texts(marked, run, marked.select("row").schema), docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

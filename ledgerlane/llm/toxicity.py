@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlane.llm.common import cut_lineage, unwrapped, wrapped
+from ledgerlane.llm.common import cut_lineage, map_texts, unwrapped, wrapped
 
 #: Labelled texts of each kind that are learned from, at most.
 SAMPLE = {1: 4_000, 0: 8_000}
@@ -145,7 +145,7 @@ def learn(labelled: DataFrame) -> dict:
         return {"terms": [], "weights": [], "const": -30.0}
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             kinds = {0: Counter(), 1: Counter()}
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 kinds[label].update(terms_of(fold(text)))
@@ -154,7 +154,7 @@ def learn(labelled: DataFrame) -> dict:
             rest = [t for t in kinds[0] if t not in kinds[1]]
             yield pa.RecordBatch.from_arrays([pa.array(rest, pa.string()), pa.array([0] * len(rest), pa.int64()), pa.array([kinds[0][t] for t in rest], pa.int64())], ["term", "toxic", "clean"])
 
-    sums = labelled.select("text", "label").mapInArrow(counted, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    sums = map_texts(labelled.select("text", "label"), counted, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     p, n = sizes[1], sizes[0]
     odds = F.log((F.col("toxic") + 0.5) / (p + 1)) - F.log((F.col("clean") + 0.5) / (n + 1))
     sums = sums.filter(F.col("toxic") >= max(3, math.ceil(0.004 * p))).withColumn("odds", odds).filter("odds > 2")
@@ -176,7 +176,7 @@ def learn(labelled: DataFrame) -> dict:
             found = [matcher.counts(t) for t in folded]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([t.count(" ") - 1 for t in folded], pa.int64()), pa.array([list(c) for c in found], pa.list_(pa.int64())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))], ["label", "words", "term", "n"])
 
-    rows = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", F.col("label").cast("long")).mapInArrow(matched, "label long, words long, term array<long>, n array<long>").collect()  # SAMPLE rows at most
+    rows = map_texts(labelled.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", F.col("label").cast("long")), matched, "label long, words long, term array<long>, n array<long>").collect()  # SAMPLE rows at most
     weights, const = fit([dict(zip(r["term"], r["n"], strict=True)) for r in rows], [r["words"] for r in rows], [r["label"] for r in rows], len(terms))
     keep = np.flatnonzero(weights > 0.01)
     return {"terms": [terms[i] for i in keep], "weights": weights[keep].tolist(), "const": const}
@@ -219,7 +219,7 @@ def scored(rows: DataFrame, model: dict, text: str = "text") -> DataFrame:
             more = [pa.array([o[0] for o in out], pa.float64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "score", "hits", "words"])
 
-    return rows.mapInArrow(run, schema)
+    return map_texts(rows, run, schema)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
