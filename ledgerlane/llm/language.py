@@ -42,6 +42,8 @@ REMEMBERED = 400_000
 PRIOR, UNKNOWN = 0.05, 1e-7
 
 _WORDS = re.compile(r"[^\W\d_]+")
+#: Multiplier of the pieces' hashes.
+STEP = 0x9E3779B97F4A7C15
 START = "▁"  # the vocabulary's mark of a word's beginning
 
 
@@ -71,10 +73,21 @@ class Lattice:
         """logs: (pieces + 1, languages) log probabilities, the last row for unknown letters."""
         self.index = {p: i for i, p in enumerate(pieces)}
         self.longest = max(map(len, pieces), default=1)
+        hashes = np.array([self._hash(p) for p in pieces], dtype=np.uint64)
+        order = np.argsort(hashes)
+        # one more entry at the end, so that every search has a place
+        self.hashes, self.ids = np.append(hashes[order], np.uint64(0)), np.append(order, len(pieces) + 1)
         self.logs, self.probs = logs, np.exp(logs)
         self.padded = np.concatenate([self.probs, np.zeros((1, logs.shape[1]))])
         self.languages = logs.shape[1]
 
+    @staticmethod
+    def _hash(piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * STEP + ord(c)) % (1 << 64)
+        return h
+
     def edges(self, word: str) -> list[tuple[list[int], list[int]]]:
         """For each end, the starts and ids of the pieces of START + word that end there."""
         marked, find, unknown = START + word, self.index.get, len(self.index)
@@ -97,24 +110,28 @@ class Lattice:
         """Log of the sum over all segmentations, per language."""
         return self._log_forward(self.edges(word))[-1]
 
-    def _grouped(self, words: list[str]) -> Iterator[tuple[list[int], int, dict[tuple[int, int], list[int]]]]:
+    def _grouped(self, words: list[str]) -> Iterator[tuple[list[int], int, dict[tuple[int, int], np.ndarray]]]:
         """Words of one length together: (their places, length with the mark, ids of the pieces of each
-        (start, end); a piece that isn't in the vocabulary has the id after the unknown letter's)."""
+        (start, end), in order of end; a piece that isn't in the vocabulary has the id after the unknown
+        letter's). Pieces are found by a 64-bit hash of their letters, for all words at once."""
         by_length: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             by_length.setdefault(len(w) + 1, []).append(i)
-        find, unknown = self.index.get, len(self.index)
+        unknown = len(self.index)
         for n, rows in by_length.items():
-            marked, ids = [START + words[i] for i in rows], {}
-            for end in range(1, n + 1):
-                for start in range(max(0, end - self.longest), end):
-                    missing = unknown if start == end - 1 else unknown + 1
-                    own = [find(w[start:end], missing) for w in marked]
-                    if start == end - 1 or min(own) <= unknown:
-                        ids[start, end] = own
-            yield rows, n, ids
-
-    def _forward(self, n: int, size: int, ids: dict[tuple[int, int], list[int]]) -> np.ndarray:
+            letters = np.frombuffer("".join(START + words[i] for i in rows).encode("utf-32-le"), dtype=np.uint32).reshape(len(rows), n).T.astype(np.uint64)
+            ids = {}
+            for start in range(n):
+                h = np.zeros(len(rows), dtype=np.uint64)
+                for end in range(start + 1, min(n, start + self.longest) + 1):
+                    h = h * np.uint64(STEP) + letters[end - 1]
+                    at = np.searchsorted(self.hashes[:-1], h)
+                    known = self.hashes[at] == h
+                    if end == start + 1 or known.any():
+                        ids[start, end] = np.where(known, self.ids[at], unknown if end == start + 1 else unknown + 1)
+            yield rows, n, dict(sorted(ids.items(), key=lambda x: x[0][1]))
+
+    def _forward(self, n: int, size: int, ids: dict[tuple[int, int], np.ndarray]) -> np.ndarray:
         sums = np.zeros((n + 1, size, self.languages))
         sums[0] = 1
         for (start, end), own in ids.items():  # in order of end
