@@ -16,8 +16,8 @@ bits, so the reach by the bits is never below the reach by the words on one diag
 Where words repeat ("of of of"), overlapping places of one seed are a stretch: it is matched once, start with
 start, over the shorter of both stretches.
 
-A passage counts when the chains that touch it cover 50 words of its document or more. The first document
-that holds it keeps it; the others have it cut.
+A passage counts when an aligned chain covers 50 words of its document or more; chains that touch it belong to it.
+The first document that holds it keeps it; the others have it cut.
 
 Defined results: null and empty texts, and texts under 10 words, have no passage; repeats inside one
 document don't count; rows without an id are neither matched nor cut; rows with equal ids are one document
@@ -397,7 +397,8 @@ def passages(docs: DataFrame, least_words: int = LEAST_PASSAGE) -> DataFrame:
     islands = islands.withColumn("island", F.sum(F.when(F.col("start") <= F.col("reach") + 2, 0).otherwise(1)).over(order))
     island = Window.partitionBy("doc_id", "th", "island")
     islands = islands.withColumns({"island_start": F.min("start").over(island), "island_stop": F.max("stop").over(island)})
-    return islands.filter(F.col("island_stop") - F.col("island_start") >= least_words).drop("reach", "island")
+    longest = F.max(F.col("stop") - F.col("start")).over(island)
+    return islands.withColumn("longest", longest).filter(F.col("longest") >= least_words).drop("reach", "island", "longest")
 
 
 def without_passages(docs: DataFrame, least_words: int = LEAST_PASSAGE) -> DataFrame:
