@@ -52,6 +52,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 LEFT_OUT = frozenset("aside audio button canvas dialog footer form head header input label menu nav noscript select video".split())
 #: Elements whose content is no markup.
 RAW = frozenset("iframe noscript script style template textarea title".split())
+_CLOSERS = {name: re.compile(f"</{name}", re.I) for name in RAW}
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em i ins kbd mark math object q ruby s samp small span strong sub sup svg time u var".split())
 NAMES = BLOCKS | VOID | LEFT_OUT | INLINE
 CONTENT = frozenset(("article", "main"))
@@ -89,7 +90,7 @@ def hint(tag: str) -> str | None:
 def tokens(text: str) -> Iterator[tuple[str, str]]:
     """(kind, token) of a page in order: text, and open and close tags; each character is looked at a few
     times at most. What is between a raw element's tags, comments and declarations are passed over."""
-    at, n, lower, quoted = 0, len(text), text.lower(), True
+    at, n, quoted = 0, len(text), True
     closers: dict[str, bool] = {}
     while at < n:
         start = text.find("<", at)
@@ -120,10 +121,9 @@ def tokens(text: str) -> Iterator[tuple[str, str]]:
             end = inside.end()
         element, closing = name[1].lower(), head[:1] == "/"
         if element in RAW and not closing:
-            over = -1 if closers.get(element) is False else lower.find(f"</{element}", end)
-            closers[element] = over >= 0
-            over = n if over < 0 else text.find(">", over) + 1
-            at = over or n
+            over = None if closers.get(element) is False else _CLOSERS[element].search(text, end)
+            closers[element] = over is not None
+            at = text.find(">", over.end()) + 1 or n if over else n
             continue
         yield "close" if closing else "open", text[at:end]
         at = end

@@ -318,7 +318,7 @@ def test_html_regions_have_the_largest_sum():
     [
         (None, ""), ("", ""), ("plain text  only", "plain text only"), ("<p>a<p>b<br>c</p>", "a\n\nb c"), ("<article><h1>T</h1><p>x &amp; y &#233;&amp;lt;</p></article><footer>f</footer>", "T\n\nx & y é&lt;"),
         ("<nav><a>m</a></nav><main><p>one two three</p><div class='ad-box'>buy</div><aside>s</aside><p>four</p><section id=comments><p>first!</p></section></main><script>var t='</p>';</script>", "one two three\n\nfour"),
-        ("<body><div class='cookie-notice'>We use cookies</div><div><p>real words stand here now</p><form><p>mail</p></form></div></body>", "real words stand here now"), ("<article><p>never closed <b>bold", "never closed bold"), ("<article>" + "<p>x</p>" * 500 + "</article>", "\n\n".join(["x"] * 500)),
+        ("<body><div class='cookie-notice'>We use cookies</div><div><p>real words stand here now</p><form><p>mail</p></form></div></body>", "real words stand here now"), ("<article><p>never closed <b>bold", "never closed bold"), ("İİİİ<SCRIPT>x</p>y</Script>z", "İİİİz"), ("<article>" + "<p>x</p>" * 500 + "</article>", "\n\n".join(["x"] * 500)),
     ],
 )
 def test_html_texts(page, want):
