@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlane.llm import fingerprint, html_text, language, licenses, media, mixing, near_dup, packing, substring, toxicity
+from ledgerlane.llm import fingerprint, html_text, language, licenses, media, mixing, near_dup, packing, substring, toxicity, whitening
 from ledgerlane.llm.common import read_table
 
 
@@ -57,8 +57,12 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_media, op2_fingerprint, op3_toxicity, op4_html, op5_language, op6_mixing, op7_licenses, op8_packing, op9_substring, op10_near_dup)
+    found = (op1_media, op2_fingerprint, op3_toxicity, op4_html, op5_language, op6_mixing, op7_licenses, op8_packing, op9_substring, op10_near_dup, op11_whitening)
     return {f.__name__: f for f in found}
 
 
