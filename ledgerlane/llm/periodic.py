@@ -301,7 +301,8 @@ def made_periodic(doc_id: Column, text: Column) -> Column:
         again = F.transform(F.sequence(F.lit(0).cast("long"), n - a - 1), lambda i: F.element_at(w, (a + i % p + 1).cast("int")))
         return F.when(n > 0, F.concat_ws(" ", F.slice(w, F.lit(1), a.cast("int")), again)).otherwise(text)
 
-    return F.when(check % 10 == 0, edited(words)).otherwise(text)
+    # bound as a lambda's variable, the words are looked for once a text instead of once a word
+    return F.when(check % 10 == 0, F.element_at(F.transform(F.array(words), edited), 1)).otherwise(text)
 
 
 def digest(docs: DataFrame) -> DataFrame:
