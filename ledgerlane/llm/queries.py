@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlane.llm import fingerprint, html_text, language, licenses, media, mixing, near_dup, packing, periodic, substring, toxicity, whitening
+from ledgerlane.llm import fingerprint, html_text, language, licenses, media, mixing, near_dup, packing, periodic, substring, toxicity, vector_dedup, whitening
 from ledgerlane.llm.common import read_table
 
 
@@ -65,8 +65,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op13_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.linked(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_media, op2_fingerprint, op3_toxicity, op4_html, op5_language, op6_mixing, op7_licenses, op8_packing, op9_substring, op10_near_dup, op11_whitening, op12_periodic_runs)
+    found = (op1_media, op2_fingerprint, op3_toxicity, op4_html, op5_language, op6_mixing, op7_licenses, op8_packing, op9_substring, op10_near_dup, op11_whitening, op12_periodic_runs, op13_vector_dedup)
     return {f.__name__: f for f in found}
 
 
