@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerlane.functions import status as S
+from ledgerlane.operators.ordered import TASK_ROWS, last_known
 
 
 def collected(links: DataFrame, units: DataFrame, items: DataFrame) -> DataFrame:
@@ -127,11 +128,12 @@ def absence(baseline: DataFrame, observed: DataFrame, clean_units: DataFrame, re
     return gone if reported is None else gone.join(reported.select("item_id"), "item_id", "left_anti")
 
 
-def pauses(events: DataFrame, starts: str, ends: tuple[str, ...], stream: str = "stream", seq: str = "seq", kind: str = "event_type", at: str = "at") -> DataFrame:
-    """JON-13: each pause with the first later end of its stream; one end closes every open pause."""
-    ahead = Window.partitionBy(stream).orderBy(seq).rowsBetween(1, Window.unboundedFollowing)
+def pauses(events: DataFrame, starts: str, ends: tuple[str, ...], stream: str = "stream", seq: str = "seq", kind: str = "event_type", at: str = "at", task_rows: int = TASK_ROWS) -> DataFrame:
+    """JON-13: each pause with the first later end of its stream; one end closes every open pause. Other events are
+    left out first; the rest is read once, from the last to the first."""
     end = F.when(F.col(kind).isin(*ends), F.struct(F.col(seq).alias("seq"), F.col(kind).alias("kind"), F.col(at).alias("at")))
-    out = events.withColumn("end", F.first(end, ignorenulls=True).over(ahead)).filter(F.col(kind) == starts)
+    own = events.filter((F.col(kind) == starts) | F.col(kind).isin(*ends)).withColumn("_end", end)
+    out = last_known(own, stream, [seq], "_end", "end", descending=True, task_rows=task_rows).filter(F.col(kind) == starts)
     return out.select(stream, seq, F.col(at).alias("paused_at"), F.col("end.at").alias("resumed_at"), F.coalesce("end.kind", F.lit("not_ended")).alias("ended_how"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerlane.functions.keys import version_key
+from ledgerlane.operators.ordered import TASK_ROWS, first_known, last_known
 
 
 def assign_versions(rows: DataFrame, subject: str, content: str, order: list[str], existing: DataFrame | None = None) -> DataFrame:
@@ -62,18 +63,18 @@ def effective_intervals(snapshots: DataFrame, key: str, at: str) -> DataFrame:
     return snapshots.withColumn("effective_from", F.when(F.row_number().over(w) > 1, F.col(at))).withColumn("effective_to", F.lead(at).over(w))
 
 
-def as_of(queries: DataFrame, history: DataFrame, key: str, at: str, effective: str, value: list[str]) -> DataFrame:
+def as_of(queries: DataFrame, history: DataFrame, key: str, at: str, effective: str, value: list[str], task_rows: int = TASK_ROWS) -> DataFrame:
     """JON-12: value of the last history row before each query's instant, or the first one if none is.
 
-    Both sides are merged in one order per key, so a key's rows are shuffled once and never paired."""
-    h = history.select(key, F.col(effective).alias("_at"), F.struct(*value).alias("_v"), F.lit(0).alias("_side"))
-    q = queries.withColumn("_at", F.col(at)).withColumn("_row", F.struct(*queries.columns))
-    both = h.withColumn("_row", F.lit(None).cast(q.schema["_row"].dataType)).unionByName(q.select(key, "_at", F.lit(None).cast(h.schema["_v"].dataType).alias("_v"), F.lit(-1).alias("_side"), "_row"))
+    Both sides are merged in one order per key, so a key's rows are shuffled once and never paired, and each is
+    read once: the fallback is one minimum a key."""
+    h = history.select(F.col(key).alias("_key"), F.col(effective).alias("_at"), F.struct(*value).alias("_v"), F.lit(0).alias("_side"))
+    q = queries.select(F.col(key).alias("_key"), F.col(at).alias("_at"), F.lit(None).cast(h.schema["_v"].dataType).alias("_v"), F.lit(-1).alias("_side"), F.struct(*queries.columns).alias("_row"))
+    both = h.withColumn("_row", F.lit(None).cast(q.schema["_row"].dataType)).unionByName(q)
     # queries sort before history of the same instant: a snapshot counts for later instants only
-    w = Window.partitionBy(key).orderBy("_at", "_side")
-    back = w.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("_v", F.coalesce(F.last("_v", ignorenulls=True).over(back), F.first("_v", ignorenulls=True).over(ahead))).filter("_side = -1")
+    found = last_known(both, "_key", ["_at", "_side"], "_v", "_last", task_rows=task_rows).filter("_side = -1").drop("_v")
+    first = first_known(h, "_key", F.col("_at"), "_v").withColumnRenamed("_key", "_own")
+    found = found.join(first, found["_key"].eqNullSafe(first["_own"]), "left").withColumn("_v", F.coalesce("_last", "_v"))
     return found.select("_row.*", *[F.col(f"_v.{c}").alias(c) for c in value])
 
 
