@@ -42,15 +42,6 @@ def reverts(rows: DataFrame, subject: str, content: str, order: list[str]) -> Da
     return found.drop("_first").withColumn("occurrence", F.row_number().over(Window.partitionBy(subject).orderBy(*order)))
 
 
-def hint_changes(rows: DataFrame, subject: str, content: str, hint: str, order: list[str]) -> DataFrame:
-    """WIN-9: sightings whose hint differs from the one before while the content is the same; equal
-    (old, new, content) of a subject is one change, kept where it is first seen."""
-    w = Window.partitionBy(subject).orderBy(*order)
-    rows = rows.withColumn("old_hint", F.lag(hint).over(w)).withColumn("_same", F.lag(content).over(w) == F.col(content))
-    moved = rows.filter(F.col("_same") & (F.col("old_hint") != F.col(hint))).drop("_same")
-    return dedupe_first(moved, [subject, content, "old_hint", hint], order)
-
-
 def edit_pairs(states: DataFrame, subject: str, version: str = "version", text: str = "text") -> DataFrame:
     """WIN-7: previous and new text of consecutive versions."""
     w = Window.partitionBy(subject).orderBy(version)

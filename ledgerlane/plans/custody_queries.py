@@ -8,6 +8,7 @@ from ledgerlane.functions import keys as K
 from ledgerlane.operators import custody as C
 from ledgerlane.operators import digest as D
 from ledgerlane.operators import merkle as M
+from ledgerlane.operators import sightings as Y
 from ledgerlane.operators import versions as X
 from ledgerlane.operators.registry import register
 from ledgerlane.plans import views as V
@@ -33,10 +34,41 @@ def win8(spark, sf):
     return r.select("subject", "seq", "content_hash", "latest", F.col("occurrence").cast("long").alias("occurrence"))
 
 
-@register("win9_hint_changes", f"""WITH {V.VERSIONS}, l AS (SELECT *, lag(hint) OVER w AS old_hint, lag(content_hash) OVER w AS old FROM versions WINDOW w AS (PARTITION BY subject ORDER BY moment, seq)),
-m AS (SELECT *, row_number() OVER (PARTITION BY subject, content_hash, old_hint, hint ORDER BY moment, seq) AS n FROM l WHERE old = content_hash AND old_hint <> hint) SELECT subject, content_hash, old_hint, hint, seq FROM m WHERE n = 1""")
+def _moved(hint: str) -> str:
+    """Whether a sighting moves a hint of the latest version in a way that isn't recorded yet."""
+    return f"(s.content_hash = f.latest AND s.known AND s.{hint} IS DISTINCT FROM f.{hint} AND NOT list_contains(f.seen, '{hint}' || coalesce(f.{hint}, '-') || coalesce(s.{hint}, '-')))"
+
+
+def _hint_after(hint: str) -> str:
+    return f"CASE WHEN list_contains(f.contents, s.content_hash) AND NOT {_moved(hint)} THEN f.{hint} ELSE s.{hint} END"
+
+
+#: Each sighting after the one before it: the latest version, the contents and changes known, the hints as they are.
+_SEEN = f"""{V.VERSIONS}, s AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY moment, seq) AS n FROM versions),
+f AS (SELECT subject, n, seq, content_hash, content_hash AS latest, [content_hash] AS contents, edited, pinned, []::VARCHAR[] AS seen, 0 AS changes, 'version' AS kind, NULL::VARCHAR AS was, false AS e, false AS p, NULL::VARCHAR AS old_edited, NULL::VARCHAR AS old_pinned FROM s WHERE n = 1
+UNION ALL SELECT s.subject, s.n, s.seq, s.content_hash, CASE WHEN list_contains(f.contents, s.content_hash) THEN f.latest ELSE s.content_hash END, CASE WHEN list_contains(f.contents, s.content_hash) THEN f.contents ELSE list_append(f.contents, s.content_hash) END, {_hint_after("edited")}, {_hint_after("pinned")},
+  CASE WHEN list_contains(f.contents, s.content_hash) THEN f.seen || CASE WHEN {_moved("edited")} THEN ['edited' || coalesce(f.edited, '-') || coalesce(s.edited, '-')] ELSE [] END || CASE WHEN {_moved("pinned")} THEN ['pinned' || coalesce(f.pinned, '-') || coalesce(s.pinned, '-')] ELSE [] END ELSE [] END,
+  f.changes + f.e::INT + f.p::INT + CASE WHEN f.kind = 'reverted' THEN 1 ELSE 0 END, CASE WHEN NOT list_contains(f.contents, s.content_hash) THEN 'version' WHEN s.content_hash <> f.latest THEN 'reverted' END, f.latest, {_moved("edited")}, {_moved("pinned")}, f.edited, f.pinned
+  FROM f JOIN s ON s.subject = f.subject AND s.n = f.n + 1),
+moves AS (SELECT subject, seq, content_hash, latest, len(contents) AS top, 'edited' AS hint, old_edited AS old, edited AS new, changes + 1 AS occurrence FROM f WHERE e
+  UNION ALL SELECT subject, seq, content_hash, latest, len(contents), 'pinned', old_pinned, pinned, changes + e::INT + 1 FROM f WHERE p)"""
+
+
+@register("win9_hint_changes", f"WITH RECURSIVE {_SEEN} SELECT subject, content_hash, seq, hint, old, new FROM moves")
 def win9(spark, sf):
-    return X.hint_changes(V.versions(spark, sf), "subject", "content_hash", "hint", ["at", "seq"]).select("subject", "content_hash", "old_hint", "hint", "seq")
+    return Y.hint_changes(V.versions(spark, sf), "subject", "content_hash", "hints", ["at", "seq"]).select("subject", "content_hash", "seq", "hint", "old", "new")
+
+
+#: Every version, revert and moved hint of the view, as the stream and the batch operators have them.
+EVENTS_SEEN = f"""WITH RECURSIVE {_SEEN} SELECT subject, seq, kind, content_hash, CAST(len(contents) AS INTEGER) AS version, NULL::VARCHAR AS hint, NULL::VARCHAR AS old, NULL::VARCHAR AS new, NULL::BIGINT AS occurrence FROM f WHERE kind = 'version'
+UNION ALL SELECT subject, seq, kind, content_hash, CAST(list_position(contents, content_hash) AS INTEGER), NULL, was, content_hash, changes + 1 FROM f WHERE kind = 'reverted'
+UNION ALL SELECT subject, seq, 'hint', content_hash, CAST(top AS INTEGER), hint, old, new, occurrence FROM moves"""
+
+
+@register("win8_win9_changes", f"SELECT subject, seq, kind, content_hash, hint, old, new, occurrence FROM ({EVENTS_SEEN}) WHERE kind <> 'version'")
+def win89(spark, sf):
+    """WIN-8 and WIN-9 together: occurrences count both."""
+    return Y.changes(V.versions(spark, sf), "subject", "content_hash", "hints", ["at", "seq"]).select("subject", "seq", "kind", "content_hash", "hint", "old", "new", "occurrence")
 
 
 @register("win14_dedupe_first", f"WITH {V.MSG} SELECT unit_key, text, min(event_id) AS event_id FROM msg GROUP BY ALL")

@@ -7,18 +7,21 @@ import zipfile
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerlane.functions import keys as K
 from ledgerlane.operators import custody as C
 from ledgerlane.operators import normalize as N
 from ledgerlane.operators import package as P
 from ledgerlane.operators import versions as X
+from ledgerlane.operators.reconcile import unit_order
 from ledgerlane.operators.registry import register
 from ledgerlane.plans import views as V
-from ledgerlane.plans.custody_queries import CARRY, HASHED, HEX, LANES, _built
+from ledgerlane.plans.custody_queries import CARRY, EVENTS_SEEN, HASHED, HEX, LANES, _built
 from ledgerlane.plans.shared import materialized, shared_folder
 from ledgerlane.sinks import files as W
 from ledgerlane.sources import readers as R
+from ledgerlane.sources.tail import custody_tail
 from ledgerlane.streaming import jobs as J
 
 
@@ -245,17 +248,45 @@ def stm1(spark, sf):
     return spark.read.parquet(f"{out}/items").select("idempotency_key")
 
 
-def _collected(spark, stream, name, mode="append"):
+def _collected(spark, stream, name, mode="append", conf=None, to_head=False):
     out = shared_folder(spark, name)
-    J.run_available(stream, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/rows/batch={n}"), f"{out}/checkpoint", mode)
+    J.run_available(stream, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/rows/batch={n}"), f"{out}/checkpoint", mode, conf, to_head)
     return spark.read.parquet(f"{out}/rows").drop("batch")
 
 
-@register("stm5_stateful_versions", f"""WITH {V.VERSIONS}, f AS (SELECT *, row_number() OVER (PARTITION BY subject, content_hash ORDER BY moment, seq) AS nth FROM versions) SELECT subject, content_hash, row_number() OVER
-  (PARTITION BY subject ORDER BY moment, seq) AS version FROM f WHERE nth = 1""")
+def _log(spark, rows, order, name):
+    """rows as a stored log, with their place in the order as ``place``, and how many there are."""
+    path = f"{shared_folder(spark, name)}/log"
+    unit_order(rows, [F.col(c) for c in order]).write.parquet(path)
+    return path, spark.read.parquet(path).count()
+
+
+#: Triggers in which the stream queries read their table.
+TRIGGERS = 4
+
+
+@register("stm5_stateful_versions", EVENTS_SEEN)
 def stm5(spark, sf):
-    o = R.table_stream(spark, f"{sf}/orders.parquet").select(F.col("o_custkey").alias("subject"), F.col("o_orderpriority").alias("content_hash"), F.col("o_orderdate").cast("timestamp").alias("at"), F.col("o_orderkey").alias("seq"))
-    return _collected(spark, J.stateful_versions(o), "versions").filter("kind = 'version'").select("subject", "content_hash", F.col("version").cast("long").alias("version"))
+    """The sightings as a log, followed in several triggers."""
+    path, n = _log(spark, V.versions(spark, sf).drop("hint"), ["at", "seq"], "sightings")
+    stream = custody_tail(spark, path, seq="place", max_events=-(-n // TRIGGERS)).drop("place")
+    return _collected(spark, J.stateful_versions(stream), "versions", conf=J.ON_DISK, to_head=True)
+
+
+@register("src9_custody_tail", f"WITH {V.CHAIN}, h AS (SELECT max(seq) AS head FROM chain WHERE stream = 'S3') SELECT seq, event_type, actor, head, true AS after_earlier_triggers FROM chain, h WHERE stream = 'S3' AND seq > 10")
+def src9(spark, sf):
+    """One stream's log from a cursor: half of it is there at first, then the query is started again where it was."""
+    own = materialized(V.chain(spark, sf).filter("stream = 'S3'").select("seq", "event_type", "actor"))
+    head = own.agg(F.max("seq")).first()[0]
+    path, out = shared_folder(spark, "tail"), shared_folder(spark, "tailed")
+    for half in (own.filter(F.col("seq") * 2 <= head), own.filter(F.col("seq") * 2 > head)):
+        half.repartitionByRange(4, "seq").sortWithinPartitions("seq").write.mode("append").parquet(path)
+        stream = custody_tail(spark, path, after=10, max_events=-(-head // TRIGGERS))
+        J.run_available(stream, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/rows/batch={n}"), f"{out}/checkpoint", to_head=True)
+    rows = spark.read.parquet(f"{out}/rows")
+    ends = rows.groupBy("batch").agg(F.max("seq").alias("end"), F.min("seq").alias("begin"))  # a row a trigger
+    ends = ends.withColumn("before", F.coalesce(F.max("end").over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(10)))
+    return rows.join(F.broadcast(ends), "batch").select("seq", "event_type", "actor", F.lit(head).alias("head"), ((F.col("begin") == F.col("before") + 1) & (F.col("seq") > F.col("before"))).alias("after_earlier_triggers"))
 
 
 @register("stm4_access_stream", f"""WITH {V.MSG}, l AS (SELECT *, k < 10 AS lost, coalesce(lag(k < 10) OVER (PARTITION BY conversation_id ORDER BY event_id), false) AS before FROM msg) SELECT conversation_id AS key,

@@ -57,12 +57,15 @@ def reconciled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def versions(spark: SparkSession, sf: str) -> DataFrame:
-    """Observations of customers: content is the order priority, in order of date and key."""
+    """Observations of customers: content is the order priority, in order of date and key; two change markers, one of
+    which is not always there, and neither of which is always known."""
     o = read(spark, sf, "orders")
-    return o.select(F.col("o_custkey").alias("subject"), F.col("o_orderpriority").alias("content_hash"), F.col("o_orderdate").cast("timestamp").alias("at"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("hint"))
+    k = F.col("o_orderkey")
+    hints = F.when(k % 7 != 0, F.create_map(F.lit("edited"), "o_orderstatus", F.lit("pinned"), F.when(k % 3 != 0, (k % 2).cast("string"))))
+    return o.select(F.col("o_custkey").alias("subject"), F.col("o_orderpriority").alias("content_hash"), F.col("o_orderdate").cast("timestamp").alias("at"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("hint"), hints.alias("hints"))
 
 
-VERSIONS = "versions AS (SELECT o_custkey AS subject, o_orderpriority AS content_hash, o_orderdate AS moment, o_orderkey AS seq, o_orderstatus AS hint FROM orders)"
+VERSIONS = "versions AS (SELECT o_custkey AS subject, o_orderpriority AS content_hash, o_orderdate AS moment, o_orderkey AS seq, o_orderstatus AS hint, o_orderkey % 7 <> 0 AS known, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus END AS edited, CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 3 <> 0 THEN CAST(o_orderkey % 2 AS VARCHAR) END AS pinned FROM orders)"
 
 
 def chain(spark: SparkSession, sf: str) -> DataFrame:

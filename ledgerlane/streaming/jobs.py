@@ -2,20 +2,53 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ledgerlane.operators.sightings import moved_hints
 from ledgerlane.plans.shared import table_exists
 
 
-def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """Processes what is there now, batch by batch, and stops; a restart goes on after the last batch."""
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+#: State stores on disk, for state that grows with the data.
+ON_DISK = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Session settings for a while; a query keeps those it was started with."""
+    held = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in held.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", conf: dict[str, str] | None = None, to_head: bool = False) -> None:
+    """Processes what is there now, batch by batch, and stops; a restart goes on after the last batch. conf holds for
+    this query. to_head: for sources that admit a part of the rest at a time, as the custody tail does."""
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode(mode)
+    with settings(stream.sparkSession, conf or {}):
+        query = (writer if to_head else writer.trigger(availableNow=True)).start()
+        try:
+            if to_head:
+                query.processAllAvailable()
+            else:
+                query.awaitTermination()
+        finally:
+            query.stop()
 
 
 def ingest(stream: DataFrame, table: str, checkpoint: str, key: str = "idempotency_key") -> None:
@@ -38,47 +71,75 @@ def deduplicated(stream: DataFrame, key: str, at: str, late: str) -> DataFrame:
     return stream.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 
-VERSIONED = "subject long, content_hash string, version int, kind string, seq long"
+VERSIONED = "subject long, seq long, kind string, content_hash string, version int, hint string, old string, new string, occurrence long"
 
 
 class Versions(StatefulProcessor):
-    """State of a subject: a map of its known contents to their version numbers, of which a row reads and
-    writes one entry; its latest content; and how many it has."""
+    """State of a subject: its latest version (content, number, how many changes were recorded), a map of its known contents
+    to their numbers, and of the latest version the hints as they are now and the changes that moved them. A map's
+    entry is read or written by itself. A trigger reads each once, and nothing of a new subject."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "content_hash string, version int, changes long")
         self.known = handle.getMapState("known", "content_hash string", "version int")
-        self.last = handle.getValueState("last", "content_hash string, versions int")
+        self.hints = handle.getMapState("hints", "hint string", "value string")
+        self.seen = handle.getMapState("seen", "change string", "there boolean")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:  # noqa: N802 (the API's name)
-        latest, versions = self.last.get() or (None, 0)
-        # what one trigger brings of a subject has to be put in order; files per trigger bound it
+        held = self.last.get()
+        latest, top, changes = held or (None, 0, 0)
+        # what one trigger brings of a subject has to be put in order; the events it admits bound it
         parts = list(rows)
         here = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
         if len(here) > 1:
             here = here.sort_values(["at", "seq"], kind="stable")
+        numbers: dict[str, int | None] = {}
+        current = stored = None  # the latest version's hints: now, and as the state has them
+        seen: set[tuple] = set()
+        fresh = False  # whether the latest version began in this trigger
         out = []
-        for h, seq in zip(here["content_hash"].tolist(), here["seq"].tolist(), strict=True):
-            if h == latest:
-                continue
-            if stored := self.known.getValue((h,)):
-                out.append((key[0], h, stored[0], "reverted", seq))
-            else:
-                versions += 1
-                self.known.updateValue((h,), (versions,))
-                out.append((key[0], h, versions, "version", seq))
-            latest = h
-        self.last.update((latest, versions))
-        yield pd.DataFrame(out, columns=[x.split()[0] for x in VERSIONED.split(", ")])
+        for content, hints, seq in zip(here["content_hash"].tolist(), here["hints"].tolist(), here["seq"].tolist(), strict=True):
+            now = None if hints is None else {k: v for k, v in (hints.items() if isinstance(hints, dict) else hints) if v is not None}
+            if content != latest:
+                if content not in numbers:
+                    number = self.known.getValue((content,)) if held else None
+                    numbers[content] = number[0] if number else None
+                if numbers[content] is None:
+                    top += 1
+                    latest, numbers[content], current, seen, fresh = content, top, dict(now or {}), set(), True
+                    self.known.updateValue((content,), (top,))
+                    out.append((key[0], seq, "version", content, top, None, None, None, None))
+                else:
+                    changes += 1
+                    out.append((key[0], seq, "reverted", content, numbers[content], None, latest, content, changes))
+            elif now is not None:
+                if current is None:
+                    stored = {k[0]: v[0] for k, v in self.hints.iterator()}
+                    current, seen = dict(stored), {tuple(json.loads(k[0])) for k in self.seen.keys()}
+                for change in moved_hints(current, seen, now):
+                    changes += 1
+                    out.append((key[0], seq, "hint", content, top, *change, changes))
+        self.last.update((latest, top, changes))
+        if fresh and held:
+            self.hints.clear()
+            self.seen.clear()
+        if fresh or current != stored:
+            for k in (stored or {}).keys() - current.keys() if not fresh else ():
+                self.hints.removeKey((k,))
+            for k, v in current.items():
+                self.hints.updateValue((k,), (v,))
+            for change in seen:
+                self.seen.updateValue((json.dumps(change),), (True,))
+        yield pd.DataFrame(out, columns=[x.split()[0] for x in VERSIONED.split(", ")]).astype({"version": "Int32", "occurrence": "Int64"})
 
     def close(self) -> None:
         pass
 
 
 def stateful_versions(stream: DataFrame) -> DataFrame:
-    """STM-5: new versions and reverts of each subject (subject, content_hash, at, seq); a subject's known
-    contents are its state, without an end, since forgetting one would make a revert a version. The state is a
-    map that RocksDB holds on disk, so neither a trigger nor a row reads all of it."""
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """STM-5: versions, reverts and moved hints of each subject (subject, content_hash, hints, at, seq), as WIN-1, WIN-8 and
+    WIN-9 have them. Known contents are kept without an end, since forgetting one would make a revert a
+    version; start it with the settings ``ON_DISK``."""
     return stream.groupBy("subject").transformWithStateInPandas(Versions(), VERSIONED, "append", "none")
 
 

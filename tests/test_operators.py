@@ -343,15 +343,3 @@ def test_conversations_without_a_usable_folder_or_id(spark):
     assert [tuple(r[c] for c in ("conversation_id", "folder", "team_id", "refused")) for r in rows] == [
         ("C1", "a\ufffd", None, None), ("lone-surrogate:0043.d83d", "b", "T1", "conversation_id_lone_surrogate"), ("C5", "d", None, "team_id_lone_surrogate"), ("C6", "\U0001f600", None, None),
     ]
-
-
-def test_versions_across_triggers(spark, tmp_path):
-    rows = [[(1, "a", 1), (1, "b", 2), (2, "x", 3)], [(1, "a", 4), (1, "c", 5), (2, "x", 6)], [(1, "c", 7), (1, "b", 8), (3, "y", 9)]]
-    for i, part in enumerate(rows):
-        frame = spark.createDataFrame([(s, h, datetime(2024, 1, 1, 0, 0, n), n) for s, h, n in part], "subject long, content_hash string, at timestamp, seq long")
-        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = jobs.stateful_versions(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in")))
-        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-        assert i == 0 or spark.read.parquet(str(tmp_path / "out")).count() > 0
-    got = sorted((r["subject"], r["seq"], r["content_hash"], r["version"], r["kind"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
-    assert got == [(1, 1, "a", 1, "version"), (1, 2, "b", 2, "version"), (1, 4, "a", 1, "reverted"), (1, 5, "c", 3, "version"), (1, 8, "b", 2, "reverted"), (2, 3, "x", 1, "version"), (3, 9, "y", 1, "version")]
