@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlane.functions import keys as K
 from ledgerlane.functions import status as S
+from ledgerlane.functions.canonical import canonical_json
 from ledgerlane.operators.custody import verify_anchors, verify_chain
 
 
@@ -16,18 +18,75 @@ def unit_rows(database: DataFrame, facts: DataFrame, key: str, fields: list[str]
     return j.select(key, *[F.when(F.col("_stated"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in fields], F.when(F.col("_stated"), "chain").when(F.col(fields[0]).isNotNull(), "database").otherwise("UNKNOWN").alias("basis"))
 
 
-def verify_package(found: DataFrame, stated: DataFrame, events: DataFrame, anchors: DataFrame, items: DataFrame, stored: DataFrame) -> DataFrame:
-    """MRK-10: one row per error of a package: file, what, error.
+def page_fragments(pages: DataFrame, key: str, content: str) -> DataFrame:
+    """key, json_path and fragment (JSON text) of every element of a page's top-level arrays, or of a page that is an
+    array itself. A page is parsed once, however many items point into it."""
+    page = pages.select(key, F.col(content).cast("string").alias("_page"))
+    bare = F.substring(F.ltrim("_page"), 1, 1) == "["
+    named = page.filter(~bare).select(key, F.explode(F.from_json("_page", "map<string,string>")).alias("_name", "_array")).filter(F.col("_array").startswith("["))
+    plain = page.filter(bare).select(key, F.lit(None).cast("string").alias("_name"), F.col("_page").alias("_array"))
+    each = named.unionByName(plain).select(key, "_name", F.posexplode(F.from_json("_array", "array<string>")).alias("_i", "fragment"))
+    name = F.when(F.col("_name").rlike("^[A-Za-z_][A-Za-z_0-9]*$"), F.concat(F.lit("."), "_name")).otherwise(F.concat(F.lit('["'), "_name", F.lit('"]')))
+    return each.select(key, F.concat(F.lit("$"), F.coalesce(name, F.lit("")), F.lit("["), F.col("_i").cast("string"), F.lit("]")).alias("json_path"), "fragment")
 
-    found and stated (file, sha256, lines), events of verify_chain, anchors, items (id, key, expected_key)
-    and stored objects (storage_key, sha256, stated_sha256)."""
-    j = stated.select("file", F.col("sha256").alias("s"), F.col("lines").alias("n")).join(found, "file", "full")
-    files = j.select("file", F.col("file").alias("what"), F.when(F.col("s").isNull(), "unlisted").when(F.col("sha256").isNull(), "missing").when(F.col("s") != F.col("sha256"), "altered").when(F.col("n") != F.col("lines"), "wrong_lines").alias("error"))
-    chain = verify_chain(events).select(F.lit("events").alias("file"), F.concat_ws("/", "stream", F.col("seq").cast("string")).alias("what"), "error")
-    tied = verify_anchors(anchors, events).select(F.lit("anchors").alias("file"), F.concat_ws("/", "stream", F.col("seq").cast("string")).alias("what"), "error")
-    keys = items.select(F.lit("items").alias("file"), F.col("id").cast("string").alias("what"), F.when(~F.col("key").eqNullSafe(F.col("expected_key")), "wrong_key").alias("error"))
-    kept = stored.select(F.lit("evidence").alias("file"), F.col("storage_key").cast("string").alias("what"), F.when(~F.col("sha256").eqNullSafe(F.col("stated_sha256")), "altered").alias("error"))
-    return files.unionByName(chain).unionByName(tied).unionByName(keys).unionByName(kept).filter("error is not null")
+
+def _errors(rows: DataFrame, file: str, what: Column, **checks: Column) -> DataFrame:
+    """A row for each check that holds."""
+    found = F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in checks.items()]), lambda x: x.isNotNull())
+    return rows.select(F.lit(file).alias("file"), what.cast("string").alias("what"), F.explode(found).alias("error"))
+
+
+def verify_package(package: dict[str, DataFrame]) -> DataFrame:
+    """MRK-10: one row per error of a package as SRC-7 reads it: file, what, error.
+
+    Files against the manifest; the chain, its anchors and heads; evidence pinned, equal to its source, alone in its
+    storage, and equal to its stored bytes; items' keys from their four parts, their evidence, and the hash of the fragment
+    they point to in a stored page; what nothing accounts for."""
+    stated = package["stated"].select("file", F.col("sha256").alias("s"), F.col("lines").alias("n"))
+    j = stated.join(package["found"].select("file", "sha256", "lines"), "file", "full")
+    here = F.col("s").isNotNull() & F.col("sha256").isNotNull()
+    files = _errors(j.withColumn("f", F.col("file")), "manifest", F.col("f"), unlisted=F.col("s").isNull(), missing=F.col("sha256").isNull(), altered=here & (F.col("s") != F.col("sha256")), wrong_lines=here & (F.col("n") != F.col("lines")))
+
+    place = F.concat_ws("/", "stream", F.col("seq").cast("string"))
+    chain = verify_chain(package["events"]).filter("error is not null").select(F.lit("events").alias("file"), place.alias("what"), "error")
+    tied = verify_anchors(package["anchors"], package["events"]).select(F.lit("anchors").alias("file"), place.alias("what"), "error")
+    last = package["events"].groupBy("stream").agg(F.max_by(F.struct("seq", "event_hash"), "seq").alias("last"))
+    ends = package["heads"].select("stream", F.struct("seq", "event_hash").alias("head")).join(last, "stream", "full")
+    ends = _errors(ends, "heads", F.col("stream"), head_differs=~F.col("head").eqNullSafe(F.col("last")))
+
+    objects = package["objects"].select(F.col("sha256").alias("_key"), F.col("own_sha256"), "own_size")
+    evidence = package["evidence"]
+    complete = F.coalesce(F.col("state") == "complete", F.lit(False))
+    stored = complete & F.col("kind").isin("page", "file")
+    e = evidence.join(objects, evidence["sha256"] == objects["_key"], "left")
+    bytes_differ = F.col("_key").isNotNull() & ((F.col("own_sha256") != F.col("sha256")) | (F.col("own_size") != F.col("size")))
+    kept = _errors(
+        e, "evidence", F.col("storage_key"), not_pinned=complete & F.col("version_id").isNull(), source_differs=complete & ~F.col("sha256").eqNullSafe(F.col("source_sha256")),
+        storage_incident=F.coalesce(F.col("shadow_versions") > 0, F.lit(False)), bytes_missing=stored & F.col("_key").isNull(), bytes_differ=stored & bytes_differ,
+    )
+    extra = objects.join(evidence.filter(stored).select(F.col("sha256").alias("_key")).distinct(), "_key", "left_anti")
+    extra = _errors(extra, "objects", F.col("_key"), not_an_object=F.lit(True))
+
+    # items by the page they point into; each page's fragments are hashed once
+    pages = evidence.filter("kind = 'page'").select("sha256").distinct().join(package["objects"].select("sha256", "content"), "sha256")
+    fragments = page_fragments(pages, "sha256", "content").withColumn("fragment_hash", F.sha2(canonical_json(F.col("fragment")), 256)).select(F.col("sha256").alias("_page"), F.col("json_path").alias("_path"), "fragment_hash")
+    known = evidence.select(F.col("evidence_id").alias("_id"), F.col("storage_key").alias("_storage"), F.col("kind").alias("_kind"), F.col("sha256").alias("_sha")).join(objects.select(F.col("_key").alias("_sha"), F.lit(True).alias("_stored")), "_sha", "left")
+    i = package["items"]
+    i = i.join(known, i["evidence_id"] == known["_id"], "left")
+    i = i.join(fragments, (i["_sha"] == fragments["_page"]) & (i["json_path"] == fragments["_path"]), "left")
+    linked = package["events"].select("stream", "seq", F.lit(True).alias("_linked"))
+    i = i.join(linked.dropDuplicates(["stream", "seq"]), ["stream", "seq"], "left")
+    there = F.col("_id").isNotNull()
+    paged, filed = there & (F.col("_kind") == "page") & F.col("_stored").isNotNull(), there & (F.col("_kind") == "file") & F.col("_stored").isNotNull()
+    expected = K.idempotency_key(F.col("tenant_id"), F.col("source"), F.col("subject"), F.col("content_hash"))
+    items = _errors(
+        i, "items", F.col("item_id"), wrong_key=~F.col("idempotency_key").eqNullSafe(expected), not_linked=F.col("_linked").isNull(), evidence_missing=~there, storage_key_differs=there & (F.col("storage_key") != F.col("_storage")),
+        path_unresolved=paged & F.col("fragment_hash").isNull(), fragment_differs=paged & (F.col("fragment_hash") != F.col("raw_hash")), file_hash_differs=filed & (F.col("raw_hash") != F.col("_sha")),
+    )
+    out = files
+    for part in (chain, tied, ends, kept, extra, items):
+        out = out.unionByName(part)
+    return out
 
 
 def recompute(chain_units: DataFrame, stated_units: DataFrame, key: str, fields: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerlane.functions import keys as K
+from ledgerlane.functions.canonical import canonical_json
 from ledgerlane.operators import custody as C
 from ledgerlane.operators import normalize as N
 from ledgerlane.operators import package as P
@@ -144,46 +145,107 @@ def src6(spark, sf):
     return R.custody_log(V.chain(spark, sf), "S3", ("job_paused", "job_resumed")).select("seq", "event_type", "actor")
 
 
-@register("snk1_jsonl_digest", f"""WITH {V.MSG}, v AS (SELECT '{{"event_id":' || event_id || ',"half":' || CASE WHEN event_id % 2 = 0 THEN CAST(event_id // 2 AS VARCHAR) ELSE event_id // 2 || '.5' END || ',"text":"' || text || '"}}' AS line FROM msg),
-h AS (SELECT line, sha256(line) AS h FROM v), lanes AS (SELECT count(*) AS n, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes, {LANES} FROM h), {CARRY} SELECT n AS rows, bytes, {HEX} AS digest FROM c0""")
+@register("snk1_jsonl_digest", f"""WITH {V.MSG}, v AS (SELECT event_id, '{{"event_id":' || event_id || ',"half":' || CASE WHEN event_id % 2 = 0 THEN CAST(event_id // 2 AS VARCHAR) ELSE event_id // 2 || '.5' END || ',"text":"' || text || '"}}' AS line FROM msg),
+h AS (SELECT line, sha256(line) AS h FROM v), lanes AS (SELECT count(*) AS n, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes, {LANES} FROM h), {CARRY} SELECT n AS rows, bytes, (SELECT sha256(string_agg(line || chr(10), '' ORDER BY event_id)) FROM v) AS sha256, {HEX} AS digest FROM c0""")
 def snk1(spark, sf):
     m = V.msg(spark, sf).select("event_id", "text", (F.col("event_id") / 2).alias("half"))
     return W.write_jsonl(m, f"{shared_folder(spark, 'jsonl')}/messages.jsonl", ["event_id"])
 
 
-#: Rows, bytes and digest of the files whose lines are in lines (file, line).
-_SUMS = f"""h AS (SELECT file, line, sha256(line) AS h FROM lines),
-lanes AS (SELECT file, count(*) AS n, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes, {LANES} FROM h GROUP BY file), {CARRY} SELECT file, n AS rows, bytes, {HEX} AS digest FROM c0"""
+#: Lines, bytes and SHA-256 of the files whose lines are in lines (file, place, line).
+_SUMS = "SELECT file, count(*) AS lines, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes, sha256(string_agg(line || chr(10), '' ORDER BY place)) AS sha256 FROM lines GROUP BY file"
 
+_RENDERS = "renders AS (SELECT conversation_id, count(DISTINCT day) AS files, count(*) FILTER (WHERE event_id % 9 = 0) AS natives, 'R' || conversation_id AS render_id FROM msg GROUP BY conversation_id)"
 
-@register("snk2_report_files", f"""WITH {V.UNITS},
+
+@register("snk2_report_files", f"""WITH {V.UNITS}, {_RENDERS},
 by_state AS (SELECT conversation_id, state, place, count(*) AS n, sum(coalesce(expected_count, 0)) AS e, sum(collected) AS c, sum(file_gaps) AS g FROM ranked WHERE kind <> 'directory' GROUP BY ALL),
 roll AS (SELECT conversation_id, string_agg('"' || state || '":' || n, ',' ORDER BY state) AS by_status, sum(n) AS units, arg_min(state, place) AS worst, sum(e) AS e, sum(c) AS c, sum(g) AS g FROM by_state GROUP BY conversation_id),
 clicks AS (SELECT 'S' || (CAST(substr(author, 2) AS INTEGER) % 10) AS stream, text, author, row_number() OVER (PARTITION BY CAST(substr(author, 2) AS INTEGER) % 10 ORDER BY event_id) AS seq FROM msg),
-lines AS (SELECT 'units' AS file, '{{"access_lost":' || access_lost || ',"collected":' || collected || ',"conversation_id":"' || conversation_id || '","day":' || coalesce('"' || day || '"', 'null') || ',"expected_count":' || coalesce(CAST(expected_count AS VARCHAR), 'null')
+each AS (SELECT 'units.jsonl' AS file, (conversation_id, coalesce(CAST(day AS VARCHAR), ''), unit_key, job_id) AS o, '{{"access_lost":' || access_lost || ',"collected":' || collected || ',"conversation_id":"' || conversation_id || '","day":' || coalesce('"' || day || '"', 'null') || ',"expected_count":' || coalesce(CAST(expected_count AS VARCHAR), 'null')
 || ',"file_gaps":' || file_gaps || ',"gap_reasons":[' || array_to_string(list_transform(gap_reasons, lambda x: '"' || x || '"'), ',') || '],"job_id":"' || job_id || '","kind":"' ||
   kind || '","recon_status":"' || recon_status || '","status":"' || status || '","unit_key":"' || unit_key || '"}}' AS line FROM units
-  UNION ALL SELECT 'conversations', '{{"by_status":{{' || by_status || '}},"collected":' || c || ',"conversation_id":"' || conversation_id || '","expected_count":' || e || ',"file_gaps":' || g || ',"units":' || units || ',"worst":"' || worst || '"}}' FROM roll
-  UNION ALL SELECT 'observations', '{{"actor":"' || author || '","seq":' || seq || ',"stream":"' || stream || '"}}' FROM clicks WHERE text = 'click'),
+  UNION ALL SELECT 'conversations.jsonl', (conversation_id, '', '', ''), '{{"by_status":{{' || by_status || '}},"collected":' || c || ',"conversation_id":"' || conversation_id || '","expected_count":' || e || ',"file_gaps":' || g || ',"units":' || units || ',"worst":"' || worst || '"}}' FROM roll
+  UNION ALL SELECT 'observations.jsonl', (stream, lpad(CAST(seq AS VARCHAR), 12, '0'), '', ''), '{{"actor":"' || author || '","seq":' || seq || ',"stream":"' || stream || '"}}' FROM clicks WHERE text = 'click'
+  UNION ALL SELECT 'renders.jsonl', (render_id, '', '', ''), '{{"conversation_id":"' || conversation_id || '","files":' || files || ',"natives":' || natives || ',"render_id":"' || render_id || '"}}' FROM renders),
+lines AS (SELECT file, line, row_number() OVER (PARTITION BY file ORDER BY o) AS place FROM each)
 {_SUMS}""")
 def snk2(spark, sf):
     from ledgerlane.operators.reconcile import conversation_rollup
 
     u = V.reconciled(spark, sf)
     o = V.chain(spark, sf).filter("event_type = 'file_unavailable'").select("stream", "seq", "actor")
-    return W.write_report_files(u, conversation_rollup(u), o, shared_folder(spark, "report"))
+    r = V.msg(spark, sf).groupBy("conversation_id").agg(F.countDistinct("day").alias("files"), F.count_if(F.col("event_id") % 9 == 0).alias("natives"))
+    r = r.withColumn("render_id", F.concat(F.lit("R"), "conversation_id"))
+    return W.write_report_files(u, conversation_rollup(u), o, r, shared_folder(spark, "report"))
 
 
-@register("snk3_src7_package", f"""WITH RECURSIVE {HASHED},
-lines AS (SELECT 'events' AS file, '{{"event_hash":"' || event_hash || '","event_type":"' || event_type || '","fields":"' || replace(fields, '"', '\\"') || '","prev_hash":"' || prev_hash || '","seq":' || seq || ',"stream":"' || stream || '"}}'
-  AS line FROM built WHERE seq <= 200
-  UNION ALL SELECT 'anchors', '{{"event_hash":"' || event_hash || '","seq":' || seq || ',"stream":"' || stream || '"}}' FROM built WHERE seq <= 200 AND seq % 8 = 0),
-{_SUMS}""")
+#: Events a package leaves out because they came after it was planned.
+LATER = 2
+
+
+def _stamp(unit_key):
+    """A number of a unit that decides about its damage."""
+    return F.substring(F.split_part(unit_key, F.lit("/"), F.lit(1)), 2, 9).cast("int") * 31 + F.substring(unit_key, -2, 2).cast("int")
+
+
+def _package(spark, sf, damaged: bool) -> str:
+    """A package of the messages: each is an item of the event with its number, in the stored page of its unit. Damaged:
+    every kind of fault, each in some places."""
+    path = shared_folder(spark, "package")
+    hurt = lambda cond, bad, good: F.when(cond, bad).otherwise(good) if damaged else good
+    b = materialized(_built(spark, sf))  # hashed once
+    s = F.col("seq")
+    heads = b.groupBy("stream").agg((F.max("seq") - LATER).alias("seq")).join(b.select("stream", "seq", "event_hash"), ["stream", "seq"])
+    heads = materialized(heads.withColumn("event_hash", hurt(F.col("stream") == "S3", F.lit("0"), F.col("event_hash"))))
+    events = b.withColumn("fields", hurt(s % 97 == 0, F.concat("fields", F.lit(" ")), F.col("fields")))
+    anchors = b.filter(s % 10 == 0).select("stream", "seq", hurt(s % 50 == 0, F.lit("0"), F.col("event_hash")).alias("event_hash"))
+
+    pages = materialized(_pages(spark, sf).withColumn("sha256", F.sha2("value", 256)))
+    n = _stamp(F.col("unit_key"))
+    evidence = pages.select(
+        F.col("unit_key").alias("evidence_id"), F.concat(F.lit("evidence/"), "unit_key").alias("storage_key"), F.lit("page").alias("kind"), F.lit("complete").alias("state"), "sha256", hurt(n % 13 == 0, F.lit("0"), F.col("sha256")).alias("source_sha256"), F.octet_length("value").cast("long").alias("size"),
+        hurt(n % 11 == 0, F.lit(None).cast("string"), F.lit("v1")).alias("version_id"), hurt(n % 17 == 0, F.lit(1), F.lit(0)).cast("long").alias("shadow_versions"),
+    )
+    objects = pages.select("sha256", hurt(n % 23 == 0, F.concat("value", F.lit(" ")), F.col("value")).cast("binary").alias("content"), n.alias("n"))
+    objects = objects.filter(F.col("n") % 19 != 0) if damaged else objects
+
+    e, raw = F.col("event_id"), F.col("raw")
+    place = F.row_number().over(Window.partitionBy("unit_key").orderBy("event_id")) - 1
+    seq = V.chain(spark, sf).select("event_id", "stream", "seq")
+    m = _raw(spark, sf).withColumn("i", place + hurt(e % 137 == 0, F.lit(1_000_000), F.lit(0))).join(seq, "event_id")
+    subject = K.message_subject(F.lit("T0"), F.col("conversation_id"), F.col("raw.ts"))
+    key = K.idempotency_key(F.lit("T0"), F.lit("chat"), subject, F.sha2("raw.text", 256))
+    items = m.select(
+        e.cast("string").alias("item_id"), "stream", "seq", hurt(e % 113 == 0, F.lit("0"), key).alias("idempotency_key"), F.lit("T0").alias("tenant_id"), F.lit("chat").alias("source"), subject.alias("subject"), F.sha2("raw.text", 256).alias("content_hash"),
+        hurt(e % 139 == 0, F.lit("none"), F.col("unit_key")).alias("evidence_id"), F.concat(F.lit("evidence/"), "unit_key", hurt(e % 127 == 0, F.lit("x"), F.lit(""))).alias("storage_key"), K.json_path("messages", F.col("i")).alias("json_path"), hurt(e % 131 == 0, F.lit("0"), F.sha2(canonical_json(F.to_json(raw)), 256)).alias("raw_hash"),
+    )
+    W.write_package(events, items, evidence, anchors, heads, objects, path)
+    if damaged:  # what happens to a package on its way: a line more, a file more, an object more, a file that was lost
+        spark.createDataFrame([('{"event_hash":"0","seq":1,"stream":"S1"}',)], "value string").write.mode("append").text(f"{path}/anchors.jsonl")
+        spark.createDataFrame([("note",)], "value string").write.text(f"{path}/notes.jsonl")
+        spark.createDataFrame([("f" * 64, bytearray(b"stray"))], "sha256 string, content binary").write.mode("append").parquet(f"{path}/objects")
+        spark.createDataFrame([("lost.jsonl", 1, 1, "0")], "file string, lines long, bytes long, sha256 string").write.mode("append").json(f"{path}/manifest.json")
+    return path
+
+
+_HEADS = f"heads AS (SELECT stream, max(seq) - {LATER} AS head FROM chain GROUP BY stream)"
+
+
+@register("snk3_src7_package", f"""WITH RECURSIVE {HASHED}, {_HEADS}, lines AS (SELECT 'events.jsonl' AS file, '{{"event_hash":"' || event_hash || '","event_type":"' || event_type || '","fields":"' || replace(fields, '"', '\\"') || '","prev_hash":"' || prev_hash || '","seq":' || seq || ',"stream":"' || stream || '"}}' AS line, row_number() OVER (ORDER BY stream, seq) AS place
+  FROM built JOIN heads USING (stream) WHERE seq <= head
+  UNION ALL SELECT 'anchors.jsonl', '{{"event_hash":"' || event_hash || '","seq":' || seq || ',"stream":"' || stream || '"}}', row_number() OVER (ORDER BY stream, seq) FROM built JOIN heads USING (stream) WHERE seq <= head AND seq % 10 = 0),
+own AS (SELECT event_id, unit_key FROM chain JOIN heads USING (stream) JOIN msg USING (event_id) WHERE seq <= head)
+SELECT 'written' AS what, * FROM ({_SUMS}) UNION ALL SELECT 'rows', 'items', (SELECT count(*) FROM own), NULL, NULL UNION ALL SELECT 'rows', 'evidence', (SELECT count(DISTINCT unit_key) FROM own), NULL, NULL
+UNION ALL SELECT 'rows', 'objects', (SELECT count(DISTINCT unit_key) FROM own), NULL, NULL UNION ALL SELECT 'rows', 'events', (SELECT sum(head) FROM heads), NULL, NULL UNION ALL SELECT 'rows', 'errors', 0, NULL, NULL""")
 def snk3(spark, sf):
-    b = materialized(_built(spark, sf))
-    a = b.filter("seq % 8 = 0").select("stream", "seq", "event_hash")
-    heads = b.select("stream").distinct().withColumn("seq", F.lit(200))
-    return W.write_package(b, a, heads, shared_folder(spark, "package")).select("file", "rows", "bytes", "digest")
+    """A package written and read back: the digests of what SQL can write too, the rows of each part, and no errors."""
+    p = R.package(spark, _package(spark, sf, damaged=False))
+    same = p["stated"].join(p["found"], ["file", "lines", "bytes", "sha256"]).filter("file in ('events.jsonl', 'anchors.jsonl')").select(F.lit("written").alias("what"), "file", "lines", "bytes", "sha256")
+    for name in ("items", "evidence", "objects", "events"):
+        same = same.unionByName(p[name].agg(F.count(F.lit(1)).alias("lines")).select(F.lit("rows").alias("what"), F.lit(name).alias("file"), "lines"), allowMissingColumns=True)
+    errors = P.verify_package(p).agg(F.count(F.lit(1)).alias("lines")).select(F.lit("rows").alias("what"), F.lit("errors").alias("file"), "lines")
+    return same.unionByName(errors, allowMissingColumns=True)
 
 
 @register("prj6_unit_rows", f"WITH {V.UNITS} SELECT unit_key, CASE WHEN unit_key LIKE '%5' THEN 'matched' ELSE recon_status END AS recon_status, CASE WHEN unit_key LIKE '%5' THEN 'chain' ELSE 'database' END AS basis FROM units WHERE kind <> 'directory'")
@@ -193,23 +255,17 @@ def prj6(spark, sf):
     return P.unit_rows(u, f, "unit_key", ["recon_status"])
 
 
-@register("mrk10_verify_package", f"""WITH {V.CHAIN} SELECT 'events' AS file, stream || '/' || seq AS what, 'altered' AS error FROM chain WHERE seq % 97 = 0 UNION ALL SELECT 'anchors', stream || '/' || seq,
-  'anchor_differs' FROM chain WHERE seq % 50 = 0 UNION ALL SELECT 'items', CAST(event_id AS VARCHAR), 'wrong_key' FROM msg WHERE event_id % 113 = 0
-UNION ALL SELECT 'evidence', CAST(doc_id AS VARCHAR), 'altered' FROM documents WHERE doc_id % 37 = 0 UNION ALL SELECT 'anchors.jsonl', 'anchors.jsonl', 'altered' UNION ALL SELECT 'notes.txt', 'notes.txt', 'unlisted'""")
+@register("mrk10_verify_package", f"""WITH {V.CHAIN}, {_HEADS}, own AS (SELECT c.stream, c.seq, m.event_id, m.unit_key, CAST(split_part(substr(m.unit_key, 2), '/', 1) AS INTEGER) * 31 + CAST(right(m.unit_key, 2) AS INTEGER) AS n FROM chain c JOIN heads h ON h.stream = c.stream AND c.seq <= h.head JOIN msg m USING (event_id)),
+ev AS (SELECT DISTINCT unit_key, n FROM own WHERE event_id % 139 <> 0), i AS (SELECT *, event_id % 139 <> 0 AS there, n % 19 <> 0 AS stored, event_id % 137 <> 0 AS found FROM own)
+SELECT 'events' AS file, stream || '/' || seq AS what, 'altered' AS error FROM own WHERE seq % 97 = 0 UNION ALL SELECT 'anchors', stream || '/' || seq, 'anchor_differs' FROM own WHERE seq % 50 = 0 UNION ALL SELECT 'anchors', 'S1/1', 'anchor_differs' UNION ALL SELECT 'heads', 'S3', 'head_differs'
+UNION ALL SELECT 'manifest', 'anchors.jsonl', 'altered' UNION ALL SELECT 'manifest', 'anchors.jsonl', 'wrong_lines' UNION ALL SELECT 'manifest', 'notes.jsonl', 'unlisted' UNION ALL SELECT 'manifest', 'lost.jsonl', 'missing' UNION ALL SELECT 'objects', repeat('f', 64), 'not_an_object'
+UNION ALL SELECT 'evidence', 'evidence/' || unit_key, 'not_pinned' FROM ev WHERE n % 11 = 0 UNION ALL SELECT 'evidence', 'evidence/' || unit_key, 'source_differs' FROM ev WHERE n % 13 = 0 UNION ALL SELECT 'evidence', 'evidence/' || unit_key, 'storage_incident' FROM ev WHERE n % 17 = 0
+UNION ALL SELECT 'evidence', 'evidence/' || unit_key, 'bytes_missing' FROM ev WHERE n % 19 = 0 UNION ALL SELECT 'evidence', 'evidence/' || unit_key, 'bytes_differ' FROM ev WHERE n % 23 = 0 AND n % 19 <> 0
+UNION ALL SELECT 'items', CAST(event_id AS VARCHAR), 'wrong_key' FROM i WHERE event_id % 113 = 0 UNION ALL SELECT 'items', CAST(event_id AS VARCHAR), 'evidence_missing' FROM i WHERE NOT there UNION ALL SELECT 'items', CAST(event_id AS VARCHAR), 'storage_key_differs' FROM i WHERE there AND event_id % 127 = 0
+UNION ALL SELECT 'items', CAST(event_id AS VARCHAR), 'path_unresolved' FROM i WHERE there AND stored AND NOT found UNION ALL SELECT 'items', CAST(event_id AS VARCHAR), 'fragment_differs' FROM i WHERE there AND stored AND found AND event_id % 131 = 0""")
 def mrk10(spark, sf):
-    b = materialized(_built(spark, sf))  # hashed once, read by three checks
-    seq = F.col("seq")
-    anchors = b.filter(seq % 10 == 0).select("stream", "seq", F.when(seq % 50 == 0, F.lit("0")).otherwise(F.col("event_hash")).alias("event_hash"))
-    events = b.withColumn("fields", F.when(seq % 97 == 0, F.concat("fields", F.lit(" "))).otherwise(F.col("fields")))
-    m = V.msg(spark, sf)
-    key = K.idempotency_key(F.lit("T0"), F.lit("chat"), F.col("subject"), F.sha2("text", 256))
-    items = m.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 113 == 0, F.lit("0")).otherwise(key).alias("key"), key.alias("expected_key"))
-    d = V.read(spark, sf, "documents").select(F.col("doc_id").alias("storage_key"), F.sha2("text", 256).alias("sha256"))
-    stored = d.withColumn("stated_sha256", F.when(F.col("storage_key") % 37 == 0, F.lit("0")).otherwise(F.col("sha256")))
-    n = b.agg(F.count(F.lit(1)).alias("lines"))
-    stated = n.select(F.explode(F.array(F.struct(F.lit("events.jsonl").alias("file"), F.lit("a").alias("sha256"), F.col("lines")), F.struct(F.lit("anchors.jsonl").alias("file"), F.lit("b").alias("sha256"), F.col("lines")))).alias("r")).select("r.*")
-    found = stated.withColumn("sha256", F.lit("a")).unionByName(stated.limit(1).withColumn("file", F.lit("notes.txt")))
-    return P.verify_package(found, stated, events, anchors, items, stored)
+    """A package with faults of every kind, as it was written and read back."""
+    return P.verify_package(R.package(spark, _package(spark, sf, damaged=True)))
 
 
 @register("mrk11_recompute", f"WITH {V.UNITS} SELECT unit_key, 'collected' AS field, CAST(collected AS VARCHAR) AS recomputed, CAST(collected + 1 AS VARCHAR) AS stated FROM conv_units WHERE collected % 10 = 3")

@@ -1,43 +1,108 @@
-"""Sinks: canonical JSON lines with digests, report files in fixed order, packages."""
+"""Sinks: canonical JSON lines with the digest of their file, report files in fixed order, packages.
+
+A logical file ``x.jsonl`` is a folder of part files in the order of its lines; its bytes are those of the parts, one
+after the other. SHA-256 of a whole file is sequential by nature: one task a file streams the parts, while each part's
+own record is made by itself."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlane.functions.canonical import canonical_row
 from ledgerlane.operators.digest import carried, lane_sums
+from ledgerlane.plans.shared import table_exists
+
+#: Lines of a part file at most, so that a part is read by a task at once.
+PART_LINES = 500_000
+DIGEST = "file string, lines long, bytes long, sha256 string"
+
+
+def write_lines(rows: DataFrame, path: str, order: list) -> None:
+    """Rows as canonical JSON lines in an order, range-partitioned so that part files follow it."""
+    lines = rows.select(canonical_row(rows).alias("value"), *[(c if isinstance(c, Column) else F.col(c)).alias(f"_o{i}") for i, c in enumerate(order)])
+    lines.orderBy(*[f"_o{i}" for i in range(len(order))]).select("value").write.mode("overwrite").option("maxRecordsPerFile", PART_LINES).text(path)
+
+
+def part_records(spark: SparkSession, path: str) -> DataFrame:
+    """file, part, bytes and sha256 of each part file of the logical files below path, and its content."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
+    steps = F.split("path", "/")
+    return raw.select(F.url_decode(F.element_at(steps, -2)).alias("file"), F.element_at(steps, -1).alias("part"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), "content")
+
+
+def file_digests(spark: SparkSession, path: str, names: tuple[str, ...] = ()) -> DataFrame:
+    """SNK-1: file, lines, bytes and SHA-256 of the bytes of each logical file below path, as it is stored. Spark's
+    scan doesn't see part files without bytes, so an empty file is told only if it is among names and is there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, state, lines, size = None, hashlib.sha256(), 0, 0
+
+        def record() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([own]), pa.array([lines]), pa.array([size]), pa.array([state.hexdigest()])], [c.split()[0] for c in DIGEST.split(", ")])
+
+        for batch in batches:
+            for file, content in zip(batch.column(0), batch.column(1), strict=True):
+                if file.as_py() != own:
+                    if own is not None:
+                        yield record()
+                    own, state, lines, size = file.as_py(), hashlib.sha256(), 0, 0
+                data = content.as_buffer()
+                state.update(data)
+                lines += content.as_py().count(b"\n")
+                size += data.size
+        if own is not None:
+            yield record()
+
+    parts = part_records(spark, path).select("file", "part", "content")
+    found = parts.repartition("file").sortWithinPartitions("file", "part").select("file", "content").mapInArrow(run, DIGEST)
+    there = [(n, 0, 0, hashlib.sha256().hexdigest()) for n in names if table_exists(spark, f"{path}/{n}")]
+    return found.unionByName(spark.createDataFrame(there, DIGEST).join(parts.select("file").distinct(), "file", "left_anti")) if there else found
 
 
 def write_jsonl(rows: DataFrame, path: str, order: list) -> DataFrame:
-    """SNK-1: sorted JSON lines, range-partitioned so that part files follow the order; rows, bytes and an
-    order-independent digest of the lines, from what was written."""
+    """SNK-1: rows, bytes and SHA-256 of the file, and an order-independent digest of its lines, from what was written."""
     spark = rows.sparkSession
-    lines = rows.select(canonical_row(rows).alias("value"), *[c.alias(f"_o{i}") if isinstance(c, Column) else F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
-    lines.orderBy(*[f"_o{i}" for i in range(len(order))]).select("value").write.mode("overwrite").text(path)
-    back = spark.read.text(path)
-    sums = back.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0)).alias("bytes"), *lane_sums(F.sha2("value", 256)))
-    return sums.select("rows", "bytes", carried([F.col(f"lane{i}") for i in range(8)]).alias("digest"))
+    write_lines(rows, path, order)
+    sums = spark.read.text(path).agg(F.count(F.lit(1)).alias("rows"), *lane_sums(F.sha2("value", 256)))
+    whole = file_digests(spark, path).agg(F.coalesce(F.max("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.max("sha256"), F.sha2(F.lit("").cast("binary"), 256)).alias("sha256"))
+    # one row each
+    return sums.crossJoin(F.broadcast(whole)).select("rows", "bytes", "sha256", carried([F.col(f"lane{i}") for i in range(8)]).alias("digest"))
 
 
-def write_report_files(units: DataFrame, conversations: DataFrame, observations: DataFrame, path: str) -> DataFrame:
-    """SNK-2: the report's files in their orders, with rows, bytes and digest of each."""
+def write_report_files(units: DataFrame, conversations: DataFrame, observations: DataFrame, renders: DataFrame, path: str) -> DataFrame:
+    """SNK-2: the report's four files in their orders, with lines, bytes and SHA-256 of each."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    parts = {"units": (units, [text("conversation_id"), text("day"), text("unit_key"), text("job_id")]), "conversations": (conversations, [text("conversation_id")]), "observations": (observations, [text("stream"), F.col("seq")])}
-    out = None
+    parts = {"units": (units, [text("conversation_id"), text("day"), text("unit_key"), text("job_id")]), "conversations": (conversations, [text("conversation_id")]), "observations": (observations, [text("stream"), F.col("seq")]), "renders": (renders, [text("render_id")])}
     for name, (rows, order) in parts.items():
-        row = write_jsonl(rows, f"{path}/{name}.jsonl", order).select(F.lit(name).alias("file"), "rows", "bytes", "digest")
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-def write_package(events: DataFrame, anchors: DataFrame, heads: DataFrame, path: str) -> DataFrame:
-    """SNK-3: events and anchors up to each stream's planned head, and their manifest."""
-    own = lambda rows: rows.join(heads.withColumnRenamed("seq", "_head"), "stream").filter(F.col("seq") <= F.col("_head")).drop("_head")
-    a = write_jsonl(own(events), f"{path}/events.jsonl", ["stream", "seq"]).withColumn("file", F.lit("events"))
-    b = write_jsonl(own(anchors), f"{path}/anchors.jsonl", ["stream", "seq"]).withColumn("file", F.lit("anchors"))
-    manifest = a.unionByName(b)
-    manifest.write.mode("overwrite").json(f"{path}/manifest.json")
+        write_lines(rows, f"{path}/{name}.jsonl", order)
+    return file_digests(units.sparkSession, path, tuple(f"{name}.jsonl" for name in parts))
+
+
+#: A package's line files, each with the columns that order it.
+PACKAGE_FILES = {"events.jsonl": ["stream", "seq"], "items.jsonl": ["stream", "seq", "idempotency_key", "item_id"], "evidence.jsonl": ["storage_key", "evidence_id"], "anchors.jsonl": ["stream", "seq"]}
+
+
+def write_package(events: DataFrame, items: DataFrame, evidence: DataFrame, anchors: DataFrame, heads: DataFrame, objects: DataFrame, path: str) -> DataFrame:
+    """SNK-3: a package that is consistent with each stream's planned head: events and anchors up to it, items of those
+    events, the evidence of those items and its bytes; and a manifest with the digest of each file and the heads.
+
+    items have the stream and seq of their event; heads (stream, seq, event_hash); objects (sha256, content)."""
+    spark = events.sparkSession
+    upto = heads.select("stream", F.col("seq").alias("_head"))
+    own = lambda rows: rows.join(upto, "stream").filter(F.col("seq") <= F.col("_head")).select(*rows.columns)
+    held = own(items)
+    kept = evidence.join(held.select("evidence_id").distinct(), "evidence_id", "left_semi").select(*evidence.columns)
+    for (name, order), rows in zip(PACKAGE_FILES.items(), (own(events), held, kept, own(anchors)), strict=True):
+        write_lines(rows, f"{path}/{name}", order)
+    objects.join(kept.select("sha256").distinct(), "sha256", "left_semi").write.mode("overwrite").parquet(f"{path}/objects")
+    manifest = file_digests(spark, path, tuple(PACKAGE_FILES)).filter(F.col("file").isin(*PACKAGE_FILES))
+    manifest = manifest.unionByName(heads.select("stream", "seq", "event_hash"), allowMissingColumns=True)
+    manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest.json")  # four files, and a row a stream
     return manifest
 
 
@@ -49,7 +114,7 @@ def write_manifests(manifests: DataFrame, path: str) -> None:
 def append_new(items: DataFrame, path: str, key: str = "idempotency_key") -> DataFrame:
     """SNK-5: items that a Parquet table doesn't hold yet, appended to it; returns what was appended."""
     from ledgerlane.operators.versions import new_items
-    from ledgerlane.plans.shared import materialized, table_exists
+    from ledgerlane.plans.shared import materialized
 
     spark = items.sparkSession
     fresh = items.dropDuplicates([key])

@@ -15,8 +15,14 @@ from ledgerlane.functions.keys import json_path
 from ledgerlane.operators.normalize import CONVERSATION, MEMBER, MESSAGE
 from ledgerlane.plans.shared import is_folder
 
-EVENT = "id STRING, fields STRUCT<tenant_id: STRING, stream_id: STRING, job_id: STRING, seq: BIGINT, event_type: STRING, actor: STRING, item_id: STRING, payload: STRING, created_at: STRING>, prev_hash STRING, event_hash STRING"
-ANCHOR = "format STRING, tenant_id STRING, stream_id STRING, seq BIGINT, event_hash STRING"
+#: Lines of a package's files.
+PACKAGE = {
+    "events": "stream STRING, seq BIGINT, event_type STRING, fields STRING, prev_hash STRING, event_hash STRING",
+    "items": "item_id STRING, stream STRING, seq BIGINT, idempotency_key STRING, tenant_id STRING, source STRING, subject STRING, content_hash STRING, evidence_id STRING, storage_key STRING, json_path STRING, raw_hash STRING",
+    "evidence": "evidence_id STRING, storage_key STRING, kind STRING, state STRING, sha256 STRING, source_sha256 STRING, size BIGINT, version_id STRING, shadow_versions BIGINT",
+    "anchors": "stream STRING, seq BIGINT, event_hash STRING",
+}
+MANIFEST = "file STRING, lines BIGINT, bytes BIGINT, sha256 STRING, stream STRING, seq BIGINT, event_hash STRING"
 
 
 def _strict(value: Column, schema: str) -> Column:
@@ -125,16 +131,20 @@ def custody_log(events: DataFrame, stream: str, types: tuple[str, ...] = ()) ->
 
 
 def package(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """SRC-7: a package's files and the SHA-256 and lines of each beside its manifest's."""
-    read = lambda name, schema: spark.read.schema(schema).json(f"{path}/{name}", mode="FAILFAST")
-    whole = spark.read.format("binaryFile").load(f"{path}/*.jsonl").select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
-    lines = spark.read.text(f"{path}/*.jsonl").groupBy(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file")).agg(F.count(F.lit(1)).alias("lines"))
-    stated = spark.read.schema("file STRING, sha256 STRING, lines BIGINT").json(f"{path}/manifest.json")
-    return {"events": read("events.jsonl", EVENT), "anchors": read("anchors.jsonl", ANCHOR), "found": whole.join(lines, "file", "left").fillna(0, ["lines"]), "stated": stated}
+    """SRC-7: what SNK-3 wrote: the lines of its four files, the manifest's files (``stated``) and heads, each file
+    as it is now (``found``: lines, bytes, SHA-256), and the stored objects with their own hash and size."""
+    from ledgerlane.sinks.files import PACKAGE_FILES, file_digests
+
+    out = {name: spark.read.schema(schema).json(f"{path}/{name}.jsonl", mode="FAILFAST") for name, schema in PACKAGE.items()}
+    manifest = spark.read.schema(MANIFEST).json(f"{path}/manifest.json", mode="FAILFAST")
+    out |= {"stated": manifest.filter("file is not null").select("file", "lines", "bytes", "sha256"), "heads": manifest.filter("stream is not null").select("stream", "seq", "event_hash")}
+    out["found"] = file_digests(spark, path, tuple(PACKAGE_FILES)).filter(~F.col("file").isin("manifest.json", "objects"))
+    out["objects"] = spark.read.parquet(f"{path}/objects").select("sha256", "content", F.sha2("content", 256).alias("own_sha256"), F.length("content").cast("long").alias("own_size"))
+    return out
 
 
 def evidence_bytes(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-8: hash and size of stored objects."""
+    """SRC-8: hash and size of stored objects. Spark's scan leaves out files without bytes."""
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("storage_key"), F.sha2("content", 256).alias("sha256"), F.length("content").cast("long").alias("size"))
 
 

@@ -246,13 +246,6 @@ def test_jsonl_sink(spark, tmp_path):
     assert (r["rows"], r["bytes"]) == (2, len(lines.encode()))
 
 
-def test_package_round_trip(spark, tmp_path):
-    events = custody.build_chain(spark.createDataFrame([("s", i, "{}") for i in range(1, 5)], "stream string, seq long, fields string"))
-    heads = spark.createDataFrame([("s", 3)], "stream string, seq long")
-    m = {r["file"]: r["rows"] for r in files.write_package(events, events.select("stream", "seq", "event_hash"), heads, str(tmp_path / "p")).collect()}
-    assert m == {"events": 3, "anchors": 3}
-
-
 def test_scan_reads_only_the_columns_and_rows_it_needs(spark, sf):
     plan = spark.read.parquet(f"{sf}/part.parquet").filter(text.with_prefix(F.col("p_name"), "red w")).select("p_partkey")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(p_name,red w)" in plan
