@@ -113,8 +113,14 @@ def anchors_due(events: DataFrame, lifecycle: tuple[str, ...], every: int = 8, s
     return e.filter(life | (F.col("_n") % every == 0)).select(*events.columns)
 
 
-def chain_fold(events: DataFrame, start: str, finals: tuple[str, ...], stops: tuple[str, ...], batch: str, stream: str = "stream", seq: str = "seq", kind: str = "event_type") -> DataFrame:
-    """AGG-24 / WIN-13: first start and final of each stream, how many more there are, stops and batches."""
+def chain_fold(events: DataFrame, start: str, finals: tuple[str, ...], stops: tuple[str, ...], batch: str, stream: str = "stream", seq: str = "seq", kind: str = "event_type", outcome: Column | None = None) -> DataFrame:
+    """AGG-24 / WIN-13: first start and final of each stream, how many more there are, stops and batches; with
+    ``outcome`` (the reconciliation status that an event states, else null) also how many events state each."""
+    if outcome is not None:
+        named = events.withColumn("_o", outcome).filter("_o is not null").groupBy(stream, "_o").agg(F.count(F.lit(1)).alias("_n"))
+        named = named.groupBy(stream).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_o", "_n")))).alias("outcomes"))
+        fold = chain_fold(events, start, finals, stops, batch, stream, seq, kind)
+        return fold.join(named, stream, "left").withColumn("outcomes", F.coalesce("outcomes", F.create_map().cast("map<string,bigint>")))
     k, s = F.col(kind), F.col(seq)
     first = lambda cond: F.min(F.when(cond, s))
     return events.groupBy(stream).agg(

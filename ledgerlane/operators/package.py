@@ -1,4 +1,4 @@
-"""Report rows, package verification, and offline recomputation from the chain alone."""
+"""Report rows and package verification."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlane.functions import keys as K
-from ledgerlane.functions import status as S
 from ledgerlane.functions.canonical import canonical_json
 from ledgerlane.operators.custody import verify_anchors, verify_chain
 
@@ -87,22 +86,3 @@ def verify_package(package: dict[str, DataFrame]) -> DataFrame:
     for part in (chain, tied, ends, kept, extra, items):
         out = out.unionByName(part)
     return out
-
-
-def recompute(chain_units: DataFrame, stated_units: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """MRK-11: differences between a report's unit rows and those that its chain gives, per field."""
-    a = chain_units.select(key, F.struct(*fields).alias("a"))
-    b = stated_units.select(key, F.struct(*fields).alias("b"))
-    j = a.join(b, key, "full").filter(~F.col("a").eqNullSafe(F.col("b")))
-    text = lambda s, c: F.col(f"{s}.{c}").cast("string")
-    diffs = F.array(*[F.when(F.col("a").isNull() | F.col("b").isNull() | ~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), F.struct(F.lit(c).alias("field"), text("a", c).alias("recomputed"), text("b", c).alias("stated"))) for c in fields])
-    return j.select(key, F.explode(F.filter(diffs, lambda d: d.isNotNull())).alias("d")).select(key, "d.*")
-
-
-def recomputed_sections(units: DataFrame) -> DataFrame:
-    """MRK-11: counts by status and totals, as section, name and value rows."""
-    state = units.withColumn("state", S.severity(F.col("status"), F.col("recon_status")))
-    counts = state.groupBy(F.lit("counts").alias("section"), F.col("state").alias("name")).agg(F.count(F.lit(1)).alias("value"))
-    sums = units.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("expected_count", "collected", "file_gaps")])
-    rows = sums.select(F.explode(F.array(*[F.struct(F.lit("totals").alias("section"), F.lit(c).alias("name"), F.col(c).alias("value")) for c in sums.columns])).alias("r")).select("r.*")
-    return counts.unionByName(rows)

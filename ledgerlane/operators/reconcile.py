@@ -71,11 +71,12 @@ def totals(units: DataFrame) -> DataFrame:
     return units.agg(*[F.coalesce(F.sum(F.coalesce(c, F.lit(0))), F.lit(0)).alias(c) for c in ("expected_count", "collected", "file_gaps")])
 
 
-def conversation_rollup(units: DataFrame) -> DataFrame:
+def conversation_rollup(units: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """AGG-8: units, worst status, counts by status and totals of each conversation, without the directory."""
+    keys = keys or ["conversation_id"]
     own = units.filter("kind <> 'directory'").withColumn("state", S.severity(F.col("status"), F.col("recon_status")))
-    by = own.groupBy("conversation_id", "state").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("expected_count", "collected", "file_gaps")])
-    return by.groupBy("conversation_id").agg(
+    by = own.groupBy(*keys, "state").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("expected_count", "collected", "file_gaps")])
+    return by.groupBy(*keys).agg(
         F.sum("n").alias("units"), F.min_by("state", F.struct(S.rank(F.col("state")), "state")).alias("worst"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("state", "n")))).alias("by_status"),
         *[F.sum(c).alias(c) for c in ("expected_count", "collected", "file_gaps")],
     )

@@ -14,6 +14,7 @@ from ledgerlane.functions.canonical import canonical_json
 from ledgerlane.operators import custody as C
 from ledgerlane.operators import normalize as N
 from ledgerlane.operators import package as P
+from ledgerlane.operators import recompute as Q
 from ledgerlane.operators import versions as X
 from ledgerlane.operators.reconcile import unit_order
 from ledgerlane.operators.registry import register
@@ -268,18 +269,91 @@ def mrk10(spark, sf):
     return P.verify_package(R.package(spark, _package(spark, sf, damaged=True)))
 
 
-@register("mrk11_recompute", f"WITH {V.UNITS} SELECT unit_key, 'collected' AS field, CAST(collected AS VARCHAR) AS recomputed, CAST(collected + 1 AS VARCHAR) AS stated FROM conv_units WHERE collected % 10 = 3")
+def _job_chain(spark, sf):
+    """A chain for each job of the units view: its start, pauses, a fact of each unit, some a second time and otherwise, its end."""
+    u = V.reconciled(spark, sf)
+    k = F.col("collected")
+    start, end = F.lit("A0"), F.lit("job_finished")
+    fact = lambda collected: F.to_json(F.struct("unit_key", "kind", "conversation_id", F.col("day").cast("string").alias("day"), "recon_status", "expected_count", collected.alias("collected"), "file_gaps"))
+    row = lambda where, o1, o2, o3, kind, actor, payload: where.select(F.col("job_id").alias("stream"), F.lit(o1).alias("o1"), o2.alias("o2"), F.lit(o3).alias("o3"), kind.alias("event_type"), actor.alias("actor"), payload.alias("payload"))
+    jobs, key, none = u.select("job_id").distinct(), F.col("unit_key"), F.lit("{}")
+    settled = F.when(F.col("status") == "failed", "unit_failed").otherwise("unit_reconciled")
+    rows = row(jobs, 0, F.lit(""), 0, F.lit("job_started"), start, none).unionByName(row(jobs, 2, F.lit(""), 0, end, start, none))
+    for part in (
+        row(u.filter(k % 11 == 0), 1, key, -1, F.lit("job_paused"), F.lit("A1"), none), row(u, 1, key, 0, settled, F.concat(F.lit("A"), (k % 3).cast("string")), fact(k)),
+        row(u.filter(k % 7 == 0), 1, key, 1, F.lit("unit_reconciled"), F.lit("A2"), fact(k + 100)), row(u.filter(k % 5 == 0), 1, key, 2, F.lit("job_resumed"), F.lit("A1"), none),
+    ):
+        rows = rows.unionByName(part)
+    rows = rows.withColumn("seq", F.row_number().over(Window.partitionBy("stream").orderBy("o1", "o2", "o3")).cast("long"))
+    return rows.select("stream", "seq", "event_type", "actor", "payload", F.timestamp_seconds(1_700_000_000 + F.col("seq")).alias("at"))
+
+
+#: The job chains of _job_chain.
+_JOB_EVENTS = """job_events AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY o1, o2, o3) AS seq FROM (SELECT DISTINCT job_id AS stream, 0 AS o1, '' AS o2, 0 AS o3, 'job_started' AS event_type, 'A0' AS actor, NULL AS outcome FROM units UNION ALL SELECT DISTINCT job_id, 2, '', 0, 'job_finished', 'A0', NULL FROM units
+  UNION ALL SELECT job_id, 1, unit_key, -1, 'job_paused', 'A1', NULL FROM units WHERE collected % 11 = 0 UNION ALL SELECT job_id, 1, unit_key, 0, CASE WHEN status = 'failed' THEN 'unit_failed' ELSE 'unit_reconciled' END, 'A' || collected % 3, recon_status FROM units
+  UNION ALL SELECT job_id, 1, unit_key, 1, 'unit_reconciled', 'A2', recon_status FROM units WHERE collected % 7 = 0 UNION ALL SELECT job_id, 1, unit_key, 2, 'job_resumed', 'A1', NULL FROM units WHERE collected % 5 = 0))"""
+
+#: Exceptions that a report lists of each job.
+_CAP = 5
+
+_SECTIONS_SQL = f"""WITH {V.UNITS}, {_JOB_EVENTS},
+side AS (SELECT 'a' AS side, job_id AS stream, unit_key, kind, conversation_id, CAST(day AS VARCHAR) AS day, status, recon_status, expected_count, collected, file_gaps FROM units
+  UNION ALL SELECT 'b', job_id, unit_key, kind, conversation_id, CAST(day AS VARCHAR), status, CASE WHEN collected % 19 = 0 THEN 'matched' ELSE recon_status END, expected_count, collected + CASE WHEN collected % 10 = 3 THEN 1 ELSE 0 END, file_gaps FROM units WHERE collected % 23 <> 0 OR kind = 'directory'
+  UNION ALL SELECT 'b', 'J1', 'C99/2024-01-01', 'conversation_day', 'C99', '2024-01-01', 'done', 'gap', 9, 8, 0),
+named AS (SELECT *, CASE WHEN status = 'failed' THEN 'failed' ELSE recon_status END AS state FROM side),
+placed AS (SELECT *, coalesce(list_position(['failed', 'access_lost', 'gap', 'surplus', 'unverifiable', 'matched_against_archive', 'pending', 'matched', 'not_applicable'], state), 10) - 1 AS place FROM named),
+states AS (SELECT side, stream, conversation_id, state, place, count(*) AS n, sum(coalesce(expected_count, 0)) AS e, sum(collected) AS c, sum(file_gaps) AS g FROM placed WHERE kind <> 'directory' GROUP BY ALL),
+bad AS (SELECT *, row_number() OVER (PARTITION BY side, stream ORDER BY place, conversation_id, coalesce(day, ''), unit_key) AS nth, count(*) OVER (PARTITION BY side, stream) AS total FROM placed WHERE place < 5),
+ends AS (SELECT p.stream, p.seq, (SELECT min(e.seq) FROM job_events e WHERE e.stream = p.stream AND e.seq > p.seq AND e.event_type = 'job_resumed') AS stop FROM job_events p WHERE p.event_type = 'job_paused'),
+sides AS (SELECT 'a' AS side UNION ALL SELECT 'b'), jobs AS (SELECT DISTINCT side, stream FROM side),
+cells AS (
+  SELECT side, 'units' AS section, stream, unit_key AS name, unnest([('kind', kind), ('conversation_id', conversation_id), ('day', day), ('status', status), ('recon_status', recon_status), ('expected_count', CAST(expected_count AS VARCHAR)), ('collected', CAST(collected AS VARCHAR)), ('file_gaps', CAST(file_gaps AS VARCHAR))]) AS f FROM side
+  UNION ALL SELECT side, 'units_by_status', stream, s, ('n', CAST((SELECT count(*) FROM side x WHERE x.side = jobs.side AND x.stream = jobs.stream AND x.status = s) AS VARCHAR)) FROM jobs, (SELECT unnest(['pending', 'running', 'done', 'failed', 'retry_later', 'paused']) AS s)
+  UNION ALL SELECT side, 'units_by_recon_status', stream, s, ('n', CAST((SELECT count(*) FROM side x WHERE x.side = jobs.side AND x.stream = jobs.stream AND x.kind <> 'directory' AND x.recon_status = s) AS VARCHAR)) FROM jobs, (SELECT unnest(['pending', 'matched', 'gap', 'surplus', 'unverifiable', 'failed', 'access_lost', 'not_applicable', 'matched_against_archive']) AS s)
+  UNION ALL SELECT side, 'totals', stream, 'expected_count', ('n', CAST(CAST(sum(expected_count) AS BIGINT) AS VARCHAR)) FROM side GROUP BY side, stream UNION ALL SELECT side, 'totals', stream, 'collected', ('n', CAST(CAST(sum(collected) AS BIGINT) AS VARCHAR)) FROM side GROUP BY side, stream UNION ALL SELECT side, 'totals', stream, 'file_gaps', ('n', CAST(CAST(sum(file_gaps) AS BIGINT) AS VARCHAR)) FROM side GROUP BY side, stream
+  UNION ALL SELECT side, 'exceptions', stream, CAST(nth AS VARCHAR), unnest([('unit_key', unit_key), ('state', state)]) FROM bad WHERE nth <= {_CAP} UNION ALL SELECT DISTINCT side, 'exceptions_total', stream, 'all', ('n', CAST(total AS VARCHAR)) FROM bad
+  UNION ALL SELECT side, 'conversations', stream, conversation_id, unnest([('units', CAST(CAST(sum(n) AS BIGINT) AS VARCHAR)), ('worst', arg_min(state, place)), ('by_status', string_agg(state || '=' || n, ',' ORDER BY state)), ('expected_count', CAST(CAST(sum(e) AS BIGINT) AS VARCHAR)), ('collected', CAST(CAST(sum(c) AS BIGINT) AS VARCHAR)), ('file_gaps', CAST(CAST(sum(g) AS BIGINT) AS VARCHAR))]) FROM states GROUP BY side, stream, conversation_id
+  UNION ALL SELECT side, 'pauses', stream, CAST(seq AS VARCHAR), unnest([('resumed_ms', CAST((stop - seq) * 1000 + CASE WHEN side = 'b' AND seq % 2 = 0 THEN 1 ELSE 0 END AS VARCHAR)), ('ended_how', CASE WHEN stop IS NULL THEN 'not_ended' ELSE 'job_resumed' END)]) FROM ends, sides
+  UNION ALL SELECT side, 'actors', stream, event_type || '/' || actor, ('n', CAST(count(*) AS VARCHAR)) FROM job_events, sides WHERE side = 'a' OR actor <> 'A2' GROUP BY ALL
+  UNION ALL SELECT 'a', 'verdict', stream, 'clean', ('clean', CASE WHEN count(*) FILTER (WHERE kind = 'conversation_day' AND place < 5) = 0 THEN 'true' ELSE 'false' END) FROM placed WHERE side = 'a' GROUP BY stream UNION ALL SELECT DISTINCT 'b', 'verdict', stream, 'clean', ('clean', 'true') FROM side),
+rows_of AS (SELECT DISTINCT side, section, stream, name FROM cells), one AS (SELECT section, stream, name FROM rows_of GROUP BY ALL HAVING count(*) = 1)"""
+
+
+@register("mrk11_recompute", f"""{_SECTIONS_SQL}
+SELECT a.section, a.stream, a.name, a.f[1] AS field, a.f[2] AS recomputed, b.f[2] AS stated FROM cells a JOIN cells b ON a.side = 'a' AND b.side = 'b' AND a.section = b.section AND a.stream = b.stream AND a.name = b.name AND a.f[1] = b.f[1] WHERE a.f[2] IS DISTINCT FROM b.f[2] AND NOT (a.section = 'verdict' AND a.f[2] = 'true')
+UNION ALL SELECT o.section, o.stream, o.name, 'row', CASE WHEN r.side = 'a' THEN 'there' ELSE 'missing' END, CASE WHEN r.side = 'a' THEN 'missing' ELSE 'there' END FROM one o JOIN rows_of r USING (section, stream, name)""")
 def mrk11(spark, sf):
-    u = V.units(spark, sf).filter("kind <> 'directory'").select("unit_key", "expected_count", "collected", "file_gaps")
-    s = u.withColumn("collected", F.when(F.col("collected") % 10 == 3, F.col("collected") + 1).otherwise(F.col("collected")))
-    return P.recompute(u, s, "unit_key", ["expected_count", "collected", "file_gaps"])
-
-
-@register("mrk11_sections", f"""WITH {V.UNITS} SELECT 'counts' AS section, state AS name, count(*) AS value FROM ranked GROUP BY state UNION ALL SELECT 'totals', 'expected_count', CAST(sum(expected_count) AS
-  BIGINT) FROM units UNION ALL SELECT 'totals', 'collected', CAST(sum(collected) AS BIGINT) FROM units UNION ALL SELECT 'totals', 'file_gaps', CAST(sum(file_gaps) AS BIGINT) FROM
-  units""")
+    """The chain of each job against a report whose units, pauses, actors and verdict are partly wrong."""
+    events = materialized(_job_chain(spark, sf))
+    n = F.col("collected")
+    u = V.reconciled(spark, sf).select(F.col("job_id").alias("stream"), "unit_key", "kind", "conversation_id", F.col("day").cast("string").alias("day"), "status", "recon_status", "expected_count", "collected", "file_gaps").filter((n % 23 != 0) | (F.col("kind") == "directory"))
+    u = u.withColumn("recon_status", F.when(n % 19 == 0, "matched").otherwise(F.col("recon_status"))).withColumn("collected", n + F.when(n % 10 == 3, 1).otherwise(0))
+    ghost = spark.createDataFrame([("J1", "C99/2024-01-01", "conversation_day", "C99", "2024-01-01", "done", "gap", 9, 8, 0)], u.schema)
+    stated = Q.unit_sections(u.unionByName(ghost), _CAP) | Q.job_sections(events.filter("actor <> 'A2'"), u)
+    pauses = Q.job_sections(events, u)["pauses"]
+    stated["pauses"] = pauses.withColumn("resumed_ms", F.col("resumed_ms") + F.when(F.col("name").cast("long") % 2 == 0, 1).otherwise(0))
+    stated["verdict"] = u.select("stream", F.lit("clean").alias("name"), F.lit(True).alias("clean")).distinct()
+    return Q.recompute(events, stated, _CAP)
+
+
+@register("mrk11_sections", f"""{_SECTIONS_SQL} SELECT section, stream, name, f[1] AS field, f[2] AS value FROM cells WHERE side = 'a'""")
 def mrk11b(spark, sf):
-    return P.recomputed_sections(V.reconciled(spark, sf))
+    """Every section that the chains give, as cells."""
+    out = None
+    for section, rows in Q.report_sections(materialized(_job_chain(spark, sf)), _CAP).items():
+        fields = F.explode(F.create_map(*[x for c in Q.SECTIONS[section] for x in (F.lit(c), F.col(c).cast("string"))])).alias("field", "value")
+        cells = rows.select(F.lit(section).alias("section"), "stream", "name", fields)
+        out = cells if out is None else out.unionByName(cells)
+    return out
+
+
+@register("agg24_outcomes", f"WITH {V.UNITS}, {_JOB_EVENTS} SELECT stream, outcome, count(*) AS n, (SELECT count(*) FROM job_events e WHERE e.stream = j.stream) AS events FROM job_events j WHERE outcome IS NOT NULL GROUP BY ALL")
+def agg24b(spark, sf):
+    """AGG-24 with the outcomes that its events state."""
+    events = _job_chain(spark, sf)
+    stated = F.when(F.col("event_type").isin(*Q.SETTLED), F.get_json_object("payload", "$.recon_status"))
+    fold = C.chain_fold(events, Q.STARTED, (Q.FINISHED,), Q.STOPS, "items_collected", outcome=stated)
+    return fold.select("stream", F.explode("outcomes").alias("outcome", "n"), "events")
 
 
 @register("jon24_batch_leftovers", f"WITH {V.MSG} SELECT unit_key, CASE WHEN count(*) % 6 = 0 THEN 'items_missing' ELSE 'unknown_batch' END AS error FROM msg GROUP BY 1 HAVING count(*) % 6 = 0 OR count(*) % 6 = 5")
