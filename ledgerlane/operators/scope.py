@@ -40,11 +40,26 @@ def coverage(units: DataFrame, scopes: DataFrame, every: str = "*") -> DataFrame
     return keyed.join(scopes, on).select("unit_key", "scope_id").distinct()
 
 
-def enumerate_units(day_files: DataFrame, conversations: DataFrame, scope_from, scope_to, external_id: str = "*") -> DataFrame:
-    """JON-1: units of the day files of listed conversations whose hinted day may touch the scope."""
-    named = conversations if external_id == "*" else conversations.filter(F.col("conversation_id") == external_id)
-    near = F.col("hint_day").between(F.date_sub(F.to_date(F.lit(scope_from)), 1), F.date_add(F.to_date(F.lit(scope_to)), 1))
-    return day_files.filter(near).join(named, "folder").select("conversation_id", F.col("hint_day").alias("day")).distinct()
+#: Days of a bin in which days meet the ranges of scopes.
+BIN = 32
+
+
+def enumerate_units(day_files: DataFrame, conversations: DataFrame, scopes: DataFrame, every: str = "*") -> DataFrame:
+    """JON-1: scope_id, export_id, conversation_id and day of the units that each scope takes from its export: the days
+    of the export's day files (export_id, folder, hint_day) of listed conversations (export_id, folder, conversation_id)
+    from one day before its range to one day after it, since a file's day may be another zone's.
+
+    scopes (scope_id, export_id, external_id, date_from, date_to) may be many; ``*`` takes every conversation. Days and
+    ranges are cut into bins and meet by export, conversation and bin, so neither a long range nor ``*`` is tested
+    against all days, and the days of one key are spread over its bins."""
+    units = day_files.select("export_id", "folder", F.col("hint_day").alias("day")).join(conversations.select("export_id", "folder", "conversation_id").distinct(), ["export_id", "folder"])
+    units = units.select("export_id", "conversation_id", "day").distinct()
+    keyed = units.withColumn("_key", F.explode(F.array("conversation_id", F.lit(every)))).withColumn("_bin", F.floor(F.unix_date("day") / BIN))
+    first = F.date_sub(F.to_date("date_from"), 1)
+    last = F.date_add(F.to_date(F.timestamp_micros(F.unix_micros("date_to") - 1)), 1)
+    ranged = scopes.select("scope_id", "export_id", F.col("external_id").alias("_key"), first.alias("_first"), last.alias("_last")).filter("_first <= _last")
+    binned = ranged.withColumn("_bin", F.explode(F.sequence(F.floor(F.unix_date("_first") / BIN), F.floor(F.unix_date("_last") / BIN))))
+    return keyed.join(binned, ["export_id", "_key", "_bin"]).filter(F.col("day").between(F.col("_first"), F.col("_last"))).select("scope_id", "export_id", "conversation_id", "day")
 
 
 def effective_scope(units: DataFrame, scopes: DataFrame) -> DataFrame:

@@ -157,11 +157,18 @@ def flt4(spark, sf):
     return _files(spark, sf).select("idx", "kind", "junk", "folder")
 
 
-@register("jon1_enumerate_units", f"""WITH {_FILES} SELECT DISTINCT c.conversation_id, CAST(regexp_extract(d.name, '(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1) AS VARCHAR) AS day FROM days d JOIN convs c USING (folder) WHERE
-  CAST(regexp_extract(d.name, '(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1) AS DATE) BETWEEN DATE '1996-12-31' AND DATE '1998-01-02'""")
+@register("jon1_enumerate_units", f"""WITH {_FILES}, named AS (SELECT DISTINCT d.export_id, c.conversation_id, CAST(regexp_extract(d.name, '(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1) AS DATE) AS day FROM days d JOIN (SELECT *, 'E' || (idx % 7) AS export_id FROM convs) c USING (export_id, folder)),
+s AS (SELECT s_suppkey AS scope_id, 'E' || (s_suppkey % 7) AS export_id, CASE WHEN s_suppkey % 5 = 0 THEN '*' ELSE 'C' || (s_suppkey % 60) END AS external_id, TIMESTAMP '1992-01-01' + INTERVAL (CAST(s_suppkey * 37 % 2400 AS INTEGER)) DAY + INTERVAL (CASE WHEN s_suppkey % 2 = 0 THEN 6 ELSE 0 END) HOUR AS date_from, s_suppkey % 400 + 1 AS n FROM supplier),
+r AS (SELECT *, CAST(date_from AS DATE) - 1 AS first, CAST(date_from + INTERVAL (CAST(n AS INTEGER)) DAY - INTERVAL 1 MICROSECOND AS DATE) + 1 AS last FROM s)
+SELECT scope_id, export_id, conversation_id, CAST(day AS VARCHAR) AS day FROM named JOIN r USING (export_id) WHERE (external_id = '*' OR external_id = conversation_id) AND day BETWEEN first AND last""")
 def jon1(spark, sf):
-    u = S.enumerate_units(_files(spark, sf).filter("kind = 'day'"), _convs(spark, sf), "1997-01-01", "1998-01-01")
-    return u.withColumn("day", F.col("day").cast("string"))
+    """A scope for each supplier, of one conversation or all, over days or a year."""
+    p = V.read(spark, sf, "supplier")
+    k = F.col("s_suppkey")
+    start = F.unix_seconds(F.lit("1992-01-01").cast("timestamp")) + k * 37 % 2400 * 86400 + F.when(k % 2 == 0, 21600).otherwise(0)
+    scopes = p.select(k.alias("scope_id"), F.concat(F.lit("E"), (k % 7).cast("string")).alias("export_id"), F.when(k % 5 == 0, "*").otherwise(F.concat(F.lit("C"), (k % 60).cast("string"))).alias("external_id"), F.timestamp_seconds(start).alias("date_from"), F.timestamp_seconds(start + (k % 400 + 1) * 86400).alias("date_to"))
+    convs = _convs(spark, sf).withColumn("export_id", F.concat(F.lit("E"), (F.col("idx") % 7).cast("string")))
+    return S.enumerate_units(_files(spark, sf).filter("kind = 'day'"), convs, scopes).withColumn("day", F.col("day").cast("string"))
 
 
 @register("jon7_orphan_folders", f"WITH {_FILES} SELECT DISTINCT folder FROM days WHERE folder NOT IN (SELECT folder FROM convs)")

@@ -69,3 +69,16 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 def is_folder(spark: SparkSession, path: str) -> bool:
     where, files = _served(spark, path)
     return files.getFileStatus(where).isDirectory()
+
+
+def publish(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there wholly or not at all: written under another name, then renamed."""
+    where, files = _served(spark, path)
+    draft, _ = _served(spark, f"{where.getParent()}/_{where.getName()}")
+    stream = files.create(draft, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if not files.rename(draft, where):
+        raise OSError(f"can't rename {draft} to {where}")

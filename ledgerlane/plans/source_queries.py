@@ -362,20 +362,45 @@ def jon24(spark, sf):
     return C.verify_batches(n.filter("item_count % 6 <> 5"), n.filter("item_count % 6 <> 0"), "unit_key")
 
 
-def _key(m):
-    return m.withColumn("idempotency_key", K.idempotency_key(F.lit("T0"), F.lit("chat"), F.col("unit_key"), F.sha2("text", 256)))
+#: Messages of a page.
+PAGE = 6
 
 
-@register("stm1_exactly_once_ingest", f"WITH {V.MSG} SELECT DISTINCT sha256('T0' || chr(31) || 'chat' || chr(31) || unit_key || chr(31) || sha256(text)) AS idempotency_key FROM msg")
+def _unit_pages(spark, sf):
+    """Pages of each unit with their cursors; an item is a text in a conversation, so it comes in many pages. Some
+    units bring a page again, from a cursor that isn't theirs, or skip one."""
+    m = V.msg(spark, sf)
+    key = K.idempotency_key(F.lit("T0"), F.lit("chat"), F.col("conversation_id"), F.sha2("text", 256))
+    n = F.row_number().over(Window.partitionBy("unit_key").orderBy("event_id")) - 1
+    rows = m.select("unit_key", F.floor(n / PAGE).alias("pages_before"), F.struct(F.col("conversation_id").alias("subject"), F.sha2("text", 256).alias("content_hash"), key.alias("idempotency_key")).alias("i"))
+    p = rows.groupBy("unit_key", "pages_before").agg(F.array_sort(F.collect_list("i")).alias("items"))
+    cursor = lambda at: F.when(at > 0, F.concat(F.lit("c"), at.cast("string"))).otherwise("")
+    at = F.col("pages_before")
+    p = p.select("unit_key", "pages_before", cursor(at).alias("cursor_before"), cursor(at + 1).alias("next_cursor"), "items")
+    other = F.array(F.struct(F.lit("x").alias("subject"), F.lit("0" * 64).alias("content_hash"), F.sha2("unit_key", 256).alias("idempotency_key")))
+    stale = p.filter(at == 0).withColumn("items", other).withColumn("cursor_before", F.lit("c9"))
+    early = p.filter(at == 0).withColumn("items", other).withColumn("pages_before", F.lit(1000).cast("long"))
+    return p.unionByName(stale).unionByName(early)
+
+
+@register("stm1_exactly_once_ingest", f"""WITH {V.MSG}, k AS (SELECT unit_key, event_id, sha256('T0' || chr(31) || 'chat' || chr(31) || conversation_id || chr(31) || sha256(text)) AS key, (row_number() OVER (PARTITION BY unit_key ORDER BY event_id) - 1) // {PAGE} AS page FROM msg),
+f AS (SELECT unit_key, key, min(page) AS page FROM k GROUP BY ALL), p AS (SELECT DISTINCT unit_key, page FROM k)
+SELECT 'items' AS what, key AS name, 1 AS n, 1 AS commits FROM k GROUP BY key UNION ALL SELECT 'links', unit_key || '/' || key, 1, 1 FROM f
+UNION ALL SELECT 'events', p.unit_key || '/' || (p.page + 1), (SELECT count(*) FROM f WHERE f.unit_key = p.unit_key AND f.page = p.page), 1 FROM p UNION ALL SELECT 'units', unit_key || '/c' || (max(page) + 1), max(page) + 1, 1 FROM p GROUP BY unit_key""")
 def stm1(spark, sf):
-    """Ingests the events stream twice, from two checkpoints; the second run adds nothing."""
+    """Pages ingested in several triggers, and all of them once more from a new checkpoint into the same tables."""
     out = shared_folder(spark, "ingest")
-    for n in (1, 2):
-        e = R.table_stream(spark, f"{sf}/events.parquet")
-        conv = F.concat(F.lit("C"), (F.col("user_id") % 20).cast("string"))
-        rows = _key(e.select(K.unit_key(conv, F.to_date("ts")).alias("unit_key"), F.col("event_type").alias("text")))
-        J.ingest(rows, f"{out}/items{'' if n == 1 else '_again'}", f"{out}/checkpoint{n}")
-    return spark.read.parquet(f"{out}/items").select("idempotency_key")
+    path, n = _log(spark, _unit_pages(spark, sf), ["pages_before", "unit_key", "cursor_before"], "pages")
+    for run in (1, 2):
+        pages = custody_tail(spark, path, seq="place", max_events=-(-n // TRIGGERS)).drop("place")
+        J.ingest(pages, f"{out}/tables", f"{out}/checkpoint{run}", to_head=True)
+    t = {name: J.committed(spark, f"{out}/tables", name) for name in J.TABLES}
+    counted = lambda what, rows, name, n: rows.groupBy(F.lit(what).alias("what"), name.alias("name")).agg(F.max(n).cast("long").alias("n"), F.count(F.lit(1)).alias("commits"))
+    last = t["checkpoints"].groupBy("unit_key").agg(F.max("pages_done").alias("pages_done"), F.max_by("cursor", "pages_done").alias("cursor"))
+    return (
+        counted("items", t["items"], F.col("idempotency_key"), F.lit(1)).unionByName(counted("links", t["links"], F.concat_ws("/", "unit_key", "idempotency_key"), F.lit(1)))
+        .unionByName(counted("events", t["events"], F.concat_ws("/", "unit_key", F.col("pages_done").cast("string")), F.col("item_count"))).unionByName(counted("units", last, F.concat_ws("/", "unit_key", "cursor"), F.col("pages_done")))
+    )
 
 
 def _collected(spark, stream, name, mode="append", conf=None, to_head=False):
@@ -437,14 +462,29 @@ def stm9(spark, sf):
     return _collected(spark, J.deduplicated(rows, "key", "at", "60 days"), "dedupe").select("unit_key", "text")
 
 
-@register("stm7_job_feed", f"""WITH {V.UNITS}, c AS (SELECT 'J' || (CAST(substr(conversation_id, 2) AS INTEGER) % 4) AS stream, unit_key FROM msg WHERE text IN ('view', 'click')) SELECT c.stream, u.status,
-  count(*) AS n FROM c JOIN conv_units u USING (unit_key) GROUP BY ALL""")
+@register("stm7_job_feed", f"""WITH {V.UNITS}, {_JOB_EVENTS}, h AS (SELECT stream, max(seq) AS head FROM job_events GROUP BY stream)
+SELECT e.stream, u.status, count(*) AS n, max(e.seq) AS last_seq, any_value(h.head) AS head FROM job_events e JOIN units u ON u.job_id = e.stream AND u.unit_key = e.o2 JOIN h ON h.stream = e.stream WHERE e.event_type IN ('unit_reconciled', 'unit_failed') GROUP BY e.stream, u.status""")
 def stm7(spark, sf):
-    e = R.table_stream(spark, f"{sf}/events.parquet")
-    n = F.col("user_id") % 20
-    rows = e.select(F.concat(F.lit("J"), (n % 4).cast("string")).alias("stream"), K.unit_key(F.concat(F.lit("C"), n.cast("string")), F.to_date("ts")).alias("unit_key"), F.col("event_type"))
-    u = V.units(spark, sf).filter("kind <> 'directory'")
-    return _collected(spark, J.job_feed(rows, u, ("view", "click")), "feed", "complete")
+    """Counts of settled units, the last seq of each and the heads, from what several triggers moved."""
+    units = V.units(spark, sf).select(F.col("job_id").alias("stream"), "unit_key", "status")
+    return J.feed_snapshot(_fed(spark, sf, lambda e: J.job_feed(e, units, Q.SETTLED), "update"))
+
+
+def _fed(spark, sf, of, mode):
+    """What a stream over the job chains' log gives, with the trigger that gave it."""
+    events = _job_chain(spark, sf).withColumn("unit_key", F.get_json_object("payload", "$.unit_key")).select("stream", "seq", "event_type", "unit_key")
+    path, n = _log(spark, events, ["seq", "stream"], "job_log")
+    out = shared_folder(spark, "feed")
+    stream = of(custody_tail(spark, path, seq="place", max_events=-(-n // TRIGGERS)).drop("place"))
+    J.run_available(stream, lambda batch, k: batch.write.mode("overwrite").parquet(f"{out}/rows/batch={k}"), f"{out}/checkpoint", mode, to_head=True)
+    return spark.read.parquet(f"{out}/rows")
+
+
+@register("stm7_settled_since", f"WITH {V.UNITS}, {_JOB_EVENTS} SELECT e.stream, e.seq, e.o2 AS unit_key, u.status, u.recon_status, u.collected FROM job_events e JOIN units u ON u.job_id = e.stream AND u.unit_key = e.o2 WHERE e.event_type IN ('unit_reconciled', 'unit_failed') AND e.seq > 20")
+def stm7b(spark, sf):
+    """The feed's rows since a seq, as they come."""
+    units = V.reconciled(spark, sf).select(F.col("job_id").alias("stream"), "unit_key", "status", "recon_status", "collected")
+    return _fed(spark, sf, lambda e: J.settled_since(e, units, Q.SETTLED, 20), "append").drop("batch")
 
 
 @register("sink_append_new", f"WITH {V.MSG} SELECT unit_key AS idempotency_key FROM msg GROUP BY 1 HAVING min(event_id % 20) > 0")

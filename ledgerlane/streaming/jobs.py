@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -11,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.window import Window
 
+from ledgerlane.operators.merkle import EMPTY, batch_roots
 from ledgerlane.operators.sightings import moved_hints
-from ledgerlane.plans.shared import table_exists
+from ledgerlane.plans.shared import materialized, publish, table_exists
 
 
 #: State stores on disk, for state that grows with the data.
@@ -51,19 +54,83 @@ def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], ch
             query.stop()
 
 
-def ingest(stream: DataFrame, table: str, checkpoint: str, key: str = "idempotency_key") -> None:
-    """STM-1: appends new items exactly once. A batch overwrites its own folder, so a replayed batch gives
-    the same rows, and keys of earlier batches are left out."""
+#: Tables of an ingest, and the buckets of a key's first hex digit by which known items and links are looked up.
+TABLES = ("items", "links", "events", "checkpoints")
+ITEM = "array<struct<subject:string,content_hash:string,idempotency_key:string>>"
+
+
+def committed(spark: SparkSession, out: str, table: str) -> DataFrame | None:
+    """The rows of an ingest's table that commit records have published; null before the first."""
+    if not table_exists(spark, f"{out}/commits") or not table_exists(spark, f"{out}/{table}"):
+        return None
+    names = spark.read.text(f"{out}/commits", wholetext=True).select(F.col("value").alias("commit"))
+    rows = spark.read.schema(f"{_SCHEMAS[table]}, commit string" + (", bucket string" if table in ("items", "links") else "")).parquet(f"{out}/{table}")
+    return rows.join(names, "commit", "left_semi")
+
+
+_SCHEMAS = {
+    "items": "idempotency_key string, subject string, content_hash string", "links": "unit_key string, idempotency_key string, content_hash string",
+    "events": "unit_key string, pages_done long, item_count long, root string", "checkpoints": "unit_key string, pages_done long, cursor string",
+}
+
+
+def _unknown(rows: DataFrame, known: DataFrame | None, keys: list[str]) -> DataFrame:
+    """rows whose keys aren't known yet; of the known ones only the rows' buckets are read."""
+    if known is None:
+        return rows
+    buckets = [r[0] for r in rows.select("bucket").distinct().collect()]  # 16 at most
+    return rows.join(known.filter(F.col("bucket").isin(buckets)).select("bucket", *keys), ["bucket", *keys], "left_anti")
+
+
+def applicable(pages: DataFrame, state: DataFrame | None) -> DataFrame:
+    """The pages (unit_key, pages_before, cursor_before, next_cursor, items) that go on from where their unit is: the
+    first from its cursor and page count, each further one from the page before it. The rest was applied before, or
+    comes too early."""
+    pages = pages.dropDuplicates(["unit_key", "pages_before", "cursor_before"])
+    if state is None:
+        held = pages.withColumn("_done", F.lit(0).cast("long")).withColumn("_cursor", F.lit(""))
+    else:
+        last = state.join(pages.select("unit_key").distinct(), "unit_key", "left_semi").groupBy("unit_key").agg(F.max("pages_done").alias("_done"), F.max_by("cursor", "pages_done").alias("_cursor"))
+        held = pages.join(last, "unit_key", "left").withColumn("_done", F.coalesce("_done", F.lit(0))).withColumn("_cursor", F.coalesce("_cursor", F.lit("")))
+    held = held.filter(F.col("pages_before") >= F.col("_done"))
+    # pages of a unit in a trigger, which bounds them
+    order = Window.partitionBy("unit_key").orderBy("pages_before", "cursor_before")
+    from_here = (F.col("pages_before") == F.col("_done")) & (F.col("cursor_before") == F.col("_cursor"))
+    fits = F.when(F.col("pages_before") == F.col("_done"), from_here).otherwise((F.lag("pages_before").over(order) == F.col("pages_before") - 1) & (F.lag("next_cursor").over(order) == F.col("cursor_before")))
+    held = held.filter((F.col("pages_before") > F.col("_done")) | from_here).withColumn("_fits", F.coalesce(fits, F.lit(False)))
+    return held.withColumn("_all", F.bool_and("_fits").over(order)).filter("_all").select(*pages.columns)
+
+
+def ingest(stream: DataFrame, out: str, checkpoint: str, to_head: bool = False) -> None:
+    """STM-1: pages of units, each applied exactly once. A trigger's new items, new links, batch events (count and Merkle
+    root of a page's new links) and unit checkpoints are written under a name of their own, and a commit record then
+    publishes all four at once; what has no record is not there for any reader, this one included. A page is
+    applied only if its cursor and page count are its unit's, so a replay, from whatever checkpoint, adds nothing."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
-        if table_exists(spark, table):
-            stored = spark.read.parquet(table).filter(F.col("batch") < number).select(key)
-            fresh = fresh.join(stored, key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{table}/batch={number}")
-
-    run_available(stream, write, checkpoint)
+        pages = materialized(applicable(batch, committed(spark, out, "checkpoints")))
+        if pages.isEmpty():
+            return
+        each = pages.select("unit_key", "pages_before", F.explode("items").alias("i")).select("unit_key", "pages_before", "i.*").withColumn("bucket", F.substring("idempotency_key", 1, 1))
+        first = each.groupBy("bucket", "idempotency_key").agg(F.min_by(F.struct("subject", "content_hash"), F.struct("unit_key", "pages_before")).alias("i")).select("bucket", "idempotency_key", "i.*")
+        linked = each.groupBy("bucket", "unit_key", "idempotency_key").agg(F.min("pages_before").alias("pages_before"), F.first("content_hash").alias("content_hash"))
+        links = materialized(_unknown(linked, committed(spark, out, "links"), ["unit_key", "idempotency_key"]))
+        roots = batch_roots(links, ["unit_key", "pages_before"], "idempotency_key", "content_hash")
+        events = pages.select("unit_key", "pages_before").join(roots, ["unit_key", "pages_before"], "left")
+        commit = uuid.uuid4().hex
+        tables = {
+            "items": _unknown(first, committed(spark, out, "items"), ["idempotency_key"]), "links": links.drop("pages_before"),
+            "events": events.select("unit_key", (F.col("pages_before") + 1).alias("pages_done"), F.coalesce("item_count", F.lit(0)).alias("item_count"), F.coalesce("root", F.lit(EMPTY)).alias("root")),
+            "checkpoints": pages.groupBy("unit_key").agg((F.max("pages_before") + 1).alias("pages_done"), F.max_by("next_cursor", "pages_before").alias("cursor")),
+        }
+        for name, rows in tables.items():
+            parts = ["bucket"] if "bucket" in rows.columns else []
+            rows = rows.withColumn("commit", F.lit(commit))
+            (rows.repartition("bucket") if parts else rows).write.mode("append").partitionBy(*parts, "commit").parquet(f"{out}/{name}")
+        publish(spark, f"{out}/commits/{commit}", commit)
+
+    run_available(stream, write, checkpoint, to_head=to_head)
 
 
 def deduplicated(stream: DataFrame, key: str, at: str, late: str) -> DataFrame:
@@ -166,6 +233,22 @@ def observation_machine(stream: DataFrame, initial: str, events: dict[str, str])
 
 
 def job_feed(events: DataFrame, units: DataFrame, settled: tuple[str, ...]) -> DataFrame:
-    """STM-7: running counts of settled units by status: a stream of events joined with the units table."""
-    own = events.filter(F.col("event_type").isin(*settled)).select("stream", "unit_key")
-    return own.join(units.select("unit_key", "status"), "unit_key", "left").groupBy("stream", "status").agg(F.count(F.lit(1)).alias("n"))
+    """STM-7: for each stream (job) and status of its settled units, how many there are, the last seq that settled one, and
+    under a null status the last event of any kind; a running aggregate for update mode, so that a trigger gives the rows
+    that it moved. events: stream, seq, event_type, unit_key; units (stream, unit_key, status) are a table."""
+    own = events.withColumn("unit_key", F.when(F.col("event_type").isin(*settled), F.col("unit_key")))
+    known = own.join(units.select("stream", "unit_key", "status"), ["stream", "unit_key"], "left")
+    return known.groupBy("stream", "status").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last_seq"))
+
+
+def feed_snapshot(updates: DataFrame) -> DataFrame:
+    """The feed as it is after the updates of all triggers (``batch``): stream, status, n, last_seq, and the stream's head."""
+    last = updates.groupBy("stream", "status").agg(F.max_by(F.struct("n", "last_seq"), "batch").alias("u")).select("stream", "status", "u.*")
+    heads = last.groupBy("stream").agg(F.max("last_seq").alias("head"))
+    return last.filter("status is not null").join(heads, "stream")
+
+
+def settled_since(events: DataFrame, units: DataFrame, settled: tuple[str, ...], after: int) -> DataFrame:
+    """STM-7's rows: units that were settled since a seq, with what is known of them; events may be a stream."""
+    own = events.filter(F.col("event_type").isin(*settled) & (F.col("seq") > after))
+    return own.select("stream", "seq", "unit_key").join(units, ["stream", "unit_key"])

@@ -95,3 +95,38 @@ def test_an_empty_log_needs_a_schema(spark, tmp_path):
     stream = custody_tail(spark, str(tmp_path / "none"), schema="seq long, x string")
     jobs.run_available(stream, lambda b, n: seen.append(b.count()), str(tmp_path / "cp"), to_head=True)
     assert sum(seen) == 0
+
+
+PAGES = "unit_key string, pages_before long, cursor_before string, next_cursor string, items array<struct<subject:string,content_hash:string,idempotency_key:string>>"
+
+
+def page(unit, n, keys, cursor=None):
+    return (unit, n, (f"c{n}" if n else "") if cursor is None else cursor, f"c{n + 1}", [(f"s{k}", k * 64, k * 64) for k in keys])
+
+
+def test_only_pages_that_go_on_are_applied(spark):
+    pages = spark.createDataFrame([page("u", 2, "a"), page("u", 3, "b"), page("u", 5, "c"), page("u", 1, "d"), page("v", 0, "e"), page("v", 1, "f", "other"), page("v", 2, "g"), page("w", 0, "h", "c7"), page("x", 1, "i"), page("v", 0, "e")], PAGES)
+    state = spark.createDataFrame([("u", 1, "c1"), ("u", 2, "c2"), ("z", 9, "c9")], "unit_key string, pages_done long, cursor string")
+    assert sorted((r["unit_key"], r["pages_before"]) for r in jobs.applicable(pages, state).collect()) == [("u", 2), ("u", 3), ("v", 0)]
+    assert sorted((r["unit_key"], r["pages_before"]) for r in jobs.applicable(pages, None).collect()) == [("v", 0)]
+
+
+def test_ingest_publishes_all_or_nothing(spark, tmp_path, monkeypatch):
+    out, log = str(tmp_path / "out"), str(tmp_path / "log")
+    spark.createDataFrame([page("u", 0, "ab"), page("u", 1, "bc"), page("v", 0, "a")], PAGES).coalesce(1).write.parquet(log)
+    stream = lambda: spark.readStream.schema(PAGES).parquet(log)
+
+    def lost(*_):
+        raise OSError("lost before the commit record")
+
+    with monkeypatch.context() as m:
+        m.setattr(jobs, "publish", lost)
+        with pytest.raises(Exception, match="lost before"):
+            jobs.ingest(stream(), out, str(tmp_path / "cp"))
+    assert jobs.committed(spark, out, "items") is None  # written, but not there
+    for checkpoint in ("cp", "cp", "other"):
+        jobs.ingest(stream(), out, str(tmp_path / checkpoint))
+        tables = {t: jobs.committed(spark, out, t) for t in jobs.TABLES}
+        assert {t: rows.count() for t, rows in tables.items()} == {"items": 3, "links": 4, "events": 3, "checkpoints": 2}
+        assert sorted((r["unit_key"], r["pages_done"], r["item_count"]) for r in tables["events"].collect()) == [("u", 1, 2), ("u", 2, 1), ("v", 1, 1)]
+        assert len({r["commit"] for rows in tables.values() for r in rows.collect()}) == 1
