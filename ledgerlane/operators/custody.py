@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerlane.functions.canonical import canonical_json
 from ledgerlane.functions.keys import canonical_struct
-from ledgerlane.operators.merkle import TASK_ROWS
+from ledgerlane.operators.merkle import EMPTY, TASK_ROWS, leaf_hash, record_roots, roots
+from ledgerlane.operators.ordered import last_known, longest
 from ledgerlane.plans.shared import in_ranges
 
 GENESIS = "0" * 64
@@ -46,19 +48,30 @@ def build_chain(events: DataFrame, stream: str = "stream", seq: str = "seq", fie
     return events.repartition(stream).sortWithinPartitions(stream, seq).mapInPandas(run, schema)
 
 
-def verify_chain(events: DataFrame, stream: str = "stream", seq: str = "seq", fields: str = "fields") -> DataFrame:
-    """MRK-6: each event with its error (null if none): what comes after a stream's first gap is ``unchecked``.
-    Each event is joined with the one before it by stream and number, so all are checked at once and a long
-    stream is spread over tasks; a number that comes twice is a gap. Of a stream only its first gap is brought
-    together."""
-    before = events.groupBy(stream, (F.col(seq) + 1).alias(seq)).agg(F.min("event_hash").alias("_hash"))
-    twice = events.groupBy(stream, seq).agg((F.count(F.lit(1)) > 1).alias("_twice"))
-    e = events.join(twice, [stream, seq]).join(before, [stream, seq], "left")
-    e = e.withColumn("_hash", F.when(F.col(seq) == 1, F.lit(GENESIS)).otherwise(F.col("_hash")))
-    gaps = e.filter(F.col("_hash").isNull() | F.col("_twice")).groupBy(stream).agg(F.min(seq).alias("_gap"))
-    e = e.join(gaps, stream, "left")
+def verify_chain(events: DataFrame, stream: str = "stream", seq: str = "seq", fields: str = "fields", tenant: Column | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
+    """MRK-6: each event with its error (null if none): what comes after a stream's first gap is ``unchecked``; an event
+    whose canonical fields name another stream_id (or tenant_id, if a tenant is given) is ``foreign``.
+
+    Streams of up to task_rows are compared neighbour by neighbour in one order. Where one is longer, each event is joined
+    with the one before it by stream and number, so a long stream is spread over tasks. A number that comes
+    twice is a gap."""
+    w = Window.partitionBy(stream).orderBy(seq)
+    if longest(events, stream) <= task_rows:
+        e = events.withColumn("_hash", F.when(F.col(seq) == 1, F.lit(GENESIS)).otherwise(F.lag("event_hash").over(w))).withColumn("_odd", F.col(seq) != F.coalesce(F.lag(seq).over(w), F.lit(0)) + 1)
+        e = e.withColumn("_gap", F.min(F.when(F.col("_odd"), F.col(seq))).over(Window.partitionBy(stream)))
+    else:
+        before = events.groupBy(stream, (F.col(seq) + 1).alias(seq)).agg(F.min("event_hash").alias("_hash"))
+        twice = events.groupBy(stream, seq).agg((F.count(F.lit(1)) > 1).alias("_twice"))
+        e = events.join(twice, [stream, seq]).join(before, [stream, seq], "left")
+        e = e.withColumn("_hash", F.when(F.col(seq) == 1, F.lit(GENESIS)).otherwise(F.col("_hash")))
+        gaps = e.filter(F.col("_hash").isNull() | F.col("_twice")).groupBy(stream).agg(F.min(seq).alias("_gap"))
+        e = e.join(gaps, stream, "left")
+    named = F.get_json_object(fields, "$.stream_id")
+    foreign = named.isNotNull() & (named != F.col(stream).cast("string"))
+    if tenant is not None:
+        foreign = foreign | ~F.get_json_object(fields, "$.tenant_id").eqNullSafe(tenant)
     error = (
-        F.when(F.col(seq) == F.col("_gap"), "gap").when(F.col(seq) > F.col("_gap"), "unchecked").when(F.col("prev_hash") != F.col("_hash"), "broken_link")
+        F.when(F.col(seq) == F.col("_gap"), "gap").when(F.col(seq) > F.col("_gap"), "unchecked").when(foreign, "foreign").when(F.col("prev_hash") != F.col("_hash"), "broken_link")
         .when(F.col("event_hash") != event_hash(F.col("prev_hash"), F.col(fields)), "altered")
     )
     return e.withColumn("error", error).select(*events.columns, "error")
@@ -74,13 +87,60 @@ def verify_batches(events: DataFrame, batches: DataFrame, key: str) -> DataFrame
     return j.select(key, error.alias("error")).filter("error is not null")
 
 
-def verify_anchors(anchors: DataFrame, events: DataFrame, stream: str = "stream", seq: str = "seq") -> DataFrame:
-    """MRK-8: anchors whose event was deleted (past the head or missing) or has another hash."""
+def verify_item_links(items: DataFrame, events: DataFrame, batch: str, stream: str = "stream", seq: str = "seq", kind: str = "event_type") -> DataFrame:
+    """JON-24: items (place in their file, item_id, stream, seq of their event) that belong to no batch event, that come twice, or
+    that come before an item of an earlier event of their stream: place, item_id, error."""
+    own = events.filter(F.col(kind) == batch).select(stream, seq, F.lit(True).alias("_there")).dropDuplicates([stream, seq])
+    j = last_known(items.withColumn("_v", F.col(seq)), stream, ["place"], "_v", "_before").join(own, [stream, seq], "left")
+    again = items.groupBy("item_id").agg(F.min("place").alias("_first"))
+    j = j.join(again, "item_id")
+    checks = F.array(F.when(F.col("_there").isNull(), "not_linked"), F.when(F.col("_before") > F.col(seq), "out_of_order"), F.when(F.col("place") > F.col("_first"), "linked_twice"))
+    return j.select("place", "item_id", F.explode(F.filter(checks, lambda c: c.isNotNull())).alias("error"))
+
+
+def _stated(rows: DataFrame, keys: list[str], **checks: Column) -> DataFrame:
+    return rows.select(*keys, F.explode(F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in checks.items()]), lambda c: c.isNotNull())).alias("error"))
+
+
+def verify_render_batches(batches: DataFrame, files: DataFrame, completed: DataFrame, fields: list[str], render: str = "render_id", seq: str = "seq") -> DataFrame:
+    """MRK-7 for renders: render_id, seq and error of what batch events state (batch, file_count, first_ord, root) otherwise
+    than their files (render_id, seq, ord and fields) give it: a batch's number, its count, where it starts, its first
+    file, its root; and of what render_completed states (file_count, batch_count, batches_root) about all."""
+    at = Window.partitionBy(render).orderBy(seq)
+    held = files.groupBy(render, seq).agg(F.count(F.lit(1)).alias("_n"), F.min("ord").alias("_first"))
+    roots_ = record_roots(files, [render, seq], "ord", fields).select(render, seq, F.col("root").alias("_root"))
+    j = batches.join(held, [render, seq], "left").join(roots_, [render, seq], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    j = j.withColumn("_i", F.row_number().over(at) - 1).withColumn("_start", F.sum("_n").over(at) - F.col("_n"))
+    out = _stated(
+        j, [render, seq], wrong_batch=~F.col("batch").eqNullSafe(F.col("_i")), wrong_count=~F.col("file_count").eqNullSafe(F.col("_n")), wrong_first_ord=~F.col("first_ord").eqNullSafe(F.col("_start")),
+        wrong_first_file=(F.col("_n") > 0) & (F.col("_first") != F.col("_start")), wrong_root=~F.col("root").eqNullSafe(F.coalesce("_root", F.lit(EMPTY))),
+    )
+    totals = j.groupBy(render).agg(F.sum("_n").alias("_files"), F.count(F.lit(1)).alias("_batches"))
+    whole = roots(batches.withColumn("_leaf", leaf_hash(F.unhex("root"))), [render], [seq], "_leaf").select(render, F.col("root").alias("_all"))
+    c = completed.join(totals, render, "left").join(whole, render, "left")
+    return out.unionByName(_stated(
+        c, [render, seq], wrong_files=~F.col("file_count").eqNullSafe(F.coalesce("_files", F.lit(0))), wrong_batches=~F.col("batch_count").eqNullSafe(F.coalesce("_batches", F.lit(0))), wrong_batches_root=~F.col("batches_root").eqNullSafe(F.coalesce("_all", F.lit(EMPTY))),
+    ))
+
+
+def verify_anchors(anchors: DataFrame, events: DataFrame, stream: str = "stream", seq: str = "seq", heads: DataFrame | None = None, finalised: DataFrame | None = None) -> DataFrame:
+    """MRK-8: anchors whose event was deleted (past the head or missing) or has another hash; with a column ``hidden``,
+    those that someone tried to hide; heads (stream, seq, event_hash) that state another head than the events have; and
+    finalised streams (stream) whose head no anchor seals."""
     e = events.select(stream, seq, "event_hash")
-    heads = e.groupBy(stream).agg(F.max(seq).alias("head"))
-    j = anchors.withColumnRenamed("event_hash", "anchored").join(e, [stream, seq], "left").join(heads, stream, "left")
-    error = F.when(F.col("head").isNull() | (F.col(seq) > F.col("head")), "events_deleted").when(F.col("event_hash").isNull(), "event_missing").when(F.col("event_hash") != F.col("anchored"), "anchor_differs")
-    return j.select(stream, seq, error.alias("error")).filter("error is not null")
+    last = e.groupBy(stream).agg(F.max(seq).alias("head"), F.max_by("event_hash", seq).alias("head_hash"))
+    own = anchors.select(stream, seq, F.col("event_hash").alias("anchored"), (F.col("hidden") if "hidden" in anchors.columns else F.lit(False)).alias("hidden"))
+    j = own.join(e, [stream, seq], "left").join(last, stream, "left")
+    error = F.when(F.col("hidden"), "hidden").when(F.col("head").isNull() | (F.col(seq) > F.col("head")), "events_deleted").when(F.col("event_hash").isNull(), "event_missing").when(F.col("event_hash") != F.col("anchored"), "anchor_differs")
+    out = j.select(stream, seq, error.alias("error")).filter("error is not null")
+    if heads is not None:
+        h = heads.select(stream, F.struct(F.col(seq).alias("s"), F.col("event_hash").alias("h")).alias("_stated")).join(last.select(stream, F.struct(F.col("head").alias("s"), F.col("head_hash").alias("h")).alias("_found")), stream, "left")
+        out = out.unionByName(h.filter(~F.col("_stated").eqNullSafe(F.col("_found"))).select(stream, F.col("_stated.s").alias(seq), F.lit("head_differs").alias("error")))
+    if finalised is not None:
+        sealed = own.filter(~F.col("hidden")).select(stream, F.col(seq).alias("head"), F.col("anchored").alias("head_hash")).distinct()
+        bare = last.join(finalised.select(stream), stream, "left_semi").join(sealed, [stream, "head", "head_hash"], "left_anti")
+        out = out.unionByName(bare.select(stream, F.col("head").alias(seq), F.lit("not_sealed").alias("error")))
+    return out
 
 
 def anchors_due(events: DataFrame, lifecycle: tuple[str, ...], every: int = 8, stream: str = "stream", seq: str = "seq", kind: str = "event_type", task_rows: int = TASK_ROWS) -> DataFrame:
@@ -151,3 +211,8 @@ def integrity_mismatches(items: DataFrame, pages: DataFrame, page_id: str, json:
     j = items.join(pages.select(page_id, json), page_id, "left")
     now = F.sha2(F.expr(f"get_json_object(`{json}`, `{path}`)"), 256)
     return j.withColumn("_now", now).filter(~F.col("_now").eqNullSafe(F.col(raw_hash))).drop("_now", json)
+
+
+def derivation_mismatches(derivations: DataFrame, derived: str = "derived", derived_hash: str = "derived_hash") -> DataFrame:
+    """JON-27: derivations whose canonical JSON hashes to something else than was recorded with them."""
+    return derivations.filter(~F.sha2(canonical_json(F.col(derived)), 256).eqNullSafe(F.col(derived_hash)))

@@ -277,11 +277,15 @@ def mrk5(spark, sf):
 
 
 @register("mrk6_verify_chain", f"""WITH {V.CHAIN}, g AS (SELECT stream, min(seq) AS lost FROM chain WHERE seq % 701 = 0 GROUP BY stream) SELECT c.stream, c.seq, CASE WHEN c.seq = g.lost + 1 THEN 'gap' WHEN c.seq >
-  g.lost THEN 'unchecked' WHEN c.seq % 97 = 0 THEN 'altered' END AS error FROM chain c LEFT JOIN g USING (stream) WHERE c.seq % 701 <> 0""")
+  g.lost THEN 'unchecked' WHEN c.seq % 89 = 0 THEN 'foreign' WHEN c.seq % 97 = 0 THEN 'altered' WHEN (c.seq - 1) % 83 = 0 AND c.seq > 1 THEN 'broken_link' END AS error FROM chain c LEFT JOIN g USING (stream) WHERE c.seq % 701 <> 0""")
 def mrk6(spark, sf):
-    """A chain with altered and dropped events."""
-    b = _built(spark, sf).filter("seq % 701 <> 0")
-    b = b.withColumn("fields", F.when(F.col("seq") % 97 == 0, F.concat("fields", F.lit(" "))).otherwise(F.col("fields")))
+    """A chain with altered and dropped events, events that name another stream, and events rewritten with their own hash."""
+    c, s = V.chain(spark, sf), F.col("seq")
+    fields = C.event_json(F.when(s % 89 == 0, "elsewhere").otherwise(F.col("stream")), s, F.col("event_type"), F.col("actor"), F.col("payload"), K.rfc3339(F.col("at")))
+    b = C.build_chain(c.select("stream", "seq", "event_type", fields.alias("fields"))).filter("seq % 701 <> 0")
+    b = b.withColumn("fields", F.when((s % 97 == 0) & (s % 89 != 0), F.concat("fields", F.lit(" "))).otherwise(F.col("fields")))
+    other = F.concat("fields", F.lit("\n"))  # its own hash fits, that of the next event doesn't
+    b = b.withColumn("_f", F.when((s % 83 == 0) & (s % 97 != 0), other).otherwise(F.col("fields"))).withColumn("event_hash", F.when((s % 83 == 0) & (s % 97 != 0), C.event_hash(F.col("prev_hash"), other)).otherwise(F.col("event_hash"))).drop("fields").withColumnRenamed("_f", "fields")
     return C.verify_chain(materialized(b)).select("stream", "seq", "error")  # stored, as a log is
 
 
@@ -306,6 +310,59 @@ def mrk8(spark, sf):
     return C.verify_anchors(anchors, b.filter((s % 12 != 0) | (s % 16 == 0)))
 
 
+@register("mrk8_anchor_states", f"""WITH {V.CHAIN}, h AS (SELECT stream, max(seq) AS head FROM chain GROUP BY stream)
+SELECT stream, seq, CASE WHEN seq % 28 = 0 THEN 'hidden' ELSE 'anchor_differs' END AS error FROM chain WHERE seq % 4 = 0 AND (seq % 28 = 0 OR seq % 20 = 0)
+UNION ALL SELECT stream, head + CASE WHEN stream = 'S1' THEN 1 ELSE 0 END, 'head_differs' FROM h WHERE stream IN ('S1', 'S2') UNION ALL SELECT stream, head, 'not_sealed' FROM h WHERE CAST(substr(stream, 2) AS INTEGER) % 2 = 0 AND NOT (head % 4 = 0 AND head % 28 <> 0 AND head % 20 <> 0)""")
+def mrk8b(spark, sf):
+    """Hidden anchors, head records that don't fit, and finalised streams without a seal at their head."""
+    b, s = materialized(mrk4(spark, sf)), F.col("seq")
+    anchors = b.filter(s % 4 == 0).select("stream", "seq", F.when(s % 20 == 0, F.lit("0")).otherwise(F.col("event_hash")).alias("event_hash"), (s % 28 == 0).alias("hidden"))
+    last = b.groupBy("stream").agg(F.max("seq").alias("seq"), F.max_by("event_hash", "seq").alias("event_hash"))
+    heads = last.select("stream", (s + F.when(F.col("stream") == "S1", 1).otherwise(0)).alias("seq"), F.when(F.col("stream") == "S2", F.lit("0")).otherwise(F.col("event_hash")).alias("event_hash"))
+    return C.verify_anchors(anchors, b, heads=heads, finalised=last.filter(F.substring("stream", 2, 9).cast("int") % 2 == 0))
+
+
+#: Files of a render's batch.
+BATCH_FILES = 5
+
+
+@register("mrk7_render_batches", f"""WITH f AS (SELECT l_suppkey AS r, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS ord, l_orderkey FROM lineitem), g AS (SELECT r, ord // {BATCH_FILES} AS b, count(*) AS n, min(ord) AS o FROM f GROUP BY ALL), t AS (SELECT r, count(*) AS b, sum(n) AS n FROM g GROUP BY r),
+s AS (SELECT *, (r + b) % 11 = 0 AS x1, (r + b) % 13 = 0 AS x2, (r + b) % 17 = 0 AS x3, (r + b) % 19 = 0 AS x4 FROM g)
+SELECT r AS render_id, b + 1 AS seq, 'wrong_batch' AS error FROM s WHERE x1 UNION ALL SELECT r, b + 1, 'wrong_count' FROM s WHERE x2 UNION ALL SELECT r, b + 1, 'wrong_first_ord' FROM s WHERE x3 UNION ALL SELECT r, b + 1, 'wrong_root' FROM s WHERE x4
+UNION ALL SELECT r, 1000000, 'wrong_files' FROM t WHERE r % 3 = 0 UNION ALL SELECT r, 1000000, 'wrong_batches' FROM t WHERE r % 5 = 0 UNION ALL SELECT r, 1000000, 'wrong_batches_root' FROM t WHERE r % 7 = 0 OR EXISTS (SELECT 1 FROM s WHERE s.r = t.r AND x4)""")
+def mrk7b(spark, sf):
+    """Renders of the line items of a supplier: batch events with wrong numbers, counts, starts and roots, and wrong ends."""
+    from pyspark.sql.window import Window
+
+    place = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")) - 1
+    f = V.read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("render_id"), place.alias("ord"), F.col("l_orderkey").alias("order"))
+    f = materialized(f.withColumn("seq", (F.floor(F.col("ord") / BATCH_FILES) + 1).cast("long")))
+    real = materialized(M.record_roots(f, ["render_id", "seq"], "ord", ["ord", "order"]).join(f.groupBy("render_id", "seq").agg(F.min("ord").alias("first_ord")), ["render_id", "seq"]))
+    n = F.col("render_id") + F.col("seq") - 1
+    stated = real.select(
+        "render_id", "seq", (F.col("seq") - 1 + F.when(n % 11 == 0, 1).otherwise(0)).alias("batch"), (F.col("leaves") + F.when(n % 13 == 0, 1).otherwise(0)).alias("file_count"), (F.col("first_ord") + F.when(n % 17 == 0, 1).otherwise(0)).alias("first_ord"),
+        F.when(n % 19 == 0, F.lit("00" * 32)).otherwise(F.col("root")).alias("root"),
+    )
+    whole = M.roots(real.withColumn("leaf", M.leaf_hash(F.unhex("root"))), ["render_id"], ["seq"], "leaf").select("render_id", "root")
+    ends = real.groupBy("render_id").agg(F.sum("leaves").alias("file_count"), F.count(F.lit(1)).alias("batch_count")).join(whole, "render_id")
+    r = F.col("render_id")
+    ends = ends.select("render_id", F.lit(1_000_000).cast("long").alias("seq"), (F.col("file_count") + F.when(r % 3 == 0, 1).otherwise(0)).alias("file_count"), (F.col("batch_count") + F.when(r % 5 == 0, 1).otherwise(0)).alias("batch_count"), F.when(r % 7 == 0, F.lit("0")).otherwise(F.col("root")).alias("batches_root"))
+    return C.verify_render_batches(stated, f, ends, ["ord", "order"])
+
+
+@register("jon24_item_links", f"""WITH {V.CHAIN}, i AS (SELECT event_id AS place, event_id AS item_id, stream, CASE WHEN event_id % 37 = 0 THEN 1 ELSE seq END AS seq FROM chain UNION ALL SELECT event_id + 1000000, event_id, stream, seq FROM chain WHERE event_id % 41 = 0),
+o AS (SELECT *, last_value(seq) OVER (PARTITION BY stream ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM i)
+SELECT place, CAST(item_id AS VARCHAR) AS item_id, 'not_linked' AS error FROM o WHERE NOT EXISTS (SELECT 1 FROM chain c WHERE c.stream = o.stream AND c.seq = o.seq AND c.event_type = 'items_collected') UNION ALL SELECT place, CAST(item_id AS VARCHAR), 'out_of_order' FROM o WHERE was > seq
+UNION ALL SELECT place, CAST(item_id AS VARCHAR), 'linked_twice' FROM o WHERE place >= 1000000""")
+def jon24b(spark, sf):
+    """Items in the order of their file against the batch events they name."""
+    c = V.chain(spark, sf)
+    e = F.col("event_id")
+    items = c.select(e.alias("place"), e.cast("string").alias("item_id"), "stream", F.when(e % 37 == 0, 1).otherwise(F.col("seq")).cast("long").alias("seq"))
+    again = c.filter(e % 41 == 0).select((e + 1_000_000).alias("place"), e.cast("string").alias("item_id"), "stream", "seq")
+    return C.verify_item_links(items.unionByName(again), c, "items_collected")
+
+
 @register("mrk9_anchors_due", f"""WITH {V.CHAIN}, p AS (SELECT *, coalesce(sum(CASE WHEN event_type = 'job_paused' THEN 1 ELSE 0 END) OVER (PARTITION BY stream ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1
   PRECEDING), 0) AS part FROM chain), n AS (SELECT *, row_number() OVER (PARTITION BY stream, part ORDER BY seq) AS k FROM p)
 SELECT stream, seq, event_type FROM n WHERE event_type = 'job_paused' OR k % 8 = 0""")
@@ -322,19 +379,6 @@ def agg24(spark, sf):
     return C.chain_fold(V.chain(spark, sf), "items_collected", ("job_resumed", "job_paused"), ("job_paused",), "unit_reconciled")
 
 
-@register("agg25_chain_verdict", f"""WITH {V.CHAIN}, w AS (SELECT * FROM chain WHERE seq <= 2 + CAST(substr(stream, 2) AS INTEGER)), f AS (SELECT stream, count(*) FILTER (WHERE event_type = 'items_collected') AS st,
-  count(*) FILTER (WHERE event_type IN ('job_resumed', 'job_paused')) AS fi, arg_min(event_type, seq) FILTER (WHERE event_type IN ('job_resumed', 'job_paused')) AS ft, count(*)
-  FILTER (WHERE event_type = 'job_paused') AS sp, count(*) FILTER (WHERE event_type = 'file_unavailable') AS fu FROM w GROUP BY stream)
-SELECT stream, array_to_string(list_filter([CASE WHEN st <> 1 THEN 'not exactly one start' END, CASE WHEN fi <> 1 THEN 'not exactly one final event' WHEN ft <> 'job_resumed' THEN
-  'final event ' || ft END, CASE WHEN sp > 0 THEN sp || ' stop(s) recorded' END, CASE WHEN fu > 0 THEN fu || ' unit(s) file_unavailable' END], lambda x: x IS NOT NULL), '; ') AS
-  reasons FROM f""")
-def agg25(spark, sf):
-    w = V.chain(spark, sf).filter(F.col("seq") <= 2 + F.substring("stream", 2, 9).cast("int"))
-    fold = C.chain_fold(w, "items_collected", ("job_resumed", "job_paused"), ("job_paused",), "unit_reconciled")
-    bad = w.filter("event_type = 'file_unavailable'").groupBy("stream", F.col("event_type").alias("what")).agg(F.count(F.lit(1)).cast("string").alias("n"))
-    return C.chain_verdict(fold, bad, "job_resumed").select("stream", F.array_join("reasons", "; ").alias("reasons"))
-
-
 @register("win13_first_fact", f"WITH {V.MSG} SELECT unit_key, min(event_id) AS event_id, count(*) - 1 AS later FROM msg GROUP BY 1")
 def win13(spark, sf):
     return C.first_fact(V.msg(spark, sf), "unit_key", "event_id").select("unit_key", "event_id", "later")
@@ -347,3 +391,13 @@ def jon27(spark, sf):
     pages = m.select(F.col("event_id").alias("page_id"), F.concat(F.lit('{"messages":[{"text":"'), F.when(F.col("event_id") % 17 == 0, F.lit("altered")).otherwise(F.col("text")), F.lit('"}]}')).alias("json"))
     items = m.select("event_id", F.col("event_id").alias("page_id"), K.json_path("messages", F.lit(0)).alias("path"), F.sha2(F.concat(F.lit('{"text":"'), "text", F.lit('"}')), 256).alias("raw_hash"))
     return C.integrity_mismatches(items, pages, "page_id", "json", "path", "raw_hash").select("event_id")
+
+
+@register("jon27_derivations", f"WITH {V.MSG} SELECT event_id FROM msg WHERE event_id % 19 = 0")
+def jon27b(spark, sf):
+    """Derivations that no longer hash to what was recorded; the order of their keys doesn't matter."""
+    m, e = V.msg(spark, sf), F.col("event_id")
+    there = F.concat(F.lit('{"b": "'), "text", F.lit('", "a": '), e.cast("string"), F.lit("}"))
+    derived = F.when(e % 19 == 0, F.concat(F.lit('{"a":-1,"b":"'), "text", F.lit('"}'))).otherwise(there)
+    recorded = F.sha2(F.concat(F.lit('{"a":'), e.cast("string"), F.lit(',"b":"'), "text", F.lit('"}')), 256)
+    return C.derivation_mismatches(m.select("event_id", derived.alias("derived"), recorded.alias("derived_hash"))).select("event_id")

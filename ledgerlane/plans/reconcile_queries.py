@@ -128,12 +128,6 @@ def agg20(spark, sf):
     return R.gap_reasons(m, "unit_key", "gap_reasons").withColumn("gap_reasons", F.array_join("gap_reasons", ","))
 
 
-@register("srt1_unit_file_order", f"WITH {V.UNITS} SELECT row_number() OVER (ORDER BY coalesce(conversation_id, ''), coalesce(CAST(day AS VARCHAR), ''), unit_key, job_id) AS place, unit_key, job_id FROM units ORDER BY place LIMIT 500")
-def srt1(spark, sf):
-    """SRT-1, the first 500 places that this query's SQL asks for; srt1_unit_order has all."""
-    return srt1_all(spark, sf).filter("place <= 500")
-
-
 @register("srt1_unit_order", f"WITH {V.UNITS} SELECT row_number() OVER (ORDER BY coalesce(conversation_id, ''), coalesce(CAST(day AS VARCHAR), ''), unit_key, job_id) AS place, unit_key, job_id FROM units")
 def srt1_all(spark, sf):
     """SRT-1, all units in the order of the units file."""

@@ -356,6 +356,20 @@ def agg24b(spark, sf):
     return fold.select("stream", F.explode("outcomes").alias("outcome", "n"), "events")
 
 
+@register("agg25_chain_verdict", f"""WITH {V.UNITS}, {_JOB_EVENTS}, bad AS (SELECT job_id AS stream, CASE WHEN status = 'failed' THEN 'failed' ELSE recon_status END AS what, count(*) AS n FROM units WHERE kind = 'conversation_day' AND (status = 'failed' OR recon_status IN ('gap', 'surplus', 'access_lost', 'unverifiable')) GROUP BY ALL),
+f AS (SELECT stream, count(*) FILTER (WHERE event_type = 'job_started') + CASE WHEN stream = 'J1' THEN 1 ELSE 0 END AS st, count(*) FILTER (WHERE event_type = 'job_finished') - CASE WHEN stream = 'J2' THEN 1 ELSE 0 END AS fi, CASE WHEN stream = 'J3' THEN 2 ELSE 0 END AS sp FROM job_events GROUP BY stream)
+SELECT stream, array_to_string(list_concat(list_filter([CASE WHEN st <> 1 THEN 'not exactly one start' END, CASE WHEN fi <> 1 THEN 'not exactly one final event' END, CASE WHEN sp > 0 THEN sp || ' stop(s) recorded' END], lambda x: x IS NOT NULL), coalesce((SELECT list(n || ' unit(s) ' || what ORDER BY n || ' unit(s) ' || what) FROM bad WHERE bad.stream = f.stream), [])), '; ') AS reasons FROM f""")
+def agg25(spark, sf):
+    """Whole job chains; one was started twice, one has no end, one was stopped."""
+    events = _job_chain(spark, sf).filter("not (stream = 'J2' and event_type = 'job_finished')")
+    more = lambda name, kind, n: events.filter(f"stream = '{name}' and event_type = 'job_started'").withColumn("event_type", F.lit(kind)).withColumn("seq", F.col("seq") + 1_000_000 + n)
+    events = materialized(events.unionByName(more("J1", "job_started", 0)).unionByName(more("J3", "cancel_requested", 0)).unionByName(more("J3", "job_failed", 1)))
+    units = Q.unit_facts(events).filter("kind = 'conversation_day'").withColumn("what", F.when(F.col("status") == "failed", "failed").otherwise(F.col("recon_status"))).filter(F.col("what").isin(*Q.UNCLEAN))
+    fold = C.chain_fold(events, Q.STARTED, (Q.FINISHED,), Q.STOPS, "items_collected")
+    verdict = C.chain_verdict(fold, units.groupBy("stream", "what").agg(F.count(F.lit(1)).cast("string").alias("n")), Q.FINISHED)
+    return verdict.select("stream", F.array_join("reasons", "; ").alias("reasons"))
+
+
 @register("jon24_batch_leftovers", f"WITH {V.MSG} SELECT unit_key, CASE WHEN count(*) % 6 = 0 THEN 'items_missing' ELSE 'unknown_batch' END AS error FROM msg GROUP BY 1 HAVING count(*) % 6 = 0 OR count(*) % 6 = 5")
 def jon24(spark, sf):
     n = V.msg(spark, sf).groupBy("unit_key").agg(F.count(F.lit(1)).alias("item_count")).withColumn("root", F.lit("r"))
