@@ -76,8 +76,27 @@ def json_path(*steps: Column | str) -> Column:
     return F.concat(*out)
 
 
-def resolve(document: Column, path: str) -> Column:
-    return F.get_json_object(document, path)
+#: A step of a path: ``.name``, ``["name"]`` with JSON escapes, or ``[index]``.
+_STEP = r'\.([A-Za-z_][A-Za-z0-9_]*)|\["((?:[^"\\]|\\.)*)"\]|\[(0|[1-9][0-9]*)\]'
+
+
+def path_steps(path: Column) -> Column:
+    """SCL-6: a path's steps as an array of (name, index), one of which is null; null if it is no path."""
+    whole = F.regexp_like(path, F.lit(rf"^\$(?:{_STEP})*$"))
+    part = lambda group: F.regexp_extract_all(path, F.lit(_STEP), F.lit(group))
+    plain, quoted, index = part(1), F.transform(part(2), lambda q: F.from_json(F.concat(F.lit('{"v":"'), q, F.lit('"}')), "v STRING")["v"]), part(3)
+    steps = F.transform(part(0), lambda step, i: F.when(step.startswith("."), F.struct(F.get(plain, i).alias("name"), F.lit(None).cast("int").alias("index"))).when(step.startswith('["'), F.struct(F.get(quoted, i).alias("name"), F.lit(None).cast("int").alias("index"))).otherwise(F.struct(F.lit(None).cast("string").alias("name"), F.get(index, i).cast("int").alias("index"))))
+    return F.when(whole, steps)
+
+
+def resolve(document: Column, path: Column) -> Column:
+    """SCL-6: the JSON text at a path; null if the path or what it points to isn't there. Each step is taken from the
+    text that the step before it gave, so names may hold any character."""
+
+    def down(text: Column, step: Column) -> Column:
+        return F.when(step["name"].isNotNull(), F.get(F.map_values(F.map_filter(F.from_json(text, "map<string,string>"), lambda k, v: k == step["name"])), F.lit(0))).otherwise(F.get(F.from_json(text, "array<string>"), step["index"]))
+
+    return F.when(path_steps(path).isNotNull(), F.aggregate(path_steps(path), document, down))
 
 
 def unit_key(conversation: Column, day: Column) -> Column:

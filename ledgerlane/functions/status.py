@@ -10,6 +10,7 @@ SEVERITY = ("failed", "access_lost", "gap", "surplus", "unverifiable", "matched_
 #: Statuses of a unit and of its reconciliation, in listing order.
 UNIT_STATUS = ("pending", "running", "done", "failed", "retry_later", "paused")
 RECON_STATUS = ("pending", "matched", "gap", "surplus", "unverifiable", "failed", "access_lost", "not_applicable", "matched_against_archive")
+#: What a report lists as exceptions, and the kinds of observations.
 EXCEPTIONS = ("failed", "access_lost", "gap", "surplus", "unverifiable")
 OBSERVATIONS = ("file_unavailable", "file_became_available", "access_lost", "access_restored", "no_longer_observed", "observed_again")
 

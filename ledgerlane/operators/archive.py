@@ -104,19 +104,37 @@ def empty_conversations(conversations: DataFrame, day_files: DataFrame) -> DataF
     return conversations.join(day_files.select("folder").distinct(), "folder", "left_anti")
 
 
+def _sample(rows: DataFrame, column: str, name: str, sample: int) -> DataFrame:
+    """One row: how many rows there are, and the first ``sample`` values in order."""
+    total = rows.agg(F.count(F.lit(1)).alias(name))
+    first = rows.orderBy(column).limit(sample).agg(F.array_sort(F.collect_list(column)).alias(f"{name}_sample"))
+    return total.crossJoin(F.broadcast(first))  # one row each
+
+
 def findings(entries: DataFrame, conversations: DataFrame, messages: DataFrame, sample: int = 100) -> DataFrame:
-    """AGG-16: one JSON document: entries by kind, junk, messages, anomalies, orphans and samples.
+    """AGG-16: one JSON document about an export: entries by kind; entries and messages that need a look, each as a count
+    and a sample; name encodings with a sample each; conversations, their teams, and folders listed twice.
 
-    Each part is a one-row aggregate, so the join of all is one row; samples are bounded sorted limits."""
+    entries: name, kind, junk, folder, and if known encoding and unparseable; messages: threaded, anomaly (its name, else
+    null), and if known no_ts. Each part is a one-row aggregate, so the join of all is one row; samples are
+    bounded sorted limits."""
     kinds = entries.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("entries"))
-    junk = entries.agg(F.count_if("junk").alias("junk"))
     days = entries.filter("kind = 'day'")
-    orphan = orphan_folders(days, conversations)
-    counts = messages.agg(F.count(F.lit(1)).alias("messages"), F.count_if("threaded").alias("threaded"), F.count_if("anomaly").alias("anomalies"))
-    total = orphan.agg(F.count(F.lit(1)).alias("orphans"))
-    names = orphan.orderBy("folder").limit(sample).agg(F.array_sort(F.collect_list("folder")).alias("orphan_sample"))
-    unknown = entries.filter("kind = 'unknown'").orderBy("name").limit(sample).agg(F.array_sort(F.collect_list("name")).alias("unknown_sample"))
+    counts = messages.agg(F.count(F.lit(1)).alias("messages"), F.count_if("threaded").alias("threaded"), *([F.count_if("no_ts").alias("without_ts")] if "no_ts" in messages.columns else []))
+    listed = conversations.agg(F.count(F.lit(1)).alias("conversations"), F.countDistinct("team").alias("teams"), F.count_if(F.col("team").isNull()).alias("without_team"))
+    parts = [
+        _sample(entries.filter("junk"), "name", "junk", sample), _sample(entries.filter("kind = 'unknown'"), "name", "unknown", sample), _sample(messages.filter("anomaly is not null"), "anomaly", "anomalies", sample), counts, listed,
+        _sample(orphan_folders(days, conversations), "folder", "orphans", sample), _sample(empty_conversations(conversations, days).select("folder").distinct(), "folder", "empty", sample), _sample(duplicates(conversations, ["folder"]), "folder", "listed_twice", sample),
+    ]
+    if "unparseable" in entries.columns:
+        parts.append(_sample(entries.filter("unparseable"), "name", "unparseable", sample))
+    if "encoding" in entries.columns:
+        # a few encodings; of each the first names by a rank that stops at the sample's size
+        nth = F.row_number().over(Window.partitionBy("encoding").orderBy("name"))
+        first = entries.select("encoding", "name").withColumn("_n", nth).filter(F.col("_n") <= sample).groupBy("encoding").agg(F.array_sort(F.collect_list("name")).alias("sample"))
+        found = entries.groupBy("encoding").agg(F.count(F.lit(1)).alias("count")).join(first, "encoding")
+        parts.append(found.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("encoding", F.struct("count", "sample"))))).alias("encodings")))
     one = kinds
-    for part in (junk, counts, total, names, unknown):
+    for part in parts:
         one = one.join(F.broadcast(part))  # one row each
     return one.select(F.to_json(F.struct(*sorted(one.columns))).alias("findings"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlane.functions import keys as K
 from ledgerlane.functions import text as T
+from ledgerlane.functions.status import OBSERVATIONS
 from ledgerlane.operators.archive import conversation_type
 from ledgerlane.operators.versions import dedupe_first
 
@@ -76,3 +77,11 @@ def conversations(rows: DataFrame, conversation: str = "conversation") -> DataFr
 def reaction_state(reactions: Column) -> Column:
     """SCL-4: reactions as sorted (name, sorted users), without their counters."""
     return F.array_sort(F.transform(F.coalesce(reactions, F.array().cast("array<struct<name:string,users:array<string>,count:int>>")), lambda r: F.struct(r["name"].alias("name"), F.array_sort(F.coalesce(r["users"], F.array().cast("array<string>"))).alias("users"))))
+
+
+def observations(events: DataFrame) -> DataFrame:
+    """PRJ-5: one row of each item-level event of six kinds (unit_key, item_id, kind, subject, derived JSON): the file and the
+    reason it names, and when it was observed."""
+    of = lambda name: F.get_json_object("derived", f"$.{name}")
+    own = events.filter(F.col("kind").isin(*OBSERVATIONS))
+    return own.select("unit_key", "item_id", "kind", "subject", of("file_id").alias("file_id"), of("reason").alias("reason"), of("observed_at").alias("observed_at"))

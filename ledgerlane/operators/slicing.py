@@ -187,12 +187,22 @@ def file_outcomes(references: DataFrame, collected: DataFrame, refused: DataFram
     return j.withColumn("outcome", F.when(F.col("sha256").isNotNull(), "collected").when(F.col("reason").isNotNull(), F.concat(F.lit("refused: "), "reason")).otherwise(neither))
 
 
-def conversation_info(conversations: DataFrame, snapshots: DataFrame, exported: DataFrame, key: str, until: Column) -> DataFrame:
-    """JON-17: latest snapshot up to an instant, else the export's record; every known name."""
+def conversation_info(conversations: DataFrame, snapshots: DataFrame, exported: DataFrame, key: str, until: Column, covered: DataFrame | None = None) -> DataFrame:
+    """JON-17: latest snapshot up to an instant, else the export's record; every known name; and the custodians whose
+    scopes cover a unit of the conversation (covered: key, scope_type, external_id)."""
     own = snapshots.filter(F.col("collected_at") <= until)
+    none = F.array().cast("array<string>")
     last = own.groupBy(key).agg(F.max_by("name", "collected_at").alias("snapshot_name"), F.array_sort(F.collect_set("name")).alias("names"))
     ex = exported.groupBy(key).agg(F.min_by("name", "idx").alias("export_name"))
-    return conversations.join(last, key, "left").join(ex, key, "left").select(key, F.coalesce("snapshot_name", "export_name").alias("name"), F.coalesce("names", F.array().cast("array<string>")).alias("known_names"))
+    out = conversations.join(last, key, "left").join(ex, key, "left")
+    # an export's name is the only one known without a snapshot
+    known = F.when(F.col("names").isNotNull(), F.col("names")).when(F.col("export_name").isNotNull(), F.array("export_name")).otherwise(none)
+    columns = [key, F.coalesce("snapshot_name", "export_name").alias("name"), known.alias("known_names")]
+    if covered is not None:
+        who = covered.filter("scope_type = 'custodian'").groupBy(key).agg(F.array_sort(F.collect_set("external_id")).alias("custodians"))
+        out = out.join(who, key, "left")
+        columns.append(F.coalesce("custodians", none).alias("custodians"))
+    return out.select(*columns)
 
 
 def reconcile_render(expected: DataFrame, rendered: DataFrame, slice_keys: list[str]) -> DataFrame:
@@ -202,13 +212,30 @@ def reconcile_render(expected: DataFrame, rendered: DataFrame, slice_keys: list[
     return d.groupBy(*slice_keys).agg(F.sum(F.greatest("d", F.lit(0))).alias("missing"), F.sum(F.greatest(-F.col("d"), F.lit(0))).alias("extra"))
 
 
-def render_summary(rendered: DataFrame) -> DataFrame:
-    """AGG-22: counts of a production and the digest of its primary subjects."""
+#: Per event of a production: how many edits, attachments, unavailable attachments and external ones it shows.
+SHOWN = ("edits", "attachments", "unavailable", "externals")
+
+
+def render_summary(rendered: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """AGG-22: counts of a production and the digest of its primary subjects; of the columns of SHOWN and ``part``
+    those that are there: what its events show, and its files (parts of slices). items (subject): how many went
+    in, and a production that doesn't hold exactly these as primaries raises."""
     from ledgerlane.operators.digest import carried, lane_sums
 
     own = rendered.withColumn("_h", F.when(F.col("kind") == "primary", F.sha2("subject", 256)))
-    s = own.agg(F.count_if(F.expr("kind = 'primary'")).alias("primaries"), F.count_if(F.expr("kind = 'context'")).alias("context_events"), F.count_if(F.expr("kind = 'context' and not in_scope")).alias("out_of_scope_context"), F.countDistinct("conversation_id", "day").alias("slices"), *lane_sums(F.col("_h")))
-    return s.select("primaries", "context_events", "out_of_scope_context", "slices", carried([F.col(f"lane{i}") for i in range(8)]).alias("digest"))
+    more = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in SHOWN if c in rendered.columns]
+    if "part" in rendered.columns:
+        more.append(F.countDistinct("conversation_id", "day", "part").alias("files"))
+    s = own.agg(F.count_if(F.expr("kind = 'primary'")).alias("primaries"), F.count_if(F.expr("kind = 'context'")).alias("context_events"), F.count_if(F.expr("kind = 'context' and not in_scope")).alias("out_of_scope_context"), F.countDistinct("conversation_id", "day").alias("slices"), *more, *lane_sums(F.col("_h")))
+    digest = carried([F.col(f"lane{i}") for i in range(8)])
+    names = [c for c in s.columns if not c.startswith("lane")]
+    if items is None:
+        return s.select(*names, digest.alias("digest"))
+    given = items.agg(F.count(F.lit(1)).alias("items"), *[c.alias(f"in_{i}") for i, c in enumerate(lane_sums(F.sha2("subject", 256)))])
+    both = s.crossJoin(F.broadcast(given))  # one row each
+    same = carried([F.col(f"in_{i}") for i in range(8)])
+    sure = F.when((F.col("items") == F.col("primaries")) & (same == digest), digest).otherwise(F.raise_error(F.lit("the production's primaries aren't its items")).cast("string"))
+    return both.select("items", *names, sure.alias("digest"))
 
 
 def natives_check(references: DataFrame, stored: DataFrame) -> DataFrame:

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ledgerlane.functions import keys as K
 from ledgerlane.functions import text as T
+from ledgerlane.functions.status import OBSERVATIONS
 from ledgerlane.operators import archive as A
 from ledgerlane.operators import audit as U
+from ledgerlane.operators import normalize as N
 from ledgerlane.operators import scope as S
 from ledgerlane.operators import slicing as L
 from ledgerlane.operators.registry import register
@@ -206,13 +208,25 @@ def agg17b(spark, sf):
     return A.first_wins(_convs(spark, sf), ["folder"], "idx").select("folder", "idx")
 
 
-@register("agg16_findings", f"""WITH {_FILES}, k AS (SELECT string_agg('"' || kind || '":' || n, ',' ORDER BY kind) AS e FROM (SELECT kind, count(*) AS n FROM cls GROUP BY kind)), o AS (SELECT DISTINCT folder FROM days WHERE folder NOT IN (SELECT folder FROM convs)),
-m AS (SELECT count(*) AS messages, count(*) FILTER (WHERE event_id % 5 <> 0) AS threaded, count(*) FILTER (WHERE event_id % 11 = 0) AS anomalies FROM events)
-SELECT '{{"anomalies":' || anomalies || ',"entries":{{' || e || '}},"junk":' || (SELECT count(*) FROM cls WHERE junk) || ',"messages":' || messages || ',"orphan_sample":[' || coalesce((SELECT string_agg('"' || folder || '"', ',' ORDER BY folder) FROM (SELECT folder FROM o ORDER BY folder LIMIT 100)), '') || '],"orphans":' || (SELECT count(*) FROM o) || ',"threaded":' || threaded || ',"unknown_sample":[' || coalesce((SELECT string_agg('"' || name || '"', ',' ORDER BY name) FROM (SELECT name FROM cls WHERE kind = 'unknown' ORDER BY name LIMIT 100)), '') || ']}}'
-  AS findings FROM k, m""")
+def _listed(name, column, rows):
+    """A count and a sample as JSON members."""
+    return f"""'"{name}":' || (SELECT count(*) FROM ({rows})) || ',"{name}_sample":[' || coalesce((SELECT string_agg('"' || {column} || '"', ',' ORDER BY {column}) FROM (SELECT {column} FROM ({rows}) ORDER BY {column} LIMIT 100)), '') || ']'"""
+
+
+_ENCODED = "(SELECT *, CASE WHEN idx % 3 = 0 THEN 'utf-8' ELSE 'cp437' END AS encoding FROM cls)"
+
+
+@register("agg16_findings", f"""WITH {_FILES}, k AS (SELECT string_agg('"' || kind || '":' || n, ',' ORDER BY kind) AS e FROM (SELECT kind, count(*) AS n FROM cls GROUP BY kind)), o AS (SELECT DISTINCT folder FROM days WHERE folder NOT IN (SELECT folder FROM convs)), x AS (SELECT DISTINCT folder FROM convs WHERE folder NOT IN (SELECT folder FROM days)),
+m AS (SELECT count(*) AS messages, count(*) FILTER (WHERE event_id % 5 <> 0) AS threaded, count(*) FILTER (WHERE event_id % 71 = 0) AS no_ts FROM events), t AS (SELECT count(*) AS n, count(DISTINCT team) AS teams, count(*) FILTER (WHERE team IS NULL) AS bare FROM convs),
+c AS (SELECT string_agg('"' || encoding || '":{{"count":' || n || ',"sample":[' || s || ']}}', ',' ORDER BY encoding) AS j FROM (SELECT encoding, count(*) AS n, (SELECT string_agg('"' || name || '"', ',' ORDER BY name) FROM (SELECT name FROM {_ENCODED} i WHERE i.encoding = o.encoding ORDER BY name LIMIT 100)) AS s FROM {_ENCODED} o GROUP BY encoding))
+SELECT '{{' || {_listed("anomalies", "name", "SELECT CAST(event_id AS VARCHAR) AS name FROM events WHERE event_id % 11 = 0")} || ',"conversations":' || t.n || ',' || {_listed("empty", "folder", "SELECT folder FROM x")} || ',"encodings":{{' || c.j || '}},"entries":{{' || k.e || '}},' || {_listed("junk", "name", "SELECT name FROM cls WHERE junk")}
+  || ',' || {_listed("listed_twice", "folder", "SELECT folder FROM convs GROUP BY folder HAVING count(*) > 1")} || ',"messages":' || m.messages || ',' || {_listed("orphans", "folder", "SELECT folder FROM o")} || ',"teams":' || t.teams || ',"threaded":' || m.threaded || ',' || {_listed("unknown", "name", "SELECT name FROM cls WHERE kind = 'unknown'")}
+  || ',' || {_listed("unparseable", "name", "SELECT name FROM cls WHERE kind = 'day' AND idx % 67 = 0")} || ',"without_team":' || t.bare || ',"without_ts":' || m.no_ts || '}}' AS findings FROM k, m, t, c""")
 def agg16(spark, sf):
-    m = V.msg(spark, sf).select((F.col("event_id") % 5 != 0).alias("threaded"), (F.col("event_id") % 11 == 0).alias("anomaly"))
-    return A.findings(_files(spark, sf), _convs(spark, sf), m)
+    e = F.col("event_id")
+    m = V.msg(spark, sf).select((e % 5 != 0).alias("threaded"), F.when(e % 11 == 0, e.cast("string")).alias("anomaly"), (e % 71 == 0).alias("no_ts"))
+    f = _files(spark, sf).withColumn("encoding", F.when(F.col("idx") % 3 == 0, "utf-8").otherwise("cp437")).withColumn("unparseable", (F.col("kind") == "day") & (F.col("idx") % 67 == 0))
+    return A.findings(f, _convs(spark, sf), m)
 
 
 @register("scl16_root_folder", f"""WITH {_FILES}, w AS (SELECT export_id, CASE WHEN export_id = 'E3' AND name NOT LIKE '%/%' THEN name WHEN name LIKE '\\_\\_MACOSX/%' ESCAPE '\\' THEN name ELSE 'Wrap ' || export_id
@@ -369,15 +383,17 @@ def jon16(spark, sf):
 
 
 @register("jon17_conversation_info", """WITH s AS (SELECT o_custkey, o_orderpriority AS name, o_orderdate, o_orderkey FROM orders WHERE o_orderdate <= TIMESTAMP '1998-01-01'), l AS (SELECT o_custkey, arg_max(name,
-  (o_orderdate, o_orderkey)) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS k FROM s GROUP BY 1) SELECT c_custkey, coalesce(l.n, c_name) AS name, coalesce(l.k, '') AS
-  known_names FROM customer LEFT JOIN l ON o_custkey = c_custkey""")
+  (o_orderdate, o_orderkey)) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS k FROM s GROUP BY 1), w AS (SELECT o_custkey, string_agg(DISTINCT 'U' || (o_orderkey % 7), ',' ORDER BY 'U' || (o_orderkey % 7)) AS c FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1)
+  SELECT c_custkey, coalesce(l.n, c_name) AS name, coalesce(l.k, c_name) AS known_names, coalesce(w.c, '') AS custodians FROM customer LEFT JOIN l ON l.o_custkey = c_custkey LEFT JOIN w ON w.o_custkey = c_custkey""")
 def jon17(spark, sf):
-    c = V.read(spark, sf, "customer")
-    o = V.read(spark, sf, "orders").filter("o_orderdate <= timestamp_ntz'1998-01-01'")
+    c, every = V.read(spark, sf, "customer"), V.read(spark, sf, "orders")
+    o = every.filter("o_orderdate <= timestamp_ntz'1998-01-01'")
     s = o.select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("name"), F.struct("o_orderdate", "o_orderkey").alias("collected_at"))
     e = c.select("c_custkey", F.col("c_name").alias("name"), F.lit(0).alias("idx"))
-    out = L.conversation_info(c.select("c_custkey"), s, e, "c_custkey", F.struct(F.lit("2100-01-01").cast("timestamp_ntz"), F.lit(0).cast("long")))
-    return out.withColumn("known_names", F.array_join("known_names", ","))
+    k = F.col("o_orderkey")
+    covered = every.select(F.col("o_custkey").alias("c_custkey"), F.when(k % 2 == 0, "custodian").otherwise("channel").alias("scope_type"), F.concat(F.lit("U"), (k % 7).cast("string")).alias("external_id"))
+    out = L.conversation_info(c.select("c_custkey"), s, e, "c_custkey", F.struct(F.lit("2100-01-01").cast("timestamp_ntz"), F.lit(0).cast("long")), covered)
+    return out.withColumn("known_names", F.array_join("known_names", ",")).withColumn("custodians", F.array_join("custodians", ","))
 
 
 @register("jon15_latest_snapshot", """WITH s AS (SELECT o_custkey, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS reactions FROM orders WHERE o_orderdate <= TIMESTAMP '1998-01-01' GROUP BY 1) SELECT c_custkey,
@@ -404,11 +420,14 @@ _PRIMARY_LANES = ", ".join(f"sum(CASE WHEN prim THEN CAST('0x' || substr(h, {8 *
 
 
 @register("agg22_render_summary", f"""WITH {V.MSG}, v AS (SELECT *, event_id % 6 <> 0 AS prim, sha256(subject) AS h FROM msg), lanes AS (SELECT {_PRIMARY_LANES} FROM v), {CARRY}
-SELECT (SELECT count(*) FROM v WHERE prim) AS primaries, (SELECT count(*) FROM v WHERE NOT prim) AS context_events, (SELECT count(*) FROM v WHERE NOT prim AND k % 3 = 0) AS out_of_scope_context,
-  (SELECT count(*) FROM (SELECT DISTINCT conversation_id, day FROM v)) AS slices, {HEX} AS digest FROM c0""")
+SELECT (SELECT count(*) FROM v WHERE prim) AS items, (SELECT count(*) FROM v WHERE prim) AS primaries, (SELECT count(*) FROM v WHERE NOT prim) AS context_events, (SELECT count(*) FROM v WHERE NOT prim AND k % 3 = 0) AS out_of_scope_context,
+  (SELECT count(*) FROM (SELECT DISTINCT conversation_id, day FROM v)) AS slices, (SELECT CAST(sum(k % 3) AS BIGINT) FROM v) AS edits, (SELECT count(*) FROM v WHERE event_id % 9 = 0) AS attachments, (SELECT count(*) FROM v WHERE event_id % 27 = 0) AS unavailable, (SELECT count(*) FROM v WHERE event_id % 45 = 0) AS externals,
+  (SELECT count(*) FROM (SELECT DISTINCT conversation_id, day, event_id % 4 FROM v)) AS files, {HEX} AS digest FROM c0""")
 def agg22b(spark, sf):
-    m = V.msg(spark, sf).withColumn("kind", F.when(F.col("event_id") % 6 != 0, "primary").otherwise("context")).withColumn("in_scope", F.col("k") % 3 != 0)
-    return L.render_summary(m)
+    e = F.col("event_id")
+    m = V.msg(spark, sf).withColumn("kind", F.when(e % 6 != 0, "primary").otherwise("context")).withColumn("in_scope", F.col("k") % 3 != 0)
+    m = m.withColumns({"edits": (F.col("k") % 3).cast("long"), "attachments": (e % 9 == 0).cast("long"), "unavailable": (e % 27 == 0).cast("long"), "externals": (e % 45 == 0).cast("long"), "part": e % 4})
+    return L.render_summary(m, V.msg(spark, sf).filter(e % 6 != 0).select("subject"))
 
 
 @register("agg23_natives", """WITH r AS (SELECT l_partkey AS sha256, count(DISTINCT l_linenumber > 6) AS n, min(CASE WHEN l_linenumber > 6 THEN 2 ELSE 1 END) AS size FROM lineitem GROUP BY 1), s AS (SELECT
@@ -582,14 +601,19 @@ def win5(spark, sf):
     return U.byte_budget_page(V.chain(spark, sf), "stream", "seq", "payload", 500).select("stream", "seq")
 
 
-@register("prj5_observations", f"WITH {V.CHAIN} SELECT stream, seq, event_type AS kind, actor, payload AS reason FROM chain WHERE event_type IN ('file_unavailable')")
-def prj5(spark, sf):
-    from ledgerlane.functions.status import OBSERVATIONS
+_OBSERVED = f"""{V.MSG}, seen AS (SELECT unit_key, CAST(event_id AS VARCHAR) AS item_id, subject, ['file_unavailable', 'file_became_available', 'access_lost', 'access_restored', 'no_longer_observed', 'observed_again', 'message'][CAST(event_id % 7 AS INTEGER) + 1] AS kind, event_id, k FROM msg)"""
+
 
-    return V.chain(spark, sf).filter(F.col("event_type").isin(*OBSERVATIONS)).select("stream", "seq", F.col("event_type").alias("kind"), "actor", F.col("payload").alias("reason"))
+@register("prj5_observations", f"""WITH {_OBSERVED} SELECT unit_key, item_id, kind, subject, CASE WHEN event_id % 7 < 2 THEN 'F' || (event_id % 50) END AS file_id, CASE WHEN event_id % 7 IN (0, 2) THEN 'r' || (k % 4) END AS reason, '2024-01-01T00:00:' || lpad(CAST(k % 60 AS VARCHAR), 2, '0') || 'Z' AS observed_at FROM seen WHERE kind <> 'message'""")
+def prj5(spark, sf):
+    """Item-level events of all kinds, of which six are observations."""
+    m, e, k = V.msg(spark, sf), F.col("event_id"), F.col("k")
+    kind = F.element_at(F.array(*[F.lit(x) for x in (*OBSERVATIONS, "message")]), (e % 7 + 1).cast("int"))
+    derived = F.to_json(F.struct(F.when(e % 7 < 2, F.concat(F.lit("F"), (e % 50).cast("string"))).alias("file_id"), F.when((e % 7).isin(0, 2), F.concat(F.lit("r"), (k % 4).cast("string"))).alias("reason"), F.concat(F.lit("2024-01-01T00:00:"), F.lpad((k % 60).cast("string"), 2, "0"), F.lit("Z")).alias("observed_at")))
+    return N.observations(m.select("unit_key", e.cast("string").alias("item_id"), kind.alias("kind"), "subject", derived.alias("derived")))
 
 
-@register("agg10_observation_counts", f"WITH {V.CHAIN} SELECT event_type AS kind, payload AS reason, count(*) AS n FROM chain WHERE event_type = 'file_unavailable' GROUP BY ALL")
+@register("agg10_observation_counts", f"WITH {_OBSERVED} SELECT kind, CASE WHEN event_id % 7 IN (0, 2) THEN 'r' || (k % 4) END AS reason, count(*) AS n FROM seen WHERE kind <> 'message' GROUP BY ALL")
 def agg10(spark, sf):
     return prj5(spark, sf).groupBy("kind", "reason").agg(F.count(F.lit(1)).alias("n"))
 

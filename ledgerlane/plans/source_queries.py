@@ -80,9 +80,20 @@ def _members(spark, sf):
     return R.directory_members(pages.select(F.to_json(F.struct(F.lit(True).alias("ok"), F.col("m").alias("members"))).alias("value")))
 
 
-@register("src5_directory_members", f"WITH {_MEMBERS} SELECT id, CASE WHEN bot THEN 'bot' ELSE 'user' END AS kind, gone AS archived, coalesce(nullif(display, ''), real_name) AS display FROM m")
+@register("src5_directory_members", f"WITH {_MEMBERS} SELECT id, CASE WHEN bot THEN 'bot' ELSE 'user' END AS kind, gone AS archived, real_name AS display, lower(real_name) AS search_key FROM m")
 def src5(spark, sf):
-    return _members(spark, sf).select("id", "kind", "archived", "display")
+    return _members(spark, sf).select("id", "kind", "archived", "display", "search_key")
+
+
+@register("src5_directory_conversations", """SELECT 'C' || c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN 'im' WHEN c_custkey % 3 = 0 THEN 'private_channel' ELSE 'public_channel' END AS kind, c_custkey % 10 = 0 AS archived,
+  CASE WHEN c_custkey % 5 <> 0 THEN c_name WHEN c_custkey % 7 = 0 THEN 'U' || c_custkey ELSE 'C' || c_custkey END AS display, lower(CASE WHEN c_custkey % 5 <> 0 THEN c_name WHEN c_custkey % 7 = 0 THEN 'U' || c_custkey ELSE 'C' || c_custkey END) AS search_key FROM customer WHERE c_custkey % 11 <> 0""")
+def src5c(spark, sf):
+    """Conversation pages; some elements have no id, some no name, and direct messages are listed by their user."""
+    c = V.read(spark, sf, "customer")
+    k = F.col("c_custkey")
+    s = F.struct(F.when(k % 11 != 0, F.concat(F.lit("C"), k.cast("string"))).alias("id"), F.when(k % 5 != 0, F.col("c_name")).alias("name"), (k % 7 == 0).alias("is_im"), (k % 3 == 0).alias("is_private"), (k % 10 == 0).alias("is_archived"), F.concat(F.lit("U"), k.cast("string")).alias("user"))
+    pages = c.groupBy(F.floor(k / 50).alias("page")).agg(F.array_sort(F.collect_list(s)).alias("c")).select(F.to_json(F.struct(F.lit(True).alias("ok"), F.col("c").alias("channels"))).alias("value"))
+    return R.directory_conversations(pages).select("id", "kind", "archived", "display", "search_key")
 
 
 @register("prj3_identities", f"""WITH {_MEMBERS} SELECT 'T0/user/' || id || '#profile' AS subject, display AS display_name, real_name, gone AS deactivated, sha256('{{"deactivated":' || gone || ',"display_name":"' || display || '","email":"u' || c_custkey || '@example.com","fp":"chat.profile/1","real_name":"' || real_name || '","user":"' || id || '"}}')
@@ -376,6 +387,8 @@ def jon24(spark, sf):
     return C.verify_batches(n.filter("item_count % 6 <> 5"), n.filter("item_count % 6 <> 0"), "unit_key")
 
 
+_ITEM_KEY = "sha256('T0' || chr(31) || 'chat' || chr(31) || unit_key || chr(31) || sha256(text))"
+
 #: Messages of a page.
 PAGE = 6
 
@@ -461,10 +474,43 @@ def src9(spark, sf):
 @register("stm4_access_stream", f"""WITH {V.MSG}, l AS (SELECT *, k < 10 AS lost, coalesce(lag(k < 10) OVER (PARTITION BY conversation_id ORDER BY event_id), false) AS before FROM msg) SELECT conversation_id AS key,
   event_id AS seq, CASE WHEN lost THEN 'access_lost' ELSE 'access_restored' END AS event FROM l WHERE lost <> before""")
 def stm4s(spark, sf):
-    e = R.table_stream(spark, f"{sf}/events.parquet")
-    k = F.regexp_extract("props", r'"k": (\d+)', 1).cast("int")
-    rows = e.select(F.concat(F.lit("C"), (F.col("user_id") % 20).cast("string")).alias("key"), F.when(k < 10, "lost").otherwise("held").alias("state"), F.col("event_id").alias("seq"))
-    return _collected(spark, J.observation_machine(rows, "held", {"lost": "access_lost", "held": "access_restored"}), "access").select("key", "event", "seq")
+    m = V.msg(spark, sf)
+    path, n = _log(spark, m.select(F.col("conversation_id").alias("key"), F.when(F.col("k") < 10, "lost").otherwise("held").alias("state"), F.col("event_id").alias("seq")), ["seq"], "pages_seen")
+    rows = custody_tail(spark, path, seq="place", max_events=-(-n // TRIGGERS)).drop("place")
+    return _collected(spark, J.observation_machine(rows, "held", {"lost": "access_lost", "held": "access_restored"}), "access", to_head=True).select("key", "event", "seq")
+
+
+_PLACED = f"{V.VERSIONS}, placed AS (SELECT *, row_number() OVER (ORDER BY moment, seq) AS place FROM versions)"
+
+
+def _machine(spark, sf, state, initial, events, name):
+    """A state machine per subject over the log of sightings, in several triggers."""
+    path, n = _log(spark, V.versions(spark, sf).select("subject", "content_hash", "hint", "at", "seq"), ["at", "seq"], name)
+    rows = custody_tail(spark, path, seq="place", max_events=-(-n // TRIGGERS)).select(F.col("subject").cast("string").alias("key"), state.alias("state"), F.col("place").alias("seq"))
+    return _collected(spark, J.observation_machine(rows, initial, events), name, to_head=True)
+
+
+@register("stm2_absence_stream", f"""WITH {_PLACED}, l AS (SELECT *, hint <> 'F' AS present, coalesce(lag(hint <> 'F') OVER (PARTITION BY subject ORDER BY place), true) AS before FROM placed)
+SELECT CAST(subject AS VARCHAR) AS key, place AS seq, CASE WHEN present THEN 'observed_again' ELSE 'no_longer_observed' END AS event, row_number() OVER (PARTITION BY subject ORDER BY place) AS occurrence FROM l WHERE present <> before""")
+def stm2s(spark, sf):
+    out = _machine(spark, sf, F.when(F.col("hint") != "F", "seen").otherwise("absent"), "seen", {"seen": "observed_again", "absent": "no_longer_observed"}, "absence")
+    return out.select("key", "seq", "event", "occurrence")
+
+
+@register("stm3_availability_stream", f"""WITH {_PLACED}, l AS (SELECT *, CASE WHEN content_hash IN ('1-URGENT', '2-HIGH') THEN content_hash ELSE '' END AS r FROM placed), b AS (SELECT *, coalesce(lag(r) OVER (PARTITION BY subject ORDER BY place), '') AS before FROM l)
+SELECT CAST(subject AS VARCHAR) AS key, place AS seq, r AS reason, CASE WHEN r = '' THEN 'file_became_available' ELSE 'file_unavailable' END AS event, row_number() OVER (PARTITION BY subject ORDER BY place) AS occurrence FROM b WHERE r <> before""")
+def stm3s(spark, sf):
+    refused = F.when(F.col("content_hash").isin("1-URGENT", "2-HIGH"), F.col("content_hash")).otherwise("")
+    return _machine(spark, sf, refused, "", {"": "file_became_available", "*": "file_unavailable"}, "availability").select("key", "seq", F.col("state").alias("reason"), "event", "occurrence")
+
+
+@register("stm6_reaction_stream", f"""WITH {V.MSG}, l AS (SELECT *, k % 4 = 0 AS has, bool_or(k % 4 = 0) OVER (PARTITION BY author ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM msg
+  WHERE text <> 'error') SELECT author AS key, event_id AS seq, has FROM l WHERE has OR coalesce(before, false)""")
+def stm6s(spark, sf):
+    m = V.msg(spark, sf)
+    path, n = _log(spark, m.select(F.col("author").alias("key"), (F.col("k") % 4 == 0).alias("has"), (F.col("text") == "error").alias("deleted"), F.col("event_id").alias("seq")), ["seq"], "reactions")
+    rows = custody_tail(spark, path, seq="place", max_events=-(-n // TRIGGERS)).drop("place")
+    return _collected(spark, J.reaction_stream(rows), "reactions", to_head=True).select("key", "seq", "has")
 
 
 @register("stm9_streaming_dedupe", f"WITH {V.MSG} SELECT DISTINCT unit_key, text FROM msg")
@@ -510,6 +556,31 @@ def append_new(spark, sf):
     return W.append_new(m, path).select("idempotency_key")
 
 
+@register("snk5_derivations", f"""WITH {V.MSG}, k AS (SELECT event_id, {_ITEM_KEY} AS key FROM msg), one AS (SELECT DISTINCT key FROM k WHERE event_id % 2 = 0), two AS (SELECT DISTINCT key FROM k)
+SELECT 1 AS run, (SELECT count(*) FROM one) AS inserted, 0 AS existing, (SELECT count(*) FROM one) AS derivations_inserted UNION ALL SELECT 2, (SELECT count(*) FROM two) - (SELECT count(*) FROM one), (SELECT count(*) FROM one), (SELECT count(*) FROM two) - (SELECT count(*) FROM one)
+UNION ALL SELECT 3, 0, (SELECT count(*) FROM two), (SELECT count(*) FROM two)""")
+def snk5d(spark, sf):
+    """Half of the items, then all of them, then all with a newer normalizer."""
+    m = V.msg(spark, sf)
+    key = K.idempotency_key(F.lit("T0"), F.lit("chat"), F.col("unit_key"), F.sha2("text", 256))
+    items = m.select("event_id", key.alias("idempotency_key"), F.col("unit_key").alias("subject"), F.sha2("text", 256).alias("content_hash"), F.lit("{}").alias("derived"))
+    path, out = shared_folder(spark, "persisted"), None
+    for run, rows, version in ((1, items.filter("event_id % 2 = 0"), "1.0"), (2, items, "1.0"), (3, items, "1.1")):
+        done = W.persist(rows.withColumn("normalizer_version", F.lit(version)), path).select(F.lit(run).alias("run"), "*")
+        out = done if out is None else out.unionByName(done)
+    return out
+
+
+@register("scl6_json_paths", """SELECT event_id, '$.m["a b"][' || (event_id % 3) || ']' AS path, 3 AS steps, event_type || (event_id % 3) AS found, NULL::VARCHAR AS missing, false AS valid FROM events""")
+def scl6(spark, sf):
+    """A path built, taken apart and resolved in a document; one that leads nowhere; and text that is no path."""
+    e = V.read(spark, sf, "events")
+    i = (F.col("event_id") % 3).cast("int")
+    doc = F.to_json(F.struct(F.create_map(F.lit("a b"), F.transform(F.sequence(F.lit(0), F.lit(2)), lambda n: F.concat("event_type", n.cast("string")))).alias("m")))
+    path = K.json_path("m", "a b", i)
+    return e.select("event_id", path.alias("path"), F.size(K.path_steps(path)).alias("steps"), K.resolve(doc, path).alias("found"), K.resolve(doc, F.concat(path, F.lit(".x"))).alias("missing"), K.path_steps(F.concat(path, F.lit("]"))).isNotNull().alias("valid"))
+
+
 @register("jon18_latest_items", f"WITH {V.VERSIONS}, f AS (SELECT subject, content_hash, min((moment, seq)) AS first FROM versions GROUP BY ALL) SELECT subject, arg_max(content_hash, first) AS content_hash, count(*) AS versions FROM f GROUP BY subject")
 def latest_items(spark, sf):
     v = X.assign_versions(V.versions(spark, sf), "subject", "content_hash", ["at", "seq"])

@@ -123,3 +123,16 @@ def append_new(items: DataFrame, path: str, key: str = "idempotency_key") -> Dat
     fresh = materialized(fresh)
     fresh.write.mode("append").parquet(path)
     return fresh
+
+
+def persist(items: DataFrame, path: str) -> DataFrame:
+    """SNK-5: items (idempotency_key, subject, content_hash, normalizer_version, derived) into the tables ``items`` and
+    ``derivations`` below path: new keys only, existing ones are reused, and one derivation of each item and
+    normalizer version. One row: inserted, existing and derivations_inserted."""
+    keys = items.select("idempotency_key").distinct()
+    fresh = append_new(items.select("idempotency_key", "subject", "content_hash"), f"{path}/items")
+    each = items.select("idempotency_key", "normalizer_version", "derived").withColumn("derivation", F.sha2(F.concat_ws("\x1f", "idempotency_key", "normalizer_version"), 256))
+    derived = append_new(each, f"{path}/derivations", "derivation")
+    counts = [rows.agg(F.count(F.lit(1)).alias(name)) for rows, name in ((fresh, "inserted"), (keys, "keys"), (derived, "derivations_inserted"))]
+    one = counts[0].crossJoin(F.broadcast(counts[1])).crossJoin(F.broadcast(counts[2]))  # one row each
+    return one.select("inserted", (F.col("keys") - F.col("inserted")).alias("existing"), "derivations_inserted")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerlane.functions import text as T
 from ledgerlane.functions.keys import json_path
+from ledgerlane.operators.archive import conversation_type
 from ledgerlane.operators.normalize import CONVERSATION, MEMBER, MESSAGE
 from ledgerlane.plans.shared import is_folder
 
@@ -116,12 +117,28 @@ def conversation_metadata(files: DataFrame, value: str = "value", kind: str = "k
     )
 
 
+def _label(*names: Column) -> Column:
+    """The first name that isn't empty."""
+    return F.coalesce(*[F.nullif(n, F.lit("")) for n in names])
+
+
 def directory_members(pages: DataFrame, value: str = "value") -> DataFrame:
-    """SRC-5: members of directory pages: kind, whether they are archived, and the name they are found by."""
+    """SRC-5: members of directory pages: kind (bot or user), whether they are archived, the name they are listed by, and
+    the key they are found by (of the name, or of the id without one). Elements without an id are left out."""
     rows = pages.withColumn("_p", _strict(F.col(value), f"struct<ok: BOOLEAN, members: ARRAY<STRUCT<{_nested(MEMBER)}>>>")).select(F.posexplode("_p.members").alias("idx", "member"))
     m = F.col("member")
-    name = F.coalesce(F.nullif(m["profile"]["display_name"], F.lit("")), F.nullif(m["real_name"], F.lit("")), F.nullif(m["name"], F.lit("")), m["id"])
-    return rows.select("idx", "member", m["id"].alias("id"), F.when(F.coalesce(m["is_bot"], F.lit(False)), "bot").otherwise("user").alias("kind"), F.coalesce(m["deleted"], F.lit(False)).alias("archived"), name.alias("display"))
+    name = _label(m["profile"]["real_name"], m["real_name"], m["profile"]["display_name"], m["name"])
+    return rows.filter(m["id"] != "").select("idx", "member", m["id"].alias("id"), F.when(F.coalesce(m["is_bot"], F.lit(False)), "bot").otherwise("user").alias("kind"), F.coalesce(m["deleted"], F.lit(False)).alias("archived"), F.coalesce(name, m["id"]).alias("display"), T.search_key(F.coalesce(name, m["id"])).alias("search_key"))
+
+
+def directory_conversations(pages: DataFrame, value: str = "value") -> DataFrame:
+    """SRC-5: conversations of directory pages ``{"ok": true, "channels": [...]}``: type, whether they are archived, name (of a
+    direct message its user) and the key they are found by. Elements without an id are left out."""
+    rows = pages.withColumn("_p", _strict(F.col(value), f"struct<ok: BOOLEAN, channels: ARRAY<STRUCT<{_nested(CONVERSATION)}, user: STRING>>>")).select(F.posexplode("_p.channels").alias("idx", "conversation"))
+    c = F.col("conversation")
+    kind = conversation_type(c["is_im"], c["is_mpim"], c["is_private"], c["is_group"])
+    name = _label(c["name"], F.when(kind == "im", c["user"]))
+    return rows.filter(c["id"] != "").select("idx", "conversation", c["id"].alias("id"), kind.alias("kind"), F.coalesce(c["is_archived"], F.lit(False)).alias("archived"), F.coalesce(name, c["id"]).alias("display"), T.search_key(F.coalesce(name, c["id"])).alias("search_key"))
 
 
 def custody_log(events: DataFrame, stream: str, types: tuple[str, ...] = ()) -> DataFrame:

@@ -210,26 +210,47 @@ def stateful_versions(stream: DataFrame) -> DataFrame:
     return stream.groupBy("subject").transformWithStateInPandas(Versions(), VERSIONED, "append", "none")
 
 
-MACHINE = "key string, event string, seq long"
+MACHINE = "key string, event string, seq long, state string, occurrence long"
+
+
+def _ordered(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """What one trigger brings of a key, in order; the events that a trigger admits bound it."""
+    return pd.concat(list(parts), ignore_index=True).sort_values("seq", kind="stable")
 
 
 def observation_machine(stream: DataFrame, initial: str, events: dict[str, str]) -> DataFrame:
-    """STM-2, 3 and 4 as a stream: an event when a key's state (key, state, seq) changes; events maps the
-    new state to the event's name, with ``*`` for any other."""
+    """STM-2, 3 and 4 as a stream: an event when a key's state (key, state, seq) changes, and how often it has; events
+    maps the new state to the event's name, with ``*`` for any other. A key's state is its last state and its count."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get[0] if state.exists else initial
-        # what one trigger brings of a key has to be put in order; files per trigger bound it
-        rows = pd.concat(list(parts), ignore_index=True).sort_values("seq", kind="stable")
-        out = []
+        held, n = state.get if state.exists else (initial, 0)
+        rows, out = _ordered(parts), []
         for now, seq in zip(rows["state"], rows["seq"], strict=True):
             if now != held:
-                out.append((key[0], events.get(now, events.get("*", now)), seq))
-                held = now
-        state.update((held,))
-        yield pd.DataFrame(out, columns=["key", "event", "seq"])
+                held, n = now, n + 1
+                out.append((key[0], events.get(now, events.get("*", now)), seq, now, n))
+        state.update((held, n))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in MACHINE.split(", ")])
+
+    return stream.groupBy("key").applyInPandasWithState(step, MACHINE, "state string, n long", "append", GroupStateTimeout.NoTimeout)
 
-    return stream.groupBy("key").applyInPandasWithState(step, MACHINE, "state string", "append", GroupStateTimeout.NoTimeout)
+
+def reaction_stream(stream: DataFrame) -> DataFrame:
+    """STM-6 as a stream: sightings (key, has, deleted, seq) to be kept as snapshots: those with reactions, and those without
+    once the key had some; never of a deleted message. A key's state is whether it had any."""
+    schema = "key string, seq long, has boolean"
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        had = state.get[0] if state.exists else False
+        rows = _ordered(parts)
+        rows = rows[~rows["deleted"].astype(bool)]
+        has = rows["has"].astype(bool)
+        before = has.cummax().shift(fill_value=False) | had
+        kept = rows[has | before]
+        state.update((bool(had or has.any()),))
+        yield pd.DataFrame({"key": key[0], "seq": kept["seq"], "has": kept["has"].astype(bool)})
+
+    return stream.groupBy("key").applyInPandasWithState(step, schema, "had boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def job_feed(events: DataFrame, units: DataFrame, settled: tuple[str, ...]) -> DataFrame:
