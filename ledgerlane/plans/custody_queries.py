@@ -277,7 +277,7 @@ def mrk5(spark, sf):
 
 
 @register("mrk6_verify_chain", f"""WITH {V.CHAIN}, g AS (SELECT stream, min(seq) AS lost FROM chain WHERE seq % 701 = 0 GROUP BY stream) SELECT c.stream, c.seq, CASE WHEN c.seq = g.lost + 1 THEN 'gap' WHEN c.seq >
-  g.lost THEN 'unchecked' WHEN c.seq % 89 = 0 THEN 'foreign' WHEN c.seq % 97 = 0 THEN 'altered' WHEN (c.seq - 1) % 83 = 0 AND c.seq > 1 THEN 'broken_link' END AS error FROM chain c LEFT JOIN g USING (stream) WHERE c.seq % 701 <> 0""")
+  g.lost THEN 'unchecked' WHEN c.seq % 89 = 0 THEN 'foreign' WHEN (c.seq - 1) % 83 = 0 AND c.seq > 1 THEN 'broken_link' WHEN c.seq % 97 = 0 THEN 'altered' END AS error FROM chain c LEFT JOIN g USING (stream) WHERE c.seq % 701 <> 0""")
 def mrk6(spark, sf):
     """A chain with altered and dropped events, events that name another stream, and events rewritten with their own hash."""
     c, s = V.chain(spark, sf), F.col("seq")
