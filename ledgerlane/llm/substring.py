@@ -1,14 +1,14 @@
 """Fuzzy passages that documents share, by collinear chaining of k-mer seeds.
 
-Seeds are minimizers of 10-word k-mers over 10 neighbouring ones, so an exact run of 19 words has one in
+Seeds are minimizers of 8-word k-mers over 8 neighbouring ones, so an exact run of 15 words has one in
 common wherever it stands. A seed's first place (smallest document, then smallest position) stands for it;
 every other place is matched with that one only, so a passage in a third of all documents costs a row per
-document. A seed with over 64 places in a batch of texts is matched there, with the batch's first document, and
-only that document's places are passed on: a very frequent seed reaches the task that holds it a few times per
-batch. Per pair of documents matches on one diagonal become runs, and runs are chained
-in order in both documents with a gap cost through a Fenwick tree. Each chain is then aligned on the words
-themselves: its ends are extended while they go on matching, also past a few changed, added or missing words,
-and the longest common subsequence gives its identity.
+document. Of a seed with over 64 places in a batch of texts only the batch's first document's are passed on to the
+task that finds the first of all; the other places are set aside, spread over tasks, and joined with that first later,
+so a place's match is the same however rows lie in batches. Per pair of documents matches on one diagonal become
+runs, and runs are chained in order in both documents with a gap cost through a Fenwick tree. Each chain is then aligned
+on the words themselves: its ends are extended by a banded alignment past changed, added and missing words until its score
+falls, and the longest common subsequence gives its identity.
 
 Chains of any length are aligned, single seeds too, but for single seeds whose ends can't reach LEAST_CHAIN
 words without a shift: a seed carries 4 bits of each of the 8 words before and after it. Equal words have equal
@@ -17,7 +17,8 @@ Where words repeat ("of of of"), overlapping places of one seed are a stretch: i
 start, over the shorter of both stretches.
 
 A passage counts when an aligned chain covers 50 words of its document or more; chains that touch it belong to it.
-The first document that holds it keeps it; the others have it cut.
+The first document that holds it keeps it; the others have it cut. An alignment inside another one of its document is
+left out; of those of the same words that with the earliest other document stays.
 
 Defined results: null and empty texts, and texts under 10 words, have no passage; repeats inside one
 document don't count; rows without an id are neither matched nor cut; rows with equal ids are one document
@@ -39,9 +40,12 @@ from pyspark.sql.window import Window
 from ledgerlane.llm.common import cut_lineage, hashed_words, map_texts, mix64, rolling, unwrapped, wrapped
 
 #: Words in a seed, and neighbouring seeds of which the smallest is taken.
-K, NEIGHBOURS = 10, 10
-#: Seeds that a task looks at together, and places among them above which it matches a seed itself.
+K, NEIGHBOURS = 8, 8
+#: Seeds that a task looks at together, and places among them above which it sets a seed's further places aside. They
+#: move work, not results.
 LOCAL, FREQUENT = 1 << 19, 64
+#: Tasks over which the places of one seed are spread when they meet its first.
+SALTS = 16
 #: Matches of one diagonal that start more words apart are runs of their own.
 RUN_GAP = 40
 #: Words between the matches of a stretch.
@@ -54,16 +58,17 @@ GAP_COST = 0.1
 LEAST_CHAIN, LEAST_PASSAGE = 20, 50
 #: Words beside a chain in which its ends may be extended; slices start at multiples of GRID.
 MARGIN, GRID = 40, 32
-#: An extension ends when it is this far below its best; a mismatch costs 2, a match brings 1.
-X_DROP = 4
-#: It goes on after a shift of up to SHIFT words on either side if RESUME words match there.
-SHIFT, RESUME = 3, 4
+#: An extension ends when it is this far below its best; a match brings 1, a mismatch or a word that only one side has
+#: costs 2. It stays in a band of so many words about the diagonal.
+X_DROP, BAND = 6, 6
 LEAST_IDENTITY = 0.8
 
-#: A seed (rep_id is null): its place is pos << 32 | span. A match made in a batch: h spreads it, its place
-#: is pos << 32 | rep_pos, and flank is 1 if it is weak.
-SEEDS = "h long, doc_id long, place long, flank long, rep_id long"
+#: A place of a seed is pos << 32 | span. kind: 0, or 1 if its batch set other places of the seed aside; those are 2.
+SEEDS = "h long, doc_id long, place long, flank long, kind int"
 MATCHES = "doc_id long, rep_id long, pos int, rep_pos int, weak int"
+#: kind 0: a match (a to e as in MATCHES); 1: the first place of a seed (seed, document, place, flank, whether it has
+#: several texts); 2: a place that was set aside (seed, document, place, flank).
+FIRSTS = "kind int, a long, b long, c long, d long, e long"
 CHAINS = "doc_id long, rep_id long, start int, stop int, rep_start int, rep_stop int, seeds int"
 SLICES = "doc_id long, lo int, hi int, th long, words array<int>"
 ALIGNED = "doc_id long, th long, start int, stop int, rep_id long, rep_start int, rep_stop int, identity double"
@@ -109,8 +114,8 @@ def flanks(words: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def reach_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Most words that _reach can go, before and after, over the words of two flanks; MARGIN for a side that
-    the flanks don't tell."""
+    """Most words that an extension can go on the diagonal, before and after, over the words of two flanks; MARGIN for a
+    side that the flanks don't tell."""
     differ, some, total = (a ^ b).view(np.uint64), a.view(np.uint64), np.zeros(len(a), dtype=np.int64)
     for side in range(2):
         shifts = np.arange(side * 4 * FLANK, (side + 1) * 4 * FLANK, 4, dtype=np.uint64)
@@ -126,48 +131,54 @@ def reach_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 Held = tuple | None
 
 
-def paired(h: np.ndarray, doc: np.ndarray, place: np.ndarray, flank: np.ndarray, held: Held = None) -> tuple[np.ndarray, tuple, Held]:
-    """Places of seeds, sorted by h, doc_id and place, with their seed's first place: which of them are of the
-    first document, the matches (MATCHES) of the others, and the last seed's first place, which is ``held`` for
-    the next call. Stretches give a match every STEP words. weak: the seed alone can't reach LEAST_CHAIN words."""
+def matched(doc: np.ndarray, place: np.ndarray, flank: np.ndarray, rep: np.ndarray, rep_place: np.ndarray, rep_flank: np.ndarray, several: np.ndarray) -> tuple:
+    """Matches (MATCHES) of places with their seed's first place; those of the first's own document have none. Stretches
+    give a match every STEP words. weak: the seed alone can't reach LEAST_CHAIN words."""
+    at = np.flatnonzero(doc != rep)
+    weak = (reach_bound(flank[at], rep_flank[at]) + K < LEAST_CHAIN) & ~several[at]
+    low = np.int64(0x7FFFFFFF)
+    span = np.where(weak, 0, np.minimum(place[at] & low, rep_place[at] & low))
+    n = 1 + -(-span // STEP)
+    at, weak = np.repeat(at, n), np.repeat(weak, n)
+    step = np.minimum((np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)) * STEP, np.repeat(span, n))
+    return doc[at], rep[at], (place[at] >> 32) + step, (rep_place[at] >> 32) + step, weak.astype(np.int64)
+
+
+def paired(h: np.ndarray, doc: np.ndarray, place: np.ndarray, flank: np.ndarray, asked: np.ndarray, held: Held = None) -> tuple[tuple, tuple, Held]:
+    """Places of seeds, sorted by h, doc_id and place: the matches of all with their seed's first place; the first
+    places (h, doc, place, flank, several texts of its document have it) of the seeds that are done and were ``asked`` for;
+    and the last seed's, which is ``held`` for the next call."""
     starts = np.concatenate([[0], np.flatnonzero(np.diff(h) != 0) + 1])
     first = [x[starts] for x in (h, doc, place, flank)]
-    several = np.zeros(len(starts), dtype=bool)  # whether other texts of the first document have its place
+    several, wanted = np.zeros(len(starts), dtype=bool), np.logical_or.reduceat(asked, starts)
+    done: list[tuple] = []
     if held is not None and held[0] == h[0]:
         for x, value in zip(first, held, strict=False):
             x[0] = value
-        several[0] = held[-1]
+        several[0] = held[4]
+        wanted[0] |= held[5]
+    elif held is not None and held[5]:
+        done.append(held[:5])
     sizes = np.diff(np.concatenate([starts, [len(h)]]))
     _, rep, rep_place, rep_flank = (np.repeat(x, sizes) for x in first)
     several |= np.logical_or.reduceat((doc == rep) & (place == rep_place) & (flank != rep_flank), starts)
-    held = (*(x[-1] for x in first), several[-1])
-    at = np.flatnonzero(doc != rep)
-    weak = (reach_bound(flank[at], rep_flank[at]) + K < LEAST_CHAIN) & ~np.repeat(several, sizes)[at]
-    low = np.int64(0x7FFFFFFF)
-    span = np.where(weak, 0, np.minimum(place[at] & low, rep_place[at] & low))
-    n = 1 + -(-span // STEP)
-    at, weak = np.repeat(at, n), np.repeat(weak, n)
-    step = np.minimum((np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)) * STEP, np.repeat(span, n))
-    return doc == rep, (doc[at], rep[at], (place[at] >> 32) + step, (rep_place[at] >> 32) + step, weak), held
+    held = (*(x[-1] for x in first), several[-1], wanted[-1])
+    ready = np.flatnonzero(wanted[:-1])
+    tops = [np.concatenate([[d[i] for d in done], x[ready]]).astype(np.int64) for i, x in enumerate((*first, several))]
+    return matched(doc, place, flank, rep, rep_place, rep_flank, np.repeat(several, sizes)), tuple(tops), held
 
 
 def _seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Seeds and local matches (SEEDS) of rows (doc_id, text)."""
+    """Seeds (SEEDS) of rows (doc_id, text)."""
 
     def made(parts: list[tuple]) -> pa.RecordBatch:
         h, doc, place, flank = (np.concatenate([p[i] for p in parts]) for i in range(4))
         order = np.lexsort((place, doc, h))
         h, doc, place, flank = (x[order] for x in (h, doc, place, flank))
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(h) != 0) + 1, [len(h)]])
-        many = np.repeat(np.diff(edges) > FREQUENT, np.diff(edges))
-        passed, (m_doc, m_rep, pos, rep_pos, weak) = ~many, (np.zeros(0, dtype=np.int64),) * 5
-        if many.any():
-            passed[many], (m_doc, m_rep, pos, rep_pos, weak), _ = paired(h[many], doc[many], place[many], flank[many])
-        spread = mix64(m_doc.view(np.uint64) ^ (pos.view(np.uint64) << np.uint64(32))).view(np.int64)
-        own = np.flatnonzero(passed)
-        rep = pa.concat_arrays([pa.nulls(len(own), pa.int64()), pa.array(m_rep, pa.int64())])
-        columns = [np.concatenate(x) for x in ((h[own], spread), (doc[own], m_doc), (place[own], pos << 32 | rep_pos), (flank[own], weak.astype(np.int64)))]
-        return _batch(SEEDS, [*columns, rep])
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(h) != 0) + 1])
+        sizes = np.diff(np.concatenate([starts, [len(h)]]))
+        many, own = np.repeat(sizes > FREQUENT, sizes), doc == np.repeat(doc[starts], sizes)
+        return _batch(SEEDS, [h, doc, place, flank, np.where(many, np.where(own, 1, 2), 0).astype(np.int32)])
 
     parts: list[tuple] = []
     waiting = 0
@@ -189,19 +200,35 @@ def _seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches of rows (SEEDS) that come sorted by h, doc_id and place: those that were made in a batch, and
-    every other place of a seed with its first. Only the first place is held, so a seed may span batches."""
+    """FIRSTS of rows (SEEDS) that come sorted by h, doc_id and place. Only a seed's first place is held, so a seed may
+    span batches; places that were set aside are passed on."""
     held: Held = None
+
+    def rows(kind: int, columns: tuple) -> pa.RecordBatch:
+        n = len(columns[0])
+        return _batch(FIRSTS, [np.full(n, kind, dtype=np.int32), *(np.asarray(c, dtype=np.int64) for c in columns)])
+
+    for batch in batches:
+        h, doc, place, flank, kind = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        aside = kind == 2
+        if aside.any():
+            yield rows(2, (h[aside], doc[aside], place[aside], flank[aside], np.zeros(aside.sum())))
+        if not aside.all():
+            here = ~aside
+            matches, tops, held = paired(h[here], doc[here], place[here], flank[here], kind[here] == 1, held)
+            yield rows(0, matches)
+            if len(tops[0]):
+                yield rows(1, tops)
+    if held is not None and held[5]:
+        yield rows(1, tuple(np.array([x], dtype=np.int64) for x in held[:5]))
+
+
+def _late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """MATCHES of places that were set aside with their seed's first place."""
     for batch in batches:
-        made = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
-        h, doc, place, flank = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:4])
-        rep = batch.column(4).filter(pa.array(made)).to_numpy(zero_copy_only=False).astype(np.int64)
-        found = [(doc[made], rep, place[made] >> 32, place[made] & 0x7FFFFFFF, flank[made])]
-        if not made.all():
-            _, matches, held = paired(h[~made], doc[~made], place[~made], flank[~made], held)
-            found.append(matches)
-        columns = [np.concatenate([f[i] for f in found]) for i in range(5)]
-        yield _batch(MATCHES, [*columns[:2], *(c.astype(np.int32) for c in columns[2:])])
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        found = matched(*columns[:6], columns[6] != 0)
+        yield _batch(MATCHES, [*found[:2], *(c.astype(np.int32) for c in found[2:])])
 
 
 def _runs(pos: np.ndarray, rep: np.ndarray) -> list[tuple[int, int, int, int, int]]:
@@ -300,16 +327,6 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(SLICES, [[r[j] for r in out] for j in range(5)])
 
 
-def _reach(same: np.ndarray) -> int:
-    """How far an extension over matches and mismatches goes."""
-    if not len(same):
-        return 0
-    score = np.cumsum(np.where(same, 1, -2))
-    drop = np.flatnonzero(np.maximum.accumulate(np.maximum(score, 0)) - score > X_DROP)
-    score = score[: drop[0]] if len(drop) else score
-    return int(score.argmax()) + 1 if len(score) and score.max() > 0 else 0
-
-
 def common_words(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence, by one big-integer step per word of b."""
     if len(a) == len(b) and np.array_equal(a, b):
@@ -326,21 +343,38 @@ def common_words(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def extension(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """How far an alignment of two word runs from their beginnings goes in each: along the diagonal, and on
-    from the nearest shift after which RESUME words match."""
-    i = j = 0
-    while True:
-        n = min(len(a) - i, len(b) - j)
-        went = _reach(a[i : i + n] == b[j : j + n])
-        i, j = i + went, j + went
-        x, y = a[i : i + SHIFT + RESUME].tolist(), b[j : j + SHIFT + RESUME].tolist()
-        for total in range(1, 2 * SHIFT + 1):
-            skip = next((k for k in range(max(0, total - SHIFT), min(SHIFT, total) + 1) if len(x) >= k + RESUME and x[k : k + RESUME] == y[total - k : total - k + RESUME]), None)
-            if skip is not None:
-                i, j = i + skip, j + total - skip
-                break
-        else:
-            return i, j
+    """How far an alignment of two word runs from their beginnings goes in each: over what is equal at once, then row by
+    row in a band about the diagonal, until no place is within X_DROP of the best."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    if not len(differ):
+        return n, n
+    i = int(differ[0])
+    a, b = a[i:], b[i:]
+    width = 2 * BAND + 1
+    # the score at column j of row r, relative to the equal words before, stands at j - r + BAND
+    lanes = np.arange(width)
+    out = np.iinfo(np.int64).min // 2
+    score = np.where(lanes >= BAND, -2 * (lanes - BAND), out)
+    score[lanes - BAND > len(b)] = out
+    padded = np.concatenate([np.full(BAND, -1, dtype=np.int64), b.astype(np.int64), np.full(BAND + 1, -1, dtype=np.int64)])
+    best, where = 0, (0, 0)
+    for row in range(1, min(len(a), len(b) + BAND) + 1):
+        columns = lanes - BAND + row
+        lane_words = padded[row - 1 : row - 1 + width] if row - 1 + width <= len(padded) else np.concatenate([padded[row - 1 :], np.full(row - 1 + width - len(padded), -1, dtype=np.int64)])
+        across = score + np.where(lane_words == a[row - 1], 1, -2)
+        down = np.append(score[1:], out) - 2
+        step = np.maximum(across, down)
+        step[(columns < 0) | (columns > len(b))] = out
+        step[columns == 0] = -2 * row
+        score = np.maximum.accumulate(step + 2 * lanes) - 2 * lanes
+        score[(columns < 0) | (columns > len(b))] = out
+        top = int(score.argmax())
+        if score[top] > best:
+            best, where = int(score[top]), (row, int(columns[top]))
+        elif score[top] < best - X_DROP:
+            break
+    return i + where[0], i + where[1]
 
 
 def align(doc: np.ndarray, rep: np.ndarray, start: int, stop: int, rep_start: int, rep_stop: int) -> tuple[int, int, int, int, float]:
@@ -371,8 +405,15 @@ def passages(docs: DataFrame, least_words: int = LEAST_PASSAGE) -> DataFrame:
     """Aligned passages of docs (doc_id, text) that an earlier document holds too: ALIGNED's columns with
     island_start and island_stop, the place that the passage covers with those it touches."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    seeds = map_texts(plain, _seeded, SEEDS).repartition("h").sortWithinPartitions("h", "doc_id", "place")
-    matches = seeds.mapInArrow(_matched, MATCHES)
+    seeds = map_texts(plain, _seeded, SEEDS)
+    # places that were set aside are spread; they only pass through
+    task = F.when(F.col("kind") == 2, F.xxhash64("doc_id", "place")).otherwise(F.col("h"))
+    firsts = cut_lineage(seeds.repartition(task).sortWithinPartitions("h", "doc_id", "place").mapInArrow(_matched, FIRSTS))
+    salt = F.pmod(F.xxhash64("b", "c"), F.lit(SALTS)).cast("int")
+    aside = firsts.filter("kind = 2").select(F.col("a").alias("h"), F.col("b").alias("doc_id"), F.col("c").alias("place"), F.col("d").alias("flank"), salt.alias("salt"))
+    tops = firsts.filter("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("rep"), F.col("c").alias("rep_place"), F.col("d").alias("rep_flank"), F.col("e").alias("several"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    late = aside.join(tops, ["h", "salt"]).select("doc_id", "place", "flank", "rep", "rep_place", "rep_flank", "several").mapInArrow(_late, MATCHES)
+    matches = firsts.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("rep_id"), *[F.col(c).cast("int").alias(n) for c, n in (("c", "pos"), ("d", "rep_pos"), ("e", "weak"))]).unionByName(late)
     matches = matches.repartition("doc_id").sortWithinPartitions("doc_id", "rep_id", "pos", "rep_pos")
     found = matches.mapInArrow(_chained, CHAINS)
 
@@ -391,9 +432,10 @@ def passages(docs: DataFrame, least_words: int = LEAST_PASSAGE) -> DataFrame:
     both = both.select("doc_id", "th", "rep_id", "lo", "rlo", "start", "stop", "rep_start", "rep_stop", "doc_words", "rep_words")
     aligned = cut_lineage(map_texts(both, _aligned, ALIGNED))
     # islands of touching passages; a document's own passages only
-    order = Window.partitionBy("doc_id", "th").orderBy("start", "stop", "rep_id", "rep_start")
+    order = Window.partitionBy("doc_id", "th").orderBy("start", F.desc("stop"), "rep_id", "rep_start")
     reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = aligned.withColumn("reach", reach)
+    # what lies inside another alignment tells nothing new of its document
+    islands = aligned.withColumn("reach", reach).filter("reach is null or stop > reach")
     islands = islands.withColumn("island", F.sum(F.when(F.col("start") <= F.col("reach") + 2, 0).otherwise(1)).over(order))
     island = Window.partitionBy("doc_id", "th", "island")
     islands = islands.withColumns({"island_start": F.min("start").over(island), "island_stop": F.max("stop").over(island)})

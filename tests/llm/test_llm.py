@@ -896,6 +896,62 @@ def test_result_does_not_depend_on_which_batch_holds_a_copy(spark):
     assert results[0] == results[1] == {(i, 10 + i % 7, 80 + i % 7) for i in range(1, 120)}
 
 
+def test_result_does_not_depend_on_batches_above_the_local_limit(spark):
+    """Over FREQUENT copies in each batch, exact and edited ones: all columns of all rows agree."""
+    rng = random.Random(23)
+    word = lambda: f"l{rng.randrange(10**7)}"
+    passage, texts = [word() for _ in range(60)], []
+    for i in range(3_000):
+        p = list(passage)
+        if i % 3 == 0:
+            p[rng.randrange(5, 55)] = word()
+        texts.append(" ".join([word() for _ in range(8 + i % 5)] + p + [word() for _ in range(10)]))
+    docs = spark.createDataFrame(docs_of(texts), DOCS)
+    results = [sorted(tuple(r) for r in substring.passages(docs.repartition(n)).collect()) for n in (1, 20)]
+    assert results[0] == results[1] and len({r[0] for r in results[0]}) >= 0.99 * 2_999
+
+
+def plain_extension(a, b):
+    """The same alignment over the whole table, without a band or an early end."""
+    score = {(0, 0): 0}
+    for i in range(len(a) + 1):
+        for j in range(len(b) + 1):
+            if i or j:
+                score[i, j] = max(score.get((i - 1, j), -99) - 2, score.get((i, j - 1), -99) - 2, score.get((i - 1, j - 1), -99) + (1 if i and j and a[i - 1] == b[j - 1] else -2))
+    return max(score.values())
+
+
+def test_extension_finds_the_best_alignment():
+    rng = random.Random(24)
+    for _ in range(300):
+        a = [rng.randrange(1000) for _ in range(rng.randrange(0, 40))]
+        b = list(a)
+        for _ in range(rng.randrange(0, 3)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = [rng.randrange(1000)] * rng.randrange(2)
+        i, j = substring.extension(np.array(a, dtype=np.int32), np.array(b, dtype=np.int32))
+        assert plain_extension(a[:i], b[:j]) == plain_extension(a, b)
+    none, long = np.zeros(0, dtype=np.int32), np.arange(50, dtype=np.int32)
+    assert substring.extension(none, long) == (0, 0) and substring.extension(long, long) == (50, 50)
+
+
+@pytest.mark.parametrize(("words", "edits"), [(51, 4), (55, 4), (60, 4), (80, 6)])
+def test_recall_of_edited_passages_over_50_words(spark, words, edits):
+    rng = random.Random(words + edits)
+    word = lambda: f"r{rng.randrange(10**7)}"
+    texts = []
+    while len(texts) < 400:
+        p = [word() for _ in range(words)]
+        q = list(p)
+        for i in sorted(rng.sample(range(4, words - 4), edits), reverse=True):
+            kind = rng.randrange(3)
+            q[i : i + (kind != 1)] = [word()] * (kind != 2)  # changed, added or missing
+        if len(q) > substring.LEAST_PASSAGE:
+            texts += [" ".join([word() for _ in range(60)] + x + [word() for _ in range(60)]) for x in (p, q)]
+    found = {r["doc_id"] for r in substring.passages(spark.createDataFrame(docs_of(texts), DOCS).repartition(4)).collect()}
+    assert found <= set(range(1, 400, 2)) and len(found) >= 0.95 * 200
+
+
 def test_repeated_words_are_matched_as_stretches(spark):
     rng = random.Random(13)
     body = lambda n: [f"x{rng.randrange(10**7)}" for _ in range(n)]
@@ -913,15 +969,23 @@ def test_flanks_never_bound_a_reach_too_low():
         at = np.array([25])
         b[25 : 25 + substring.K] = a[25 : 25 + substring.K]
         same = a == b
-        reach = substring._reach(same[:25][::-1]) + substring._reach(same[25 + substring.K :])
+
+        def reached(side):
+            score = np.cumsum(np.where(side, 1, -2))
+            drop = np.flatnonzero(np.maximum.accumulate(np.maximum(score, 0)) - score > substring.X_DROP)
+            score = score[: drop[0]] if len(drop) else score
+            return int(score.argmax()) + 1 if score.max(initial=0) > 0 else 0
+
+        reach = reached(same[:25][::-1]) + reached(same[25 + substring.K :])
         assert reach <= substring.reach_bound(substring.flanks(a, at), substring.flanks(b, at))[0]
 
 
 def test_chains_and_alignment():
     pos = np.array([0, 5, 12, 40, 41, 60])
-    assert substring.chains(pos, pos + 100) == [(0, 70, 100, 170, 6)]
+    end = 60 + substring.K
+    assert substring.chains(pos, pos + 100) == [(0, end, 100, 100 + end, 6)]
     shifted = np.where(pos < 30, pos, pos + 3)
-    assert [c[:2] for c in substring.chains(pos, shifted)] == [(0, 70)]
+    assert [c[:2] for c in substring.chains(pos, shifted)] == [(0, end)]
     crossing = np.array([500, 505, 512, 40, 41, 60])
     assert len(substring.chains(pos, crossing)) == 2
     rng = random.Random(1)
