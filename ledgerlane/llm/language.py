@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,7 +42,9 @@ REMEMBERED = 400_000
 #: Expected count that every piece starts with, and the likelihood of a letter outside the vocabulary.
 PRIOR, UNKNOWN = 0.05, 1e-7
 
-_WORDS = re.compile(r"[^\W\d_]+")
+_ASCII_WORDS = re.compile(r"[a-z]+")
+#: A letter (category L) and the letters and combining signs that follow it; numbers that look like letters are none.
+_WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Multiplier of the pieces' hashes.
 STEP = 0x9E3779B97F4A7C15
 START = "▁"  # the vocabulary's mark of a word's beginning
@@ -54,7 +57,9 @@ def default_vocabulary() -> str:
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORDS.findall(text.lower()) if text else []
+    if not text:
+        return []
+    return _ASCII_WORDS.findall(text.lower()) if text.isascii() else _WORDS.findall(text.lower())
 
 
 def vocabulary(path: str) -> list[str]:
@@ -224,15 +229,17 @@ def learn(labelled: DataFrame, path: str | None = None) -> dict:
 
 
 def sample(docs: DataFrame, learnable: Column) -> DataFrame:
-    """(text, lang) of at most SAMPLE learnable texts of each language, those of smallest id hash."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).filter("doc_id is not null and lang is not null").filter(learnable).distinct()
-    ids = ids.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
-    # about 2 * SAMPLE ids of each language reach the window, however many it has
+    """(text, lang) of at most SAMPLE different learnable texts of each language, those of smallest hash; an id that is
+    repeated with the same text counts once."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = rows.filter("doc_id is not null and lang is not null").filter(learnable).withColumn("th", F.xxhash64("text"))
+    ids = rows.select("doc_id", "lang", "th").distinct().withColumn("h", F.pmod(F.xxhash64("doc_id", "th"), F.lit(1 << 40)))
+    # about 2 * SAMPLE texts of each language reach the window, however many it has
     counts = broadcast_up_to(cut_lineage(ids.groupBy("lang").agg(F.count(F.lit(1)).alias("of"))), BROADCAST)
     near = ids.join(counts, "lang").filter(F.col("h").cast("double") * F.col("of") < F.lit(2.0 * SAMPLE) * F.lit(1 << 40))
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    few = broadcast_up_to(cut_lineage(near.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE).select("doc_id", "lang")), BROADCAST)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).join(few, ["doc_id", "lang"], "left_semi").select("text", "lang")
+    first = Window.partitionBy("lang").orderBy("h", "doc_id", "th")
+    few = broadcast_up_to(cut_lineage(near.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE).select("doc_id", "lang", "th")), BROADCAST)
+    return rows.join(few, ["doc_id", "lang", "th"], "left_semi").dropDuplicates(["doc_id", "lang", "th"]).select("text", "lang")
 
 
 class Scorer:

@@ -183,14 +183,22 @@ def learn(labelled: DataFrame) -> dict:
 
 
 def sample(docs: DataFrame, labels: DataFrame, learnable: Column) -> DataFrame:
-    """(doc_id, text, label) of at most SAMPLE labelled texts: the ids of smallest hash of each label."""
+    """(doc_id, text, label) of at most SAMPLE different texts of each label, of the ids of smallest hash; an id that is
+    repeated with the same text counts once."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)").filter(learnable).distinct()
+    first = lambda part, most: part.orderBy(F.xxhash64("doc_id"), *[c for c in ("doc_id", "th") if c in part.columns]).limit(most)
     picked = None
     for label, most in SAMPLE.items():
-        part = rows.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        part = first(rows.filter(F.col("label") == label), most)
         picked = part if picked is None else picked.union(part)
     ids = F.broadcast(picked)  # SAMPLE rows at most
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id")
+    texts = cut_lineage(texts.withColumn("th", F.xxhash64("text")).dropDuplicates(["doc_id", "label", "th"]))
+    few = None  # ids with many texts don't add to the bound
+    for label, most in SAMPLE.items():
+        part = first(texts.filter(F.col("label") == label), most)
+        few = part if few is None else few.union(part)
+    return few.drop("th")
 
 
 def may_learn() -> Column:
