@@ -44,6 +44,8 @@ PROBES = 8
 CHUNK, QUERIES, CODES = 512, 1_024, 8_192
 #: Slack of angles and distances for rounding.
 SLACK = 1e-6
+#: Slack of distances by lookup, which are summed in single precision.
+LOOKUP = 1e-3
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -110,17 +112,18 @@ class Index:
         return codes, (r**2).sum(axis=1) + 2 * (c * r).sum(axis=1), np.linalg.norm(x - c - r, axis=1)
 
     def tables(self, y: np.ndarray) -> np.ndarray:
-        """(queries, subspaces, words) inner products."""
-        return np.einsum("qmw,mkw->qmk", y.reshape(len(y), -1, WIDTH), self.words)
+        """(subspaces, words, queries) inner products; a code's row is one piece of memory."""
+        return np.einsum("qmw,mkw->mkq", y.reshape(len(y), -1, WIDTH), self.words).astype(np.float32)
 
     def distances(self, y: np.ndarray, tables: np.ndarray, codes: np.ndarray, home: np.ndarray, term: np.ndarray) -> np.ndarray:
-        """(queries, codes) distances of exact queries to coded vectors, by lookup."""
+        """(codes, queries) distances of exact queries to coded vectors, by lookup; right to about LOOKUP."""
         homes, which = np.unique(home, return_inverse=True)
         c = self.centres[homes]
-        near = ((c**2).sum(axis=1) - 2 * y @ c.T)[:, which] + (y**2).sum(axis=1)[:, None] + term
-        for m in range(codes.shape[1]):
-            near -= 2 * tables[:, m][:, codes[:, m]]
-        return np.sqrt(np.maximum(near, 0))
+        near = ((c**2).sum(axis=1)[:, None] - 2 * c @ y.T + (y**2).sum(axis=1)).astype(np.float32)[which] + term.astype(np.float32)[:, None]
+        inner = tables[0][codes[:, 0]]
+        for m in range(1, codes.shape[1]):
+            inner += tables[m][codes[:, m]]
+        return np.sqrt(np.maximum(near - 2 * inner, 0))
 
 
 def fitted(rows: DataFrame, n: int, dims: int) -> Index:
@@ -185,10 +188,9 @@ def gathered(codes: DataFrame, index: Index, theta: float) -> DataFrame:
         for i, c in zip(ids, centre.tolist(), strict=True):
             if i is not None and (low[c] is None or i < low[c]):
                 low[c] = i
-        alone = pa.array(centre == np.arange(len(x)))
-        kept = [pa.compute.if_else(alone, chunk[c].chunk(0), pa.scalar(None, chunk[c].type)) for c in ("home", "code", "term", "error")]
-        wide = [pa.array([v if k else None for v, k in zip(chunk[c].chunk(0), alone.to_pylist(), strict=True)], chunk[c].type) if not pa.compute.all(alone).as_py() else chunk[c].chunk(0) for c in ("vector", "probes")]
-        columns = [chunk["rid"], chunk["vec_id"], pa.array(rid[centre]), pa.array(members.astype(np.int32)), pa.array(radius), pa.array(low, pa.int64()), wide[0], *kept, wide[1]]
+        own = pa.array(centre, mask=centre != np.arange(len(x)))  # null but for centres
+        kept = [chunk[c].chunk(0).take(own) for c in ("vector", "home", "code", "term", "error", "probes")]
+        columns = [chunk["rid"], chunk["vec_id"], pa.array(rid[centre]), pa.array(members.astype(np.int32)), pa.array(radius), pa.array(low, pa.int64()), *kept]
         return pa.table(dict(zip((f.split()[0] for f in GATHERED.split(", ")), columns, strict=True)))
 
     # a row a list, LISTS at most
@@ -215,8 +217,8 @@ def candidates(balls: DataFrame, index: Index, theta: float) -> DataFrame:
             for at in range(0, len(q), step):
                 part = slice(at, at + step)
                 d = index.distances(q[part], index.tables(q[part]), codes, home, term)
-                hit = d <= chord(theta + radius[part, None] + far) + error + SLACK
-                i, j = np.nonzero(hit & (r[part, None] != other))
+                hit = d <= chord(theta + radius[part] + far[:, None]) + error[:, None] + LOOKUP
+                j, i = np.nonzero(hit & (r[part] != other[:, None]))
                 one, two = r[part][i], other[j]
                 a.append(np.minimum(one, two))
                 b.append(np.maximum(one, two))
