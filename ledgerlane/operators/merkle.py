@@ -37,33 +37,40 @@ def indexed(leaves: DataFrame, group: list[str], order: list[str], most: int) ->
     return numbered.join(before, [*group, "_range"]).withColumn("i", (F.col("_i") + F.col("_before")).cast("long")).drop("_i", "_before", "_range")
 
 
+#: Levels of a tree that one aggregation folds.
+FOLD = 6
+
+
+def _paired(level: Column) -> Column:
+    """The level above an array of hashes; an odd last one is lifted."""
+    half = F.sequence(F.lit(0), F.floor((F.size(level) - 1) / 2).cast("int"))
+    pairs = F.transform(half, lambda i: F.when(2 * i + 1 < F.size(level), node_hash(F.get(level, 2 * i), F.get(level, 2 * i + 1))).otherwise(F.get(level, 2 * i)))
+    return F.when(F.size(level) <= 1, level).otherwise(pairs)
+
+
 def roots(leaves: DataFrame, group: list[str], order: list[str], leaf: str) -> DataFrame:
     """MRK-1: group, root and leaves of each group's leaf hashes in order.
 
     Each level pairs neighbours and lifts an odd last node, which gives the same root as splitting at the
-    largest power of two below n. A level is one aggregation by (group, pair); the number of levels comes from
-    the largest group. No task holds a large group (see ``indexed``)."""
+    largest power of two below n. An aggregation by (group, i / 2^FOLD) folds FOLD levels of an array of 2^FOLD hashes at
+    most; the number of aggregations comes from the largest group. No task holds a large group (see ``indexed``)."""
     sizes = leaves.groupBy(*group).agg(F.count(F.lit(1)).alias("leaves"))
     most = sizes.agg(F.max("leaves")).first()[0] or 0
     level = indexed(leaves.select(*group, *order, F.col(leaf).alias("h")), group, order, most).select(*group, "i", "h", F.lit(1).cast("long").alias("leaves"))
-    for _ in range(max(0, most - 1).bit_length()):
-        pair = F.shiftright("i", 1)
-        left, right = F.max(F.when(F.col("i") % 2 == 0, F.col("h"))), F.max(F.when(F.col("i") % 2 == 1, F.col("h")))
-        level = level.groupBy(*group, pair.alias("i")).agg(left.alias("l"), right.alias("r"), F.sum("leaves").alias("leaves"))
-        level = level.select(*group, "i", F.when(F.col("r").isNull(), F.col("l")).otherwise(node_hash(F.col("l"), F.col("r"))).alias("h"), "leaves")
+    levels = max(0, most - 1).bit_length()
+    while levels > 0:
+        up = min(FOLD, levels)
+        level = level.groupBy(*group, F.shiftright("i", up).alias("i")).agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("n"), F.sum("leaves").alias("leaves"))
+        top = F.aggregate(F.sequence(F.lit(1), F.lit(up)), F.transform("n", lambda x: x["h"]), lambda hashes, _: _paired(hashes))
+        level = level.select(*group, "i", F.get(top, F.lit(0)).alias("h"), "leaves")
+        levels -= up
     return level.select(*group, F.col("h").alias("root"), "leaves")
 
 
 def array_root(hashes: Column) -> Column:
     """MRK-1 for small groups: root of an array of up to 65,536 leaf hashes, as one expression; more raise."""
-
-    def up(level: Column, _: Column) -> Column:
-        half = F.sequence(F.lit(0), F.floor((F.size(level) - 1) / 2).cast("int"))
-        pairs = F.transform(half, lambda i: F.when(2 * i + 1 < F.size(level), node_hash(F.get(level, 2 * i), F.get(level, 2 * i + 1))).otherwise(F.get(level, 2 * i)))
-        return F.when(F.size(level) <= 1, level).otherwise(pairs)
-
     hashes = F.when(F.size(hashes) <= 1 << 16, hashes).otherwise(F.raise_error(F.lit("too many leaves for one array")).cast("array<string>"))
-    return F.coalesce(F.get(F.aggregate(F.sequence(F.lit(1), F.lit(16)), hashes, up), F.lit(0)), F.lit(EMPTY))
+    return F.coalesce(F.get(F.aggregate(F.sequence(F.lit(1), F.lit(16)), hashes, lambda level, _: _paired(level)), F.lit(0)), F.lit(EMPTY))
 
 
 def batch_roots(items: DataFrame, batch: list[str], key: str, content_hash: str) -> DataFrame:

@@ -515,7 +515,7 @@ def stm6s(spark, sf):
 
 @register("stm9_streaming_dedupe", f"WITH {V.MSG} SELECT DISTINCT unit_key, text FROM msg")
 def stm9(spark, sf):
-    e = R.table_stream(spark, f"{sf}/events.parquet")
+    e = R.table_stream(spark, f"{sf}/events.parquet", files_per_batch=1)
     conv = F.concat(F.lit("C"), (F.col("user_id") % 20).cast("string"))
     rows = e.select(K.unit_key(conv, F.to_date("ts")).alias("unit_key"), F.col("event_type").alias("text"), F.col("ts").cast("timestamp").alias("at"))
     rows = rows.withColumn("key", F.concat_ws("/", "unit_key", "text"))

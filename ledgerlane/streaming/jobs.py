@@ -6,6 +6,7 @@ import json
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -140,6 +141,8 @@ def deduplicated(stream: DataFrame, key: str, at: str, late: str) -> DataFrame:
 
 VERSIONED = "subject long, seq long, kind string, content_hash string, version int, hint string, old string, new string, occurrence long"
 
+_VERSIONED = [x.split()[0] for x in VERSIONED.split(", ")]
+
 
 class Versions(StatefulProcessor):
     """State of a subject: its latest version (content, number, how many changes were recorded), a map of its known contents
@@ -156,16 +159,13 @@ class Versions(StatefulProcessor):
         held = self.last.get()
         latest, top, changes = held or (None, 0, 0)
         # what one trigger brings of a subject has to be put in order; the events it admits bound it
-        parts = list(rows)
-        here = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-        if len(here) > 1:
-            here = here.sort_values(["at", "seq"], kind="stable")
+        here = sorted((t for part in rows for t in zip(part["at"].to_numpy().tolist(), part["seq"].tolist(), part["content_hash"].tolist(), part["hints"].tolist(), strict=True)), key=itemgetter(0, 1))
         numbers: dict[str, int | None] = {}
         current = stored = None  # the latest version's hints: now, and as the state has them
         seen: set[tuple] = set()
         fresh = False  # whether the latest version began in this trigger
         out = []
-        for content, hints, seq in zip(here["content_hash"].tolist(), here["hints"].tolist(), here["seq"].tolist(), strict=True):
+        for _, seq, content, hints in here:
             now = None if hints is None else {k: v for k, v in (hints.items() if isinstance(hints, dict) else hints) if v is not None}
             if content != latest:
                 if content not in numbers:
@@ -197,7 +197,9 @@ class Versions(StatefulProcessor):
                 self.hints.updateValue((k,), (v,))
             for change in seen:
                 self.seen.updateValue((json.dumps(change),), (True,))
-        yield pd.DataFrame(out, columns=[x.split()[0] for x in VERSIONED.split(", ")]).astype({"version": "Int32", "occurrence": "Int64"})
+        if out:
+            columns = dict(zip(_VERSIONED, map(list, zip(*out, strict=True)), strict=True))
+            yield pd.DataFrame(columns | {"version": pd.array(columns["version"], "Int32"), "occurrence": pd.array(columns["occurrence"], "Int64")})
 
     def close(self) -> None:
         pass
