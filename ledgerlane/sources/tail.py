@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,6 +11,7 @@ import pyarrow as pa
 import pyarrow.dataset as ds
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
@@ -68,7 +70,7 @@ class TailReader(DataSourceStreamReader):
         for low, _, path, i in ahead:
             if len(next_ones) == self.max_events and low > next_ones[-1]:
                 break
-            seqs = np.asarray(pq.ParquetFile(path, filesystem=files).read_row_group(i, columns=[self.seq]).column(0))
+            seqs = np.asarray(pq.ParquetFile(path, filesystem=files).read_row_group(i, columns=[self.seq], use_threads=False).column(0))
             next_ones = np.sort(np.concatenate([next_ones, seqs[seqs > start]]))[: self.max_events]
         return int(next_ones[-1]) if len(next_ones) else start
 
@@ -91,7 +93,7 @@ class TailReader(DataSourceStreamReader):
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         files, where = _served(self.path)
         inside = (ds.field(self.seq) > partition.after) & (ds.field(self.seq) <= partition.until)
-        table = ds.dataset(_files(files, where), filesystem=files, format="parquet").to_table(columns=self.schema.names, filter=inside)
+        table = ds.dataset(_files(files, where), filesystem=files, format="parquet").to_table(columns=self.schema.names, filter=inside, use_threads=False)
         # instants of Spark's files have other units than its rows
         yield from table.sort_by(self.seq).cast(self.schema, safe=False).combine_chunks().to_batches()
 
@@ -118,6 +120,8 @@ class CustodyTail(DataSource):
 def custody_tail(spark: SparkSession, path: str, after: int = 0, max_events: int = 100_000, seq: str = "seq", schema: StructType | None = None, partitions: int = 8) -> DataFrame:
     """SRC-9: events of a stream's log with seq > after, up to the head and on with it; a trigger brings max_events
     at most, in seq order from one trigger to the next. A restarted query goes on behind what it has committed."""
+    # Spark plans a Python source in a process of its own, which doesn't see files that were added to the session
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(CustodyTail)
     reader = spark.readStream.format("custody_tail").option("path", path).option("after", after).option("max_events", max_events).option("seq", seq).option("partitions", partitions)
     return (reader.schema(schema) if schema is not None else reader).load()
