@@ -7,7 +7,7 @@ recorded once. Hints that are null are unknown and compared with nothing; a hint
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,8 +17,8 @@ from pyspark.sql.window import Window
 Hints = dict[str, str]
 
 
-def moved_hints(current: Hints, seen: set[tuple[str, str | None, str | None]], now: Hints) -> list[tuple[str, str | None, str | None]]:
-    """The changes (hint, old, new) from current to now that weren't seen, in order of hint; both are moved on."""
+def moved_hints(current: Hints, seen: Container[tuple[str, str | None, str | None]], now: Hints) -> list[tuple[str, str | None, str | None]]:
+    """The changes (hint, old, new) from current to now that weren't seen, in order of hint; both are moved on (seen by its ``add``)."""
     out = []
     for hint in sorted(current.keys() | now.keys()):
         change = (hint, current.get(hint), now.get(hint))

@@ -144,26 +144,36 @@ VERSIONED = "subject long, seq long, kind string, content_hash string, version i
 _VERSIONED = [x.split()[0] for x in VERSIONED.split(", ")]
 
 
+class _Recorded:
+    """The changes recorded of the latest version: those of this trigger, and those in the state, asked for one by one."""
+
+    def __init__(self, state: object | None) -> None:
+        self.state, self.new = state, set()
+
+    def __contains__(self, change: tuple) -> bool:
+        return change in self.new or self.state is not None and self.state.containsKey((json.dumps(change),))
+
+    def add(self, change: tuple) -> None:
+        self.new.add(change)
+
+
 class Versions(StatefulProcessor):
-    """State of a subject: its latest version (content, number, how many changes were recorded), a map of its known contents
-    to their numbers, and of the latest version the hints as they are now and the changes that moved them. A map's
-    entry is read or written by itself. A trigger reads each once, and nothing of a new subject."""
+    """State of a subject: its latest version (content, number, hints as they are now, how many changes were recorded), a map
+    of its known contents to their numbers, and the changes that moved the latest version's hints. An entry of a map is
+    read or written by itself; a trigger reads one once, and nothing of a new subject."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "content_hash string, version int, changes long")
+        self.last = handle.getValueState("last", "content_hash string, version int, changes long, hints string")
         self.known = handle.getMapState("known", "content_hash string", "version int")
-        self.hints = handle.getMapState("hints", "hint string", "value string")
         self.seen = handle.getMapState("seen", "change string", "there boolean")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:  # noqa: N802 (the API's name)
         held = self.last.get()
-        latest, top, changes = held or (None, 0, 0)
+        latest, top, changes, text = held or (None, 0, 0, "{}")
+        current, seen, fresh = json.loads(text), _Recorded(self.seen if held else None), False
         # what one trigger brings of a subject has to be put in order; the events it admits bound it
         here = sorted((t for part in rows for t in zip(part["at"].to_numpy().tolist(), part["seq"].tolist(), part["content_hash"].tolist(), part["hints"].tolist(), strict=True)), key=itemgetter(0, 1))
         numbers: dict[str, int | None] = {}
-        current = stored = None  # the latest version's hints: now, and as the state has them
-        seen: set[tuple] = set()
-        fresh = False  # whether the latest version began in this trigger
         out = []
         for _, seq, content, hints in here:
             now = None if hints is None else {k: v for k, v in (hints.items() if isinstance(hints, dict) else hints) if v is not None}
@@ -173,31 +183,22 @@ class Versions(StatefulProcessor):
                     numbers[content] = number[0] if number else None
                 if numbers[content] is None:
                     top += 1
-                    latest, numbers[content], current, seen, fresh = content, top, dict(now or {}), set(), True
+                    latest, numbers[content], current, seen, fresh = content, top, dict(now or {}), _Recorded(None), True
                     self.known.updateValue((content,), (top,))
                     out.append((key[0], seq, "version", content, top, None, None, None, None))
                 else:
                     changes += 1
                     out.append((key[0], seq, "reverted", content, numbers[content], None, latest, content, changes))
             elif now is not None:
-                if current is None:
-                    stored = {k[0]: v[0] for k, v in self.hints.iterator()}
-                    current, seen = dict(stored), {tuple(json.loads(k[0])) for k in self.seen.keys()}
                 for change in moved_hints(current, seen, now):
                     changes += 1
                     out.append((key[0], seq, "hint", content, top, *change, changes))
-        self.last.update((latest, top, changes))
         if fresh and held:
-            self.hints.clear()
             self.seen.clear()
-        if fresh or current != stored:
-            for k in (stored or {}).keys() - current.keys() if not fresh else ():
-                self.hints.removeKey((k,))
-            for k, v in current.items():
-                self.hints.updateValue((k,), (v,))
-            for change in seen:
-                self.seen.updateValue((json.dumps(change),), (True,))
+        for change in seen.new:
+            self.seen.updateValue((json.dumps(change),), (True,))
         if out:
+            self.last.update((latest, top, changes, json.dumps(current)))
             columns = dict(zip(_VERSIONED, map(list, zip(*out, strict=True)), strict=True))
             yield pd.DataFrame(columns | {"version": pd.array(columns["version"], "Int32"), "occurrence": pd.array(columns["occurrence"], "Int64")})
 
