@@ -42,9 +42,9 @@ WIDTH, WORDS, ROUNDS = 4, 256, 8
 PROBES = 8
 #: Rows gathered into balls together; queries and codes compared together.
 CHUNK, QUERIES, CODES = 512, 1_024, 8_192
-#: Slack of angles and distances for rounding.
-SLACK = 1e-6
-#: Slack of distances by lookup, which are summed in single precision.
+#: Room for rounding of angles and distances.
+ROUNDING = 1e-6
+#: Room for distances by lookup, which are summed in single precision.
 LOOKUP = 1e-3
 
 
@@ -163,7 +163,7 @@ GATHERED = "rid long, vec_id long, ball long, members int, radius double, low lo
 
 def gathered(codes: DataFrame, index: Index, theta: float) -> DataFrame:
     """Each row's ball, named by its centre's rid; the centre's row tells members, radius, smallest id and code."""
-    close = math.cos(theta / 2 - SLACK)
+    close = math.cos(theta / 2 - ROUNDING)
 
     def run(chunk: pa.Table) -> pa.Table:
         chunk = chunk.sort_by("rid").combine_chunks()
@@ -180,7 +180,7 @@ def gathered(codes: DataFrame, index: Index, theta: float) -> DataFrame:
                 centre[own] = i
                 free &= ~own
         members = np.bincount(centre, minlength=len(x))
-        angle = np.where(centre == np.arange(len(x)), 0, np.arccos(np.clip(cosines[np.arange(len(x)), centre], -1, 1)) + SLACK)
+        angle = np.where(centre == np.arange(len(x)), 0, np.arccos(np.clip(cosines[np.arange(len(x)), centre], -1, 1)) + ROUNDING)
         radius = np.zeros(len(x))
         np.maximum.at(radius, centre, angle)
         ids = chunk["vec_id"].to_pylist()
@@ -255,8 +255,8 @@ def judged(pairs: DataFrame, balls: DataFrame, index: Index, least: float) -> Da
             cosine = np.einsum("ij,ij->i", index.units(batch.column(4)), index.units(batch.column(5)))
             angle, radius = np.arccos(np.clip(cosine, -1, 1)), np.asarray(batch.column(6)) + np.asarray(batch.column(7))
             single = radius == 0
-            whole = np.where(single, cosine >= least, angle + radius <= theta - SLACK)
-            keep = pa.array(whole | (~single & (angle - radius <= theta + SLACK)))
+            whole = np.where(single, cosine >= least, angle + radius <= theta - ROUNDING)
+            keep = pa.array(whole | (~single & (angle - radius <= theta + ROUNDING)))
             out = pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(whole)], [f.split()[0] for f in JUDGED.split(", ")])
             yield out.filter(keep)
 
