@@ -1,8 +1,8 @@
 """Sinks: canonical JSON lines with the digest of their file, report files in fixed order, packages.
 
 A logical file ``x.jsonl`` is a folder of part files in the order of its lines; its bytes are those of the parts, one
-after the other. SHA-256 of a whole file is sequential by nature: one task a file streams the parts, while each part's
-own record is made by itself."""
+after the other. SHA-256 of a whole file is sequential by nature: it is carried from one slice of a file to the next, a task
+each, while each part's own record is made by itself."""
 
 from __future__ import annotations
 
@@ -14,11 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlane.functions.canonical import canonical_row
+from ledgerlane.functions.resumable import Sha256
 from ledgerlane.operators.digest import carried, lane_sums
-from ledgerlane.plans.shared import table_exists
+from ledgerlane.plans.shared import settings, table_exists
 
-#: Lines of a part file at most, so that a part is read by a task at once.
-PART_LINES = 500_000
+#: Lines of a part file at most, so that a part is read by a task at once; bytes of a file that a task digests.
+PART_LINES, SLICE = 50_000, 256 << 20
 DIGEST = "file string, lines long, bytes long, sha256 string"
 
 
@@ -28,40 +29,74 @@ def write_lines(rows: DataFrame, path: str, order: list) -> None:
     lines.orderBy(*[f"_o{i}" for i in range(len(order))]).select("value").write.mode("overwrite").option("maxRecordsPerFile", PART_LINES).text(path)
 
 
-def part_records(spark: SparkSession, path: str) -> DataFrame:
-    """file, part, bytes and sha256 of each part file of the logical files below path, and its content."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
+def _named(raw: DataFrame) -> DataFrame:
+    """Binary files with the logical file and the part that they are."""
     steps = F.split("path", "/")
-    return raw.select(F.url_decode(F.element_at(steps, -2)).alias("file"), F.element_at(steps, -1).alias("part"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), "content")
+    return raw.withColumn("file", F.url_decode(F.element_at(steps, -2))).withColumn("part", F.element_at(steps, -1)).withColumn("bytes", F.col("length"))
 
 
-def file_digests(spark: SparkSession, path: str, names: tuple[str, ...] = ()) -> DataFrame:
-    """SNK-1: file, lines, bytes and SHA-256 of the bytes of each logical file below path, as it is stored. Spark's
-    scan doesn't see part files without bytes, so an empty file is told only if it is among names and is there."""
+def _binary(spark: SparkSession, path: str) -> DataFrame:
+    return _named(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, state, lines, size = None, hashlib.sha256(), 0, 0
 
-        def record() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([own]), pa.array([lines]), pa.array([size]), pa.array([state.hexdigest()])], [c.split()[0] for c in DIGEST.split(", ")])
+def part_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """file, part, path and bytes of each part file of the logical files below path, whose content isn't read."""
+    return _binary(spark, path).select("file", "part", "path", "bytes")
 
-        for batch in batches:
-            for file, content in zip(batch.column(0), batch.column(1), strict=True):
-                if file.as_py() != own:
-                    if own is not None:
-                        yield record()
-                    own, state, lines, size = file.as_py(), hashlib.sha256(), 0, 0
-                data = content.as_buffer()
-                state.update(data)
-                lines += content.as_py().count(b"\n")
-                size += data.size
-        if own is not None:
-            yield record()
 
-    parts = part_records(spark, path).select("file", "part", "content")
-    found = parts.repartition("file").sortWithinPartitions("file", "part").select("file", "content").mapInArrow(run, DIGEST)
-    there = [(n, 0, 0, hashlib.sha256().hexdigest()) for n in names if table_exists(spark, f"{path}/{n}")]
-    return found.unionByName(spark.createDataFrame(there, DIGEST).join(parts.select("file").distinct(), "file", "left_anti")) if there else found
+def part_records(spark: SparkSession, path: str) -> DataFrame:
+    """file, part, bytes and sha256 of each part file of the logical files below path, and its content."""
+    return _binary(spark, path).select("file", "part", "bytes", F.sha2("content", 256).alias("sha256"), "content")
+
+
+def _slices(spark: SparkSession, path: str, but: tuple[str, ...]) -> list[list[str]]:
+    """The part files below path, without those of the files in but, in rounds: of each file the next parts of SLICE
+    bytes together, or one. The driver holds names and sizes."""
+    sizes = part_sizes(spark, path).filter(~F.col("file").isin(*but)) if but else part_sizes(spark, path)
+    rounds: dict[int, list[str]] = {}
+    at: dict[str, tuple[int, int]] = {}
+    for r in sizes.orderBy("file", "part").toLocalIterator():
+        turn, held = at.get(r["file"], (0, 0))
+        if held and held + r["bytes"] > SLICE:
+            turn, held = turn + 1, 0
+        at[r["file"]] = (turn, held + r["bytes"])
+        rounds.setdefault(turn, []).append(r["path"])
+    return [rounds[i] for i in sorted(rounds)]
+
+
+def file_digests(spark: SparkSession, path: str, names: tuple[str, ...] = (), but: tuple[str, ...] = ()) -> DataFrame:
+    """SNK-1: file, lines, bytes and SHA-256 of the bytes of each logical file below path (without those in but), as it is
+    stored. Spark's scan doesn't see part files without bytes, so an empty file is told only if it is among names and is
+    there.
+
+    A task takes a slice of a file and hands the digest's state on to the task of the next one, by the driver, so a file
+    may have any size; files go side by side."""
+    held: dict[str, tuple[bytes | None, int, int]] = {}
+    for paths in _slices(spark, path, but):
+
+        def run(batches: Iterator[pa.RecordBatch], held: dict = held) -> Iterator[pa.RecordBatch]:
+            found: dict[str, tuple[Sha256, int, int]] = {}
+            for batch in batches:
+                for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    if file not in found:
+                        state, lines, size = held.get(file, (None, 0, 0))
+                        found[file] = (Sha256(state), lines, size)
+                    digest, lines, size = found[file]
+                    data = content.as_buffer()
+                    if data.size:
+                        digest.update(data.address, data.size)
+                    found[file] = (digest, lines + data.to_pybytes().count(b"\n"), size + data.size)
+            for file, (digest, lines, size) in found.items():
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([digest.state]), pa.array([lines]), pa.array([size])], ["file", "state", "lines", "bytes"])
+
+        parts = _named(spark.read.format("binaryFile").load(paths)).select("file", "part", "content").repartition("file").sortWithinPartitions("file", "part")
+        # a part is a batch by itself; a row a file comes back
+        with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1"}):
+            found = parts.select("file", "content").mapInArrow(run, "file string, state binary, lines long, bytes long").collect()
+        held = held | {r["file"]: (bytes(r["state"]), r["lines"], r["bytes"]) for r in found}
+    rows = [(file, lines, size, Sha256(state).hexdigest()) for file, (state, lines, size) in held.items()]
+    rows += [(n, 0, 0, hashlib.sha256().hexdigest()) for n in names if n not in held and table_exists(spark, f"{path}/{n}")]
+    return spark.createDataFrame(rows, DIGEST)
 
 
 def write_jsonl(rows: DataFrame, path: str, order: list) -> DataFrame:
@@ -100,7 +135,7 @@ def write_package(events: DataFrame, items: DataFrame, evidence: DataFrame, anch
     for (name, order), rows in zip(PACKAGE_FILES.items(), (own(events), held, kept, own(anchors)), strict=True):
         write_lines(rows, f"{path}/{name}", order)
     objects.join(kept.select("sha256").distinct(), "sha256", "left_semi").write.mode("overwrite").parquet(f"{path}/objects")
-    manifest = file_digests(spark, path, tuple(PACKAGE_FILES)).filter(F.col("file").isin(*PACKAGE_FILES))
+    manifest = file_digests(spark, path, tuple(PACKAGE_FILES), ("objects", "manifest.json")).filter(F.col("file").isin(*PACKAGE_FILES))
     manifest = manifest.unionByName(heads.select("stream", "seq", "event_hash"), allowMissingColumns=True)
     manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest.json")  # four files, and a row a stream
     return manifest

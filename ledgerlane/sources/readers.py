@@ -155,7 +155,7 @@ def package(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     out = {name: spark.read.schema(schema).json(f"{path}/{name}.jsonl", mode="FAILFAST") for name, schema in PACKAGE.items()}
     manifest = spark.read.schema(MANIFEST).json(f"{path}/manifest.json", mode="FAILFAST")
     out |= {"stated": manifest.filter("file is not null").select("file", "lines", "bytes", "sha256"), "heads": manifest.filter("stream is not null").select("stream", "seq", "event_hash")}
-    out["found"] = file_digests(spark, path, tuple(PACKAGE_FILES)).filter(~F.col("file").isin("manifest.json", "objects"))
+    out["found"] = file_digests(spark, path, tuple(PACKAGE_FILES), ("manifest.json", "objects"))
     out["objects"] = spark.read.parquet(f"{path}/objects").select("sha256", "content", F.sha2("content", 256).alias("own_sha256"), F.length("content").cast("long").alias("own_size"))
     return out
 

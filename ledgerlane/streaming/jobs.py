@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from operator import itemgetter
 
 import pandas as pd
@@ -17,29 +16,13 @@ from pyspark.sql.window import Window
 
 from ledgerlane.operators.merkle import EMPTY, batch_roots
 from ledgerlane.operators.sightings import moved_hints
-from ledgerlane.plans.shared import materialized, publish, table_exists
+from ledgerlane.plans.shared import materialized, publish, settings, table_exists
 
 
 #: State stores on disk, for state that grows with the data.
 ON_DISK = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
-@contextmanager
-def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
-    """Session settings for a while; a query keeps those it was started with."""
-    held = {name: spark.conf.get(name, None) for name in wanted}
-    for name, value in wanted.items():
-        spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        for name, value in held.items():
-            if value is None:
-                spark.conf.unset(name)
-            else:
-                spark.conf.set(name, value)
-
-
 def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", conf: dict[str, str] | None = None, to_head: bool = False) -> None:
     """Processes what is there now, batch by batch, and stops; a restart goes on after the last batch. conf holds for
     this query. to_head: for sources that admit a part of the rest at a time, as the custody tail does."""

@@ -109,3 +109,18 @@ def test_evidence_bytes_of_stored_files(spark, tmp_path):
 def test_keys_have_four_parts(spark):
     got = spark.range(1).select(K.idempotency_key(F.lit("t"), F.lit("chat"), F.lit("m"), F.lit("h"))).first()[0]
     assert got == hashlib.sha256(b"t\x1fchat\x1fm\x1fh").hexdigest()
+
+
+def test_digest_is_carried_over_slices(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "PART_LINES", 7)
+    monkeypatch.setattr(files, "SLICE", 100)
+    rows = spark.range(200).select("id", F.sha2(F.col("id").cast("string"), 256).alias("h")).repartition(6)
+    for name in ("x.jsonl", "y.jsonl"):
+        files.write_lines(rows, str(tmp_path / name), ["id"])
+    assert len(files._slices(spark, str(tmp_path), ())) > 20  # tasks that one file's digest passes through
+    want = {}
+    for name in ("x.jsonl", "y.jsonl"):
+        data = b"".join(p.read_bytes() for p in sorted((tmp_path / name).glob("part-*")))
+        want[name] = (200, len(data), hashlib.sha256(data).hexdigest())
+    assert {r["file"]: (r["lines"], r["bytes"], r["sha256"]) for r in files.file_digests(spark, str(tmp_path)).collect()} == want
+    assert [r["file"] for r in files.file_digests(spark, str(tmp_path), but=("x.jsonl",)).collect()] == ["y.jsonl"]
