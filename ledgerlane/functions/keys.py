@@ -36,11 +36,12 @@ def derived_subject(subject: Column, what: str) -> Column:
 
 
 def canonical_struct(**fields: Column) -> Column:
-    """SCL-3 for fixed shapes: JSON with names in order, nulls kept, control characters in lower-case hex."""
-    text = F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+    """SCL-3 for fixed shapes: JSON with names in order, nulls kept, control characters in lower-case hex; only texts that
+    may hold one are searched for each."""
+    plain = text = F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
     for code in (0x0B, 0x0E, 0x0F, 0x1A, 0x1B, 0x1C, 0x1D, 0x1E, 0x1F):
         text = F.regexp_replace(text, rf"(?<!\\)((?:\\\\)*)\\u{code:04X}", rf"$1\\u{code:04x}")
-    return text
+    return F.when(F.contains(plain, F.lit("\\u00")), text).otherwise(plain)
 
 
 def canonical_hash(**fields: Column) -> Column:
