@@ -487,7 +487,7 @@ def _machine(spark, sf, state, initial, events, name):
     """A state machine per subject over the log of sightings, in several triggers."""
     path, n = _log(spark, V.versions(spark, sf).select("subject", "content_hash", "hint", "at", "seq"), ["at", "seq"], name)
     rows = custody_tail(spark, path, seq="place", max_events=-(-n // TRIGGERS)).select(F.col("subject").cast("string").alias("key"), state.alias("state"), F.col("place").alias("seq"))
-    return _collected(spark, J.observation_machine(rows, initial, events), name, to_head=True)
+    return _collected(spark, J.observation_machine(rows, initial, events), name, conf=J.ON_DISK, to_head=True)
 
 
 @register("stm2_absence_stream", f"""WITH {_PLACED}, l AS (SELECT *, hint <> 'F' AS present, coalesce(lag(hint <> 'F') OVER (PARTITION BY subject ORDER BY place), true) AS before FROM placed)
@@ -510,7 +510,7 @@ def stm6s(spark, sf):
     m = V.msg(spark, sf)
     path, n = _log(spark, m.select(F.col("author").alias("key"), (F.col("k") % 4 == 0).alias("has"), (F.col("text") == "error").alias("deleted"), F.col("event_id").alias("seq")), ["seq"], "reactions")
     rows = custody_tail(spark, path, seq="place", max_events=-(-n // TRIGGERS)).drop("place")
-    return _collected(spark, J.reaction_stream(rows), "reactions", to_head=True).select("key", "seq", "has")
+    return _collected(spark, J.reaction_stream(rows), "reactions", conf=J.ON_DISK, to_head=True).select("key", "seq", "has")
 
 
 @register("stm9_streaming_dedupe", f"WITH {V.MSG} SELECT DISTINCT unit_key, text FROM msg")

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import json
+import pickle
 import uuid
-from collections.abc import Callable, Iterator
-from operator import itemgetter
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
 from ledgerlane.operators.merkle import EMPTY, batch_roots
@@ -127,98 +126,101 @@ VERSIONED = "subject long, seq long, kind string, content_hash string, version i
 _VERSIONED = [x.split()[0] for x in VERSIONED.split(", ")]
 
 
-class _Recorded:
-    """The changes recorded of the latest version: those of this trigger, and those in the state, asked for one by one."""
-
-    def __init__(self, state: object | None) -> None:
-        self.state, self.new = state, set()
-
-    def __contains__(self, change: tuple) -> bool:
-        return change in self.new or self.state is not None and self.state.containsKey((json.dumps(change),))
-
-    def add(self, change: tuple) -> None:
-        self.new.add(change)
-
-
-class Versions(StatefulProcessor):
-    """State of a subject: its latest version (content, number, hints as they are now, how many changes were recorded), a map
-    of its known contents to their numbers, and the changes that moved the latest version's hints. An entry of a map is
-    read or written by itself; a trigger reads one once, and nothing of a new subject."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "content_hash string, version int, changes long, hints string")
-        self.known = handle.getMapState("known", "content_hash string", "version int")
-        self.seen = handle.getMapState("seen", "change string", "there boolean")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:  # noqa: N802 (the API's name)
-        held = self.last.get()
-        latest, top, changes, text = held or (None, 0, 0, "{}")
-        current, seen, fresh = json.loads(text), _Recorded(self.seen if held else None), False
-        # what one trigger brings of a subject has to be put in order; the events it admits bound it
-        here = sorted((t for part in rows for t in zip(part["at"].to_numpy().tolist(), part["seq"].tolist(), part["content_hash"].tolist(), part["hints"].tolist(), strict=True)), key=itemgetter(0, 1))
-        numbers: dict[str, int | None] = {}
-        out = []
-        for _, seq, content, hints in here:
-            now = None if hints is None else {k: v for k, v in (hints.items() if isinstance(hints, dict) else hints) if v is not None}
-            if content != latest:
-                if content not in numbers:
-                    number = self.known.getValue((content,)) if held else None
-                    numbers[content] = number[0] if number else None
-                if numbers[content] is None:
-                    top += 1
-                    latest, numbers[content], current, seen, fresh = content, top, dict(now or {}), _Recorded(None), True
-                    self.known.updateValue((content,), (top,))
-                    out.append((key[0], seq, "version", content, top, None, None, None, None))
-                else:
-                    changes += 1
-                    out.append((key[0], seq, "reverted", content, numbers[content], None, latest, content, changes))
-            elif now is not None:
-                for change in moved_hints(current, seen, now):
-                    changes += 1
-                    out.append((key[0], seq, "hint", content, top, *change, changes))
-        if fresh and held:
-            self.seen.clear()
-        for change in seen.new:
-            self.seen.updateValue((json.dumps(change),), (True,))
-        if out:
-            self.last.update((latest, top, changes, json.dumps(current)))
-            columns = dict(zip(_VERSIONED, map(list, zip(*out, strict=True)), strict=True))
-            yield pd.DataFrame(columns | {"version": pd.array(columns["version"], "Int32"), "occurrence": pd.array(columns["occurrence"], "Int64")})
-
-    def close(self) -> None:
-        pass
+#: Parts of the keys that have a state together, so that a trigger calls Python, and reads and writes state, once a part.
+PARTS = 1024
+
+
+def _by_part(stream: DataFrame, key: str) -> GroupedData:
+    """Rows by a part of their keys; null has a part of its own."""
+    return stream.withColumn("_part", F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(PARTS))).cast("int")).groupBy("_part")
+
+
+def _held(state: GroupState) -> dict:
+    """What a part's state holds of its keys."""
+    return pickle.loads(state.get[0]) if state.exists else {}
+
+
+def _placed(parts: Iterator[pd.DataFrame], key: str) -> tuple[pd.DataFrame, list, np.ndarray, np.ndarray]:
+    """What one trigger brings of some keys, in order of key and seq; the keys, the number of each row's, and where each begins.
+    The events that a trigger admits bound it."""
+    rows = pd.concat(list(parts), ignore_index=True)
+    codes, keys = pd.factorize(rows[key], use_na_sentinel=False)
+    order = np.lexsort((rows["seq"].to_numpy(), codes))
+    codes = codes[order]
+    return rows.iloc[order], [None if pd.isna(k) else k for k in keys], codes, np.flatnonzero(np.diff(codes, prepend=-1))
+
+
+def _versioned(subject: object, rows: Iterable[tuple], held: tuple, out: list[tuple]) -> tuple:
+    """What a subject's state becomes, (numbers of known contents, latest, changes, its hints as they are now, the changes
+    recorded of it), by rows (seq, content, hints) in their order, whose events are added to out."""
+    known, latest, changes, current, seen = held
+    for seq, content, hints in rows:
+        now = None if hints is None else {k: v for k, v in (hints.items() if isinstance(hints, dict) else hints) if v is not None}
+        if content != latest:
+            if content not in known:
+                latest, known[content], current, seen = content, len(known) + 1, dict(now or {}), set()
+                out.append((subject, seq, "version", content, known[content], None, None, None, None))
+            else:
+                changes += 1
+                out.append((subject, seq, "reverted", content, known[content], None, latest, content, changes))
+        elif now is not None:
+            for change in moved_hints(current, seen, now):
+                changes += 1
+                out.append((subject, seq, "hint", content, len(known), *change, changes))
+    return known, latest, changes, current, seen
 
 
 def stateful_versions(stream: DataFrame) -> DataFrame:
     """STM-5: versions, reverts and moved hints of each subject (subject, content_hash, hints, at, seq), as WIN-1, WIN-8 and
     WIN-9 have them. Known contents are kept without an end, since forgetting one would make a revert a
-    version; start it with the settings ``ON_DISK``."""
-    return stream.groupBy("subject").transformWithStateInPandas(Versions(), VERSIONED, "append", "none")
+    version; start it with the settings ``ON_DISK``. A subject's state is its own in that of its part: only those that a
+    trigger brings are opened."""
+
+    def step(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts), ignore_index=True)
+        codes, subjects = pd.factorize(rows["subject"], use_na_sentinel=False)
+        order = np.lexsort((rows["seq"].to_numpy(), rows["at"].to_numpy().astype("int64"), codes))
+        begins = np.flatnonzero(np.diff(codes[order], prepend=-1))
+        seq, content, hints = (rows[c].iloc[order].tolist() for c in ("seq", "content_hash", "hints"))
+        held, out = _held(state), []
+        for code, low, high in zip(codes[order][begins].tolist(), begins.tolist(), [*begins[1:].tolist(), len(order)], strict=True):
+            subject = None if pd.isna(subjects[code]) else int(subjects[code])
+            own = pickle.loads(held[subject]) if subject in held else ({}, None, 0, {}, set())
+            held[subject] = pickle.dumps(_versioned(subject, zip(seq[low:high], content[low:high], hints[low:high], strict=True), own, out))
+        state.update((pickle.dumps(held),))
+        columns = dict(zip(_VERSIONED, map(list, zip(*out, strict=True)), strict=True)) if out else {c: [] for c in _VERSIONED}
+        yield pd.DataFrame(columns | {c: pd.array(columns[c], "Int64") for c in ("subject", "occurrence")} | {"version": pd.array(columns["version"], "Int32")})
+
+    return _by_part(stream, "subject").applyInPandasWithState(step, VERSIONED, "held binary", "append", GroupStateTimeout.NoTimeout)
 
 
 MACHINE = "key string, event string, seq long, state string, occurrence long"
 
 
-def _ordered(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """What one trigger brings of a key, in order; the events that a trigger admits bound it."""
-    return pd.concat(list(parts), ignore_index=True).sort_values("seq", kind="stable")
-
-
 def observation_machine(stream: DataFrame, initial: str, events: dict[str, str]) -> DataFrame:
     """STM-2, 3 and 4 as a stream: an event when a key's state (key, state, seq) changes, and how often it has; events
     maps the new state to the event's name, with ``*`` for any other. A key's state is its last state and its count."""
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, n = state.get if state.exists else (initial, 0)
-        rows, out = _ordered(parts), []
-        for now, seq in zip(rows["state"], rows["seq"], strict=True):
-            if now != held:
-                held, n = now, n + 1
-                out.append((key[0], events.get(now, events.get("*", now)), seq, now, n))
-        state.update((held, n))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in MACHINE.split(", ")])
-
-    return stream.groupBy("key").applyInPandasWithState(step, MACHINE, "state string, n long", "append", GroupStateTimeout.NoTimeout)
+    def step(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows, keys, codes, begins = _placed(parts, "key")
+        held = _held(state)
+        own = [held.get(keys[c], (initial, 0)) for c in codes[begins]]
+        now = rows["state"].to_numpy(dtype=object)
+        before = np.concatenate([[None], now[:-1]])
+        before[begins] = [last for last, _ in own]
+        moved = np.fromiter((a != b for a, b in zip(now, before, strict=True)), bool, len(now))
+        # changes so far in the trigger, less those of the keys before, and those of the triggers before
+        n = np.cumsum(moved)
+        lengths = np.diff(begins, append=len(now))
+        n += np.repeat(np.array([k for _, k in own], dtype=np.int64) - (n[begins] - moved[begins]), lengths)
+        ends = begins + lengths - 1
+        held.update((keys[c], (last, int(k))) for c, last, k in zip(codes[ends], now[ends], n[ends], strict=True))
+        state.update((pickle.dumps(held),))
+        at = np.flatnonzero(moved)
+        names = [events.get(x, events.get("*", x)) for x in now[at]]
+        yield pd.DataFrame({"key": [keys[c] for c in codes[at]], "event": names, "seq": rows["seq"].to_numpy()[at], "state": now[at], "occurrence": n[at]})
+
+    return _by_part(stream, "key").applyInPandasWithState(step, MACHINE, "held binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def reaction_stream(stream: DataFrame) -> DataFrame:
@@ -226,17 +228,19 @@ def reaction_stream(stream: DataFrame) -> DataFrame:
     once the key had some; never of a deleted message. A key's state is whether it had any."""
     schema = "key string, seq long, has boolean"
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        had = state.get[0] if state.exists else False
-        rows = _ordered(parts)
-        rows = rows[~rows["deleted"].astype(bool)]
+    def step(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows, keys, codes, _ = _placed(parts, "key")
+        there = ~rows["deleted"].to_numpy(dtype=bool)
+        rows, codes = rows[there], codes[there]
+        held = _held(state)
         has = rows["has"].astype(bool)
-        before = has.cummax().shift(fill_value=False) | had
-        kept = rows[has | before]
-        state.update((bool(had or has.any()),))
-        yield pd.DataFrame({"key": key[0], "seq": kept["seq"], "has": kept["has"].astype(bool)})
+        before = has.groupby(codes).transform(lambda x: x.cummax().shift(fill_value=False)).to_numpy(dtype=bool) if len(rows) else np.zeros(0, bool)
+        kept = has.to_numpy() | before | np.array([keys[c] in held for c in codes], dtype=bool)
+        held.update((keys[c], True) for c in np.unique(codes[has.to_numpy()]))
+        state.update((pickle.dumps(held),))
+        yield pd.DataFrame({"key": [keys[c] for c in codes[kept]], "seq": rows["seq"][kept].to_numpy(), "has": has[kept].to_numpy()})
 
-    return stream.groupBy("key").applyInPandasWithState(step, schema, "had boolean", "append", GroupStateTimeout.NoTimeout)
+    return _by_part(stream, "key").applyInPandasWithState(step, schema, "held binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def job_feed(events: DataFrame, units: DataFrame, settled: tuple[str, ...]) -> DataFrame:

@@ -130,3 +130,21 @@ def test_ingest_publishes_all_or_nothing(spark, tmp_path, monkeypatch):
         assert {t: rows.count() for t, rows in tables.items()} == {"items": 3, "links": 4, "events": 3, "checkpoints": 2}
         assert sorted((r["unit_key"], r["pages_done"], r["item_count"]) for r in tables["events"].collect()) == [("u", 1, 2), ("u", 2, 1), ("v", 1, 1)]
         assert len({r["commit"] for rows in tables.values() for r in rows.collect()}) == 1
+
+
+def test_keys_of_a_part_keep_their_own_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "PARTS", 2)  # many keys a call of Python
+    calls = random.Random(7)
+    rows = [(i + 1, calls.choice(["a", "b", "c", "d", None]), calls.choice(["seen", "absent", "lost"])) for i in range(200)]
+    held, want = {}, []
+    for seq, key, now in rows:
+        last, n = held.get(key, ("seen", 0))
+        if now != last:
+            held[key] = (now, n + 1)
+            want.append((key, "again" if now == "seen" else "away", seq, now, n + 1))
+    log, out = str(tmp_path / "log"), str(tmp_path / "out")
+    for part in (rows[:120], rows[120:]):
+        spark.createDataFrame(part, "seq long, key string, state string").coalesce(1).write.mode("append").parquet(log)
+        stream = jobs.observation_machine(custody_tail(spark, log, max_events=50), "seen", {"seen": "again", "*": "away"})
+        jobs.run_available(stream, lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}"), str(tmp_path / "cp"), conf=jobs.ON_DISK, to_head=True)
+    assert sorted([tuple(r) for r in spark.read.parquet(out).drop("batch").collect()], key=repr) == sorted(want, key=repr)
