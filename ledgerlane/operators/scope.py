@@ -25,6 +25,23 @@ def in_scope(at: Column, ranges: Column) -> Column:
     return at.isNull() | F.coalesce(F.size(ranges) == 0, F.lit(True)) | hit
 
 
+def messages_in_scope(messages: DataFrame, scopes: DataFrame, key: str = "conversation_id", at: str = "sent_at") -> DataFrame:
+    """FLT-1 for tables: messages with ``in_scope``: whether a range of their key's scopes (key, date_from, date_to) holds
+    them; a key without scopes or no time: true.
+
+    Ranges of a key are merged first and cut into bins of days, so a message meets the ranges of its own bin only, which
+    neither overlap nor touch."""
+    ends = scopes.groupBy(key, "date_from").agg(F.max("date_to").alias("date_to"))
+    day = lambda c: F.unix_date(F.to_date(c))
+    ranges = merge_intervals(ends.filter("date_from < date_to"), [key], "date_from", "date_to")
+    binned = ranges.withColumn("_bin", F.explode(F.sequence(F.floor(day("date_from") / BIN), F.floor(day("date_to") / BIN))))
+    held = binned.groupBy(key, "_bin").agg(F.collect_list(F.struct("date_from", "date_to")).alias("_ranges"))
+    keys = scopes.select(key, F.lit(True).alias("_scoped")).distinct()
+    j = messages.withColumn("_bin", F.floor(day(at) / BIN)).join(held, [key, "_bin"], "left").join(keys, key, "left")
+    hit = F.coalesce(F.exists("_ranges", lambda r: (F.col(at) >= r["date_from"]) & (F.col(at) < r["date_to"])), F.lit(False))
+    return j.select(*messages.columns, (F.col(at).isNull() | F.col("_scoped").isNull() | hit).alias("in_scope"))
+
+
 def unit_day_filter(at: Column, day: Column) -> Column:
     """FLT-3: whether at is on the UTC day."""
     return (at >= day.cast("timestamp")) & (at < F.date_add(day, 1).cast("timestamp"))

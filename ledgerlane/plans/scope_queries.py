@@ -72,9 +72,8 @@ def win12(spark, sf):
 @register("flt1_in_scope", f"""WITH {V.MSG}, {_SCOPES} SELECT m.event_id, NOT EXISTS (SELECT 1 FROM scopes s WHERE s.external_id = m.conversation_id) OR EXISTS (SELECT 1 FROM scopes s WHERE s.external_id =
   m.conversation_id AND m.sent_at >= s.date_from AND m.sent_at < s.date_to) AS in_scope FROM msg m""")
 def flt1(spark, sf):
-    r = _scopes(spark, sf).groupBy(F.col("external_id").alias("conversation_id")).agg(F.collect_list(F.struct("date_from", "date_to")).alias("ranges"))
-    m = V.msg(spark, sf).join(r, "conversation_id", "left")
-    return m.select("event_id", S.in_scope(F.col("sent_at"), F.col("ranges")).alias("in_scope"))
+    r = _scopes(spark, sf).select(F.col("external_id").alias("conversation_id"), "date_from", "date_to")
+    return S.messages_in_scope(V.msg(spark, sf), r).select("event_id", "in_scope")
 
 
 @register("flt2_select_messages", f"WITH {V.MSG} SELECT event_id, unit_key, row_number() OVER (PARTITION BY unit_key ORDER BY event_id) - 1 AS page_index FROM msg QUALIFY event_id IN (SELECT root_id FROM msg)")
