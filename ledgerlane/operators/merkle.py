@@ -23,22 +23,28 @@ def node_hash(left: Column, right: Column) -> Column:
     return F.sha2(F.concat(F.unhex(F.lit("01")), F.unhex(left), F.unhex(right)), 256)
 
 
-def indexed(leaves: DataFrame, group: list[str], order: list[str], most: int) -> DataFrame:
-    """leaves with their place i (from 0) in their group. Groups of up to TASK_ROWS are numbered by a window;
+def indexed(leaves: DataFrame, group: list[str], order: list[str], most: int, twice: str | None = None) -> DataFrame:
+    """leaves with their place i (from 0) in their group; an order that comes twice in it raises ``twice``.
+
+    Groups of up to TASK_ROWS are numbered by a window;
     if one is larger (``most``), leaves are cut into ranges of the order, numbered there, and moved on by
     the leaves of their group in earlier ranges, of which there is one row per group and range."""
+    same = lambda w: F.coalesce(F.lag(F.struct(*order)).over(w) == F.struct(*order), F.lit(False))
+    sure = lambda i, again: i if twice is None else F.when(again, F.raise_error(F.lit(twice)).cast("long")).otherwise(i)
     if most <= TASK_ROWS:
-        return leaves.withColumn("i", (F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1).cast("long"))
+        w = Window.partitionBy(*group).orderBy(*order)
+        return leaves.withColumn("i", (F.row_number().over(w) - 1).cast("long")).withColumn("i", sure(F.col("i"), same(w)))
     ranges = in_ranges(leaves, [*group, *order])
     own = Window.partitionBy(*group, "_range")
     counts = ranges.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*group).orderBy("_range")) - F.col("_n")).drop("_n")
-    numbered = ranges.withColumn("_i", F.row_number().over(own.orderBy(*order)) - 1)
+    # equal orders are in one range
+    numbered = ranges.withColumn("_i", F.row_number().over(own.orderBy(*order)) - 1).withColumn("_i", sure(F.col("_i"), same(own.orderBy(*order))))
     return numbered.join(before, [*group, "_range"]).withColumn("i", (F.col("_i") + F.col("_before")).cast("long")).drop("_i", "_before", "_range")
 
 
-#: Levels of a tree that one aggregation folds.
-FOLD = 6
+#: Levels of a tree that one aggregation folds; leaves of a group that one aggregation folds whole.
+FOLD, WHOLE = 6, 1024
 
 
 def _paired(level: Column) -> Column:
@@ -48,21 +54,34 @@ def _paired(level: Column) -> Column:
     return F.when(F.size(level) <= 1, level).otherwise(pairs)
 
 
-def roots(leaves: DataFrame, group: list[str], order: list[str], leaf: str) -> DataFrame:
-    """MRK-1: group, root and leaves of each group's leaf hashes in order.
+def _folded(hashes: Column, levels: int) -> Column:
+    """The node that many levels above an array of hashes."""
+    return F.get(F.aggregate(F.sequence(F.lit(1), F.lit(levels)), hashes, lambda level, _: _paired(level)), F.lit(0))
+
+
+def roots(leaves: DataFrame, group: list[str], order: list[str], leaf: str, twice: str | None = None) -> DataFrame:
+    """MRK-1: group, root and leaves of each group's leaf hashes in order; an order that comes twice in a group raises ``twice``.
 
     Each level pairs neighbours and lifts an odd last node, which gives the same root as splitting at the
     largest power of two below n. An aggregation by (group, i / 2^FOLD) folds FOLD levels of an array of 2^FOLD hashes at
-    most; the number of aggregations comes from the largest group. No task holds a large group (see ``indexed``)."""
+    most; the number of aggregations comes from the largest group. No task holds a large group (see ``indexed``); where none has
+    over WHOLE leaves, one aggregation folds all levels."""
     sizes = leaves.groupBy(*group).agg(F.count(F.lit(1)).alias("leaves"))
     most = sizes.agg(F.max("leaves")).first()[0] or 0
-    level = indexed(leaves.select(*group, *order, F.col(leaf).alias("h")), group, order, most).select(*group, "i", "h", F.lit(1).cast("long").alias("leaves"))
     levels = max(0, most - 1).bit_length()
+    rows = leaves.select(*group, *order, F.col(leaf).alias("h"))
+    if most <= WHOLE:
+        n = rows.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(F.struct(*order).alias("o"), "h"))).alias("n"), F.count(F.lit(1)).alias("leaves"))
+        root = _folded(F.transform("n", lambda x: x["h"]), max(1, levels))
+        if twice is not None:
+            again = F.exists(F.sequence(F.lit(1), F.greatest(F.size("n") - 1, F.lit(1))), lambda i: F.get("n", i)["o"] == F.get("n", i - 1)["o"])
+            root = F.when(again, F.raise_error(F.lit(twice)).cast("string")).otherwise(root)
+        return n.select(*group, root.alias("root"), "leaves")
+    level = indexed(rows, group, order, most, twice).select(*group, "i", "h", F.lit(1).cast("long").alias("leaves"))
     while levels > 0:
         up = min(FOLD, levels)
-        level = level.groupBy(*group, F.shiftright("i", up).alias("i")).agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("n"), F.sum("leaves").alias("leaves"))
-        top = F.aggregate(F.sequence(F.lit(1), F.lit(up)), F.transform("n", lambda x: x["h"]), lambda hashes, _: _paired(hashes))
-        level = level.select(*group, "i", F.get(top, F.lit(0)).alias("h"), "leaves")
+        level = level.groupBy(*group, F.shiftright("i", up).alias("i")).agg(F.sort_array(F.collect_list(F.struct("i", "h"))).alias("n"), F.sum("leaves").alias("leaves"))
+        level = level.select(*group, "i", _folded(F.transform("n", lambda x: x["h"]), up).alias("h"), "leaves")
         levels -= up
     return level.select(*group, F.col("h").alias("root"), "leaves")
 
@@ -84,7 +103,5 @@ def batch_roots(items: DataFrame, batch: list[str], key: str, content_hash: str)
 
 def record_roots(records: DataFrame, batch: list[str], ord_column: str, fields: list[str]) -> DataFrame:
     """MRK-3: root over canonical JSON (RFC 8785) of fixed fields in order; an ord that comes twice raises."""
-    json = canonical_row(records, fields)
-    sure = F.when(F.col("_n") > 1, F.raise_error(F.lit("ord comes twice")).cast("string")).otherwise(F.col("_json"))
-    once = records.withColumn("_json", json).groupBy(*batch, ord_column).agg(F.count(F.lit(1)).alias("_n"), F.first("_json").alias("_json"))
-    return roots(once.withColumn("_leaf", leaf_hash(sure)), batch, [ord_column], "_leaf")
+    leaves = records.select(*batch, ord_column, leaf_hash(canonical_row(records, fields)).alias("_leaf"))
+    return roots(leaves, batch, [ord_column], "_leaf", twice="ord comes twice")

@@ -249,8 +249,8 @@ def mrk2(spark, sf):
 def mrk3(spark, sf):
     from pyspark.sql.window import Window
 
-    o = F.row_number().over(Window.partitionBy(F.col("l_orderkey") % 2000).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
-    r = V.read(spark, sf, "lineitem").select((F.col("l_orderkey") % 2000).alias("batch"), o.alias("ord"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"))
+    o = F.row_number().over(Window.partitionBy("batch").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    r = V.read(spark, sf, "lineitem").withColumn("batch", F.col("l_orderkey") % 2000).select("batch", o.alias("ord"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"))
     return M.record_roots(r, ["batch"], "ord", ["ord", "part", "supp"]).select("batch", "root")
 
 

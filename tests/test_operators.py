@@ -336,3 +336,28 @@ def test_conversations_without_a_usable_folder_or_id(spark):
     assert [tuple(r[c] for c in ("conversation_id", "folder", "team_id", "refused")) for r in rows] == [
         ("C1", "a\ufffd", None, None), ("lone-surrogate:0043.d83d", "b", "T1", "conversation_id_lone_surrogate"), ("C5", "d", None, "team_id_lone_surrogate"), ("C6", "\U0001f600", None, None),
     ]
+
+
+@pytest.mark.parametrize("whole", [1024, 1])
+def test_an_ord_that_comes_twice_raises(spark, monkeypatch, whole):
+    monkeypatch.setattr(merkle, "WHOLE", whole)
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 3, "z"), ("b", 1, "x"), ("b", 2, "y")], "g string, ord int, t string")
+    got = {r["g"]: (r["root"], r["leaves"]) for r in merkle.record_roots(rows, ["g"], "ord", ["ord", "t"]).collect()}
+    leaf = [hashlib.sha256(b"\x00" + f'{{"ord":{i},"t":"{t}"}}'.encode()).digest() for i, t in ((1, "x"), (2, "y"), (3, "z"))]
+    node = hashlib.sha256(b"\x01" + leaf[0] + leaf[1]).digest()
+    assert got == {"a": (hashlib.sha256(b"\x01" + node + leaf[2]).hexdigest(), 3), "b": (node.hex(), 2)}
+    with pytest.raises(Exception, match="ord comes twice"):
+        merkle.record_roots(rows.unionByName(rows.limit(1)), ["g"], "ord", ["ord", "t"]).collect()
+
+
+def test_messages_meet_the_merged_ranges_of_their_days(spark):
+    at = lambda d: datetime(2024, 1, 1) + dt.timedelta(days=d)
+    scopes = [("a", at(0), at(2)), ("a", at(0), at(1)), ("a", at(1), at(3)), ("a", at(100), at(200)), ("b", at(5), at(5))] * 2000
+    messages = [(i, c, None if d is None else at(d)) for i, (c, d) in enumerate([("a", 0), ("a", 2.5), ("a", 3), ("a", 150), ("a", 200), ("a", None), ("b", 5), ("c", 5), (None, 5)])]
+    df = scope.messages_in_scope(spark.createDataFrame(messages, "id int, conversation_id string, sent_at timestamp"), spark.createDataFrame(scopes, "conversation_id string, date_from timestamp, date_to timestamp"))
+    assert {r["id"]: r["in_scope"] for r in df.collect()} == dict(enumerate([True, True, False, True, False, True, False, True, True]))
+
+
+def test_reveal_splits_at_each_character(spark):
+    rows = spark.createDataFrame([(t,) for t in ("\n\na", "", "plain é", "a\u200b", "\u061c", "\U0001fffeb", None)], "t string")
+    assert [r[0] for r in rows.select(text.reveal_invisible(F.col("t"))).collect()] == ["\n[U+000A]\n[U+000A]a", "", "plain é", "a\u200b[U+200B]", "[U+061C]", "[U+1FFFE]b", None]
