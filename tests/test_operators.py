@@ -338,9 +338,10 @@ def test_conversations_without_a_usable_folder_or_id(spark):
     ]
 
 
-@pytest.mark.parametrize("whole", [1024, 1])
-def test_an_ord_that_comes_twice_raises(spark, monkeypatch, whole):
+@pytest.mark.parametrize(("whole", "task_rows"), [(1024, 1_000_000), (1, 1_000_000), (1, 2)])
+def test_an_ord_that_comes_twice_raises(spark, monkeypatch, whole, task_rows):
     monkeypatch.setattr(merkle, "WHOLE", whole)
+    monkeypatch.setattr(merkle, "TASK_ROWS", task_rows)
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 3, "z"), ("b", 1, "x"), ("b", 2, "y")], "g string, ord int, t string")
     got = {r["g"]: (r["root"], r["leaves"]) for r in merkle.record_roots(rows, ["g"], "ord", ["ord", "t"]).collect()}
     leaf = [hashlib.sha256(b"\x00" + f'{{"ord":{i},"t":"{t}"}}'.encode()).digest() for i, t in ((1, "x"), (2, "y"), (3, "z"))]
