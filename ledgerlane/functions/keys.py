@@ -48,6 +48,16 @@ def canonical_hash(**fields: Column) -> Column:
     return F.sha2(canonical_struct(**fields), 256)
 
 
+def packed_hash(text: Column) -> Column:
+    """The 32 bytes of a hash in lower-case hex; another text as longer bytes, so that equal ones have equal texts."""
+    return F.when(F.regexp_like(text, F.lit(r"\A[0-9a-f]{64}\z")), F.unhex(text)).otherwise(F.concat(F.lit(bytearray(33)), text.cast("binary")))
+
+
+def unpacked_hash(packed: Column) -> Column:
+    """The text that packed_hash took."""
+    return F.when(F.octet_length(packed) == 32, F.lower(F.hex(packed))).otherwise(F.substring(packed, 34, 2**31 - 1).cast("string"))
+
+
 def ts_instant(ts: Column) -> Column:
     """SCL-5: "seconds.micros" as an instant; micros are padded or cut to six digits."""
     parts = F.split(ts, r"\.", 2)

@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
+#: Rows that are broadcast at most.
+BROADCAST_ROWS = 100_000
+#: With this setting a query's shuffled rows are deleted when it has ended, not when the driver's memory is next collected.
+TIDY = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
 
 def ship_package(spark: SparkSession) -> None:
     """Gives this package to the executors' Python, once per application, unless they find it by themselves
@@ -67,6 +72,26 @@ def materialized(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it is counted to have few rows: a join with it then leaves the other side where it is."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+@contextmanager
+def scratch(df: DataFrame) -> Iterator[DataFrame]:
+    """df as a table in the shared folder, in its order and smaller than a checkpoint, for what is read inside only: the
+    table is deleted at the end."""
+    spark = df.sparkSession
+    path = shared_folder(spark, "scratch")
+    try:
+        with settings(spark, TIDY):
+            df.write.option("compression", "zstd").parquet(path)
+        yield spark.read.parquet(path)
+    finally:
+        where, files = _served(spark, path)
+        files.delete(where, True)
+
+
 def in_ranges(rows: DataFrame, order: list[str]) -> DataFrame:
     """rows, cut into ranges of an order, with the number of their range in ``_range``."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

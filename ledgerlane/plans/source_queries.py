@@ -20,7 +20,7 @@ from ledgerlane.operators.reconcile import unit_order
 from ledgerlane.operators.registry import register
 from ledgerlane.plans import views as V
 from ledgerlane.plans.custody_queries import CARRY, EVENTS_SEEN, HASHED, HEX, LANES, _built
-from ledgerlane.plans.shared import materialized, shared_folder
+from ledgerlane.plans.shared import materialized, scratch, shared_folder, small
 from ledgerlane.sinks import files as W
 from ledgerlane.sources import readers as R
 from ledgerlane.sources.tail import custody_tail
@@ -201,19 +201,15 @@ def _stamp(unit_key):
     return F.substring(F.split_part(unit_key, F.lit("/"), F.lit(1)), 2, 9).cast("int") * 31 + F.substring(unit_key, -2, 2).cast("int")
 
 
-def _package(spark, sf, damaged: bool) -> str:
-    """A package of the messages: each is an item of the event with its number, in the stored page of its unit. Damaged:
-    every kind of fault, each in some places."""
-    path = shared_folder(spark, "package")
+def _write(spark, sf, b, pages, damaged: bool, path: str) -> None:
+    """The package of _package as it is written: its events b, its pages."""
     hurt = lambda cond, bad, good: F.when(cond, bad).otherwise(good) if damaged else good
-    b = materialized(_built(spark, sf))  # hashed once
     s = F.col("seq")
-    heads = b.groupBy("stream").agg((F.max("seq") - LATER).alias("seq")).join(b.select("stream", "seq", "event_hash"), ["stream", "seq"])
+    heads = b.select("stream", "seq", "event_hash").join(small(b.groupBy("stream").agg((F.max("seq") - LATER).alias("seq"))), ["stream", "seq"])
     heads = materialized(heads.withColumn("event_hash", hurt(F.col("stream") == "S3", F.lit("0"), F.col("event_hash"))))
     events = b.withColumn("fields", hurt(s % 97 == 0, F.concat("fields", F.lit(" ")), F.col("fields")))
     anchors = b.filter(s % 10 == 0).select("stream", "seq", hurt(s % 50 == 0, F.lit("0"), F.col("event_hash")).alias("event_hash"))
 
-    pages = materialized(_pages(spark, sf).withColumn("sha256", F.sha2("value", 256)))
     n = _stamp(F.col("unit_key"))
     evidence = pages.select(
         F.col("unit_key").alias("evidence_id"), F.concat(F.lit("evidence/"), "unit_key").alias("storage_key"), F.lit("page").alias("kind"), F.lit("complete").alias("state"), "sha256", hurt(n % 13 == 0, F.lit("0"), F.col("sha256")).alias("source_sha256"), F.octet_length("value").cast("long").alias("size"),
@@ -233,6 +229,15 @@ def _package(spark, sf, damaged: bool) -> str:
         hurt(e % 139 == 0, F.lit("none"), F.col("unit_key")).alias("evidence_id"), F.concat(F.lit("evidence/"), "unit_key", hurt(e % 127 == 0, F.lit("x"), F.lit(""))).alias("storage_key"), K.json_path("messages", F.col("i")).alias("json_path"), hurt(e % 131 == 0, F.lit("0"), F.sha2(canonical_json(F.to_json(raw)), 256)).alias("raw_hash"),
     )
     W.write_package(events, items, evidence, anchors, heads, objects, path)
+
+
+def _package(spark, sf, damaged: bool) -> str:
+    """A package of the messages: each is an item of the event with its number, in the stored page of its unit. Damaged:
+    every kind of fault, each in some places."""
+    path = shared_folder(spark, "package")
+    # hashed once, and kept until the package is written
+    with scratch(_built(spark, sf)) as b, scratch(_pages(spark, sf).withColumn("sha256", F.sha2("value", 256))) as pages:
+        _write(spark, sf, b, pages, damaged, path)
     if damaged:  # what happens to a package on its way: a line more, a file more, an object more, a file that was lost
         spark.createDataFrame([('{"event_hash":"0","seq":1,"stream":"S1"}',)], "value string").write.mode("append").text(f"{path}/anchors.jsonl")
         spark.createDataFrame([("note",)], "value string").write.text(f"{path}/notes.jsonl")

@@ -1,7 +1,9 @@
 """Files as they are stored: digests of their bytes, packages written and read back, and single faults."""
 
+import gzip
 import hashlib
 import json
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,3 +126,60 @@ def test_digest_is_carried_over_slices(spark, tmp_path, monkeypatch):
         want[name] = (200, len(data), hashlib.sha256(data).hexdigest())
     assert {r["file"]: (r["lines"], r["bytes"], r["sha256"]) for r in files.file_digests(spark, str(tmp_path)).collect()} == want
     assert [r["file"] for r in files.file_digests(spark, str(tmp_path), but=("x.jsonl",)).collect()] == ["y.jsonl"]
+
+
+def test_a_package_is_stored_as_gzip_and_digested_as_its_lines(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "PART_LINES", 7)
+    monkeypatch.setattr(files, "SLICE", 300)
+    monkeypatch.setattr(files, "_PIECE", 40)
+    given = parts(spark)
+    more = custody.build_chain(spark.range(1, 201).select(F.lit("s").alias("stream"), F.col("id").alias("seq"), F.lit("k").alias("event_type"), F.concat(F.lit('{"n":'), "id", F.lit("}")).alias("fields")))
+    head = more.filter("seq = 190").select("stream", "seq", "event_hash")
+    manifest = files.write_package(more, given["items"], given["evidence"], given["anchors"], head, given["objects"], str(tmp_path / "p"))
+    stated = {r["file"]: (r["lines"], r["bytes"], r["sha256"]) for r in manifest.filter("file is not null").collect()}
+    stored = 0
+    for name, sums in stated.items():
+        found = sorted((tmp_path / "p" / name).glob("part-*"))
+        assert all(p.suffix == ".gz" for p in found)
+        data = b"".join(gzip.decompress(p.read_bytes()) for p in found)
+        assert sums == (data.count(b"\n"), len(data), hashlib.sha256(data).hexdigest())
+        stored += sum(p.stat().st_size for p in found)
+    assert stated["events.jsonl"][0] == 190 and stored < sum(sums[1] for sums in stated.values())
+    assert sorted(r["seq"] for r in spark.read.json(str(tmp_path / "p" / "events.jsonl")).collect()) == list(range(1, 191))
+
+
+def test_gzip_parts_of_several_members_and_cut_ones(spark, tmp_path):
+    (tmp_path / "x.jsonl").mkdir()
+    one, two = b"a\n" * 3_000_000, bytes(range(256)) * 9
+    (tmp_path / "x.jsonl" / "part-0.gz").write_bytes(gzip.compress(one) + gzip.compress(two))
+    (tmp_path / "x.jsonl" / "part-1").write_bytes(two)
+    got = files.file_digests(spark, str(tmp_path)).first()
+    assert (got["bytes"], got["lines"], got["sha256"]) == (len(one + two + two), (one + two + two).count(b"\n"), hashlib.sha256(one + two + two).hexdigest())
+    with pytest.raises(zlib.error):
+        list(files._unpacked("part-0.gz", files.pa.py_buffer(gzip.compress(two)[:-9])))
+
+
+def test_a_file_of_any_name_is_digested_by_itself(spark, tmp_path):
+    for n in range(40):
+        (tmp_path / f"f {n}").mkdir()
+        for part in range(3):
+            (tmp_path / f"f {n}" / f"part-{part}").write_bytes(f"{n}/{part}\n".encode() * (n + 1))
+    want = {f"f {n}": hashlib.sha256(b"".join(f"{n}/{part}\n".encode() * (n + 1) for part in range(3))).hexdigest() for n in range(40)}
+    assert {r["file"]: r["sha256"] for r in files.file_digests(spark, str(tmp_path)).collect()} == want
+
+
+def test_packed_hashes_are_told_apart_and_unpacked(spark):
+    texts = ["0" * 64, "0" * 63 + "f", "0" * 63 + "F", "0" * 64 + "\n", "0", "", "\0" * 32, "ü", "\0" * 33 + "0", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", K.packed_hash(F.col("t")).alias("p"))
+    got = rows.select("t", F.octet_length("p").alias("n"), F.hex("p").alias("p"), K.unpacked_hash(F.col("p")).alias("back")).collect()
+    assert [r["back"] for r in got] == texts and len({r["p"] for r in got}) == len(texts)
+    assert [r["n"] for r in got][:3] == [32, 32, 97]
+
+
+def test_a_scratch_table_is_there_inside_only(spark):
+    from ledgerlane.plans.shared import scratch, table_exists
+
+    with scratch(spark.range(5)) as t:
+        path = t.inputFiles()[0].rsplit("/", 1)[0]
+        assert sorted(r["id"] for r in t.collect()) == [0, 1, 2, 3, 4] and table_exists(spark, path)
+    assert not table_exists(spark, path)
