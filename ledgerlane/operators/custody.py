@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerlane.functions.canonical import canonical_json
-from ledgerlane.functions.keys import canonical_struct
+from ledgerlane.functions.keys import canonical_struct, packed_hash
 from ledgerlane.operators.merkle import EMPTY, TASK_ROWS, leaf_hash, record_roots, roots
 from ledgerlane.operators.ordered import last_known, longest
-from ledgerlane.plans.shared import in_ranges
+from ledgerlane.plans.shared import in_ranges, materialized, small
 
 GENESIS = "0" * 64
 
+#: Numbers of a stream that are compared in one order where streams are long.
+BLOCK = 65_536
+
 
 def event_json(stream: Column, seq: Column, kind: Column, actor: Column, payload: Column, at: Column) -> Column:
     """The canonical fields that an event's hash covers."""
@@ -52,28 +55,31 @@ def verify_chain(events: DataFrame, stream: str = "stream", seq: str = "seq", fi
     """MRK-6: each event with its error (null if none): what comes after a stream's first gap is ``unchecked``; an event
     whose canonical fields name another stream_id (or tenant_id, if a tenant is given) is ``foreign``.
 
-    Streams of up to task_rows are compared neighbour by neighbour in one order. Where one is longer, each event is joined
-    with the one before it by stream and number, so a long stream is spread over tasks. A number that comes
-    twice is a gap."""
-    w = Window.partitionBy(stream).orderBy(seq)
-    if longest(events, stream) <= task_rows:
-        e = events.withColumn("_hash", F.when(F.col(seq) == 1, F.lit(GENESIS)).otherwise(F.lag("event_hash").over(w))).withColumn("_odd", F.col(seq) != F.coalesce(F.lag(seq).over(w), F.lit(0)) + 1)
-        e = e.withColumn("_gap", F.min(F.when(F.col("_odd"), F.col(seq))).over(Window.partitionBy(stream)))
-    else:
-        before = events.groupBy(stream, (F.col(seq) + 1).alias(seq)).agg(F.min("event_hash").alias("_hash"))
-        twice = events.groupBy(stream, seq).agg((F.count(F.lit(1)) > 1).alias("_twice"))
-        e = events.join(twice, [stream, seq]).join(before, [stream, seq], "left")
-        e = e.withColumn("_hash", F.when(F.col(seq) == 1, F.lit(GENESIS)).otherwise(F.col("_hash")))
-        gaps = e.filter(F.col("_hash").isNull() | F.col("_twice")).groupBy(stream).agg(F.min(seq).alias("_gap"))
-        e = e.join(gaps, stream, "left")
+    Whether an event is foreign or altered is told by itself, before it is moved: a caller that takes the error alone
+    moves numbers and hashes only. Streams of up to task_rows are compared neighbour by neighbour in one order. Where one
+    is longer, streams are cut into blocks of numbers, and a block's first event is compared with the last one of the block before
+    it, of which there is one row a block. A number that comes twice is a gap."""
     named = F.get_json_object(fields, "$.stream_id")
     foreign = named.isNotNull() & (named != F.col(stream).cast("string"))
     if tenant is not None:
         foreign = foreign | ~F.get_json_object(fields, "$.tenant_id").eqNullSafe(tenant)
-    error = (
-        F.when(F.col(seq) == F.col("_gap"), "gap").when(F.col(seq) > F.col("_gap"), "unchecked").when(foreign, "foreign").when(F.col("prev_hash") != F.col("_hash"), "broken_link")
-        .when(F.col("event_hash") != event_hash(F.col("prev_hash"), F.col(fields)), "altered")
+    own = events.select(
+        "*", foreign.alias("_foreign"), (F.col("event_hash") != event_hash(F.col("prev_hash"), F.col(fields))).alias("_altered"), (F.col("prev_hash") != GENESIS).alias("_late"),
+        packed_hash(F.col("prev_hash")).alias("_prev"), packed_hash(F.col("event_hash")).alias("_own"),
     )
+    if longest(events, stream) <= task_rows:
+        w = Window.partitionBy(stream).orderBy(seq)
+        e = own.withColumn("_hash", F.lag("_own").over(w)).withColumn("_odd", F.col(seq) != F.coalesce(F.lag(seq).over(w), F.lit(0)) + 1)
+        e = e.withColumn("_gap", F.min(F.when(F.col("_odd"), F.col(seq))).over(Window.partitionBy(stream)))
+    else:
+        own = own.withColumn("_block", F.floor(F.col(seq) / min(task_rows, BLOCK)))
+        w = Window.partitionBy(stream, "_block").orderBy(seq)
+        ends = own.groupBy(stream, (F.col("_block") + 1).alias("_block")).agg(F.max(seq).alias("_end"), F.max_by("_own", seq).alias("_end_hash"))
+        e = own.withColumn("_hash", F.lag("_own").over(w)).withColumn("_last", F.lag(seq).over(w)).join(ends, [stream, "_block"], "left")
+        e = e.withColumn("_odd", F.col(seq) != F.coalesce("_last", "_end", F.lit(0)) + 1).withColumn("_hash", F.when(F.col("_last").isNull(), F.col("_end_hash")).otherwise(F.col("_hash")))
+        e = e.join(small(materialized(e.filter("_odd").groupBy(stream).agg(F.min(seq).alias("_gap")))), stream, "left")
+    broken = F.when(F.col(seq) == 1, F.col("_late")).otherwise(F.col("_prev") != F.col("_hash"))
+    error = F.when(F.col(seq) == F.col("_gap"), "gap").when(F.col(seq) > F.col("_gap"), "unchecked").when(F.col("_foreign"), "foreign").when(broken, "broken_link").when(F.col("_altered"), "altered")
     return e.withColumn("error", error).select(*events.columns, "error")
 
 

@@ -48,7 +48,8 @@ def verify_package(package: dict[str, DataFrame]) -> DataFrame:
 
     place = F.concat_ws("/", "stream", F.col("seq").cast("string"))
     chain = verify_chain(package["events"]).filter("error is not null").select(F.lit("events").alias("file"), place.alias("what"), "error")
-    tied = verify_anchors(package["anchors"], package["events"]).select(F.lit("anchors").alias("file"), place.alias("what"), "error")
+    packed = lambda rows: rows.select("stream", "seq", K.packed_hash(F.col("event_hash")).alias("event_hash"))
+    tied = verify_anchors(packed(package["anchors"]), packed(package["events"])).select(F.lit("anchors").alias("file"), place.alias("what"), "error")
     last = package["events"].groupBy("stream").agg(F.max_by(F.struct("seq", "event_hash"), "seq").alias("last"))
     ends = package["heads"].select("stream", F.struct("seq", "event_hash").alias("head")).join(last, "stream", "full")
     ends = _errors(ends, "heads", F.col("stream"), head_differs=~F.col("head").eqNullSafe(F.col("last")))
@@ -66,23 +67,29 @@ def verify_package(package: dict[str, DataFrame]) -> DataFrame:
     extra = objects.join(evidence.filter(stored).select(F.col("sha256").alias("_key")).distinct(), "_key", "left_anti")
     extra = _errors(extra, "objects", F.col("_key"), not_an_object=F.lit(True))
 
+    # what an item tells by itself is told first, and hashes are packed, so that little is moved
+    i = package["items"]
+    expected = K.idempotency_key(F.col("tenant_id"), F.col("source"), F.col("subject"), F.col("content_hash"))
+    linked = package["events"].select("stream", "seq", F.lit(True).alias("_linked")).dropDuplicates(["stream", "seq"])
+    alone = i.select("item_id", "stream", "seq", (~F.col("idempotency_key").eqNullSafe(expected)).alias("_wrong")).join(linked, ["stream", "seq"], "left")
+    alone = _errors(alone, "items", F.col("item_id"), wrong_key=F.col("_wrong"), not_linked=F.col("_linked").isNull())
+
     # items by the page they point into; each page's fragments are hashed once
     pages = evidence.filter("kind = 'page'").select("sha256").distinct().join(package["objects"].select("sha256", "content"), "sha256")
-    fragments = page_fragments(pages, "sha256", "content").withColumn("fragment_hash", F.sha2(canonical_json(F.col("fragment")), 256)).select(F.col("sha256").alias("_page"), F.col("json_path").alias("_path"), "fragment_hash")
-    known = evidence.select(F.col("evidence_id").alias("_id"), F.col("storage_key").alias("_storage"), F.col("kind").alias("_kind"), F.col("sha256").alias("_sha")).join(objects.select(F.col("_key").alias("_sha"), F.lit(True).alias("_stored")), "_sha", "left")
-    i = package["items"]
-    i = i.join(known, i["evidence_id"] == known["_id"], "left")
-    i = i.join(fragments, (i["_sha"] == fragments["_page"]) & (i["json_path"] == fragments["_path"]), "left")
-    linked = package["events"].select("stream", "seq", F.lit(True).alias("_linked"))
-    i = i.join(linked.dropDuplicates(["stream", "seq"]), ["stream", "seq"], "left")
+    fragments = page_fragments(pages, "sha256", "content").select(K.packed_hash(F.col("sha256")).alias("_page"), F.col("json_path").alias("_path"), F.unhex(F.sha2(canonical_json(F.col("fragment")), 256)).alias("_fragment"))
+    known = evidence.select(F.col("evidence_id").alias("_id"), F.col("storage_key").alias("_storage"), F.col("kind").alias("_kind"), F.col("sha256").alias("_sha")).join(objects.select(F.col("_key").alias("_sha"), F.lit(True).alias("_stored")), "_sha", "left").withColumn("_sha", K.packed_hash(F.col("_sha")))
+    i = i.select("item_id", "evidence_id", "storage_key", "json_path", K.packed_hash(F.col("raw_hash")).alias("_raw")).join(known, F.col("evidence_id") == F.col("_id"), "left")
     there = F.col("_id").isNotNull()
     paged, filed = there & (F.col("_kind") == "page") & F.col("_stored").isNotNull(), there & (F.col("_kind") == "file") & F.col("_stored").isNotNull()
-    expected = K.idempotency_key(F.col("tenant_id"), F.col("source"), F.col("subject"), F.col("content_hash"))
+    i = i.select(
+        "item_id", "json_path", "_raw", F.when(paged, F.col("_sha")).alias("_in"), (~there).alias("_missing"), (there & (F.col("storage_key") != F.col("_storage"))).alias("_elsewhere"), (filed & (F.col("_raw") != F.col("_sha"))).alias("_other"),
+    )
+    i = i.join(fragments, (F.col("_in") == F.col("_page")) & (F.col("json_path") == F.col("_path")), "left")
     items = _errors(
-        i, "items", F.col("item_id"), wrong_key=~F.col("idempotency_key").eqNullSafe(expected), not_linked=F.col("_linked").isNull(), evidence_missing=~there, storage_key_differs=there & (F.col("storage_key") != F.col("_storage")),
-        path_unresolved=paged & F.col("fragment_hash").isNull(), fragment_differs=paged & (F.col("fragment_hash") != F.col("raw_hash")), file_hash_differs=filed & (F.col("raw_hash") != F.col("_sha")),
+        i, "items", F.col("item_id"), evidence_missing=F.col("_missing"), storage_key_differs=F.col("_elsewhere"),
+        path_unresolved=F.col("_in").isNotNull() & F.col("_fragment").isNull(), fragment_differs=F.col("_in").isNotNull() & (F.col("_fragment") != F.col("_raw")), file_hash_differs=F.col("_other"),
     )
     out = files
-    for part in (chain, tied, ends, kept, extra, items):
+    for part in (chain, tied, ends, kept, extra, alone, items):
         out = out.unionByName(part)
     return out

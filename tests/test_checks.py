@@ -1,5 +1,6 @@
 """Paths, names and chain checks on small cases."""
 
+import hashlib
 import json
 
 import pytest
@@ -48,3 +49,31 @@ def test_chain_errors_both_ways(spark, task_rows):
     del want[("b", 7)]
     want |= {("b", 8): "gap"} | {("b", i): "unchecked" for i in range(9, 12)} | {("c", 5): "gap"} | {("c", i): "unchecked" for i in range(6, 12)}
     assert got == want
+
+
+@pytest.mark.parametrize("task_rows", [1_000_000, 4, 1])
+def test_chain_errors_equal_a_scan_per_stream(spark, task_rows):
+    import random
+
+    r = random.Random(5)
+    rows = [(s, i, json.dumps({"stream_id": s if r.random() > 0.1 else "x", "n": i})) for s in "abcdefgh" for i in range(1, 31)]
+    built = [list(x) for x in custody.build_chain(spark.createDataFrame(rows, "stream string, seq long, fields string")).collect()]
+    for x in built:  # stream, seq, fields, prev_hash, event_hash
+        if r.random() < 0.1:
+            x[r.choice([2, 3, 4])] += " "
+    built = [x for x in built if x[0] < "c" or r.random() > 0.03] + [list(x) for x in built if x[0] > "e" and r.random() < 0.03]
+    want, ended, before = [], {}, {}
+    for s, seq, fields, prev, own in sorted(built, key=lambda x: x[:2]):
+        last, held = before.get(s, (0, custody.GENESIS))
+        if seq != last + 1:
+            ended.setdefault(s, seq)
+        before[s] = (seq, own)
+        want.append([s, seq, fields, prev, own, held])
+    for x in want:
+        s, seq, fields, prev, own, held = x
+        gap = ended.get(s, 99)
+        error = "gap" if seq == gap else "unchecked" if seq > gap else "foreign" if json.loads(fields)["stream_id"] != s else "broken_link" if prev != held else "altered" if hashlib.sha256((prev + fields).encode()).hexdigest() != own else None
+        x[5] = error
+    assert {x[5] for x in want} == {"gap", "unchecked", "foreign", "broken_link", "altered", None}
+    got = custody.verify_chain(spark.createDataFrame(built, "stream string, seq long, fields string, prev_hash string, event_hash string"), task_rows=task_rows)
+    assert sorted(map(repr, map(list, got.collect()))) == sorted(map(repr, want))
