@@ -93,11 +93,12 @@ def verify_batches(events: DataFrame, batches: DataFrame, key: str) -> DataFrame
     return j.select(key, error.alias("error")).filter("error is not null")
 
 
-def verify_item_links(items: DataFrame, events: DataFrame, batch: str, stream: str = "stream", seq: str = "seq", kind: str = "event_type") -> DataFrame:
+def verify_item_links(items: DataFrame, events: DataFrame, batch: str, stream: str = "stream", seq: str = "seq", kind: str = "event_type", then: tuple[str, ...] = ()) -> DataFrame:
     """JON-24: items (place in their file, item_id, stream, seq of their event) that belong to no batch event, that come twice, or
-    that come before an item of an earlier event of their stream: place, item_id, error."""
+    that come before an item of an earlier event of their stream: place, item_id, error. Places may come twice if the columns in
+    then order them."""
     own = events.filter(F.col(kind) == batch).select(stream, seq, F.lit(True).alias("_there")).dropDuplicates([stream, seq])
-    j = last_known(items.withColumn("_v", F.col(seq)), stream, ["place"], "_v", "_before").join(own, [stream, seq], "left")
+    j = last_known(items.withColumn("_v", F.col(seq)), stream, ["place", *then], "_v", "_before").join(own, [stream, seq], "left")
     again = items.groupBy("item_id").agg(F.min("place").alias("_first"))
     j = j.join(again, "item_id")
     checks = F.array(F.when(F.col("_there").isNull(), "not_linked"), F.when(F.col("_before") > F.col(seq), "out_of_order"), F.when(F.col("place") > F.col("_first"), "linked_twice"))

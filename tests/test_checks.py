@@ -77,3 +77,12 @@ def test_chain_errors_equal_a_scan_per_stream(spark, task_rows):
     assert {x[5] for x in want} == {"gap", "unchecked", "foreign", "broken_link", "altered", None}
     got = custody.verify_chain(spark.createDataFrame(built, "stream string, seq long, fields string, prev_hash string, event_hash string"), task_rows=task_rows)
     assert sorted(map(repr, map(list, got.collect()))) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_places_that_come_twice_have_an_order(spark, turned):
+    items = [(1, "a", "s", 5, 0), (2, "b", "s", 9, 0), (2, "a", "s", 5, 1), (3, "c", "s", 7, 0), (3, "d", "s", 8, 1)]
+    rows = spark.createDataFrame(items[::-1] if turned else items, "place long, item_id string, stream string, seq long, again int").coalesce(1)
+    events = spark.createDataFrame([("s", n, "k") for n in (5, 7, 8, 9)], "stream string, seq long, event_type string")
+    got = {(r["place"], r["item_id"], r["error"]) for r in custody.verify_item_links(rows, events, "k", then=("again",)).collect()}
+    assert got == {(2, "a", "out_of_order"), (2, "a", "linked_twice")}
